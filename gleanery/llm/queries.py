@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, exact_dedup, mixing, packing, simhash, toxicity, url_filter
+from . import ann, exact_dedup, hmm, mixing, packing, simhash, toxicity, url_filter
 from .common import table
 
 
@@ -38,6 +38,10 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("draws")).alias("taken"), "source")
 
 
+def op9_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.score(table(spark, sf_dir, "documents"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokens=4096, end_id=1)
 
@@ -49,5 +53,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_ann": op4_ann,
     "op6_mixing": op6_mixing,
     "op7_simhash": op7_simhash,
+    "op9_hmm": op9_hmm,
     "op10_packing": op10_packing,
 }
