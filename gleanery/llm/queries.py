@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, exact_dedup, hmm, mixing, packing, pii, simhash, toxicity, url_filter
+from . import ann, exact_dedup, hmm, mixing, packing, pii, secrets, simhash, toxicity, url_filter
 from .common import table
 
 
@@ -44,6 +44,24 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("draws")).alias("taken"), "source")
 
 
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find(table(spark, sf_dir, "documents"))
+    counts = [F.size(F.filter("base", _is_kind(k))).cast("long").alias(f"n_{k}") for k in secrets.KINDS]
+    base = _described(F.col("base"))
+    order = F.array(*[F.lit(k) for k in secrets.KINDS])
+    rank = lambda s: F.struct(s["start"].alias("start"), F.array_position(order, s["kind"]).alias("rank"), s["end"].alias("end"), s["kind"].alias("kind"))
+    whole = F.array_distinct(F.array_sort(F.transform(F.concat("base", "more"), rank)))
+    return found.select("doc_id", *counts, F.sha2(base, 256).alias("base_sha256"), _described(whole).alias("spans"))
+
+
+def _is_kind(kind: str):
+    return lambda s: s["kind"] == kind
+
+
+def _described(spans: Column) -> Column:
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
 def op9_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm.score(table(spark, sf_dir, "documents"))
 
@@ -60,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_pii": op5_pii,
     "op6_mixing": op6_mixing,
     "op7_simhash": op7_simhash,
+    "op8_secrets": op8_secrets,
     "op9_hmm": op9_hmm,
     "op10_packing": op10_packing,
 }
