@@ -21,6 +21,10 @@ from .common import components, stash
 #: Distinct fingerprints a shard should hold, shards at most (the tree is broadcast: 24 bytes a node), sampled
 #: fingerprints for each shard, residents in a block.
 SHARD, MOST_SHARDS, SAMPLE_EACH, BLOCK = 1500, 4096, 12, 8192
+#: Of drop_near_copies: words in the wide print, least hashes a text is looked up by, and residents in a block of them.
+WIDE, KEYS, KEY_BLOCK = 4, 3, 4096
+#: Odd constants that make further hashes of a hash.
+_MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93)
 
 
 def shingle_hashes(text: str | None, width: int) -> np.ndarray:
@@ -102,18 +106,24 @@ def route(nodes: list[tuple[int, int, int, int]], prints: np.ndarray, slack: int
 
 
 def forest(visitors: np.ndarray, residents: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links between visitors and residents (uint64, each distinct), as pairs of fingerprints."""
-    nodes, inverse = np.unique(np.concatenate([visitors, residents]), return_inverse=True)
+    """A spanning forest of the links between visitors and residents, as pairs of names. Rows: a name, then the words of the
+    print that distances are taken of (for a fingerprint, the name is the print)."""
+    nodes, first, inverse = np.unique(np.concatenate([visitors[:, 0], residents[:, 0]]), return_index=True, return_inverse=True)
+    prints = np.concatenate([visitors, residents])[first, 1:]
     v, r = inverse[: len(visitors)], inverse[len(visitors) :]
     label, out, step = np.arange(len(nodes)), [], max(1, 2_000_000 // max(1, len(r)))
     for i in range(0, len(v), step):
-        a, b = np.nonzero(np.bitwise_count(nodes[v[i : i + step], None] ^ nodes[None, r]) <= radius)
-        a, b = v[i + a], r[b]
+        own = v[i : i + step]
+        far = np.bitwise_count(prints[own, None, 0] ^ prints[None, r, 0])
+        for w in range(1, prints.shape[1]):
+            far = far.astype(np.int16) + np.bitwise_count(prints[own, None, w] ^ prints[None, r, w])
+        a, b = np.nonzero(far <= radius)
+        a, b = own[a], r[b]
         new = label[a] != label[b]
         if not new.any():
             continue
         a, b = a[new], b[new]
-        _, first = np.unique(np.stack([label[a], label[b]]), axis=1, return_index=True)
+        _, one = np.unique(np.stack([label[a], label[b]]), axis=1, return_index=True)
         parent: dict[int, int] = {}
 
         def top(x: int, parent: dict[int, int] = parent) -> int:
@@ -121,7 +131,7 @@ def forest(visitors: np.ndarray, residents: np.ndarray, radius: int) -> list[tup
                 x = parent[x]
             return x
 
-        for k in first:
+        for k in one:
             x, y = top(int(label[a[k]])), top(int(label[b[k]]))
             if x != y:
                 parent[max(x, y)] = min(x, y)
@@ -137,6 +147,11 @@ def signed(x: np.ndarray) -> np.ndarray:
     return np.asarray(x, np.uint64).view(np.int64)
 
 
+def as_links(pairs: list[tuple[int, int]]) -> pd.DataFrame:
+    links = np.array(pairs, np.uint64).reshape(-1, 2)
+    return pd.DataFrame({"u": signed(links[:, 0].copy()), "v": signed(links[:, 1].copy())})
+
+
 def hamming_links(prints: DataFrame, radius: int = 2) -> DataFrame:
     """(u, v): links between distinct fingerprints (column fp: long) at most `radius` bits apart, as spanning forests of the
     shards; their components are those of all links. No fingerprint: no row."""
@@ -170,9 +185,8 @@ def hamming_links(prints: DataFrame, radius: int = 2) -> DataFrame:
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
         x = group.fp.to_numpy().view(np.uint64)
-        own = group.own.to_numpy()
-        links = np.array(forest(x, x[own], radius) or np.empty((0, 2)), np.uint64)
-        return pd.DataFrame({"u": signed(links[:, 0].copy()), "v": signed(links[:, 1].copy())})
+        x = np.stack([x, x], axis=1)
+        return as_links(forest(x, x[group.own.to_numpy()], radius))
 
     dealt = prints.select("fp").mapInPandas(visits, "shard long, block long, fp long, own boolean")
     return dealt.groupBy("shard", "block").applyInPandas(compare, "u long, v long")
@@ -191,3 +205,80 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     names = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     named = stash(placed.join(names, "root").select(F.col("fp").alias("same"), "component_id"), "classes")
     return marked.join(named, F.col("fp") == F.col("same")).select("doc_id", "fp", "component_id")
+
+
+def mixed(hashes: np.ndarray, which: int) -> np.ndarray:
+    """Another hash of each hash."""
+    x = (hashes ^ np.uint64(_MIX[which % 4])) * np.uint64(_MIX[(which + 1) % 4] + 2 * which)
+    x ^= x >> np.uint64(29)
+    x *= np.uint64(_MIX[(which + 2) % 4])
+    return x ^ (x >> np.uint64(32))
+
+
+def sketch(text: str | None, width: int) -> tuple[int, list[int], list[int]]:
+    """The fingerprint of the distinct shingles, their wide print of WIDE words, and their least hashes under KEYS orders."""
+    own = np.unique(shingle_hashes(text, width))
+    if not len(own):
+        return 0, [0] * WIDE, []
+    keys = [int(signed(mixed(own, 8 + i).min(keepdims=True))[0]) for i in range(KEYS)]
+    return simhash(own), [simhash(mixed(own, i)) for i in range(WIDE)], keys
+
+
+def bits_apart(similarity: float) -> int:
+    """How many of the wide print's bits texts with this Jaccard similarity of shingles are expected to differ in."""
+    return round(64 * WIDE * np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+
+
+def key_links(prints: DataFrame, apart: int) -> DataFrame:
+    """(u, v): links between fingerprints whose texts share a least hash and whose wide prints are at most `apart` bits apart,
+    as spanning forests. A key with many texts is cut into blocks, and each pair of blocks is a group of its own."""
+    each = prints.select("fp", "wide", F.posexplode("keys").alias("which", "key"))
+    many = each.groupBy("which", "key").agg(F.count("*").alias("n")).where("n > 1")
+    both = each.join(many, ["which", "key"]).withColumn("blocks", F.expr(f"cast(ceil(n / {KEY_BLOCK}) as int)"))
+    both = both.withColumn("block", F.expr("cast(pmod(xxhash64(fp), blocks) as int)")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    pairs = both.select("which", "key", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), "block", "fp", "wide")
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest = None
+        for b in batches:
+            b = b if rest is None else pd.concat([rest, b], ignore_index=True)
+            last = b[["which", "key", "a", "b"]].iloc[-1] if len(b) else None
+            whole = (b[["which", "key", "a", "b"]] != last).any(axis=1) if last is not None else []
+            rest = b[~whole] if len(b) else None  # the group may go on in the next batch
+            yield as_links(groups_of(b[whole]) if len(b) else [])
+        yield as_links(groups_of(rest) if rest is not None else [])
+
+    def groups_of(rows: pd.DataFrame) -> list[tuple[int, int]]:
+        out: list[tuple[int, int]] = []
+        for (_, _, a, b), group in rows.groupby(["which", "key", "a", "b"], sort=False):
+            x = np.column_stack([group.fp.to_numpy().view(np.uint64), np.stack(group.wide.to_numpy()).view(np.uint64)])
+            block = group.block.to_numpy()
+            out += forest(x[block == a], x[block == b], apart)
+        return out
+
+    dealt = pairs.repartition("which", "key", "a", "b").sortWithinPartitions("which", "key", "a", "b")
+    return dealt.select("which", "key", "a", "b", "block", "fp", "wide").mapInPandas(compare, "u long, v long")
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, radius: int = 3) -> DataFrame:
+    """One row of each group of near-copies, that with the smallest doc_id (of repeated rows, one); columns as they were.
+
+    Near-copies: texts whose fingerprints are at most `radius` bits apart, found exactly with the vantage-point tree; and, since
+    at 64 bits a similarity of 0.8 is about ten bits apart, where a tree prunes nothing, also texts that share one of KEYS least
+    hashes and whose prints of 64 * WIDE bits are as near as texts of that similarity are expected to be. Groups are the
+    components of all links. Texts without a word are one group. An empty table gives no rows.
+    """
+
+    @F.pandas_udf("fp long, wide array<long>, keys array<long>")
+    def sketched(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([sketch(t, width) for t in texts], columns=["fp", "wide", "keys"])
+
+    rows = stash(docs.select(F.monotonically_increasing_id().alias("row_id"), F.struct(*docs.columns).alias("kept"), sketched(F.col(text_col)).alias("s")), "sketched")
+    marked = rows.select("row_id", F.col(f"kept.{id_col}").alias("doc_id"), "s.fp", "s.wide", "s.keys")
+    least = F.struct("doc_id", "row_id")
+    prints = stash(marked.groupBy("fp").agg(F.min(least).alias("least"), F.min(F.struct(least, "wide", "keys")).alias("one")).select("fp", "least", "one.wide", "one.keys"), "distinct-prints")
+    links = hamming_links(prints.select("fp"), radius).union(key_links(prints, bits_apart(similarity)))
+    roots = components(stash(links, "links"))
+    groups = prints.join(roots, F.col("fp") == F.col("node"), "left").groupBy(F.coalesce("root", "fp").alias("root"))
+    kept = stash(groups.agg(F.min("least").alias("least")).select(F.col("least.row_id").alias("row_id")), "kept")
+    return rows.join(kept, "row_id", "left_semi").select("kept.*")

@@ -196,23 +196,25 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     return out
 
 
+def scored(texts: pd.Series, known: Emissions, chain: Chain) -> tuple[list[np.ndarray], np.ndarray]:
+    """The marginals of each text's tokens, and the texts' scores."""
+    tokens = [list(map(known.__getitem__, TOKEN.findall(t or ""))) for t in texts]
+    lengths = np.array([len(t) for t in tokens], np.int64)
+    p = marginals(np.concatenate([np.array(t) for t in tokens] or [np.empty(0)]).astype(float), lengths, chain.step)
+    rows = [p[e - n : e] for n, e in zip(lengths, np.cumsum(lengths), strict=True)]
+    return rows, 1 / (1 + np.exp(-(np.array([summary(r) for r in rows]).reshape(-1, 3) @ chain.doc)))
+
+
 def tag(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, score, spans array<struct<start, end, p>> (code points; neighbouring toxic tokens are one
     span, p its largest marginal). Null and empty texts and those without a word have the score of no toxic token."""
     shipped = docs.sparkSession.sparkContext.broadcast(chain)  # BUCKETS weights
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = shipped.value
-        known = Emissions(own.weights)
+        known = Emissions(shipped.value.weights)
         for b in batches:
-            texts = [t or "" for t in b.text]
-            tokens = [list(map(known.__getitem__, TOKEN.findall(t))) for t in texts]
-            lengths = np.array([len(t) for t in tokens], np.int64)
-            p = marginals(np.concatenate([np.array(t) for t in tokens] or [np.empty(0)]).astype(float), lengths, own.step)
-            ends = np.cumsum(lengths)
-            rows = [p[e - n : e] for n, e in zip(lengths, ends, strict=True)]
-            z = np.array([summary(r) for r in rows]).reshape(-1, 3) @ own.doc
-            yield pd.DataFrame({"doc_id": b.doc_id, "score": 1 / (1 + np.exp(-z)), "spans": [spans(t, r) for t, r in zip(texts, rows, strict=True)]})
+            rows, scores = scored(b.text, known, shipped.value)
+            yield pd.DataFrame({"doc_id": b.doc_id, "score": scores, "spans": [spans(t or "", r) for t, r in zip(b.text, rows, strict=True)]})
 
     chosen = docs.select(F.col(id_col).cast("string").alias("doc_id"), F.col(text_col).alias("text"))
     found = chosen.mapInPandas(score, "doc_id string, score double, spans array<struct<start:long,end:long,p:double>>")
@@ -239,3 +241,16 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     """tag() with a chain fitted on the labelled rows that are not held out. Without labels of both kinds every score is 0.5
     or lower and no span is found; an empty table gives no rows."""
     return tag(docs, fit_chain(labelled_sample(docs, labels, id_col, text_col, label_col)), id_col, text_col)
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, most: float = 0.3, text_col: str = "text") -> DataFrame:
+    """The rows of docs that score under `most`, columns as they were; each row is judged where it lies."""
+    shipped = docs.sparkSession.sparkContext.broadcast(fit_chain(labelled_sample(docs, labels, text_col=text_col)))
+
+    @F.pandas_udf("double")
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        known = Emissions(shipped.value.weights)
+        for texts in batches:
+            yield pd.Series(scored(texts, known, shipped.value)[1])
+
+    return docs.where(score(F.col(text_col)) < most)
