@@ -14,8 +14,7 @@ import heapq
 import math
 import re
 import zlib
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -25,7 +24,7 @@ from pyspark.sql import functions as F
 
 #: The sample that the chain is fitted on: labelled documents of each label, characters, segments and their tokens; hashed
 #: weights; words a worker remembers.
-SAMPLE, CHARACTERS, SEGMENTS, SEGMENT, BUCKETS, REMEMBERED = 3000, 30_000_000, 24_000, 48, 1 << 18, 700_000
+SAMPLE, CHARACTERS, SEGMENTS, SEGMENT, BUCKETS, REMEMBERED = 2000, 8_000_000, 16_000, 48, 1 << 18, 700_000
 TOKEN = re.compile(r"\w+")
 
 
@@ -85,21 +84,26 @@ def marginals(flat: np.ndarray, lengths: np.ndarray, step: np.ndarray) -> np.nda
     return odds / (1 + odds)
 
 
-def signs(documents: list[tuple[list[str], int]]) -> set[str]:
-    """The features that tell toxic documents from clean ones: pure ones that cover the toxic documents, each taken for those
-    not yet covered (the longest of equals), and all pure ones that a good part of the toxic documents have."""
-    own = [({f for t in set(tokens) for f in features(t)[:-1]}, toxic) for tokens, toxic in documents]
-    toxic, clean, where = Counter(), Counter(), {}
-    for some, label in own:
-        (toxic if label else clean).update(some)
-    n = sum(1 for _, label in own if label), sum(1 for _, label in own if not label)
-    pure = {f for f, k in toxic.items() if k >= 2 and (clean[f] / max(1, n[1])) <= 0.02 * k / n[0]}
-    for i, (some, label) in enumerate(own):
-        for f in some & pure if label else ():
+def signs(parts: np.ndarray, lengths: np.ndarray, documents: list[tuple[np.ndarray, int]]) -> np.ndarray:
+    """Whether each feature tells toxic documents from clean ones: pure ones that cover the toxic documents, each taken for those
+    not yet covered (the longest of equals), and all pure ones that a good part of the toxic documents have.
+
+    parts: [word, feature], -1 where a word has fewer; lengths: of the features; documents: the distinct words, the label."""
+    count = np.zeros((2, len(lengths)), np.int64)
+    own = []
+    for ids, label in documents:
+        some = np.unique(parts[ids])
+        own.append(some[some >= 0])
+        count[label, own[-1]] += 1
+    n = [sum(1 for _, x in documents if x == k) for k in (0, 1)]
+    pure = (count[1] >= 2) & (count[0] / max(1, n[0]) <= 0.02 * count[1] / max(1, n[1]))
+    where: dict[int, set[int]] = {}
+    for i, (_, label) in enumerate(documents):
+        for f in own[i][pure[own[i]]].tolist() if label else ():
             where.setdefault(f, set()).add(i)
-    found = {f for f in pure if toxic[f] >= max(5, 0.03 * n[0])}
+    found = pure & (count[1] >= max(5, 0.03 * n[1]))
     covered: set[int] = set()
-    queue = [(-len(d), clean[f], -len(f), f) for f, d in where.items()]
+    queue = [(-len(d), int(count[0, f]), -int(lengths[f]), f) for f, d in where.items()]
     heapq.heapify(queue)
     while queue:
         gain, *rank, f = heapq.heappop(queue)
@@ -109,28 +113,33 @@ def signs(documents: list[tuple[list[str], int]]) -> set[str]:
         if now < -gain:  # counted before the last ones were taken
             heapq.heappush(queue, (-now, *rank, f))
             continue
-        found.add(f)
+        found[f] = True
         covered |= where[f]
     return found
 
 
-def fit_chain(documents: list[tuple[str, int]], epochs: int = 4, rate: float = 0.3, seed: int = 5) -> Chain:
+def fit_chain(documents: Iterable[tuple[str, int]], epochs: int = 4, rate: float = 0.3, seed: int = 5) -> Chain:
     """The chain from (text, label 0 or 1) pairs, by AdaGrad on the likelihood of the tags, then the logistic of the documents."""
     rng = np.random.default_rng(seed)
-    cut = [(TOKEN.findall(text), label) for text, label in documents]
-    cut = [(tokens, label) for tokens, label in cut if tokens]
-    telling = signs(cut)
     words: dict[str, int] = {}
-    as_ids = [np.array([words.setdefault(t, len(words)) for t in tokens], np.int64) for tokens, _ in cut]
+    as_ids, labels = [], []
+    for text, label in documents:
+        ids = np.array([words.setdefault(t, len(words)) for t in TOKEN.findall(text)], np.int32)
+        if len(ids):
+            as_ids.append(ids)
+            labels.append(label)
     none = BUCKETS + 1  # pads the features of a token
-    table = np.full((len(words), 7), none, np.int64)
-    toxic = np.zeros(len(words))
+    table, parts = np.full((len(words), 7), none, np.int32), np.full((len(words), 5), -1, np.int32)
+    names: dict[str, int] = {}
     for t, i in words.items():
         own = features(t)
         table[i, : len(own)] = [bucket(f) for f in own]
         table[i, 6] = BUCKETS
-        toxic[i] = any(f in telling for f in own[:-1])
-    segments = [(ids[i : i + SEGMENT], toxic[ids[i : i + SEGMENT]] * label) for ids, (_, label) in zip(as_ids, cut, strict=True) for i in range(0, len(ids), SEGMENT)]
+        parts[i, : len(own) - 1] = [names.setdefault(f, len(names)) for f in own[:-1]]
+    telling = signs(parts, np.array([len(f) for f in names], np.int64), [(np.unique(ids), y) for ids, y in zip(as_ids, labels, strict=True)])
+    toxic = (np.append(telling, False)[parts]).any(1).astype(float)
+    del words, names, parts
+    segments = [(ids[i : i + SEGMENT], toxic[ids[i : i + SEGMENT]] * label) for ids, label in zip(as_ids, labels, strict=True) for i in range(0, len(ids), SEGMENT)]
     if len(segments) > SEGMENTS:  # as many with a toxic token as there are, up to half, and others by chance
         hot = rng.permutation([i for i, s in enumerate(segments) if s[1].any()])[: SEGMENTS // 2]
         cold = rng.permutation([i for i, s in enumerate(segments) if not s[1].any()])[: SEGMENTS - len(hot)]
@@ -157,7 +166,7 @@ def fit_chain(documents: list[tuple[str, int]], epochs: int = 4, rate: float = 0
     chain = Chain(w[: BUCKETS + 1].astype(np.float32), np.exp(step), np.zeros(3))
     by_word = np.append(chain.weights, 0.0)[table].sum(1)
     rows = [summary(marginals(by_word[ids], np.array([len(ids)]), chain.step)) for ids in as_ids]
-    return chain._replace(doc=logistic(np.array(rows or np.empty((0, 3))), np.array([x for _, x in cut], float)))
+    return chain._replace(doc=logistic(np.array(rows or np.empty((0, 3))), np.array(labels, float)))
 
 
 def summary(p: np.ndarray) -> np.ndarray:
@@ -180,20 +189,19 @@ def held_out(id_col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 4 == 2, F.lit(False))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", each: int = SAMPLE) -> list[tuple[str, int]]:
+def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", each: int = SAMPLE) -> Iterator[tuple[str, int]]:
     """At most `each` documents of either label and CHARACTERS characters, by the order of a hash; never a held-out one. A document with several labels
     counts as toxic if one says so; null labels and ids and null texts give nothing."""
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(id_col)).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).alias("y"))
     picked = [known.where(F.col("y") == k).orderBy(F.xxhash64("id"), "id").limit(each) for k in (0, 1)]
     chosen = F.broadcast(picked[0].union(picked[1]))  # at most 2 * each ids
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null").join(chosen, "id")
-    out, left = [], CHARACTERS
+    left = CHARACTERS
     for x in rows.select("text", "y").orderBy(F.xxhash64("id"), "id", "text").toLocalIterator():
-        out.append((x.text, int(x.y)))
+        yield x.text, int(x.y)
         left -= len(x.text)
         if left <= 0:
             break
-    return out
 
 
 def scored(texts: pd.Series, known: Emissions, chain: Chain) -> tuple[list[np.ndarray], np.ndarray]:
