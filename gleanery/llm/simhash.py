@@ -22,7 +22,7 @@ from .common import components, stash
 #: fingerprints for each shard, residents in a block.
 SHARD, MOST_SHARDS, SAMPLE_EACH, BLOCK = 1500, 4096, 12, 8192
 #: Of drop_near_copies: words in the wide print, least hashes a text is looked up by, and residents in a block of them.
-WIDE, KEYS, KEY_BLOCK = 4, 3, 4096
+WIDE, KEYS, KEY_BLOCK = 8, 3, 4096
 #: Odd constants that make further hashes of a hash.
 _MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93)
 
