@@ -1,10 +1,489 @@
-"""Registered queries over the driver tables, and the DuckDB SQL each is held against."""
+"""Registered queries over the driver tables, and the DuckDB SQL each is held against.
+
+Host, traffic and mail operators take evidence that the driver tables don't hold; their queries derive it from these tables in
+Spark, and the SQL derives the same.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import scalars as S
+from ..operators import detect as D
+from ..operators import fleet, mail, query, tables
+from ..sources import files
+from ..streaming import events as stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def register(sql: str | None = None):
+    def add(f: Callable[..., DataFrame]):
+        QUERIES[f.__name__] = lambda spark, d: f(lambda name: spark.read.parquet(f"{d}/{name}.parquet"))
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+# -- detection over documents
+
+
+@register()
+def d_inventory(t):
+    return D.inventory(D.detect(t("documents")))
+
+
+@register(r"""
+    SELECT source, v AS value, count(*) AS n FROM (SELECT source, unnest(regexp_extract_all(text, '(?:^|[^\w.+-])([A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,63})\b', 1)) AS v FROM documents) GROUP BY ALL""")
+def d_emails(t):
+    return D.detect(t("documents"), kinds=["email"]).groupBy("source", "value").agg(F.count("*").alias("n"))
+
+
+@register(r"""
+    WITH c AS (SELECT doc_id, unnest(regexp_extract_all(text, '(?:^|[^\d.])((?:\d{1,3}\.){3}\d{1,3})(?:[^\d.]|$)', 1)) AS v FROM documents)
+    SELECT v AS value, count(DISTINCT doc_id) AS docs FROM c WHERE list_max(list_transform(string_split(v, '.'), x -> x::INT)) <= 255 AND NOT regexp_matches(v, '(^|\.)0\d') GROUP BY v""")
+def d_ipv4(t):
+    return D.detect(t("documents"), kinds=["ipv4"]).groupBy("value").agg(F.count_distinct("unit_id").alias("docs"))
+
+
+@register(r"""
+    WITH c AS (SELECT doc_id, unnest(regexp_extract_all(text, '(?:^|\D)((?:\d[ -]?){13,19})(?:\D|$)', 1)) AS v FROM documents),
+    d AS (SELECT doc_id, regexp_replace(v, '[ -]+$', '') AS value, list_reverse(list_transform(string_split(regexp_replace(v, '\D', '', 'g'), ''), x -> x::INT)) AS l FROM c)
+    SELECT value, count(*) AS n FROM d WHERE len(l) BETWEEN 13 AND 19 AND list_sum(list_transform(range(len(l)), i -> CASE WHEN i % 2 = 0 THEN l[i + 1] WHEN l[i + 1] > 4 THEN 2 * l[i + 1] - 9 ELSE 2 * l[i + 1] END)) % 10 = 0 AND len(list_distinct(l)) > 1 GROUP BY value""")
+def d_cards(t):
+    return D.detect(t("documents"), kinds=["credit-card"]).groupBy("value").agg(F.count("*").alias("n"))
+
+
+@register()
+def d_report(t):
+    return D.report_records(D.with_path_context(D.detect(t("documents"), kinds=["email", "ipv4", "credit-card", "secret", "password"]), F.concat(F.lit("config/"), "unit_id", F.lit(".env"))))
+
+
+@register()
+def d_rotation(t):
+    return D.rotation(D.detect(t("documents"), kinds=["email", "secret", "credit-card"]))
+
+
+@register()
+def d_redact(t):
+    return D.redact(t("documents"), kinds=["email", "ipv4", "credit-card", "secret"]).where("n > 0")
+
+
+@register("SELECT count(*) AS units, sum(strlen(text))::BIGINT AS bytes, sum(length(text) - length(replace(text, chr(10), '')) + 1)::BIGINT AS lines, count(DISTINCT source) AS projects, (SELECT count(*) FROM benchmark) AS findings FROM documents")
+def a07_scan_totals(t):
+    return D.scan_totals(t("documents"), t("benchmark"))
+
+
+def _found(t):
+    """Findings shaped from line items: kinds by flag, values by part, lines by number."""
+    li = t("lineitem")
+    kind = F.when(F.col("l_returnflag") == "A", "username").when(F.col("l_returnflag") == "N", "password").otherwise("email")
+    return li.select((F.col("l_suppkey") % 20).cast("string").alias("source"), F.col("l_orderkey").cast("string").alias("unit_id"), (F.col("l_linenumber") * 3).cast("long").alias("line"), F.col("l_linenumber").alias("start"), (F.col("l_linenumber") + 1).alias("end"), kind.alias("kind"), F.lit("identity").alias("category"), F.concat(F.lit("v"), (F.col("l_partkey") % 50).cast("string")).alias("value"), F.when(F.col("l_quantity") < 20, "low").when(F.col("l_quantity") < 40, "medium").otherwise("high").alias("confidence"))
+
+
+_FOUND = """SELECT (l_suppkey % 20)::VARCHAR AS source, l_orderkey::VARCHAR AS unit_id, (l_linenumber * 3)::BIGINT AS line, CASE l_returnflag WHEN 'A' THEN 'username' WHEN 'N' THEN 'password' ELSE 'email' END AS kind,
+    'v' || (l_partkey % 50)::VARCHAR AS value, CASE WHEN l_quantity < 20 THEN 'low' WHEN l_quantity < 40 THEN 'medium' ELSE 'high' END AS confidence, l_linenumber AS start FROM lineitem"""
+
+
+@register(f"""
+    WITH f AS ({_FOUND}), w AS (SELECT *, max((kind = 'password')::INT) OVER n AS p, max((kind = 'username')::INT) OVER n AS u FROM f WINDOW n AS (PARTITION BY source, unit_id ORDER BY line RANGE BETWEEN 5 PRECEDING AND 5 FOLLOWING))
+    SELECT kind, CASE WHEN (kind = 'username' AND p = 1) OR (kind = 'password' AND u = 1) THEN CASE confidence WHEN 'low' THEN 'medium' WHEN 'medium' THEN 'high' ELSE 'critical' END ELSE confidence END AS confidence, count(*) AS n FROM w GROUP BY ALL""")
+def j08_pair_credentials(t):
+    return D.pair_credentials(_found(t)).groupBy("kind", "confidence").agg(F.count("*").alias("n"))
+
+
+@register(f"SELECT kind, count(*) AS n, count(DISTINCT source) AS sources FROM (SELECT DISTINCT source, kind, value FROM ({_FOUND})) GROUP BY kind")
+def a08_distinct_findings(t):
+    return D.distinct_findings(_found(t)).groupBy("kind").agg(F.count("*").alias("n"), F.count_distinct("source").alias("sources"))
+
+
+@register(f"""
+    SELECT sha256(kind || chr(10) || value) AS fingerprint, kind, CASE max(CASE confidence WHEN 'low' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END) WHEN 1 THEN 'LOW' WHEN 2 THEN 'MEDIUM' ELSE 'HIGH' END AS severity,
+    count(DISTINCT source) AS projects, count(DISTINCT source || '/' || unit_id) AS files, count(*) AS occurrences, CASE kind WHEN 'password' THEN 0 WHEN 'username' THEN 2 ELSE 3 END AS rank FROM ({_FOUND}) GROUP BY kind, value""")
+def a04_rotation(t):
+    return D.rotation(_found(t)).drop("places")
+
+
+@register(f"SELECT confidence, count(*) AS n FROM ({_FOUND}) WHERE confidence IN ('medium', 'high') AND kind <> 'email' GROUP BY confidence")
+def p13_filters(t):
+    return D.tally(D.filter_kinds(D.min_confidence(_found(t), "medium"), ["password", "user"]))
+
+
+@register(f"SELECT kind, value, count(*) AS n FROM ({_FOUND}) WHERE value LIKE '%v12%' OR value LIKE '%V3%' OR lower(value) LIKE '%v3%' GROUP BY ALL")
+def p14_needles(t):
+    return D.filter_needles(_found(t), ["v12", "V3"]).groupBy("kind", "value").agg(F.count("*").alias("n"))
+
+
+@register("SELECT d.doc_id, d.n_chars FROM documents d WHERE NOT EXISTS (SELECT 1 FROM documents m WHERE m.doc_id % 2 = 0 AND m.doc_id = d.doc_id AND m.n_chars + (m.doc_id % 3 = 0)::INT = d.n_chars)")
+def j10_resume(t):
+    listing = t("documents").select(F.col("doc_id").alias("path"), F.col("n_chars").alias("size"), F.col("source").alias("modified"))
+    manifest = listing.where("path % 2 = 0").withColumn("size", F.col("size") + (F.col("path") % 3 == 0).cast("int"))
+    return D.resume(listing, manifest).select(F.col("path").alias("doc_id"), F.col("size").alias("n_chars"))
+
+
+# -- tables
+
+
+def _types_sql(table: str, columns: list[str]) -> str:
+    test = lambda c, p: f"bool_and({c} IS NULL OR regexp_matches({c}::VARCHAR, '{p}'))"
+    return " UNION ALL ".join(f"SELECT '{c}' AS col, CASE WHEN {test(c, '^-?[0-9]{1,18}$')} THEN 'INTEGER' WHEN {test(c, '^-?[0-9]+[.][0-9]+$')} THEN 'REAL' ELSE 'TEXT' END AS kind FROM {table}" for c in columns)
+
+
+@register(_types_sql("customer", ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"]))
+def s03_infer_types(t):
+    df = t("customer")
+    return df.sparkSession.createDataFrame(list(tables.infer_types(df).items()), "col string, kind string")
+
+
+@register("SELECT doc_id, n_chars, NULL::BIGINT AS source, source AS rescued FROM documents")
+def s04_convert(t):
+    df = t("documents").select("doc_id", "n_chars", "source")
+    return tables.convert(df, {"doc_id": "INTEGER", "n_chars": "INTEGER", "source": "INTEGER"}).select("doc_id", "n_chars", "source", F.col("_rescued")["source"].alias("rescued"))
+
+
+@register("SELECT event_id, event_type, json_extract(props, '$.k')::BIGINT AS k FROM events")
+def s09_flatten(t):
+    df = t("events").select("event_id", "event_type", F.from_json("props", "k bigint").alias("props"))
+    return tables.flatten(df).withColumnRenamed("props.k", "k")
+
+
+@register("SELECT key, count(*) AS n FROM (SELECT unnest(json_keys(props)) AS key FROM events) GROUP BY key")
+def s10_union_keys(t):
+    return tables.union_keys(t("events"), "props", "event_id").select("key", "n")
+
+
+@register("""SELECT 'nation' AS "table", n_nationkey::BIGINT AS k, n_name AS name, n_regionkey AS parent FROM nation UNION ALL SELECT 'region', r_regionkey, r_name, NULL FROM region""")
+def s17_union_tables(t):
+    return tables.union_tables({"nation": t("nation").select(F.col("n_nationkey").cast("long").alias("k"), F.col("n_name").alias("name"), F.col("n_regionkey").alias("parent")), "region": t("region").select(F.col("r_regionkey").cast("long").alias("k"), F.col("r_name").alias("name"))})
+
+
+def _profile_sql(table: str, columns: list[str]) -> str:
+    return " UNION ALL ".join(f"""SELECT '{c}' AS "column", count({c}) AS non_null, count(DISTINCT {c}) AS "distinct", min({c})::VARCHAR AS "min", max({c})::VARCHAR AS "max", array_to_string((SELECT list(v ORDER BY v) FROM (SELECT DISTINCT {c}::VARCHAR AS v FROM {table} WHERE {c} IS NOT NULL ORDER BY v LIMIT 3)), '|') AS samples FROM {table}""" for c in columns)
+
+
+@register(_profile_sql("orders", ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"]))
+def a01_profile(t):
+    p = tables.profile(t("orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"))
+    return p.select("column", "non_null", "distinct", "min", "max", F.array_join("samples", "|").alias("samples"))
+
+
+@register("""SELECT 'r_name' AS "column", 'r_name string, ' || count(DISTINCT r_name) || ' distinct, ' || count(*) FILTER (r_name IS NULL) || ' empty, e.g. ' || array_to_string(list_slice(list(r_name ORDER BY r_name), 1, 3), ', ') AS line FROM region""")
+def a02_briefing(t):
+    return tables.briefing(tables.profile(t("region").select("r_name")), t("region").count())
+
+
+@register("SELECT conv_id, arg_min(role, turn) AS role, arg_min(text, turn) FILTER (trim(text) <> '') AS text FROM conversations GROUP BY conv_id")
+def a12_merge_first_nonblank(t):
+    return tables.merge_first_nonblank(t("conversations"), "conv_id", "turn")
+
+
+@register("SELECT user_id, event_type, arg_max(props, event_id) AS props, max(event_id) AS updated_at, sum(CASE WHEN event_id % 2 = 0 THEN 1 ELSE 2 END)::BIGINT AS hit_count FROM events GROUP BY ALL")
+def a18_upsert_hits(t):
+    e = t("events").select("user_id", "event_type", "props", F.col("event_id").alias("updated_at"), (F.col("event_id") % 2 + 1).alias("hit_count"))
+    return tables.upsert_hits(e.where("updated_at % 2 = 0"), e.where("updated_at % 2 = 1"), ["user_id", "event_type"], ["props"])
+
+
+@register("SELECT c_custkey, c_name, c_nationkey FROM customer WHERE c_custkey % 3 = 0 UNION ALL SELECT c_custkey, upper(c_name), c_nationkey FROM customer WHERE c_custkey % 2 = 0 AND c_custkey % 3 <> 0")
+def j11_insert_missing(t):
+    c = t("customer").select("c_custkey", "c_name", "c_nationkey")
+    return tables.insert_missing(c.where("c_custkey % 3 = 0"), c.where("c_custkey % 2 = 0").withColumn("c_name", F.upper("c_name")).withColumn("extra", F.lit(1)), "c_custkey")
+
+
+@register("""
+    WITH b AS (SELECT doc_id, sha256(text) AS h FROM documents WHERE doc_id % 3 <> 0), a AS (SELECT doc_id, sha256(CASE WHEN doc_id % 7 = 0 THEN text || '!' ELSE text END) AS h FROM documents WHERE doc_id % 5 <> 0)
+    SELECT coalesce(a.doc_id, b.doc_id) AS path, CASE WHEN b.h IS NULL THEN 'added' WHEN a.h IS NULL THEN 'removed' ELSE 'changed' END AS change FROM a FULL JOIN b USING (doc_id) WHERE a.h IS DISTINCT FROM b.h""")
+def j12_diff_snapshots(t):
+    d = t("documents")
+    before = d.where("doc_id % 3 <> 0").select(F.col("doc_id").alias("path"), F.sha2("text", 256).alias("sha256"))
+    after = d.where("doc_id % 5 <> 0").select(F.col("doc_id").alias("path"), F.sha2(F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")), 256).alias("sha256"))
+    return tables.diff_snapshots(before, after)
+
+
+@register()
+def p17_dataset_findings(t):
+    return tables.dataset_findings(t("conversations").select(F.concat_ws("-", "conv_id", "turn").alias("key"), "text"), "key", ["email", "credit-card", "ipv4"])
+
+
+# -- queries, search, slices
+
+_Q1 = "SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 2) AS qty, round(avg(l_discount), 6) AS disc FROM {} WHERE l_shipdate < '1998-09-02' GROUP BY l_returnflag, l_linestatus HAVING count(*) > 1"
+
+
+@register(_Q1.format("lineitem"))
+def p01_query(t):
+    return query.query(t("lineitem"), _Q1.format("data"))
+
+
+_WIN = "SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS n, round(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey), 2) AS upto FROM {}"
+
+
+@register(_WIN.format("orders"))
+def w01_windows(t):
+    return query.query(t("orders"), _WIN.format("data"), None)
+
+
+_SETS = "SELECT l_suppkey AS k FROM {0} WHERE l_quantity > 40 INTERSECT SELECT l_suppkey FROM {0} WHERE l_discount > 0.05 EXCEPT SELECT l_suppkey FROM {0} WHERE l_tax > 0.07 AND l_quantity < 3"
+
+
+@register(_SETS.format("lineitem"))
+def u06_set_operations(t):
+    return query.query(t("lineitem"), _SETS.format("data"), None)
+
+
+_CUBE = "SELECT l_returnflag, l_linestatus, count(*) AS n FROM {} GROUP BY CUBE (l_returnflag, l_linestatus)"
+
+
+@register(_CUBE.format("lineitem"))
+def a19_cube(t):
+    return query.query(t("lineitem"), _CUBE.format("data"), None)
+
+
+_SUB = "WITH big AS (SELECT o_custkey, count(*) AS n FROM {0} GROUP BY o_custkey) SELECT o_orderpriority, count(*) AS n FROM {0} d WHERE EXISTS (SELECT 1 FROM big WHERE big.o_custkey = d.o_custkey AND big.n > 10) AND o_totalprice > (SELECT avg(o_totalprice) FROM {0}) GROUP BY o_orderpriority"
+
+
+@register(_SUB.format("orders"))
+def j21_subqueries(t):
+    return query.query(t("orders"), _SUB.format("data"), None)
+
+
+@register("SELECT * FROM customer WHERE c_custkey::VARCHAR ILIKE '%12%' OR c_name ILIKE '%12%' OR c_nationkey::VARCHAR ILIKE '%12%' OR c_acctbal::VARCHAR ILIKE '%12%' OR c_mktsegment ILIKE '%12%'")
+def p04_search(t):
+    return query.search(t("customer"), "12")
+
+
+@register("SELECT * FROM nation WHERE contains(lower(n_name), 'an') OR contains(n_nationkey::VARCHAR, 'an')")
+def p08_grep_rows(t):
+    return query.grep_rows(t("nation"), "AN")
+
+
+@register("SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")
+def p07_json_path(t):
+    return t("events").select("event_id", S.json_path(F.col("props"), "k").alias("k"))
+
+
+_LINES = """SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS line, text FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, unnest(range(len(string_split(text, chr(10))))) AS i, len(string_split(text, chr(10))) AS n FROM documents) WHERE NOT (i = n - 1 AND text = '' AND n > 1)"""
+
+
+@register(f"SELECT doc_id, count(*) AS n, min(line) AS first FROM ({_LINES}) WHERE contains(lower(text), 'and') GROUP BY doc_id")
+def p09_grep_lines(t):
+    return query.grep_lines(query.lines(t("documents"), "text", "doc_id"), "AND").groupBy("doc_id").agg(F.count("*").alias("n"), F.min("line").alias("first"))
+
+
+@register(f"SELECT count(*) AS original, count(*) FILTER (contains(lower(text), 'that')) AS matched, least(1000, count(*) FILTER (contains(lower(text), 'that'))) AS kept FROM ({_LINES})")
+def p11_grep_counts(t):
+    return query.grep_counts(query.lines(t("documents"), "text", "doc_id"), "that", 1000)
+
+
+@register("SELECT o_orderkey, o_custkey FROM orders ORDER BY o_orderkey DESC LIMIT 25")
+def p10_slice_rows(t):
+    return query.slice_rows(t("orders").select("o_orderkey", "o_custkey"), ["o_orderkey"], tail=25)
+
+
+@register("SELECT item_id, ((length(text) - length(replace(text, 'th', ''))) / 2)::BIGINT AS n FROM benchmark WHERE contains(text, 'th')")
+def p21_search_corpus(t):
+    return query.search_corpus(t("benchmark"), "th", "item_id").groupBy("item_id").agg(F.count("*").alias("n"))
+
+
+@register()
+def p24_relevant_lines(t):
+    return query.relevant_lines(query.lines(t("documents"), "text", "doc_id"), ["token", "password"], ["doc_id"])
+
+
+@register("SELECT 'k' AS key, 'number' AS type, count(*) AS n FROM events")
+def p26_json_schema(t):
+    return query.json_schema(t("events"), "props")
+
+
+@register("SELECT 'json' AS shape, count(*) AS n FROM events")
+def s13_classify_text(t):
+    return t("events").select(query.classify_text(F.col("props")).alias("shape")).groupBy("shape").agg(F.count("*").alias("n"))
+
+
+@register("SELECT conv_id, turn, role FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 2")
+def w12_newest(t):
+    return query.newest(t("conversations"), ["conv_id"], "turn", 2).select("conv_id", "turn", "role")
+
+
+@register("SELECT conv_id, turn FROM conversations WHERE text ILIKE '%the%' OR role ILIKE '%the%'")
+def t04_search_turns(t):
+    return query.search_turns(t("conversations"), "the", ["text", "role"]).select("conv_id", "turn")
+
+
+@register("SELECT doc_id, count(*) AS n FROM (SELECT doc_id, text, lag(text) OVER (PARTITION BY doc_id ORDER BY line) AS p FROM (" + _LINES + ")) WHERE p IS NULL OR p <> text GROUP BY doc_id")
+def w13_collapse_repeats(t):
+    return query.collapse_repeats(query.lines(t("documents"), "text", "doc_id"), ["doc_id"], "line").groupBy("doc_id").agg(F.count("*").alias("n"))
+
+
+# -- scalars
+
+
+@register("SELECT c_custkey, sha256('email' || chr(10) || trim(c_name)) AS fp, CASE WHEN length(c_name) <= 8 THEN left(c_name, 2) || '***' ELSE left(c_name, 4) || '***' || right(c_name, 4) END AS shown, round(list_aggregate(string_split(c_name, ''), 'entropy'), 6) AS bits FROM customer")
+def f_fingerprint(t):
+    return t("customer").select("c_custkey", S.fingerprint(F.lit(" Email"), F.col("c_name")).alias("fp"), S.redacted_preview(F.col("c_name")).alias("shown"), F.round(S.entropy(F.col("c_name")), 6).alias("bits"))
+
+
+@register(r"""SELECT page_id, lower(regexp_extract(url, '://([^/?#]*)', 1)) AS host, regexp_extract(url, '://[^/?#]*([^?#]*)', 1) AS path, array_to_string(list_slice(string_split(lower(regexp_extract(url, '://([^/?#]*)', 1)), '.'), -2, -1), '.') AS domain, starts_with(lower(url), 'http://') AS plain FROM pages""")
+def f_url_parts(t):
+    host = S.url_host(F.col("url"))
+    return t("pages").select("page_id", host.alias("host"), S.url_path(F.col("url")).alias("path"), S.registrable_domain(host).alias("domain"), F.array_contains(S.url_flags(F.col("url")), "plain http").alias("plain"))
+
+
+@register(r"SELECT page_id, left(trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\s+', ' ', 'g')), 500) AS title FROM pages")
+def s23_html_title(t):
+    return t("pages").select("page_id", files.html_title(F.col("html")).alias("title"))
+
+
+@register()
+def s23_html_text(t):
+    return t("pages").select("page_id", files.html_to_text(F.col("html")).alias("text"))
+
+
+@register(r"SELECT doc_id, list_sort(list_distinct(list_transform(regexp_extract_all(text, '(?i)\b[a-z0-9._%+-]+@(?:[a-z0-9-]+\.)+[a-z]{2,}\b'), x -> lower(x)))) AS addresses FROM documents WHERE contains(text, '@')")
+def f_iocs(t):
+    return mail.extract_iocs(t("documents").where(F.contains("text", F.lit("@"))), "text", "doc_id").select("doc_id", "addresses")
+
+
+@register(r"""SELECT name, 1::BIGINT AS n FROM (SELECT DISTINCT lower(regexp_extract(url, '://([^/?#]*)', 1)) AS name FROM pages) WHERE name LIKE '%.example.com' OR name = 'example.com'""")
+def a13_subdomains(t):
+    hosts = t("pages").select(S.url_host(F.col("url")).alias("name"))
+    return fleet.subdomains({"pages": hosts}, "example.com").select("name", F.size("sources").cast("long").alias("n"))
+
+
+@register()
+def j17_lookalike(t):
+    return t("pages").select("page_id", mail.lookalike(S.url_host(F.col("url"))).alias("brand"))
+
+
+# -- host, traffic, mail and surface operators over evidence derived from the tables
+
+
+@register("""
+    WITH i AS (SELECT c_custkey, (c_custkey % 200 + 1)::VARCHAR || '.' || (c_custkey % 7)::VARCHAR || '.' || (c_custkey % 13)::VARCHAR || '.1' AS ip, ((c_custkey % 200 + 1) * 16777216 + (c_custkey % 7) * 65536 + (c_custkey % 13) * 256 + 1)::BIGINT AS n FROM customer),
+    p AS (SELECT s_suppkey AS asn, ((s_suppkey % 200 + 1) * 16777216 + CASE WHEN s_suppkey % 2 = 0 THEN (s_suppkey % 7) * 65536 ELSE 0 END)::BIGINT AS a, CASE WHEN s_suppkey % 2 = 0 THEN 16 ELSE 8 END AS len FROM supplier)
+    SELECT c_custkey, i.ip, p.asn, p.len AS prefix_len FROM i LEFT JOIN p ON i.n BETWEEN p.a AND p.a + (1::BIGINT << (32 - p.len)) - 1 QUALIFY row_number() OVER (PARTITION BY c_custkey ORDER BY p.len DESC, p.asn) = 1""")
+def j14_asn_lookup(t):
+    part = lambda n: (F.col("c_custkey") % n).cast("string")
+    ips = t("customer").select("c_custkey", F.concat((F.col("c_custkey") % 200 + 1).cast("string"), F.lit("."), part(7), F.lit("."), part(13), F.lit(".1")).alias("ip"))
+    even = F.col("s_suppkey") % 2 == 0
+    prefixes = t("supplier").select(F.col("s_suppkey").alias("asn"), F.concat((F.col("s_suppkey") % 200 + 1).cast("string"), F.lit("."), F.when(even, (F.col("s_suppkey") % 7).cast("string")).otherwise("0"), F.lit(".0.0/"), F.when(even, "16").otherwise("8")).alias("prefix"))
+    return fleet.asn_lookup(ips, prefixes).select("c_custkey", "ip", "asn", "prefix_len")
+
+
+@register("""
+    WITH RECURSIVE c AS (SELECT p_partkey AS owner, p_partkey // 2 AS target FROM part WHERE p_partkey > 8), k AS (SELECT 'ip' || p_partkey AS ip, p_partkey AS name FROM part WHERE p_partkey <= 8 UNION SELECT k.ip, c.owner FROM k JOIN c ON c.target = k.name)
+    SELECT ip, count(*) AS n, max(name) AS last FROM k GROUP BY ip""")
+def j02_alias_closure(t):
+    p = t("part").select("p_partkey")
+    binds = p.where("p_partkey <= 8").select(F.lit("c").alias("capture"), F.concat(F.lit("ip"), "p_partkey").alias("ip"), F.col("p_partkey").alias("name"))
+    cnames = p.where("p_partkey > 8").select(F.lit("c").alias("capture"), F.col("p_partkey").alias("owner"), F.expr("p_partkey div 2").alias("target"))
+    return fleet.alias_closure(binds, cnames).groupBy("ip").agg(F.count("*").alias("n"), F.max("name").alias("last"))
+
+
+@register("""
+    WITH o AS (SELECT o_orderpriority AS capture, o_custkey AS ip, o_orderstatus AS name, min(o_orderkey) AS packet FROM orders GROUP BY ALL) SELECT capture, ip, string_agg(name, ', ' ORDER BY packet, name) AS names FROM o GROUP BY capture, ip""")
+def a14_names_per_ip(t):
+    return fleet.names_per_ip(t("orders").select(F.col("o_orderpriority").alias("capture"), F.col("o_custkey").alias("ip"), F.col("o_orderstatus").alias("name"), F.col("o_orderkey").alias("packet")))
+
+
+def _procs(t):
+    return t("part").select(F.lit("h").alias("host_id"), F.col("p_partkey").alias("pid"), F.expr("p_partkey div 3").alias("ppid"), F.col("p_name").alias("command"), F.col("p_retailprice").alias("cpu_percent"))
+
+
+@register("""
+    WITH RECURSIVE a AS (SELECT p_partkey AS pid, p_partkey // 3 AS up, 0 AS d, '' AS chain FROM part UNION ALL SELECT a.pid, p.p_partkey // 3, d + 1, chain || CASE WHEN d > 0 THEN '>' ELSE '' END || p.p_name FROM a JOIN part p ON p.p_partkey = a.up WHERE d < 6)
+    SELECT pid, max(d)::INT AS n, arg_max(chain, d) AS chain FROM a GROUP BY pid""")
+def j04_ancestry(t):
+    return fleet.ancestry(_procs(t)).select("pid", F.size("chain").alias("n"), F.array_join("chain", ">").alias("chain"))
+
+
+@register("""
+    WITH RECURSIVE k AS (SELECT p_partkey AS pid, 0 AS depth FROM part WHERE p_partkey = 1 UNION ALL SELECT p.p_partkey, depth + 1 FROM k JOIN part p ON p.p_partkey // 3 = k.pid WHERE depth < 6 AND p.p_partkey <> k.pid) SELECT pid, depth FROM k""")
+def j05_process_tree(t):
+    return fleet.process_tree(_procs(t), 1).select("pid", "depth")
+
+
+def _socks(t):
+    state = F.when(F.col("l_returnflag") == "N", "ESTABLISHED").otherwise("LISTEN")
+    return t("lineitem").select(F.lit("h").alias("host_id"), (F.col("l_partkey") % 500).alias("pid"), F.lit("TCP").alias("protocol"), state.alias("state"), F.lit("10.0.0.1").alias("local_host"), (F.col("l_orderkey") % 1000).cast("int").alias("local_port"), F.concat(F.lit("host"), F.col("l_suppkey").cast("string")).alias("remote_host"), (F.col("l_linenumber") * 100 + F.col("l_suppkey") % 10).cast("int").alias("remote_port"))
+
+
+@register("SELECT l_linenumber * 100 + l_suppkey % 10 AS remote_port, count(*) AS n, count(DISTINCT l_suppkey) AS hosts, list_slice(list_sort(list_distinct(list('host' || l_suppkey))), 1, 8) AS first_hosts FROM lineitem WHERE l_returnflag = 'N' GROUP BY ALL ORDER BY n DESC, remote_port LIMIT 10")
+def a03_destination_ports(t):
+    return fleet.destination_ports(_socks(t)).withColumn("remote_port", F.col("remote_port").cast("long"))
+
+
+@register("SELECT l_partkey % 500 AS pid, count(*) FILTER (l_returnflag = 'N') AS established, count(DISTINCT l_orderkey % 1000) FILTER (l_returnflag <> 'N') AS listening FROM lineitem GROUP BY ALL")
+def a16_sockets_per_process(t):
+    return fleet.sockets_per_process(_socks(t)).select("pid", "established", F.size("listening").cast("long").alias("listening"))
+
+
+@register("SELECT p_partkey AS pid, coalesce(count(l_partkey) FILTER (l_returnflag = 'N'), 0) AS established FROM part LEFT JOIN lineitem ON l_partkey % 500 = p_partkey GROUP BY p_partkey")
+def j03_process_sockets(t):
+    return fleet.process_sockets(_procs(t), _socks(t)).select("pid", "established")
+
+
+@register("SELECT l_partkey % 500 AS pid, count(*) AS n FROM lineitem WHERE l_orderkey % 1000 = 77 AND ((l_returnflag <> 'N') = (SELECT bool_or(l_returnflag <> 'N') FROM lineitem WHERE l_orderkey % 1000 = 77)) GROUP BY ALL")
+def p19_port_owner(t):
+    return fleet.port_owner(_socks(t), 77).groupBy("pid").agg(F.count("*").alias("n"))
+
+
+@register("SELECT p_partkey AS pid, p_retailprice AS cpu_percent FROM part ORDER BY p_retailprice DESC, p_partkey LIMIT 20")
+def t01_top_processes(t):
+    return fleet.top_processes(_procs(t), "cpu_percent", 20).select("pid", "cpu_percent")
+
+
+@register("""
+    SELECT c_custkey, least(100, CASE WHEN c_custkey % 2 = 0 THEN 30 ELSE 0 END + CASE WHEN c_custkey % 3 = 0 THEN 40 ELSE 0 END + CASE WHEN c_custkey % 5 = 0 THEN 15 ELSE 0 END + CASE WHEN c_custkey % 7 = 0 THEN 30 ELSE 0 END) AS score FROM customer""")
+def a09_mail_score(t):
+    facts = t("customer").select(F.col("c_custkey").alias("msg_sha256"), *[(F.col("c_custkey") % n == 0).alias(k) for n, k in ((2, "dmarc_fail"), (3, "executable_attachment"), (5, "link_text_lies"), (7, "malicious_url_reputation"))])
+    return mail.mail_score(facts).select(F.col("msg_sha256").alias("c_custkey"), "score")
+
+
+@register("""
+    SELECT c_custkey AS host, CASE WHEN c_custkey % 4 > 0 THEN 30 ELSE 0 END + CASE WHEN c_nationkey * 5 > 80 THEN 30 ELSE 0 END + CASE WHEN c_custkey % 200 < 90 THEN 10 ELSE 0 END - CASE WHEN c_custkey % 100 >= 60 THEN 10 ELSE 0 END - CASE WHEN c_custkey > 365 THEN 5 ELSE 0 END AS score FROM customer""")
+def a10_surface_risk(t):
+    c = t("customer").select(F.col("c_custkey").alias("host"), (F.col("c_custkey") % 4).alias("vt_malicious"), (F.col("c_nationkey") * 5).alias("abuse"), (F.col("c_custkey") % 200).alias("allocated_days"), F.col("c_mktsegment").alias("owner"), (F.col("c_custkey") % 100).alias("cdn_confidence"), F.col("c_custkey").alias("cert_days"))
+    return fleet.surface_risk(c).select("host", "score")
+
+
+@register("""
+    WITH e AS (SELECT s_suppkey % 10 AS host, s_suppkey % 4 AS k FROM supplier) SELECT host, p AS provider, least(98, sum(n)) AS confidence FROM (SELECT DISTINCT host, k, CASE k WHEN 0 THEN 'Cloudflare' WHEN 1 THEN 'Cloudflare' WHEN 2 THEN 'Fastly' ELSE 'Akamai' END AS p, CASE k WHEN 0 THEN 45 WHEN 1 THEN 40 WHEN 2 THEN 55 ELSE 35 END AS n FROM e) GROUP BY ALL""")
+def j13_fingerprint_cdn(t):
+    k = F.col("s_suppkey") % 4
+    e = t("supplier").select((F.col("s_suppkey") % 10).alias("host"), F.when(k < 1, "header").when(k == 2, "cname").otherwise("asn").alias("kind"), F.when(k == 0, "cf-ray: 1").when(k == 1, "13335").when(k == 2, "x.fastly.net").otherwise("16625").alias("value"))
+    return fleet.fingerprint_cdn(e).select("host", "provider", "confidence")
+
+
+@register("""
+    WITH c AS (SELECT DISTINCT lower(replace(p_type, ' ', '.')) AS name FROM part), k AS (SELECT DISTINCT lower(split_part(p_type, ' ', 1)) AS token FROM part UNION SELECT DISTINCT lower(split_part(p_type, ' ', -1)) FROM part)
+    SELECT token, name FROM k JOIN c ON name = token OR name LIKE token || '.%' OR name LIKE '%.' || token QUALIFY row_number() OVER (PARTITION BY token ORDER BY length(name), name) <= 12""")
+def j19_catalog_lookup(t):
+    p = t("part")
+    tokens = p.select(F.explode(F.array(F.lower(F.substring_index("p_type", " ", 1)), F.lower(F.substring_index("p_type", " ", -1)))).alias("token"))
+    return fleet.catalog_lookup(tokens, p.select(F.lower(F.replace("p_type", F.lit(" "), F.lit("."))).alias("name")).distinct()).select("token", "name")
+
+
+# -- events
+
+
+@register("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR AS \"end\", event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def r07_windows(t):
+    return stream.windowed_counts(t("events")).select(F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+@register("""
+    WITH s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS g FROM (SELECT user_id, ts, event_id, CASE WHEN lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 30 MINUTE > ts THEN 0 ELSE 1 END AS new FROM events))
+    SELECT user_id, min(ts) AS start, count(*) AS n FROM s GROUP BY user_id, g""")
+def r07_sessions(t):
+    return stream.session_counts(t("events")).select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "n")
+
+
+@register("SELECT event_type, count(*) AS n FROM events WHERE ts + INTERVAL 5 DAY <= TIMESTAMP '2024-01-15' GROUP BY event_type")
+def r05_expired(t):
+    return stream.expired(t("events"), "5 days", "2024-01-15").groupBy("event_type").agg(F.count("*").alias("n"))
