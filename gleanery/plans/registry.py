@@ -47,17 +47,17 @@ def d_emails(t):
 
 @register(r"""
     WITH c AS (SELECT doc_id, unnest(regexp_extract_all(text, '(?:^|[^\d.])((?:\d{1,3}\.){3}\d{1,3})(?:[^\d.]|$)', 1)) AS v FROM documents)
-    SELECT v AS value, count(DISTINCT doc_id) AS docs FROM c WHERE list_max(list_transform(string_split(v, '.'), x -> x::INT)) <= 255 AND NOT regexp_matches(v, '(^|\.)0\d') GROUP BY v""")
+    SELECT v AS value, count(DISTINCT doc_id) AS docs FROM c WHERE list_max(list_transform(string_split(v, '.'), lambda x: x::INT)) <= 255 AND NOT regexp_matches(v, '(^|\.)0\d') GROUP BY v""")
 def d_ipv4(t):
     return D.detect(t("documents"), kinds=["ipv4"]).groupBy("value").agg(F.count_distinct("unit_id").alias("docs"))
 
 
 @register(r"""
     WITH c AS (SELECT doc_id, unnest(regexp_extract_all(text, '(?:^|\D)((?:\d[ -]?){13,19})(?:\D|$)', 1)) AS v FROM documents),
-    d AS (SELECT doc_id, regexp_replace(v, '[ -]+$', '') AS value, list_reverse(list_transform(string_split(regexp_replace(v, '\D', '', 'g'), ''), x -> x::INT)) AS l FROM c)
-    SELECT value, count(*) AS n FROM d WHERE len(l) BETWEEN 13 AND 19 AND list_sum(list_transform(range(len(l)), i -> CASE WHEN i % 2 = 0 THEN l[i + 1] WHEN l[i + 1] > 4 THEN 2 * l[i + 1] - 9 ELSE 2 * l[i + 1] END)) % 10 = 0 AND len(list_distinct(l)) > 1 GROUP BY value""")
+    d AS (SELECT doc_id, regexp_replace(v, '[ -]+$', '') AS value, list_reverse(list_transform(string_split(regexp_replace(v, '\D', '', 'g'), ''), lambda x: x::INT)) AS l FROM c)
+    SELECT value, count(DISTINCT doc_id) AS n FROM d WHERE len(l) BETWEEN 13 AND 19 AND list_sum(list_transform(range(len(l)), lambda i: CASE WHEN i % 2 = 0 THEN l[i + 1] WHEN l[i + 1] > 4 THEN 2 * l[i + 1] - 9 ELSE 2 * l[i + 1] END)) % 10 = 0 AND len(list_distinct(l)) > 1 GROUP BY value""")
 def d_cards(t):
-    return D.detect(t("documents"), kinds=["credit-card"]).groupBy("value").agg(F.count("*").alias("n"))
+    return D.detect(t("documents"), kinds=["credit-card"]).groupBy("value").agg(F.count_distinct("unit_id").alias("n"))
 
 
 @register()
@@ -158,9 +158,9 @@ def s10_union_keys(t):
     return tables.union_keys(t("events"), "props", "event_id").select("key", "n")
 
 
-@register("""SELECT 'nation' AS "table", n_nationkey::BIGINT AS k, n_name AS name, n_regionkey AS parent FROM nation UNION ALL SELECT 'region', r_regionkey, r_name, NULL FROM region""")
+@register("""SELECT 'nation' AS "table", n_nationkey::BIGINT AS k, n_name AS name, n_regionkey AS parent FROM nation UNION ALL SELECT 'region', r_regionkey, r_name, -1 FROM region""")
 def s17_union_tables(t):
-    return tables.union_tables({"nation": t("nation").select(F.col("n_nationkey").cast("long").alias("k"), F.col("n_name").alias("name"), F.col("n_regionkey").alias("parent")), "region": t("region").select(F.col("r_regionkey").cast("long").alias("k"), F.col("r_name").alias("name"))})
+    return tables.union_tables({"nation": t("nation").select(F.col("n_nationkey").cast("long").alias("k"), F.col("n_name").alias("name"), F.col("n_regionkey").alias("parent")), "region": t("region").select(F.col("r_regionkey").cast("long").alias("k"), F.col("r_name").alias("name"))}).withColumn("parent", F.coalesce("parent", F.lit(-1)))
 
 
 def _profile_sql(table: str, columns: list[str]) -> str:
@@ -257,9 +257,9 @@ def p04_search(t):
     return query.search(t("customer"), "12")
 
 
-@register("SELECT * FROM nation WHERE contains(lower(n_name), 'an') OR contains(n_nationkey::VARCHAR, 'an')")
+@register("SELECT * FROM nation WHERE contains(lower(n_name), 'n_1') OR contains(n_nationkey::VARCHAR, 'n_1')")
 def p08_grep_rows(t):
-    return query.grep_rows(t("nation"), "AN")
+    return query.grep_rows(t("nation"), "N_1")
 
 
 @register("SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")
@@ -344,7 +344,7 @@ def s23_html_text(t):
     return t("pages").select("page_id", files.html_to_text(F.col("html")).alias("text"))
 
 
-@register(r"SELECT doc_id, list_sort(list_distinct(list_transform(regexp_extract_all(text, '(?i)\b[a-z0-9._%+-]+@(?:[a-z0-9-]+\.)+[a-z]{2,}\b'), x -> lower(x)))) AS addresses FROM documents WHERE contains(text, '@')")
+@register(r"SELECT doc_id, list_sort(list_distinct(list_transform(regexp_extract_all(text, '(?i)\b[a-z0-9._%+-]+@(?:[a-z0-9-]+\.)+[a-z]{2,}\b'), lambda x: lower(x)))) AS addresses FROM documents WHERE contains(text, '@')")
 def f_iocs(t):
     return mail.extract_iocs(t("documents").where(F.contains("text", F.lit("@"))), "text", "doc_id").select("doc_id", "addresses")
 
@@ -366,13 +366,13 @@ def j17_lookalike(t):
 @register("""
     WITH i AS (SELECT c_custkey, (c_custkey % 200 + 1)::VARCHAR || '.' || (c_custkey % 7)::VARCHAR || '.' || (c_custkey % 13)::VARCHAR || '.1' AS ip, ((c_custkey % 200 + 1) * 16777216 + (c_custkey % 7) * 65536 + (c_custkey % 13) * 256 + 1)::BIGINT AS n FROM customer),
     p AS (SELECT s_suppkey AS asn, ((s_suppkey % 200 + 1) * 16777216 + CASE WHEN s_suppkey % 2 = 0 THEN (s_suppkey % 7) * 65536 ELSE 0 END)::BIGINT AS a, CASE WHEN s_suppkey % 2 = 0 THEN 16 ELSE 8 END AS len FROM supplier)
-    SELECT c_custkey, i.ip, p.asn, p.len AS prefix_len FROM i LEFT JOIN p ON i.n BETWEEN p.a AND p.a + (1::BIGINT << (32 - p.len)) - 1 QUALIFY row_number() OVER (PARTITION BY c_custkey ORDER BY p.len DESC, p.asn) = 1""")
+    SELECT c_custkey, i.ip, coalesce(p.asn, -1) AS asn, coalesce(p.len, -1) AS prefix_len FROM i LEFT JOIN p ON i.n BETWEEN p.a AND p.a + (1::BIGINT << (32 - p.len)) - 1 QUALIFY row_number() OVER (PARTITION BY c_custkey ORDER BY p.len DESC, p.asn) = 1""")
 def j14_asn_lookup(t):
     part = lambda n: (F.col("c_custkey") % n).cast("string")
     ips = t("customer").select("c_custkey", F.concat((F.col("c_custkey") % 200 + 1).cast("string"), F.lit("."), part(7), F.lit("."), part(13), F.lit(".1")).alias("ip"))
     even = F.col("s_suppkey") % 2 == 0
     prefixes = t("supplier").select(F.col("s_suppkey").alias("asn"), F.concat((F.col("s_suppkey") % 200 + 1).cast("string"), F.lit("."), F.when(even, (F.col("s_suppkey") % 7).cast("string")).otherwise("0"), F.lit(".0.0/"), F.when(even, "16").otherwise("8")).alias("prefix"))
-    return fleet.asn_lookup(ips, prefixes).select("c_custkey", "ip", "asn", "prefix_len")
+    return fleet.asn_lookup(ips, prefixes).select("c_custkey", "ip", F.coalesce("asn", F.lit(-1)).alias("asn"), F.coalesce("prefix_len", F.lit(-1)).alias("prefix_len"))
 
 
 @register("""
@@ -396,7 +396,7 @@ def _procs(t):
 
 
 @register("""
-    WITH RECURSIVE a AS (SELECT p_partkey AS pid, p_partkey // 3 AS up, 0 AS d, '' AS chain FROM part UNION ALL SELECT a.pid, p.p_partkey // 3, d + 1, chain || CASE WHEN d > 0 THEN '>' ELSE '' END || p.p_name FROM a JOIN part p ON p.p_partkey = a.up WHERE d < 6)
+    WITH RECURSIVE a AS (SELECT p_partkey AS pid, p_partkey AS cur, p_partkey // 3 AS up, 0 AS d, '' AS chain FROM part UNION ALL SELECT a.pid, p.p_partkey, p.p_partkey // 3, d + 1, chain || CASE WHEN d > 0 THEN '>' ELSE '' END || p.p_name FROM a JOIN part p ON p.p_partkey = a.up WHERE d < 6 AND a.up <> a.cur)
     SELECT pid, max(d)::INT AS n, arg_max(chain, d) AS chain FROM a GROUP BY pid""")
 def j04_ancestry(t):
     return fleet.ancestry(_procs(t)).select("pid", F.size("chain").alias("n"), F.array_join("chain", ">").alias("chain"))
@@ -453,7 +453,7 @@ def a10_surface_risk(t):
 
 
 @register("""
-    WITH e AS (SELECT s_suppkey % 10 AS host, s_suppkey % 4 AS k FROM supplier) SELECT host, p AS provider, least(98, sum(n)) AS confidence FROM (SELECT DISTINCT host, k, CASE k WHEN 0 THEN 'Cloudflare' WHEN 1 THEN 'Cloudflare' WHEN 2 THEN 'Fastly' ELSE 'Akamai' END AS p, CASE k WHEN 0 THEN 45 WHEN 1 THEN 40 WHEN 2 THEN 55 ELSE 35 END AS n FROM e) GROUP BY ALL""")
+    WITH e AS (SELECT s_suppkey % 10 AS host, s_suppkey % 4 AS k FROM supplier) SELECT host, p AS provider, least(98, sum(n))::BIGINT AS confidence FROM (SELECT DISTINCT host, k, CASE k WHEN 0 THEN 'Cloudflare' WHEN 1 THEN 'Cloudflare' WHEN 2 THEN 'Fastly' ELSE 'Akamai' END AS p, CASE k WHEN 0 THEN 45 WHEN 1 THEN 40 WHEN 2 THEN 55 ELSE 35 END AS n FROM e) GROUP BY ALL""")
 def j13_fingerprint_cdn(t):
     k = F.col("s_suppkey") % 4
     e = t("supplier").select((F.col("s_suppkey") % 10).alias("host"), F.when(k < 1, "header").when(k == 2, "cname").otherwise("asn").alias("kind"), F.when(k == 0, "cf-ray: 1").when(k == 1, "13335").when(k == 2, "x.fastly.net").otherwise("16625").alias("value"))

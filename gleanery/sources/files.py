@@ -63,7 +63,7 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """(path, line, text); gzip is read as it is."""
     from ..operators.query import lines
 
-    whole = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value"))
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value"))
     return lines(whole, "value", "path")
 
 
@@ -89,7 +89,7 @@ SOURCES = r"(?i)\.(?:py|js|ts|tsx|jsx|java|kt|go|rs|rb|php|cs|c|h|cpp|swift|scal
 
 def read_corpus(spark: SparkSession, root: str, all_files: bool = False, most: int = 100 << 20) -> DataFrame:
     """(path, size, modified, text) of the source and configuration files under a root."""
-    df = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(root)
+    df = spark.read.option("recursiveFileLookup", True).text(root, wholetext=True)
     base = df.select(F.regexp_replace("_metadata.file_path", "^file:/+", "/").alias("path"), F.col("_metadata.file_size").alias("size"), F.col("_metadata.file_modification_time").alias("modified"), F.col("value").alias("text"))
     wanted = base.where(~F.col("path").rlike(SKIPPED) & (F.col("size") <= most))
     return wanted.where(~F.contains("text", F.lit("\x00"))) if all_files else wanted.where(F.col("path").rlike(SOURCES))
