@@ -170,7 +170,7 @@ def parse_mail(files: DataFrame) -> DataFrame:
                 html = "\n".join(text["text/html"])
                 anchors = [{"href": a, "text": re.sub(r"<[^>]+>", "", t).strip()} for a, t in re.findall(r"""(?is)<a\b[^>]*href=["']?([^"'\s>]+)[^>]*>(.*?)</a>""", html)]
                 rows.append((hashlib.sha256(raw).hexdigest(), [{"name": k, "value": str(v)} for k, v in m.items()], "\n".join(text["text/plain"]), html, anchors, files, parts))
-            yield pd.DataFrame(rows, columns=["msg_sha256", "headers", "plain", "html", "anchors", "attachments", "parts"])
+            yield pd.DataFrame(rows, columns=["msg_sha256", "headers", "plain", "html", "anchors", "attachments", "parts"], dtype=object)
 
     return files.select("content").mapInPandas(each, MAIL)
 

@@ -1,0 +1,217 @@
+"""Captures as rows: each pcap or pcapng file is read in one task, packet by packet, into the canonical packet schema.
+
+Capture files cannot be split, so parallelism comes from many files. Names learned from DNS answers, TLS and HTTP are columns;
+all further work (names, closure, joins) is in operators.fleet.
+"""
+
+from __future__ import annotations
+
+import gzip
+import ipaddress
+import struct
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+SCHEMA = (
+    "capture string, packet long, micros long, length long, captured long, src_mac string, dst_mac string, ethertype string, src string, dst string, protocol string, src_port int, dst_port int, info string, sni string, http_host string, "
+    "binds array<struct<ip:string,name:string>>, cnames array<struct<owner:string,target:string>>"
+)
+LARGEST = 256 << 10
+# fixed values: IP protocols, TCP flags
+PROTOCOLS = {1: "ICMP", 6: "TCP", 17: "UDP", 58: "ICMPv6"}
+FLAGS = "FIN SYN RST PSH ACK URG ECE CWR".split()
+
+
+def frames(raw: bytes) -> Iterator[tuple[int, int, int, bytes]]:
+    """(microseconds, length on the wire, link type, bytes) of each packet; a broken file ends early."""
+    if raw[:2] == b"\x1f\x8b":
+        raw = gzip.decompress(raw)
+    if raw[:4] == b"\x0a\x0d\x0d\x0a":
+        yield from _pcapng(raw)
+        return
+    order = {b"\xa1\xb2\xc3\xd4": ">", b"\xa1\xb2\x3c\x4d": ">", b"\xd4\xc3\xb2\xa1": "<", b"\x4d\x3c\xb2\xa1": "<"}.get(raw[:4])
+    if not order or len(raw) < 24:
+        return
+    nano = raw[:4] in (b"\xa1\xb2\x3c\x4d", b"\x4d\x3c\xb2\xa1")
+    link, at = struct.unpack(order + "I", raw[20:24])[0] & 0xFFFF, 24
+    while at + 16 <= len(raw):
+        sec, part, size, wire = struct.unpack(order + "IIII", raw[at : at + 16])
+        data = raw[at + 16 : at + 16 + size]
+        if len(data) < size:
+            return
+        yield sec * 1_000_000 + (part // 1000 if nano else part), wire, link, data
+        at += 16 + size
+
+
+def _pcapng(raw: bytes) -> Iterator[tuple[int, int, int, bytes]]:
+    order, links, at = "<", [], 0
+    while at + 12 <= len(raw):
+        if raw[at : at + 4] == b"\x0a\x0d\x0d\x0a":
+            order, links = (">" if raw[at + 8 : at + 12] == b"\x1a\x2b\x3c\x4d" else "<"), []
+        kind, size = struct.unpack(order + "II", raw[at : at + 8])
+        body = raw[at + 8 : at + size - 4]
+        if size < 12 or at + size > len(raw):
+            return
+        if kind == 1:
+            unit, o = 1_000_000, 8
+            while o + 4 <= len(body):
+                code, n = struct.unpack(order + "HH", body[o : o + 4])
+                if code == 9 and n:
+                    unit = 2 ** (body[o + 4] & 127) if body[o + 4] & 128 else 10 ** body[o + 4]
+                if code == 0:
+                    break
+                o += 4 + (n + 3) // 4 * 4
+            links.append((struct.unpack(order + "H", body[:2])[0], unit))
+        elif kind == 6 and len(body) >= 20:
+            which, high, low, got, wire = struct.unpack(order + "IIIII", body[:20])
+            link, unit = links[which] if which < len(links) else (1, 1_000_000)
+            yield ((high << 32) + low) * 1_000_000 // unit, wire, link, body[20 : 20 + got]
+        at += size
+
+
+def _name(data: bytes, at: int) -> tuple[str, int]:
+    """A DNS name and where it ends; pointers are followed a bounded number of times."""
+    parts, end, hops = [], None, 0
+    while at < len(data) and hops < 64:
+        n = data[at]
+        if n & 0xC0 == 0xC0 and at + 1 < len(data):
+            end, at, hops = end if end is not None else at + 2, (n & 0x3F) << 8 | data[at + 1], hops + 1
+        elif n == 0:
+            return ".".join(parts), end if end is not None else at + 1
+        else:
+            parts.append(data[at + 1 : at + 1 + n].decode("latin-1").lower())
+            at += 1 + n
+            hops += 1
+    return ".".join(parts), end if end is not None else len(data)
+
+
+def dns(data: bytes) -> tuple[str, list, list]:
+    binds, cnames = [], []
+    if len(data) < 12:
+        return "", binds, cnames
+    _, flags, asked, answers = struct.unpack(">HHHH", data[:8])
+    at, first = 12, ""
+    for _ in range(min(asked, 16)):
+        name, at = _name(data, at)
+        first, at = first or name, at + 4
+    for _ in range(min(answers, 256)):
+        name, at = _name(data, at)
+        if at + 10 > len(data):
+            break
+        kind, _, _, n = struct.unpack(">HHIH", data[at : at + 10])
+        value = data[at + 10 : at + 10 + n]
+        if kind == 1 and n == 4 or kind == 28 and n == 16:
+            binds.append({"ip": str(ipaddress.ip_address(value)), "name": name})
+        elif kind == 5:
+            cnames.append({"owner": name, "target": _name(data, at + 10)[0]})
+        at += 10 + n
+    return ("answer " if flags & 0x8000 else "query ") + first, binds, cnames
+
+
+def server_name(data: bytes) -> str | None:
+    """The server name of a TLS client hello."""
+    if len(data) < 44 or data[0] != 22 or data[5] != 1:
+        return None
+    at = 43 + 1 + data[43]
+    at += 2 + int.from_bytes(data[at : at + 2])
+    at += 1 + (data[at] if at < len(data) else 0) + 2
+    while at + 4 <= len(data):
+        kind, n = struct.unpack(">HH", data[at : at + 4])
+        if kind == 0 and n > 5:
+            return data[at + 9 : at + 4 + n].decode("latin-1").lower()
+        at += 4 + n
+    return None
+
+
+def decode(link: int, data: bytes) -> dict:
+    out: dict = {"binds": [], "cnames": []}
+    mac = lambda b: ":".join(f"{x:02x}" for x in b)
+    kind, at = 0x0800, 0
+    if link == 1 and len(data) >= 14:
+        out["dst_mac"], out["src_mac"] = mac(data[:6]), mac(data[6:12])
+        kind, at = int.from_bytes(data[12:14]), 14
+        while kind in (0x8100, 0x88A8) and at + 4 <= len(data):
+            kind, at = int.from_bytes(data[at + 2 : at + 4]), at + 4
+    elif link == 113 and len(data) >= 16:
+        kind, at = int.from_bytes(data[14:16]), 16
+    elif link == 0 and len(data) >= 4:
+        kind, at = 0x0800 if 2 in (data[0], data[3]) else 0x86DD, 4
+    elif link in (101, 12, 14, 228, 229) and data:
+        kind = 0x86DD if data[0] >> 4 == 6 else 0x0800
+    out["ethertype"] = f"0x{kind:04x}"
+    p = data[at:]
+    if kind == 0x0806 and len(p) >= 28:
+        return out | {"protocol": "ARP", "src": str(ipaddress.ip_address(p[14:18])), "dst": str(ipaddress.ip_address(p[24:28])), "info": "request" if p[7] == 1 else "reply"}
+    if kind == 0x0800 and len(p) >= 20:
+        number, head = p[9], (p[0] & 15) * 4
+        out |= {"src": str(ipaddress.ip_address(p[12:16])), "dst": str(ipaddress.ip_address(p[16:20]))}
+        p = p[head : max(head, int.from_bytes(p[2:4]))] if int.from_bytes(p[2:4]) else p[head:]
+    elif kind == 0x86DD and len(p) >= 40:
+        number = p[6]
+        out |= {"src": str(ipaddress.ip_address(p[8:24])), "dst": str(ipaddress.ip_address(p[24:40]))}
+        p = p[40:]
+    else:
+        return out | {"protocol": "other"}
+    out["protocol"] = PROTOCOLS.get(number, str(number))
+    if number in (6, 17) and len(p) >= 8:
+        a, b = struct.unpack(">HH", p[:4])
+        out |= {"src_port": a, "dst_port": b}
+        if number == 17:
+            body = p[8:]
+            if 53 in (a, b) or 5353 in (a, b):
+                out["info"], out["binds"], out["cnames"] = dns(body)
+                out["protocol"] = "DNS"
+            elif {a, b} & {67, 68}:
+                out["protocol"] = "DHCP"
+        elif len(p) >= 20:
+            out["info"] = " ".join(n for i, n in enumerate(FLAGS) if p[13] >> i & 1)
+            body = p[(p[12] >> 4) * 4 :]
+            if name := server_name(body):
+                out |= {"protocol": "TLS", "sni": name}
+            elif body[:8].split(b" ")[0] in (b"GET", b"POST", b"PUT", b"HEAD", b"DELETE", b"OPTIONS", b"PATCH", b"HTTP/1.1", b"HTTP/1.0"):
+                lines = body.split(b"\r\n")
+                host = next((x.split(b":", 1)[1].strip().decode("latin-1").lower() for x in lines[1:] if x.lower().startswith(b"host:")), None)
+                out |= {"protocol": "HTTP", "info": lines[0].decode("latin-1"), "http_host": host}
+    return out
+
+
+def parse_captures(captures: DataFrame) -> DataFrame:
+    """captures (capture string, content binary) to packets; frames over 256 KiB are left out but counted in packet numbers."""
+    columns = [c.strip().split(" ")[0] for c in SCHEMA.split("array<")[0].split(",")][:-1] + ["binds", "cnames"]
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for name, raw in b[["capture", "content"]].itertuples(index=False):
+                rows = []
+                for i, (micros, wire, link, data) in enumerate(frames(bytes(raw)), 1):
+                    if len(data) <= LARGEST:
+                        rows.append({"capture": name, "packet": i, "micros": micros, "length": wire, "captured": len(data)} | decode(link, data))
+                    if len(rows) >= 20_000:
+                        yield _frame(rows, columns)
+                        rows = []
+                yield _frame(rows, columns)
+
+    return captures.mapInPandas(each, SCHEMA).withColumn("time", F.timestamp_micros("micros"))
+
+
+def _frame(rows: list[dict], columns: list[str]) -> pd.DataFrame:
+    return pd.DataFrame([[r.get(c) for c in columns] for r in rows], columns=columns, dtype=object)
+
+
+def read_packets(spark: SparkSession, path: str) -> DataFrame:
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    return parse_captures(files.select(F.col("path").alias("capture"), "content"))
+
+
+def learned_binds(packets: DataFrame) -> DataFrame:
+    """(capture, ip, name, packet) from DNS answers, TLS server names and HTTP hosts."""
+    answers = packets.select("capture", "packet", F.explode("binds").alias("b")).select("capture", F.col("b.ip").alias("ip"), F.col("b.name").alias("name"), "packet")
+    hosts = packets.select("capture", F.col("dst").alias("ip"), F.coalesce("sni", F.regexp_replace("http_host", r":\d+$", "")).alias("name"), "packet").where("name is not null")
+    return answers.unionByName(hosts)
+
+
+def cname_edges(packets: DataFrame) -> DataFrame:
+    return packets.select("capture", F.explode("cnames").alias("c")).select("capture", F.col("c.owner").alias("owner"), F.col("c.target").alias("target")).distinct()

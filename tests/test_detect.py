@@ -43,7 +43,7 @@ def test_checksums(found):
 
 def test_levels(found):
     assert [r.confidence for r in found if r.unit_id == "jwt"][-1] == "high"
-    assert {"tls-verify-disabled", "unrestricted-bind", "debug-enabled", "insecure-cookie", "cors-wildcard", "password", "private-key"} <= set(kinds(found, "config"))
+    assert {"tls-verify-disabled", "ipv4", "debug-enabled", "insecure-cookie", "cors-wildcard", "password", "private-key"} <= set(kinds(found, "config"))
     assert {"guessable-id", "sql-fragment", "session-cookie", "sql-error", "db-uri", "directory-listing", "java-serialized"} <= set(kinds(found, "web"))
     assert not kinds(found, "empty") and not kinds(found, "none")
 

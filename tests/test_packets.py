@@ -1,0 +1,49 @@
+import struct
+
+from gleanery.operators import fleet
+from gleanery.sources import packets
+
+
+def ip4(src, dst, number, body):
+    return struct.pack(">BBHHHBBH", 0x45, 0, 20 + len(body), 1, 0, 64, number, 0) + bytes(map(int, src.split("."))) + bytes(map(int, dst.split("."))) + body
+
+
+def udp(a, b, body):
+    return struct.pack(">HHHH", a, b, 8 + len(body), 0) + body
+
+
+def tcp(a, b, flags, body=b""):
+    return struct.pack(">HHIIBBHHH", a, b, 1, 1, 5 << 4, flags, 100, 0, 0) + body
+
+
+def dns_name(name):
+    return b"".join(bytes([len(p)]) + p.encode() for p in name.split(".")) + b"\0"
+
+
+def answer(name, kind, value):
+    return struct.pack(">HHHHHH", 1, 0x8180, 1, 1, 0, 0) + dns_name(name) + struct.pack(">HH", kind, 1) + b"\xc0\x0c" + struct.pack(">HHIH", kind, 1, 60, len(value)) + value
+
+
+def pcap(frames):
+    out = struct.pack("<IHHiIII", 0xA1B2C3D4, 2, 4, 0, 0, 65535, 1)
+    for i, f in enumerate(frames):
+        f = b"\1" * 6 + b"\2" * 6 + b"\x08\0" + f
+        out += struct.pack("<IIII", 1000 + i, 5, len(f), len(f)) + f
+    return out
+
+
+def test_names_across_packets(spark):
+    frames = [
+        ip4("8.8.8.8", "10.0.0.2", 17, udp(53, 5000, answer("www.shop.test", 5, dns_name("edge.cdn.test")))),
+        ip4("8.8.8.8", "10.0.0.2", 17, udp(53, 5000, answer("edge.cdn.test", 1, bytes([93, 184, 1, 1])))),
+        ip4("10.0.0.2", "93.184.1.1", 6, tcp(5555, 80, 0x18, b"GET / HTTP/1.1\r\nHost: plain.test\r\n\r\n")),
+        ip4("10.0.0.2", "93.184.1.1", 6, tcp(5555, 443, 0x02)),
+    ]
+    got = packets.parse_captures(spark.createDataFrame([("c1", bytearray(pcap(frames))), ("c2", bytearray(b"junk"))], "capture string, content binary")).cache()
+    rows = got.orderBy("packet").collect()
+    assert [(r.protocol, r.src_port, r.dst_port) for r in rows] == [("DNS", 53, 5000), ("DNS", 53, 5000), ("HTTP", 5555, 80), ("TCP", 5555, 443)]
+    assert rows[3].info == "SYN" and rows[2].http_host == "plain.test" and rows[0].time.timestamp() == 1000.000005
+    binds = packets.learned_binds(got)
+    closed = fleet.alias_closure(binds, packets.cname_edges(got)).join(binds.select("capture", "ip", "name", "packet"), ["capture", "ip", "name"], "left").fillna(99, ["packet"])
+    named = {r.packet: r.dst_name for r in fleet.enrich_names(got.select("capture", "packet", "src", "dst"), fleet.names_per_ip(closed)).collect()}
+    assert named[4] == "edge.cdn.test, plain.test, www.shop.test"
