@@ -260,7 +260,7 @@ def key_links(prints: DataFrame, apart: int) -> DataFrame:
     return dealt.select("which", "key", "a", "b", "block", "fp", "wide").mapInPandas(compare, "u long, v long")
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, radius: int = 3) -> DataFrame:
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, radius: int = 2) -> DataFrame:
     """One row of each group of near-copies, that with the smallest doc_id (of repeated rows, one); columns as they were.
 
     Near-copies: texts whose fingerprints are at most `radius` bits apart, found exactly with the vantage-point tree; and, since
