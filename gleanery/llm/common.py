@@ -28,13 +28,25 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+#: Where this driver's stashes lie, in the order in which they were made.
+MADE: list[str] = []
+
+
 def stash(df: DataFrame, name: str = "table") -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: lineage ends there, and a lost executor loses nothing."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    MADE.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Remove stashes that nothing reads any more."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z to a-z and nothing else. lower() does that wherever no other cased character occurs, and is far quicker than translate()."""
     return F.when(text.rlike(CASED_BEYOND_ASCII), F.translate(text, UPPER, LOWER)).otherwise(F.lower(text))
