@@ -189,7 +189,7 @@ def nearest(vectors: DataFrame, is_query, id_col: str = "vec_id", vector_col: st
                     exact = (x[some] * q[j]).sum(1) / (np.sqrt((q[j] * q[j]).sum()) * norms[some])
                     for m in np.lexsort((least[some], -exact))[: k + 1]:
                         out["question"].append(name), out["score"].append(float(exact[m])), out["ids"].append(ids[some[m]])
-        return pd.DataFrame(out)
+        return pd.DataFrame(out, dtype=object)
 
     found = sent.groupBy("part", "salt").cogroup(bucketed.groupBy("part", "salt")).applyInPandas(rank, "question long, score double, ids array<long>")
     best = Window.partitionBy("question").orderBy(F.desc("score"), F.col("ids")[0])

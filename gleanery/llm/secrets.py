@@ -228,7 +228,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             found = [scan(t) for t in b.text]
-            yield pd.DataFrame({"doc_id": b.doc_id, "base": [[f._asdict() for f in x] for x, _ in found], "more": [[f._asdict() for f in x] for _, x in found]})
+            yield pd.DataFrame({"doc_id": b.doc_id, "base": pd.Series([[f._asdict() for f in x] for x, _ in found], dtype=object), "more": pd.Series([[f._asdict() for f in x] for _, x in found], dtype=object)})
 
     chosen = docs.select(F.col(id_col).cast("string").alias("doc_id"), F.col(text_col).alias("text"))
     out = chosen.mapInPandas(each, f"doc_id string, base {schema}, more {schema}")

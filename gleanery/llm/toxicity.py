@@ -222,7 +222,7 @@ def tag(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str = "
         known = Emissions(shipped.value.weights)
         for b in batches:
             rows, scores = scored(b.text, known, shipped.value)
-            yield pd.DataFrame({"doc_id": b.doc_id, "score": scores, "spans": [spans(t or "", r) for t, r in zip(b.text, rows, strict=True)]})
+            yield pd.DataFrame({"doc_id": b.doc_id, "score": scores, "spans": pd.Series([spans(t or "", r) for t, r in zip(b.text, rows, strict=True)], dtype=object)})
 
     chosen = docs.select(F.col(id_col).cast("string").alias("doc_id"), F.col(text_col).alias("text"))
     found = chosen.mapInPandas(score, "doc_id string, score double, spans array<struct<start:long,end:long,p:double>>")
