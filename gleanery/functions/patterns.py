@@ -162,3 +162,10 @@ ASKED = [
     (r"\bdatabase\b|\bdb[-_ ]?uri\b|\bconnection strings?\b", ["db-uri"]),
     (r"\bcors\b|\binjection\b|\bsql\b|\bxxe\b|\bldap\b", ["cors-wildcard", "sql-error", "sql-fragment", "xxe", "ldap-filter"]),
 ]
+# fixed values: kinds that an analyst looks at first, and kinds whose values leave the cluster only redacted
+ANALYST = "private-key jwt aws-access-key ssh-key email pan aadhaar credit-card password username secret indian-phone upi iban github-token gitlab-token slack-token stripe-key sendgrid-key twilio-sid npm-token pypi-token google-api-key bearer basic-auth db-uri secret-in-url azure-key session-cookie passport".split()
+REMOTE = "private-key jwt aws-access-key ssh-key email pan aadhaar credit-card password secret github-token gitlab-token slack-token stripe-key sendgrid-key twilio-sid npm-token pypi-token google-api-key bearer basic-auth db-uri secret-in-url session-cookie iban upi azure-key".split()
+# fixed values: programs that run scripts, run tasks, or are shells
+INTERPRETERS = "python python2 python3 node deno bun ruby perl php java dotnet lua".split()
+TASK_RUNNERS = "npm npx yarn pnpm make gradle mvn cargo go docker docker-compose".split()
+SHELLS = "sh bash zsh fish dash ksh pwsh powershell cmd".split()

@@ -316,3 +316,21 @@ def resume(listing: DataFrame, manifest: DataFrame) -> DataFrame:
 def prune(records: DataFrame, listing: DataFrame, rescanned: DataFrame) -> DataFrame:
     """Records of files that are still there and were not scanned again."""
     return records.join(listing.select(F.col("path").alias("file")).distinct(), "file", "left_semi").join(rescanned.select(F.col("path").alias("file")).distinct(), "file", "left_anti")
+
+
+def analyst_kinds(findings: DataFrame, remote: bool = False) -> DataFrame:
+    """The kinds that matter most; with remote, those that must be redacted before they leave."""
+    return findings.where(F.col("kind").isin(P.REMOTE if remote else P.ANALYST))
+
+
+def with_native_ids(findings: DataFrame, rows: DataFrame, *ids: str) -> DataFrame:
+    """Findings with the numbers that their rows carry (packet, item), joined on unit_id."""
+    own = rows.select(F.col("unit_id").cast("string").alias("unit_id"), *ids)
+    return findings.drop(*ids).join(own, "unit_id", "left")
+
+
+def item_numbers(lines: DataFrame, *keys: str, order: str = "line", text: str = "text", tag: str = "<item>") -> DataFrame:
+    """Lines with the number of item tags up to each, in order."""
+    upto = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    seen = F.size(F.split(F.col(text), tag)) - 1
+    return lines.withColumn("item", F.sum(seen).over(upto))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -157,3 +158,31 @@ def classify_text(column: Column) -> Column:
     valid = lambda x: F.try_parse_json(x).isNotNull() & x.rlike(r"^\s*[\[{]")
     width = F.transform(rows, lambda x: F.size(F.split(x, "[,\t;|]")))
     return F.when(valid(column), "json").when((F.size(rows) > 1) & F.forall(rows, valid), "jsonl").when(F.size(rows).between(2, 20_000) & (F.array_min(width) == F.array_max(width)) & (F.array_min(width) > 1), "table").otherwise("text")
+
+
+def bounded_json(column: Column, depth: int = 8, keys: int = 100, items: int = 50, half: int = 1000) -> Column:
+    """JSON text cut to a depth, keys, items and string lengths, with the counts of what was left out; Arrow batches."""
+    @F.pandas_udf("string")
+    def cut(texts: pd.Series) -> pd.Series:
+        import json
+
+        def bound(x, left: int):
+            if isinstance(x, str):
+                return x if len(x) <= 2 * half else f"{x[:half]}…({len(x) - 2 * half} left out)…{x[-half:]}"
+            if isinstance(x, dict):
+                some = list(x.items())[:keys] if left else []
+                return {k: bound(v, left - 1) for k, v in some} | ({"…": f"{len(x) - len(some)} keys left out"} if len(x) > len(some) else {})
+            if isinstance(x, list):
+                some = x[:items] if left else []
+                return [bound(v, left - 1) for v in some] + ([f"…{len(x) - len(some)} items left out"] if len(x) > len(some) else [])
+            return x
+
+        out = []
+        for t in texts:
+            try:
+                out.append(None if t is None else json.dumps(bound(json.loads(t), depth), ensure_ascii=False))
+            except ValueError:
+                out.append(t)
+        return pd.Series(out, dtype=object)
+
+    return cut(column)

@@ -320,6 +320,21 @@ def w13_collapse_repeats(t):
     return query.collapse_repeats(query.lines(t("documents"), "text", "doc_id"), ["doc_id"], "line").groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
+@register()
+def p27_bounded_json(t):
+    return t("events").select("event_id", query.bounded_json(F.col("props")).alias("props"))
+
+
+@register("SELECT p_partkey AS pid, split_part(p_name, ' ', 1) AS runtime FROM part")
+def f_describe_process(t):
+    return fleet.describe_process(t("part").select(F.col("p_partkey").alias("pid"), F.col("p_name").alias("command"))).select("pid", "runtime")
+
+
+@register(f"SELECT doc_id, line, sum((length(text) - length(replace(text, 'the', ''))) // 3) OVER (PARTITION BY doc_id ORDER BY line)::BIGINT AS item FROM ({_LINES})")
+def w06_item_numbers(t):
+    return D.item_numbers(query.lines(t("documents"), "text", "doc_id"), "doc_id", tag="the").select("doc_id", "line", "item")
+
+
 # -- scalars
 
 

@@ -208,3 +208,49 @@ def write_findings(df: DataFrame, path: str, fmt: str = "json") -> None:
 def write_report_pack(records: DataFrame, path: str) -> None:
     """Records by project; columns as report_records() gives them."""
     records.write.mode("errorifexists").partitionBy("project").json(path)
+
+
+def maybe_base64(text: Column) -> Column:
+    """The decoded text where it decodes to an HTTP message, else the text."""
+    compact = F.regexp_replace(text, r"\s+", "")
+    padded = F.concat(compact, F.repeat(F.lit("="), (F.lit(4) - F.length(compact) % 4) % 4))
+    decoded = F.try_to_binary(padded, F.lit("base64")).cast("string")
+    fits = (F.length(compact) >= 16) & compact.rlike(r"^[A-Za-z0-9+/]+=*$") & (F.contains(F.left(decoded, F.lit(80)), F.lit("HTTP/")) | F.contains(F.left(decoded, F.lit(200)), F.lit("\r\n")))
+    return F.when(fits, decoded).otherwise(text)
+
+
+def http_extras(items: DataFrame, request: str = "request", response: str = "response") -> DataFrame:
+    """items with method, status, query, cookie names, set_cookie, authorization scheme, location and form fields."""
+    from ..functions.scalars import form_fields
+
+    a, b = split_http(maybe_base64(F.col(request))), split_http(maybe_base64(F.col(response)))
+    out = items.withColumn("_a", a).withColumn("_b", b)
+    names = F.transform(F.filter(F.split(http_header(F.col("_a.headers"), "Cookie"), r";\s*"), lambda c: c != ""), lambda c: F.split_part(c, F.lit("="), F.lit(1)))
+    target = F.split_part(F.col("_a.start"), F.lit(" "), F.lit(2))
+    return out.withColumns({
+        "method": F.split_part("_a.start", F.lit(" "), F.lit(1)), "status": F.regexp_extract("_b.start", r"^HTTP/\S+\s+(\d{3})", 1), "query": F.when(F.contains(target, F.lit("?")), F.substring_index(target, "?", -1)).otherwise(""), "cookies": names,
+        "set_cookie": http_header(F.col("_b.headers"), "Set-Cookie"), "authorization": F.split_part(http_header(F.col("_a.headers"), "Authorization"), F.lit(" "), F.lit(1)), "location": http_header(F.col("_b.headers"), "Location"),
+        "form": F.when(F.contains(F.lower(http_header(F.col("_a.headers"), "Content-Type")), F.lit("urlencoded")), form_fields(F.col("_a.body"))),
+    }).drop("_a", "_b")
+
+
+def zip_inventory(archives: DataFrame, content: str = "content") -> DataFrame:
+    """archives with inventory: entries, whether one is encrypted, the ratio; from the directory alone, nothing is unpacked."""
+
+    @F.pandas_udf("n int, encrypted boolean, total long, ratio double, names array<string>")
+    def read(blobs: pd.Series) -> pd.DataFrame:
+        import io
+        import zipfile
+
+        rows = []
+        for raw in blobs:
+            try:
+                with zipfile.ZipFile(io.BytesIO(bytes(raw))) as z:
+                    infos = z.infolist()
+                total = sum(i.file_size for i in infos)
+                rows.append((len(infos), any(i.flag_bits & 1 for i in infos), total, round(total / max(1, len(raw)), 1), [i.filename for i in infos]))
+            except (zipfile.BadZipFile, ValueError, RuntimeError, TypeError):
+                rows.append((0, False, 0, 0.0, []))
+        return pd.DataFrame(rows, columns=["n", "encrypted", "total", "ratio", "names"], dtype=object)
+
+    return archives.withColumn("inventory", read(F.col(content)))
