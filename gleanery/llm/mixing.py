@@ -124,7 +124,13 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: each document once for each time it is taken, with shard and place (its order in the shard), columns as
-    they were. Options as for mix()."""
+    """The mix itself: each document once for each time it is taken, columns as they were, then its shard and place (its order in
+    the shard); these names take underscores where docs has them already. Options as for mix()."""
+    names = []
+    for name in ("shard", "place"):
+        while name in docs.columns:
+            name += "_"
+        names.append(name)
     out = mix(docs, keep=tuple(docs.columns), **options)
-    return out.select(*[F.col(f"_{c}").alias(c) for c in docs.columns], F.explode("draws").alias("d")).select(*docs.columns, "d.shard", "d.place")
+    own = [F.col(f"_{c}").alias(c) for c in docs.columns]
+    return out.select(*own, F.explode("draws").alias("_draw")).select(*docs.columns, *[F.col(f"_draw.{a}").alias(b) for a, b in zip(("shard", "place"), names, strict=True)])
