@@ -186,3 +186,14 @@ def bounded_json(column: Column, depth: int = 8, keys: int = 100, items: int = 5
         return pd.Series(out, dtype=object)
 
     return cut(column)
+
+
+# fixed values: languages by extension
+LANGUAGES = {"py": "Python", "js": "JavaScript", "jsx": "JavaScript", "ts": "TypeScript", "tsx": "TypeScript", "java": "Java", "kt": "Kotlin", "go": "Go", "rs": "Rust", "rb": "Ruby", "php": "PHP", "cs": "C#", "c": "C", "h": "C", "cpp": "C++", "swift": "Swift", "scala": "Scala", "sh": "Shell", "sql": "SQL", "html": "HTML", "css": "CSS"}
+
+
+def languages(df: DataFrame, path: str = "path") -> DataFrame:
+    """(language, files, entrypoints): how many files of each language, and which of them start a program."""
+    name = F.element_at(F.create_map(*[F.lit(x) for kv in LANGUAGES.items() for x in kv]), F.lower(F.element_at(F.split(path, r"\."), -1)))
+    main = F.element_at(F.split(path, "/"), -1).rlike(r"(?i)^(?:main|app|index|server|manage|__main__|cli)\.\w+$")
+    return df.select(F.col(path).alias("path"), name.alias("language"), main.alias("main")).where("language is not null").groupBy("language").agg(F.count("*").alias("files"), F.count_if("main").alias("entrypoints"))

@@ -45,3 +45,18 @@ def test_ids_and_extensions(spark):
     assert detect.analyst_kinds(found).count() == 1
     ids = detect.with_native_ids(found, spark.createDataFrame([("1", 7)], "unit_id string, item long"), "item").collect()
     assert {r.unit_id: r.item for r in ids} == {"1": 7, "2": None}
+
+
+def test_host_extras(spark):
+    text = '"Image Name","PID","Session Name","Session#","Mem Usage"\n"a.exe","42","Console","1","1,024 K"\n'
+    row = fleet.parse_tasklist(spark.createDataFrame([("h", text)], "host_id string, text string")).first()
+    assert (row.pid, row.executable, row.rss_bytes) == (42, "a.exe", 1048576)
+    ips = '[{"ifname":"lo","operstate":"UNKNOWN","address":"0","addr_info":[{"family":"inet","local":"127.0.0.1","prefixlen":8}]},{"ifname":"eth0","operstate":"UP","address":"1","addr_info":[{"family":"inet","local":"10.0.0.2","prefixlen":24}]}]'
+    nets = fleet.interfaces_from_json(spark.createDataFrame([("h", ips)], "host_id string, text string"))
+    assert nets.count() == 2 and fleet.primary_interface(nets).first().interface == "eth0"
+    procs = spark.createDataFrame([("h", "nginx", "nginx -g", [("a", "all")], 1), ("h", "python3 app.py", "python3 app.py", [], 0)], "host_id string, label string, command string, listening array<struct<local_host:string,scope:string>>, established int")
+    assert tuple(fleet.exposure_counts(procs).first())[1:] == (1, 1, 1)
+    assert [r.score for r in fleet.match_processes(procs, ["nginx"]).collect()] == [125]
+    two = spark.createDataFrame([("h", "cron", "a", "/x"), ("h", "cron", "a", "/y")], "host_id string, kind string, name string, path string")
+    assert fleet.distinct_persistence(two).count() == 1
+    assert {r.language: r.files for r in query.languages(spark.createDataFrame([("a/main.py",), ("b.py",), ("c.go",), ("d",)], "path string")).collect()} == {"Python": 2, "Go": 1}
