@@ -73,6 +73,23 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the copies, columns as they were. The texts travel once, with their own row."""
-    out = exact_groups(docs, id_col, text_col, tuple(docs.columns)).where("kept")
-    return out.select(*[F.col(f"_{c}").alias(c) for c in docs.columns])
+    """docs without the copies, columns as they were.
+
+    The rows that stay are named by their id and a hash of their text as it is, so no text is written on the way: docs is read
+    again and joined to these names. Repeated rows with one id and text share a name; of these one is kept.
+    """
+    own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), mark_of(docs, text_col).alias("mark"))
+    found = exact_groups(own, keep=("mark",))
+    names = stash(found.groupBy("doc_id", "_mark").agg(F.bool_or("kept").alias("stays"), F.count("*").alias("rows")).where("stays"), "kept")
+
+    def named(some: DataFrame) -> DataFrame:
+        return docs.join(some, docs[id_col].eqNullSafe(some["doc_id"]) & (mark_of(docs, text_col) == some["_mark"]), "left_semi")
+
+    twice = names.where(F.col("rows") > 1)
+    if twice.isEmpty():
+        return named(names)
+    return named(names.where(F.col("rows") == 1)).unionAll(named(twice).dropDuplicates([id_col, text_col]))
+
+
+def mark_of(docs: DataFrame, text_col: str) -> Column:
+    return F.xxhash64(docs[text_col], F.length(docs[text_col]))
