@@ -9,7 +9,10 @@ residents; every visitor goes to every block. Components of the forest are those
 
 from __future__ import annotations
 
+import hashlib
+import math
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
@@ -21,8 +24,9 @@ from .common import components, stash
 #: Distinct fingerprints a shard should hold, shards at most (the tree is broadcast: 24 bytes a node), sampled
 #: fingerprints for each shard, residents in a block.
 SHARD, MOST_SHARDS, SAMPLE_EACH, BLOCK = 1500, 4096, 12, 8192
-#: Of drop_near_copies: words in the wide print, least hashes a text is looked up by, and residents in a block of them.
-WIDE, KEYS, KEY_BLOCK = 8, 3, 4096
+#: Of drop_near_copies: buckets in which shingles are counted and the pieces they travel in, least hashes by which dense groups
+#: are joined first, and sets in a block of a shingle's list. None of them changes what is linked.
+COUNTS, PARTS, KEYS, KEY_BLOCK = 1 << 20, 16, 6, 4096
 #: Odd constants that make further hashes of a hash.
 _MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93)
 
@@ -215,70 +219,152 @@ def mixed(hashes: np.ndarray, which: int) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def sketch(text: str | None, width: int) -> tuple[int, list[int], list[int]]:
-    """The fingerprint of the distinct shingles, their wide print of WIDE words, and their least hashes under KEYS orders."""
+def shingle_counts(texts: DataFrame, width: int) -> np.ndarray:
+    """How many texts (column text) have a shingle of each of COUNTS buckets (several of one bucket count as often). Tasks send
+    their counts as PARTS packed pieces, so nothing grows with the number of shingles."""
+    each = COUNTS // PARTS
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n = np.zeros(COUNTS, np.int64)
+        for b in batches:
+            some = [np.unique(shingle_hashes(t, width)) for t in b.text]
+            n += np.bincount((np.concatenate([*some, np.empty(0, np.uint64)]) % np.uint64(COUNTS)).astype(np.int64), minlength=COUNTS)
+        yield pd.DataFrame({"part": range(PARTS), "n": [n[i * each : (i + 1) * each].tobytes() for i in range(PARTS)]})
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            for part, n in zip(b.part, b.n, strict=True):
+                sums[part] = sums.get(part, 0) + np.frombuffer(n, np.int64)
+        yield pd.DataFrame({"part": list(sums), "n": [n.tobytes() for n in sums.values()]})
+
+    out = np.zeros(COUNTS, np.int64)
+    for x in texts.mapInPandas(count, "part int, n binary").repartition(PARTS, "part").mapInPandas(add, "part int, n binary").collect():
+        out[x.part * each : (x.part + 1) * each] = np.frombuffer(x.n, np.int64)
+    return out
+
+
+def shape(text: str | None, width: int, often: np.ndarray, usual: int, least: Fraction) -> tuple[int, int, int, list[int], np.ndarray, np.ndarray]:
+    """Of the set of distinct shingles: its digest (two longs), its size, its least hashes under KEYS orders, and its rarest
+    shingles, one of which any set of similarity `least` must share, with the blocks that each one's list is cut into."""
     own = np.unique(shingle_hashes(text, width))
+    a, b = np.frombuffer(hashlib.blake2b(own.tobytes(), digest_size=16).digest(), np.int64).tolist()
     if not len(own):
-        return 0, [0] * WIDE, []
+        return a, b, 0, [], signed(own), signed(own)
+    n = often[(own % np.uint64(COUNTS)).astype(np.int64)]
+    first = np.lexsort((own, n))[: len(own) - math.ceil(least * len(own)) + 1]  # one order of all shingles for all sets
     keys = [int(signed(mixed(own, 8 + i).min(keepdims=True))[0]) for i in range(KEYS)]
-    return simhash(own), [simhash(mixed(own, i)) for i in range(WIDE)], keys
+    return a, b, len(own), keys, signed(own[first]), 1 + np.maximum(0, n[first] - usual) // KEY_BLOCK
+
+
+def candidates(rows: pd.DataFrame, least: Fraction) -> pd.DataFrame:
+    """(u, v): of whole groups (token, a, b), in order, the pairs of sets that may reach the similarity and are not yet linked:
+    by their sizes, and by what can still be shared after the token (for the first token that two sets share, all of it)."""
+    key = rows[["token", "a", "b"]].to_numpy()
+    starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(1)]) if len(key) else np.empty(0, np.int64)
+    ids, sizes, ats, roots, blocks = (rows[c].to_numpy() for c in ("id", "size", "at", "root", "block"))
+    cross = key[:, 1] != key[:, 2]
+    many = np.diff(np.r_[starts, len(key)])
+    mixed_roots = (np.minimum.reduceat(roots, starts) != np.maximum.reduceat(roots, starts)) if len(starts) else np.empty(0, bool)
+    starts, many = starts[mixed_roots], many[mixed_roots]
+    num, den = least.numerator, least.denominator
+    out: list[np.ndarray] = []
+
+    def judge(i: np.ndarray, j: np.ndarray) -> None:
+        ok = (roots[i] != roots[j]) & (np.minimum(sizes[i], sizes[j]) * den >= np.maximum(sizes[i], sizes[j]) * num) & (~cross[i] | (blocks[i] != blocks[j]))
+        i, j = i[ok], j[ok]
+        ok = np.minimum(sizes[i] - ats[i], sizes[j] - ats[j]) * (num + den) >= num * (sizes[i] + sizes[j])
+        u, v = ids[i[ok]], ids[j[ok]]
+        out.append(np.unique(np.stack([np.minimum(u, v), np.maximum(u, v)], axis=1), axis=0))
+
+    for m in np.unique(many):
+        own = starts[many == m]
+        if m <= 64:  # many short groups at once
+            x, y = np.triu_indices(m, 1)
+            step = max(1, 2_000_000 // len(x))
+            for k in range(0, len(own), step):
+                judge((own[k : k + step, None] + x).ravel(), (own[k : k + step, None] + y).ravel())
+            continue
+        step = max(1, 2_000_000 // m)
+        for start in own:
+            for k in range(0, m, step):
+                x, y = np.nonzero(np.arange(k, min(m, k + step))[:, None] < np.arange(m)[None])
+                judge(start + k + x, start + y)
+    pairs = np.unique(np.concatenate(out), axis=0) if out else np.empty((0, 2), np.int64)
+    return pd.DataFrame({"u": pairs[:, 0], "v": pairs[:, 1]})
+
+
+def sharing_pairs(sets: DataFrame, least: Fraction) -> DataFrame:
+    """(u, v): every pair of sets (id, size, root, prefix, parts) with different roots that may reach the similarity, and others.
+    A token of many sets is cut into blocks, and each pair of blocks is a group of its own."""
+    each = sets.select("id", "size", "root", F.posexplode(F.arrays_zip("prefix", "parts")).alias("at", "t"))
+    each = each.select("id", "size", "root", "at", F.col("t.prefix").alias("token"), F.expr("pmod(xxhash64(id), t.parts)").alias("block"), F.explode(F.expr("sequence(0L, t.parts - 1)")).alias("other"))
+    dealt = each.select("token", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), "id", "size", "root", "at", "block")
 
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest: list[pd.DataFrame] = []
+        for b in batches:
+            if not len(b):
+                continue
+            last = (b[["token", "a", "b"]].to_numpy() == b[["token", "a", "b"]].to_numpy()[-1]).all(1)  # may go on in the next batch
+            same = rest and (rest[0][["token", "a", "b"]].iloc[0].to_numpy() == b[["token", "a", "b"]].iloc[0].to_numpy()).all()
+            if last.all() and (same or not rest):
+                rest.append(b)
+                continue
+            yield candidates(pd.concat([*rest, b[~last]], ignore_index=True), least)
+            rest = [b[last]]
+        if rest:
+            yield candidates(pd.concat(rest, ignore_index=True), least)
 
-def bits_apart(similarity: float) -> int:
-    """How many of the wide print's bits texts with this Jaccard similarity of shingles are expected to differ in."""
-    return round(64 * WIDE * np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    return dealt.repartition("token", "a", "b").sortWithinPartitions("token", "a", "b").mapInPandas(compare, "u long, v long").distinct()
 
 
-def key_links(prints: DataFrame, apart: int) -> DataFrame:
-    """(u, v): links between fingerprints whose texts share a least hash and whose wide prints are at most `apart` bits apart,
-    as spanning forests. A key with many texts is cut into blocks, and each pair of blocks is a group of its own."""
-    each = prints.select("fp", "wide", F.posexplode("keys").alias("which", "key"))
-    many = each.groupBy("which", "key").agg(F.count("*").alias("n")).where("n > 1")
-    both = each.join(many, ["which", "key"]).withColumn("blocks", F.expr(f"cast(ceil(n / {KEY_BLOCK}) as int)"))
-    both = both.withColumn("block", F.expr("cast(pmod(xxhash64(fp), blocks) as int)")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    pairs = both.select("which", "key", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), "block", "fp", "wide")
+def alike(pairs: DataFrame, texts: DataFrame, width: int, least: Fraction) -> DataFrame:
+    """Those of the pairs (u, v: ids) whose texts (id, text) have a similarity of `least` or more, from the shingles themselves."""
 
-    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest = None
-        for b in batches:
-            b = b if rest is None else pd.concat([rest, b], ignore_index=True)
-            last = b[["which", "key", "a", "b"]].iloc[-1] if len(b) else None
-            whole = (b[["which", "key", "a", "b"]] != last).any(axis=1) if last is not None else []
-            rest = b[~whole] if len(b) else None  # the group may go on in the next batch
-            yield as_links(groups_of(b[whole]) if len(b) else [])
-        yield as_links(groups_of(rest) if rest is not None else [])
-
-    def groups_of(rows: pd.DataFrame) -> list[tuple[int, int]]:
-        out: list[tuple[int, int]] = []
-        for (_, _, a, b), group in rows.groupby(["which", "key", "a", "b"], sort=False):
-            x = np.column_stack([group.fp.to_numpy().view(np.uint64), np.stack(group.wide.to_numpy()).view(np.uint64)])
-            block = group.block.to_numpy()
-            out += forest(x[block == a], x[block == b], apart)
-        return out
-
-    dealt = pairs.repartition("which", "key", "a", "b").sortWithinPartitions("which", "key", "a", "b")
-    return dealt.select("which", "key", "a", "b", "block", "fp", "wide").mapInPandas(compare, "u long, v long")
-
-
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, radius: int = 2) -> DataFrame:
+    @F.pandas_udf("array<long>")
+    def shingles(some: pd.Series) -> pd.Series:
+        return pd.Series([signed(np.unique(shingle_hashes(t, width))) for t in some], dtype=object)
+
+    pairs = stash(pairs, "candidates")
+    wanted = pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct()
+    sets = stash(texts.join(wanted, "id", "left_semi").select("id", shingles("text").alias("own")), "shingles")
+    both = pairs.join(sets.select(F.col("id").alias("u"), F.col("own").alias("x")), "u").join(sets.select(F.col("id").alias("v"), F.col("own").alias("y")), "v")
+    shared = F.size(F.array_intersect("x", "y")) * F.lit(least.numerator + least.denominator)
+    return both.where(shared >= (F.size("x") + F.size("y")) * F.lit(least.numerator)).select("u", "v")
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
     """One row of each group of near-copies, that with the smallest doc_id (of repeated rows, one); columns as they were.
 
-    Near-copies: texts whose fingerprints are at most `radius` bits apart, found exactly with the vantage-point tree; and, since
-    at 64 bits a similarity of 0.8 is about ten bits apart, where a tree prunes nothing, also texts that share one of KEYS least
-    hashes and whose prints of 64 * WIDE bits are as near as texts of that similarity are expected to be. Groups are the
-    components of all links. Texts without a word are one group. An empty table gives no rows.
+    Near-copies: texts whose sets of distinct shingles have a Jaccard similarity of `similarity` or more. All such pairs count
+    and no others. Equal sets are one first. Then sets that share a least hash with the head of its group are compared, so that
+    dense groups are joined by few pairs; then all pairs of sets not joined yet that share one of their rarest shingles, which
+    two sets of that similarity must. Groups are the components of all links. Texts without a word are one group. An empty
+    table gives no rows.
     """
-
-    @F.pandas_udf("fp long, wide array<long>, keys array<long>")
-    def sketched(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([sketch(t, width) for t in texts], columns=["fp", "wide", "keys"])
-
-    rows = stash(docs.select(F.monotonically_increasing_id().alias("row_id"), F.struct(*docs.columns).alias("kept"), sketched(F.col(text_col)).alias("s")), "sketched")
-    marked = rows.select("row_id", F.col(f"kept.{id_col}").alias("doc_id"), "s.fp", "s.wide", "s.keys")
-    least = F.struct("doc_id", "row_id")
-    prints = stash(marked.groupBy("fp").agg(F.min(least).alias("least"), F.min(F.struct(least, "wide", "keys")).alias("one")).select("fp", "least", "one.wide", "one.keys"), "distinct-prints")
-    links = hamming_links(prints.select("fp"), radius).union(key_links(prints, bits_apart(similarity)))
-    roots = components(stash(links, "links"))
-    groups = prints.join(roots, F.col("fp") == F.col("node"), "left").groupBy(F.coalesce("root", "fp").alias("root"))
+    least = Fraction(str(similarity))
+    counts = shingle_counts(docs.select(F.col(text_col).alias("text")), width)
+    shipped = docs.sparkSession.sparkContext.broadcast((counts, int(counts.mean())))  # COUNTS numbers
+
+    @F.pandas_udf("a long, b long, size long, keys array<long>, prefix array<long>, parts array<long>")
+    def shaped(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([shape(t, width, *shipped.value, least) for t in texts], columns=["a", "b", "size", "keys", "prefix", "parts"])
+
+    rows = stash(docs.select(F.monotonically_increasing_id().alias("row_id"), F.struct(*docs.columns).alias("kept"), shaped(F.col(text_col)).alias("s")), "shaped")
+    texts = rows.select(F.col("row_id").alias("id"), F.col(f"kept.{text_col}").alias("text"))
+    marked = rows.select("row_id", F.col(f"kept.{id_col}").alias("doc_id"), "s.*")
+    one = F.struct(F.col("row_id").alias("id"), "size", "keys", "prefix", "parts")
+    sets = marked.groupBy("a", "b").agg(F.min(F.struct("doc_id", "row_id")).alias("least"), F.min(one).alias("one"))
+    sets = stash(sets.select("least", "one.*"), "distinct-sets")
+    each = sets.select("id", "size", F.posexplode("keys").alias("which", "key"))
+    heads = each.groupBy("which", "key").agg(F.min(F.struct(F.xxhash64("which", "id"), "id", "size")).alias("head"), F.count("*").alias("n")).where("n > 1")
+    near = each.join(heads, ["which", "key"]).where(F.col("id") != F.col("head.id")).where(F.least("size", "head.size") * least.denominator >= F.greatest("size", "head.size") * least.numerator)
+    first = stash(alike(near.select(F.least("id", "head.id").alias("u"), F.greatest("id", "head.id").alias("v")).distinct(), texts, width, least), "links")
+    roots = components(first)
+    placed = sets.join(roots, F.col("id") == F.col("node"), "left").select("id", "size", F.coalesce("root", "id").alias("root"), "prefix", "parts")
+    links = stash(first.union(alike(sharing_pairs(placed, least), texts, width, least)), "links")
+    roots = components(links)
+    groups = sets.select("id", "least").join(roots, F.col("id") == F.col("node"), "left").groupBy(F.coalesce("root", "id").alias("root"))
     kept = stash(groups.agg(F.min("least").alias("least")).select(F.col("least.row_id").alias("row_id")), "kept")
     return rows.join(kept, "row_id", "left_semi").select("kept.*")

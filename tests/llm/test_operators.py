@@ -151,6 +151,32 @@ def test_drop_near_copies(spark, monkeypatch):
     assert {r.doc_id for r in out if r.source != "alone"} == {10 * g for g in range(12)}
 
 
+def test_near_copies_are_those_of_the_true_similarity(spark, monkeypatch):
+    """Against brute force: pairs of 0.75 to 0.85, chains and a shared passage, with lists in blocks and whole."""
+    rng = np.random.default_rng(8)
+    words = [f"w{i}" for i in range(3000)]
+    passage = [str(w) for w in rng.choice(words, 150)]
+    texts = ["", " ", "one", "One", "a b c d e f"]
+    for g in range(60):
+        base = [str(w) for w in rng.choice(words, 120)] + (passage if g % 3 == 0 else [])
+        texts.append(" ".join(base))
+        for changed in range(2 if g % 2 else 1, 5):
+            text = list(base)
+            for p in rng.choice(120, changed, replace=False):
+                text[int(p)] = f"z{rng.integers(10**6)}"
+            texts.append(" ".join(text))
+    sets = [set(simhash.shingle_hashes(t, 5).tolist()) for t in texts]
+    share = lambda x, y: len(x & y) / len(x | y) if x | y else 1.0
+    some = [share(sets[i], sets[j]) for i in range(len(sets)) for j in range(i)]
+    assert sum(0.75 <= s < 0.8 for s in some) > 10 and sum(0.8 <= s <= 0.85 for s in some) > 10
+    label = links_of(sets, lambda x, y: len(x & y) * 5 >= 4 * len(x | y))
+    want = {i for i, k in enumerate(label) if i == k}
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for block in (4, 4096):
+        monkeypatch.setattr(simhash, "KEY_BLOCK", block)
+        assert {r.doc_id for r in simhash.drop_near_copies(table).collect()} == want
+
+
 def test_fill():
     assert mixing.fill([100, 100, 100], [1, 2, 3]) == pytest.approx([50, 100, 150])
     assert mixing.fill([10, 1000], [100, 1]) == pytest.approx([30, 980])
