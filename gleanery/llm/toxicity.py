@@ -4,8 +4,9 @@ Two tags, clean and toxic. A token's features are its lower-cased form, its firs
 hashed. Documents are labelled, tokens are not: the words and beginnings of words that are pure signs of toxic documents and
 that together explain them (a greedy cover, so that what merely stands beside them in copies adds nothing) label their tokens
 toxic; all other tokens are labelled clean. The chain is fitted on a bounded sample of labelled rows (SAMPLE documents of each
-label, CHARACTERS in all, SEGMENTS segments of SEGMENT tokens), small enough for the driver. Scoring is a Spark job over whole texts: forward and backward over all tokens,
-then a logistic function of the largest marginal and of the marginals' sum.
+label, of each label CHARACTERS at most, dealt so that no document uses another's share, and SEGMENTS segments of SEGMENT
+tokens), small enough for the driver. Scoring is a Spark job over whole texts: forward and backward over all tokens, then a
+logistic function of the largest marginal and of the marginals' sum, which is fitted on the whole texts of the sample.
 """
 
 from __future__ import annotations
@@ -22,9 +23,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: The sample that the chain is fitted on: labelled documents of each label, characters, segments and their tokens; hashed
-#: weights; words a worker remembers.
-SAMPLE, CHARACTERS, SEGMENTS, SEGMENT, BUCKETS, REMEMBERED = 2000, 8_000_000, 16_000, 48, 1 << 18, 700_000
+from .common import stash
+
+#: The sample that the chain is fitted on: labelled documents of each label, characters of each label, segments and their
+#: tokens, characters of a token in a text that is not taken whole; hashed weights; words a worker remembers.
+SAMPLE, CHARACTERS, SEGMENTS, SEGMENT, LONGEST, BUCKETS, REMEMBERED = 2000, 4_000_000, 16_000, 48, 64, 1 << 18, 700_000
 TOKEN = re.compile(r"\w+")
 
 
@@ -118,14 +121,14 @@ def signs(parts: np.ndarray, lengths: np.ndarray, documents: list[tuple[np.ndarr
     return found
 
 
-def fit_chain(documents: Iterable[tuple[str, int]], epochs: int = 4, rate: float = 0.3, seed: int = 5) -> Chain:
-    """The chain from (text, label 0 or 1) pairs, by AdaGrad on the likelihood of the tags, then the logistic of the documents."""
+def fit_chain(documents: Iterable[tuple[list[str], int]], epochs: int = 4, rate: float = 0.3, seed: int = 5) -> Chain:
+    """The chain from (pieces of a text, label 0 or 1) pairs, by AdaGrad on the likelihood of the tags; without the logistic."""
     rng = np.random.default_rng(seed)
     words: dict[str, int] = {}
     as_ids, labels = [], []
-    for text, label in documents:
-        ids = np.array([words.setdefault(t, len(words)) for t in TOKEN.findall(text)], np.int32)
-        if len(ids):
+    for pieces, label in documents:
+        ids = [np.array([words.setdefault(t, len(words)) for t in TOKEN.findall(piece)], np.int32) for piece in pieces]
+        if any(map(len, ids)):
             as_ids.append(ids)
             labels.append(label)
     none = BUCKETS + 1  # pads the features of a token
@@ -136,10 +139,10 @@ def fit_chain(documents: Iterable[tuple[str, int]], epochs: int = 4, rate: float
         table[i, : len(own)] = [bucket(f) for f in own]
         table[i, 6] = BUCKETS
         parts[i, : len(own) - 1] = [names.setdefault(f, len(names)) for f in own[:-1]]
-    telling = signs(parts, np.array([len(f) for f in names], np.int64), [(np.unique(ids), y) for ids, y in zip(as_ids, labels, strict=True)])
+    telling = signs(parts, np.array([len(f) for f in names], np.int64), [(np.unique(np.concatenate(ids)), y) for ids, y in zip(as_ids, labels, strict=True)])
     toxic = (np.append(telling, False)[parts]).any(1).astype(float)
     del words, names, parts
-    segments = [(ids[i : i + SEGMENT], toxic[ids[i : i + SEGMENT]] * label) for ids, label in zip(as_ids, labels, strict=True) for i in range(0, len(ids), SEGMENT)]
+    segments = [(ids[i : i + SEGMENT], toxic[ids[i : i + SEGMENT]] * label) for own, label in zip(as_ids, labels, strict=True) for ids in own for i in range(0, len(ids), SEGMENT)]
     if len(segments) > SEGMENTS:  # as many with a toxic token as there are, up to half, and others by chance
         hot = rng.permutation([i for i, s in enumerate(segments) if s[1].any()])[: SEGMENTS // 2]
         cold = rng.permutation([i for i, s in enumerate(segments) if not s[1].any()])[: SEGMENTS - len(hot)]
@@ -163,10 +166,7 @@ def fit_chain(documents: Iterable[tuple[str, int]], epochs: int = 4, rate: float
             pull = np.array([[((1 - a) * (1 - b)).sum() - ((1 - ya) * (1 - yb)).sum(), ((1 - a) * b).sum() - ((1 - ya) * yb).sum()], [(a * (1 - b)).sum() - (ya * (1 - yb)).sum(), (a * b).sum() - (ya * yb).sum()]]) / len(some)
             seen_step += pull * pull
             step = np.clip(step - 0.1 * pull / np.sqrt(seen_step), -4, 4)
-    chain = Chain(w[: BUCKETS + 1].astype(np.float32), np.exp(step), np.zeros(3))
-    by_word = np.append(chain.weights, 0.0)[table].sum(1)
-    rows = [summary(marginals(by_word[ids], np.array([len(ids)]), chain.step)) for ids in as_ids]
-    return chain._replace(doc=logistic(np.array(rows or np.empty((0, 3))), np.array(labels, float)))
+    return Chain(w[: BUCKETS + 1].astype(np.float32), np.exp(step), np.zeros(3))
 
 
 def summary(p: np.ndarray) -> np.ndarray:
@@ -189,19 +189,71 @@ def held_out(id_col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 4 == 2, F.lit(False))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", each: int = SAMPLE) -> Iterator[tuple[str, int]]:
-    """At most `each` documents of either label and CHARACTERS characters, by the order of a hash; never a held-out one. A document with several labels
-    counts as toxic if one says so; null labels and ids and null texts give nothing."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", each: int = SAMPLE) -> DataFrame:
+    """(key, y, text): at most `each` documents of either label, by the order of a hash, with their whole texts; never a held-out
+    one. A document with several labels counts as toxic if one says so, of several texts it has the least; null labels and ids
+    and null texts give nothing."""
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(id_col)).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).alias("y"))
     picked = [known.where(F.col("y") == k).orderBy(F.xxhash64("id"), "id").limit(each) for k in (0, 1)]
     chosen = F.broadcast(picked[0].union(picked[1]))  # at most 2 * each ids
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null").join(chosen, "id")
-    left = CHARACTERS
-    for x in rows.select("text", "y").orderBy(F.xxhash64("id"), "id", "text").toLocalIterator():
-        yield x.text, int(x.y)
-        left -= len(x.text)
-        if left <= 0:
+    return rows.groupBy("id").agg(F.max("y").cast("int").alias("y"), F.min("text").alias("text")).select(F.xxhash64("id").alias("key"), "y", "text")
+
+
+def share(sizes: list[int], budget: int) -> int:
+    """The most that each may have so that all together have at most the budget."""
+    left = budget
+    for i, n in enumerate(sorted(sizes)):
+        if n * (len(sizes) - i) > left:
+            return left // (len(sizes) - i)
+        left -= n
+    return max(sizes, default=0)
+
+
+def pieces_of(text: str, key: int, most: int) -> list[str]:
+    """The text if it has at most `most` characters; else as many of its segments, by a hash over its whole length; one at least."""
+    if len(text) <= most:
+        return [text]
+    tokens = TOKEN.findall(text)
+    starts = range(0, len(tokens), SEGMENT)
+    out, left = [], most
+    for i in sorted(starts, key=lambda i: (zlib.crc32(f"{key}:{i}".encode()), i)):
+        piece = " ".join(t[:LONGEST] for t in tokens[i : i + SEGMENT])
+        left -= len(piece)
+        if left < 0 and out:
             break
+        out.append((i, piece))
+    return [piece for _, piece in sorted(out)]
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Chain:
+    """The chain and its logistic from the labelled sample. Without documents of both labels it knows no sign, and all score low."""
+    rows = stash(labelled_sample(docs, labels, id_col, text_col, label_col), "labelled")
+    sizes: dict[int, list[int]] = {0: [], 1: []}
+    for x in rows.select("y", F.length("text").alias("n")).collect():  # at most 2 * SAMPLE rows
+        sizes[x.y].append(x.n)
+    if not (sizes[0] and sizes[1]):
+        weights = np.zeros(BUCKETS + 1, np.float32)
+        weights[BUCKETS] = -4.0
+        return Chain(weights, np.ones((2, 2)), np.array([-4.0, 0.0, 0.0]))
+    most = {y: share(n, CHARACTERS) for y, n in sizes.items()}
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"key": b.key, "y": b.y, "pieces": pd.Series([pieces_of(t, k, most[y]) for k, y, t in zip(b.key, b.y, b.text, strict=True)], dtype=object)})
+
+    pieces = rows.mapInPandas(cut, "key long, y int, pieces array<string>").orderBy("key", "pieces")
+    chain = fit_chain((x.pieces, x.y) for x in pieces.toLocalIterator())
+    shipped = docs.sparkSession.sparkContext.broadcast(chain)
+
+    def summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = Emissions(shipped.value.weights)
+        for b in batches:
+            own = [(k, y, *summary(p)) for k, y, p in zip(b.key, b.y, scored(b.text, known, shipped.value)[0], strict=True) if len(p)]
+            yield pd.DataFrame(own, columns=["key", "y", "one", "most", "total"])
+
+    seen = sorted(tuple(x) for x in rows.mapInPandas(summed, "key long, y int, one double, most double, total double").collect())
+    return chain._replace(doc=logistic(np.array([x[2:] for x in seen]).reshape(-1, 3), np.array([x[1] for x in seen], float)))
 
 
 def scored(texts: pd.Series, known: Emissions, chain: Chain) -> tuple[list[np.ndarray], np.ndarray]:
@@ -248,12 +300,12 @@ def spans(text: str, p: np.ndarray, least: float = 0.5) -> list[dict]:
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
     """tag() with a chain fitted on the labelled rows that are not held out. Without labels of both kinds every score is 0.5
     or lower and no span is found; an empty table gives no rows."""
-    return tag(docs, fit_chain(labelled_sample(docs, labels, id_col, text_col, label_col)), id_col, text_col)
+    return tag(docs, fit(docs, labels, id_col, text_col, label_col), id_col, text_col)
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, most: float = 0.3, text_col: str = "text") -> DataFrame:
     """The rows of docs that score under `most`, columns as they were; each row is judged where it lies."""
-    shipped = docs.sparkSession.sparkContext.broadcast(fit_chain(labelled_sample(docs, labels, text_col=text_col)))
+    shipped = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, text_col=text_col))
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -285,6 +285,28 @@ def test_toxicity(spark, odd):
     assert toxicity.drop_toxic(docs, tags).count() == 320 and toxicity.drop_toxic(odd, tags).columns == odd.columns
 
 
+def test_long_texts_leave_the_sample_whole(spark, monkeypatch):
+    """One very long labelled text of either label, early in the order, takes nothing from the others."""
+    monkeypatch.setattr(toxicity, "CHARACTERS", 40_000)
+    rng = np.random.default_rng(5)
+    ids = [r.i for r in spark.range(400).select(F.col("id").alias("i")).where(~toxicity.held_out("id")).orderBy(F.xxhash64("i")).collect()]
+    clean = [f"plain{i}" for i in range(300)]
+    toxic = {i for i in range(400) if i % 4 == 0}
+    first = {next(i for i in ids if i in toxic), next(i for i in ids if i not in toxic)}
+    rows = []
+    for i in range(400):
+        text = list(rng.choice(clean, 30_000 if i in first else 40))
+        for p in rng.choice(40, 2 * (i in toxic), replace=False):
+            text[int(p)] = str(rng.choice(["scum", "grubbish"]))
+        rows.append((i, " ".join(text)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    tags = spark.createDataFrame([(i, int(i in toxic)) for i in range(400)], "doc_id long, toxic int")
+    kept = {r.doc_id for r in toxicity.drop_toxic(docs, tags).collect()}
+    assert kept == set(range(400)) - toxic
+    assert all(toxicity.drop_toxic(docs, tags.where(f"toxic = {k}")).count() == 400 for k in (0, 1))
+    assert toxicity.share([1, 100, 3], 10) == 6 and toxicity.share([1, 2], 10) == 2
+
+
 EMAIL, PHONE = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 CARD, IP = re.compile(r"[0-9]([\x20-]?[0-9])+"), re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 
