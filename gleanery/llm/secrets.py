@@ -188,22 +188,34 @@ def decoded(layer: Layer, parts: Parts, how: str) -> Layer:
     return Layer("".join(text), starts, ends, f"{layer.how}>{how}" if layer.how else how)
 
 
+def inner(layer: Layer) -> Iterator[tuple[str, int, int]]:
+    """Assignments within the value of another one, where a decoder made them."""
+    for m in ASSIGN.finditer(layer.text):
+        at = m.start(2)
+        while (own := ASSIGN.search(layer.text, at, m.end(2))) is not None:
+            if len(own[2]) >= 6 and any(layer.ends[i] - layer.starts[i] > 1 for i in range(own.start(), own.end())):
+                yield "assign", own.start(), own.end()
+            at = own.start(2)
+
+
 def scan(text: str | None) -> tuple[list[Finding], list[Finding]]:
     """Base findings, by start and then kind as listed, and those that only decoded layers show, by start, kind and end.
 
-    A finding of a deeper layer counts if no finding of its kind so far covers its span of the original.
+    A finding of a deeper layer counts if no finding so far has its kind, its span of the original and its value.
     """
     text = text or ""
     rank = {k: i for i, k in enumerate(KINDS)}
     base = sorted((Finding(k, a, b, text[a:b], "") for k, a, b in matches(text)), key=lambda f: (f.start, rank[f.kind]))
     more: list[Finding] = []
+    known = {(f.kind, f.start, f.end, f.value) for f in base}
     work, seen = [Layer(text, None, None, "")], {hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()}
     while work:
         layer = work.pop(0)
         if layer.how:
-            for k, a, b in matches(layer.text):
+            for k, a, b in (*matches(layer.text), *inner(layer)):
                 start, end = layer.origin(a, b)
-                if not any(f.kind == k and f.start <= start and end <= f.end for f in (*base, *more)):
+                if (k, start, end, layer.text[a:b]) not in known:
+                    known.add((k, start, end, layer.text[a:b]))
                     more.append(Finding(k, start, end, layer.text[a:b], layer.how))
         for how, decode in DECODERS.items():
             parts = decode(layer.text)

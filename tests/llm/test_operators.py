@@ -361,6 +361,14 @@ def test_secrets(odd, docs):
         assert all(f.layer == "" for f in r.base)
 
 
+def test_secrets_of_one_part_are_all_found():
+    packed = base64.b64encode(gzip.compress(b"password=hunter22 token=abcdefgh")).decode()
+    assert {f.value for f in secrets.scan(f"env {packed} end")[1]} == {"password=hunter22", "token=abcdefgh"}
+    inner = base64.b64encode(b"password=hunter22 ").decode()
+    base, more = secrets.scan(f"token={inner}")
+    assert len(base) == 1 and "password=hunter22" in {f.value for f in more}
+
+
 def test_hmm_is_exact():
     rng = np.random.default_rng(7)
     model = hmm.Model(rng.dirichlet(np.ones(3)), rng.dirichlet(np.ones(3), 3), rng.dirichlet(np.ones(5), 3).T)
