@@ -71,6 +71,8 @@ Parts = list[tuple[int, int, list[tuple[str, int, int]]]]
 _URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _UNICODE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|\\U[0-9A-Fa-f]{8})+|&#(?:[0-9]{1,7}|[xX][0-9A-Fa-f]{1,6});")
 _ESCAPE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})|\\U([0-9A-Fa-f]{8})")
+#: The least that a finding or an encoded part is made of; bytes without it can be neither.
+_RUN = re.compile(rb"[\t\x20-\x7e]{12}")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 
 
@@ -78,14 +80,13 @@ def url_parts(text: str) -> Parts:
     out: Parts = []
     for m in _URL.finditer(text) if "%" in text else ():
         raw = bytes.fromhex(m[0].replace("%", ""))
-        try:
-            pieces, at = [], m.start()
-            for c in raw.decode():
-                pieces.append((c, at, at + 3 * len(c.encode())))
-                at = pieces[-1][2]
+        pieces, at = [], m.start()
+        for c in raw.decode("utf-8", "surrogateescape"):
+            end = at + 3 * len(c.encode("utf-8", "surrogateescape"))
+            pieces.append((text[at:end] if "\udc80" <= c <= "\udcff" else c, at, end))  # a byte of no character stays as it is
+            at = end
+        if any(len(piece) == 1 for piece, _, _ in pieces):
             out.append((m.start(), m.end(), pieces))
-        except UnicodeDecodeError:
-            continue
     return out
 
 
@@ -146,21 +147,21 @@ def base64_parts(text: str) -> Parts:
             raw = base64.b64decode(body.replace("-", "+").replace("_", "/") + "=" * (-len(body) % 4), validate=True)
         except (binascii.Error, ValueError):
             continue
-        if (got := printable(raw)) is not None:
+        if (got := printable(raw)) is not None or unpack(raw) is None and _RUN.search(raw):
             pieces, at = [], 0
-            for c in got:  # the digits that hold the character's bytes
-                end = at + len(c.encode())
+            for c in got or raw.decode("latin-1"):  # the digits that hold the character's bytes
+                end = at + (len(c.encode()) if got else 1)
                 pieces.append((c, m.start() + at * 8 // 6, min(m.end(), m.start() + (end * 8 + 5) // 6)))
                 at = end
             out.append((m.start(), m.end(), pieces))
             continue
         for _ in range(64):  # compressed in compressed
-            if (inner := unpack(raw)) is None:
+            if (held := unpack(raw)) is None:
                 break
-            if (got := printable(inner)) is not None:
-                out.append((m.start(), m.end(), [(got, m.start(), m.end())]))
+            if (got := printable(held)) is not None or unpack(held) is None:
+                out.append((m.start(), m.end(), [(got or held.decode("utf-8", "replace"), m.start(), m.end())]))
                 break
-            raw = inner
+            raw = held
     return out
 
 

@@ -369,6 +369,13 @@ def test_secrets_of_one_part_are_all_found():
     assert len(base) == 1 and "password=hunter22" in {f.value for f in more}
 
 
+def test_secrets_beside_bytes_that_are_no_text():
+    coded = "".join(f"%{b:02x}" for b in b"password=hunter22")
+    assert [f.value for f in secrets.scan(f"x %E9{coded} y")[1]] == ["password=hunter22"]
+    for raw in (b"\x00\x01 password=hunter22 \x00", b"\xe9t\xe9 password=hunter22 ", gzip.compress(b"\x00" * 40 + b" password=hunter22 \xe9")):
+        assert [f.value for f in secrets.scan(f"x {base64.b64encode(raw).decode()} y")[1]] == ["password=hunter22"]
+
+
 def test_hmm_is_exact():
     rng = np.random.default_rng(7)
     model = hmm.Model(rng.dirichlet(np.ones(3)), rng.dirichlet(np.ones(3), 3), rng.dirichlet(np.ones(5), 3).T)
