@@ -16,6 +16,8 @@ from .common import CASED_BEYOND_ASCII, LOWER, UPPER, stash
 
 #: Cuts at sentence marks and line ends, whatever the letters' case.
 CHUNK = r"(?s).{128,2047}?[.!?\n]|.{1,2048}"
+#: A group of over 1/HOT of the rows is joined in several tasks; bytes of names of dropped rows that are sent to every executor.
+HOT, SHIPPED = 1000, 64 << 20
 
 
 def chunks(text: Column) -> Column:
@@ -61,13 +63,20 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256 and, if asked for, the columns in keep.
 
     Equal: identical after lower-casing A-Z; null counts as empty. The row with the largest doc_id stays (a null id is the
-    least; of repeated rows with that id, one). An empty table gives no rows. Other columns of docs, whatever their names,
-    take no part.
+    least; of repeated rows with that id, one). An empty table gives no rows. A very long text is a long list of chunks. Other
+    columns of docs, whatever their names, take no part.
     """
     listed = identified(chunk_recipes(docs, id_col, text_col, keep))
     # the count and the largest row of each list; a group of any size is summed before it is shuffled
     groups = listed.groupBy("ids").agg(F.count("*").alias("group_size"), F.max(F.struct("doc_id", "row_id")).alias("top"))
-    out = listed.join(groups.withColumnRenamed("ids", "same"), F.col("ids") == F.col("same"))
+    groups = stash(groups.withColumnRenamed("ids", "same"), "groups")
+    # a group with over 1/HOT of all rows is dealt out over as many salts as it has such shares; there are HOT such groups at most
+    part = F.ceil(F.col("group_size") * HOT / F.lit(max(1, listed.count()))).cast("int")
+    hot = groups.where(part > 1).select(F.xxhash64("same").alias("list"), part.alias("salts")).groupBy("list").agg(F.max("salts").alias("salts"))
+    salted = lambda rows, ids: rows.join(F.broadcast(hot), F.xxhash64(ids) == F.col("list"), "left").drop("list").withColumn("salts", F.coalesce("salts", F.lit(1)))
+    left = salted(listed, "ids").withColumn("salt", F.expr("cast(pmod(xxhash64(row_id), salts) as int)"))
+    right = salted(groups, "same").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+    out = left.join(right, (F.col("ids") == F.col("same")) & (F.col("salt") == F.col("other")))
     chosen = ["doc_id", F.col("top.doc_id").alias("keep_id"), "group_size", (F.col("row_id") == F.col("top.row_id")).alias("kept"), "text_sha256"]
     return out.select(*chosen, *([F.col(f"kept.{c}").alias(f"_{c}") for c in keep]))
 
@@ -75,21 +84,19 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the copies, columns as they were.
 
-    The rows that stay are named by their id and a hash of their text as it is, so no text is written on the way: docs is read
-    again and joined to these names. Repeated rows with one id and text share a name; of these one is kept.
+    What goes is named by its id and the SHA-256 of its text as it is; docs is read again without these names, so texts are not
+    moved while the names are few enough for every executor (SHIPPED bytes at most); beyond that they are joined. Repeated
+    rows with one id and text share a name; if one of them stays, one of them is kept.
     """
-    own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), mark_of(docs, text_col).alias("mark"))
-    found = exact_groups(own, keep=("mark",))
-    names = stash(found.groupBy("doc_id", "_mark").agg(F.bool_or("kept").alias("stays"), F.count("*").alias("rows")).where("stays"), "kept")
-
-    def named(some: DataFrame) -> DataFrame:
-        return docs.join(some, docs[id_col].eqNullSafe(some["doc_id"]) & (mark_of(docs, text_col) == some["_mark"]), "left_semi")
-
-    twice = names.where(F.col("rows") > 1)
+    mark = F.unhex(F.sha2(F.coalesce(docs[text_col], F.lit("")).cast("binary"), 256))
+    own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), mark.alias("mark"))
+    found = exact_groups(own, keep=("mark",)).where("group_size > 1")
+    names = stash(found.groupBy("doc_id", "_mark").agg(F.count_if("kept").alias("stay"), F.count("*").alias("rows")), "names")
+    named = lambda some: docs[id_col].eqNullSafe(some["doc_id"]) & (mark == some["_mark"])
+    gone, twice = names.where("stay = 0"), names.where("stay > 0 and rows > 1")
+    size = names.agg(F.sum(F.coalesce(F.octet_length(F.col("doc_id").cast("string")), F.lit(0)) + 48)).first()[0] or 0
+    shipped = F.broadcast if size <= SHIPPED else (lambda some: some)
     if twice.isEmpty():
-        return named(names)
-    return named(names.where(F.col("rows") == 1)).unionAll(named(twice).dropDuplicates([id_col, text_col]))
-
-
-def mark_of(docs: DataFrame, text_col: str) -> Column:
-    return F.xxhash64(docs[text_col], F.length(docs[text_col]))
+        return docs.join(shipped(gone), named(gone), "left_anti")
+    plain = docs.join(shipped(names.where("stay = 0 or rows > 1")), named(names), "left_anti")
+    return plain.unionAll(docs.join(shipped(twice), named(twice), "left_semi").dropDuplicates([id_col, text_col]))

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import stash
 
-MOST_BLOCKS, BLOCK_WORDS, SHARD_WORDS, SUBTREES = 4096, 20_000, 1_000_000, 64
+MOST_BLOCKS, BLOCK_WORDS, SHARD_WORDS, SUBTREES = 1 << 16, 20_000, 1_000_000, 64
 
 
 def word_count(text: Column) -> Column:
@@ -58,17 +58,47 @@ def split(quota: np.ndarray, low: int, high: int, seed: int, stop: int = 1) -> I
     yield from split(quota - left, middle, high, seed, stop)
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: dict[str | None, float] | None = None, cycle: Sequence[float] = (1, 2, 3), most: int = 3, seed: int = 17, keep: tuple[str, ...] = ()) -> DataFrame:
+def row_keys(docs: DataFrame) -> tuple[Column, Column]:
+    """Two longs that tell rows apart by what they hold, wherever they lie."""
+    own = [F.col(f"`{c}`") for c, kind in docs.dtypes if not kind.startswith(("map", "variant"))]
+    return F.xxhash64(F.lit(0), *own), F.xxhash64(F.lit(1), *own)
+
+
+def numbered(sized: DataFrame, equal: DataFrame) -> DataFrame:
+    """sized with n: a number from 0 among rows of one key (k1, k2), first by partition, so that no group lies in one task.
+    Equal rows are alike in all, so it does not matter which gets which number."""
+    if equal.isEmpty():
+        return sized.withColumn("n", F.lit(0).cast("long"))
+    some = sized.join(equal, ["k1", "k2"], "left_semi").withColumn("part", F.shiftright("at", 33))
+    own = some.withColumn("n", F.row_number().over(Window.partitionBy("k1", "k2", "part").orderBy("at")) - 1)
+    sums = some.groupBy("k1", "k2", "part").agg(F.count("*").alias("m"))
+    upto = Window.partitionBy("k1", "k2").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    before = sums.select("k1", "k2", "part", F.coalesce(F.sum("m").over(upto), F.lit(0)).alias("before"))
+    own = own.join(before, ["k1", "k2", "part"]).withColumn("n", F.col("n") + F.col("before"))
+    return sized.join(equal, ["k1", "k2"], "left_anti").withColumn("n", F.lit(0).cast("long")).unionByName(own.select(*sized.columns, "n"))
+
+
+def mix(docs: DataFrame, **options) -> DataFrame:
     """One row per row of docs: doc_id, source, size, source_size, target, and draws: array<struct<pass, shard, place>>, the
-    times it is taken, with its shard and its place in the shard's order; and the columns in keep, as _name.
+    times it is taken, with its shard and its place in the shard's order; k1 and k2, the row's key (see row_keys). Options: those
+    of _mixed after docs.
 
     weights gives each source's weight (0 where it has none); without it the weights in cycle repeat over the sources by code
     point, null last. A null source is a source of its own. Null and empty texts have size 0 and change no total; they are
-    taken as often as their block is. Repeated rows are taken each for itself. An empty table gives no rows.
+    taken as often as their block is. Repeated rows are taken each for itself. An empty table gives no rows. Rows are known by
+    what they hold, so reruns agree however the table is split or ordered. Of texts only sizes and hashes are written.
     """
+    return _mixed(docs, **options)[0]
+
+
+def _mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: dict[str | None, float] | None = None, cycle: Sequence[float] = (1, 2, 3), most: int = 3, seed: int = 17) -> tuple[DataFrame, DataFrame]:
+    """What mix() returns, and the keys of equal rows."""
     spark = docs.sparkSession
-    sized = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), F.struct(*keep).alias("kept") if keep else F.lit(None).cast("int").alias("kept"))
+    k1, k2 = row_keys(docs)
+    sized = docs.select(F.monotonically_increasing_id().alias("at"), k1.alias("k1"), k2.alias("k2"), F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
     sized = stash(sized, "sizes")
+    equal = stash(sized.groupBy("k1", "k2").count().where("count > 1").select("k1", "k2"), "equal")
+    sized = numbered(sized, equal).withColumn("row_id", F.xxhash64("k1", "k2", "n"))
     totals = sorted(((x.source, x.size) for x in sized.groupBy("source").agg(F.sum("size").alias("size")).collect()), key=lambda x: (x[0] is None, (x[0] or "").encode()))
     sizes = [x[1] for x in totals]
     weight = [(weights.get(s, 0.0) if weights else cycle[i % len(cycle)]) for i, (s, _) in enumerate(totals)]
@@ -76,7 +106,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     blocks = [max(1, min(MOST_BLOCKS, z // BLOCK_WORDS)) for z in sizes]
     table = spark.createDataFrame([(i, s, z, t, b, min(most, int(t // z)) if z else 0) for i, ((s, z), t, b) in enumerate(zip(totals, targets, blocks, strict=True))], "src int, name string, source_size long, target double, blocks int, whole int")
     rows = sized.join(F.broadcast(table), F.col("source").eqNullSafe(F.col("name")))  # one row a source
-    rows = rows.withColumn("block", F.expr(f"cast(pmod(xxhash64({seed}, doc_id, size, row_id), blocks) as int)"))
+    rows = rows.withColumn("block", F.expr(f"cast(pmod(xxhash64({seed}, row_id), blocks) as int)"))
 
     # the draws of the last, partial pass: blocks by a permuted order until the rest of the target is met
     per_block = rows.groupBy("src", "block").agg(F.sum("size").alias("words"), F.first("whole").alias("whole"), F.first("target").alias("target"), F.first("source_size").alias("source_size"))
@@ -112,25 +142,40 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     # the one of the others that brings the source nearest to its target, if it does
     rows = rows.join(stash(by_block, "draws"), ["src", "block"])
     own = Window.partitionBy("src", "block")
-    part = rows.where("left > 0 and left < block_words").select("row_id", "src", "block", "size", "left", F.expr(f"xxhash64({seed} + 3, row_id, doc_id)").alias("mixed"))
-    part = part.withColumn("upto", F.sum("size").over(own.orderBy("mixed", "row_id").rowsBetween(Window.unboundedPreceding, 0)))
+    part = rows.where("left > 0 and left < block_words").select("k1", "k2", "n", "src", "block", "size", "left", F.expr(f"xxhash64({seed} + 3, row_id)").alias("mixed"))
+    order = ["mixed", "k1", "k2", "n"]
+    part = part.withColumn("upto", F.sum("size").over(own.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
     part = part.withColumn("gap", F.col("left") - F.coalesce(F.max(F.expr("if(upto <= left, upto, null)")).over(own), F.lit(0)))
     part = part.where("upto > left").withColumn("off", F.abs(F.col("gap") - F.col("size")))
-    part = part.withColumn("nearest", F.row_number().over(own.orderBy("off", "mixed", "row_id"))).where("nearest > 1 or off >= gap").select("row_id", F.lit(True).alias("beyond"))
-    rows = rows.join(part, "row_id", "left")
+    part = part.withColumn("nearest", F.row_number().over(own.orderBy("off", *order))).where("nearest > 1 or off >= gap").select("k1", "k2", "n", F.lit(True).alias("beyond"))
+    rows = rows.join(part, ["k1", "k2", "n"], "left")
     mine = F.filter("drawn", lambda d: (d["pass"] < F.col("whole")) | F.col("beyond").isNull())
     placed = F.transform(mine, lambda d: F.struct(d["pass"].alias("pass"), d["shard"].alias("shard"), F.xxhash64(F.lit(seed), d["shard"], d["pass"], F.col("row_id")).alias("place")))
-    return rows.select("doc_id", "source", "size", "source_size", "target", placed.alias("draws"), *[F.col(f"kept.{c}").alias(f"_{c}") for c in keep])
+    return rows.select("doc_id", "source", "size", "source_size", "target", F.array_sort(placed).alias("draws"), "k1", "k2"), equal
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: each document once for each time it is taken, columns as they were, then its shard and place (its order in
-    the shard); these names take underscores where docs has them already. Options as for mix()."""
+    the shard); these names take underscores where docs has them already. Options as for mix(). The texts are read once more
+    and joined to their draws by the rows' keys; equal rows are one text with all their draws."""
     names = []
     for name in ("shard", "place"):
         while name in docs.columns:
             name += "_"
         names.append(name)
-    out = mix(docs, keep=tuple(docs.columns), **options)
-    own = [F.col(f"_{c}").alias(c) for c in docs.columns]
-    return out.select(*own, F.explode("draws").alias("_draw")).select(*docs.columns, *[F.col(f"_draw.{a}").alias(b) for a, b in zip(("shard", "place"), names, strict=True)])
+    own = "_"
+    while any(c.startswith(own) for c in docs.columns):
+        own += "_"
+    a, b, c, d = (own + x for x in ("k1", "k2", "d1", "d2"))
+    mixed, equal = _mixed(docs, **options)
+    draws = mixed.select(F.col("k1").alias(c), F.col("k2").alias(d), F.explode("draws").alias("draw"))
+    draws = stash(draws.select(c, d, F.col("draw.shard").alias(own + names[0]), F.col("draw.place").alias(own + names[1])), "taken")
+    k1, k2 = row_keys(docs)
+    keyed = docs.withColumns({a: k1, b: k2})
+    if not equal.isEmpty():  # of equal rows one stands for all
+        same = (F.col(a) == F.col("k1")) & (F.col(b) == F.col("k2"))
+        equal = equal.select("k1", "k2")
+        one = keyed.join(equal, same, "left_semi").dropDuplicates([a, b])
+        keyed = keyed.join(equal, same, "left_anti").unionByName(one)
+    out = keyed.join(draws, (F.col(a) == F.col(c)) & (F.col(b) == F.col(d)))
+    return out.select(*[F.col(f"`{x}`") for x in docs.columns], *[F.col(own + x).alias(x) for x in names])

@@ -17,13 +17,18 @@ from pyspark.sql import functions as F
 
 from .common import stash
 
-#: Pieces a group; words a Python worker remembers (about 200 bytes each).
-GROUP, REMEMBERED = 8192, 700_000
+#: Pieces a group; words a task remembers (about 200 bytes each).
+GROUP, REMEMBERED = 8192, 100_000
+
+
+#: Words by which a tokenizer shows whether it may be given words one by one.
+_PROBES = (["Some", "Words,", "don't", "x1", "1,000", "Zürich", "naïve"], ["(a)", "B-c", "é", "…", "中文", "__init__", "A"], ["\u00a0x", "I'm", "42%", "http://a.b/C?d=E", "?!"])
 
 
 class WordTokens(dict):
-    """Word (a run without white space) to its ids as little-endian uint32 bytes. Exact where no token spans white space, as
-    in a vocabulary whose pre-tokenizer drops white space; words are tokenized once for each worker."""
+    """Word (a run without white space) to its ids as little-endian uint32 bytes. `split` says whether the tokenizer's own
+    settings make that exact: it drops white space before any token is made, lower-cases, and shows bytes as byte-level BPE
+    does. Without that, whole texts go to the tokenizer."""
 
     def __init__(self, path: str):
         import re
@@ -33,12 +38,16 @@ class WordTokens(dict):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.model, self.parts = self.tokenizer.model, {}
+        self.split = all(self.encoded(" ".join(ws)) == b"".join(map(self.encoded, ws)) for ws in _PROBES) and all(self.encoded(w) == self.encoded(w.lower()) for ws in _PROBES for w in ws)
         # plain words: letters whose lower case is one character of the same kind, then common marks
         self.plain = re.compile(r"([a-zA-Z\xdf-\xf6\xf8-\xff\xc0-\xd6\xd8-\xde]+)([.,;:!?|\"()-]*)").fullmatch
         own = [*range(33, 127), *range(161, 173), *range(174, 256)]  # fixed values: byte-level BPE shows these bytes as themselves
         rest = [b for b in range(256) if b not in own]
         self.shown = {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
+    def encoded(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
     def part(self, part: str) -> bytes:
         found = self.parts.get(part)
         if found is None:
@@ -55,26 +64,17 @@ class WordTokens(dict):
         if m:
             found = self.part(m[1].lower()) + (self.part(m[2]) if m[2] else b"")
         else:
-            found = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+            found = self.encoded(word)
         self[word] = found
         return found
 
     def ids(self, text: str | None) -> np.ndarray:
         text = text or ""
-        if any(c in text for c in "\x1c\x1d\x1e\x1f"):  # white space for str.split(), not for the tokenizer
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+        if not self.split or any(c in text for c in "\x1c\x1d\x1e\x1f"):  # white space for str.split(), not for the tokenizer
+            return np.frombuffer(self.encoded(text), "<u4")
         return np.frombuffer(b"".join(map(self.__getitem__, text.split())), "<u4")
 
 
-_loaded: dict[str, WordTokens] = {}
-
-
-def word_tokens(path: str) -> WordTokens:
-    if path not in _loaded:
-        _loaded[path] = WordTokens(path)
-    return _loaded[path]
-
-
 def tokenizer_path() -> str:
     from public_tokenizers import path
 
@@ -86,20 +86,19 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", toke
     tokenizer = tokenizer or tokenizer_path()
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = word_tokens(tokenizer)
+        known = WordTokens(tokenizer)
         for b in batches:
             rows = []
             for doc, text in b.itertuples(index=False):
                 ids = np.append(known.ids(text), np.uint32(end_id)).astype("<u4")
                 for k, start in enumerate(range(0, len(ids), tokens)):
                     own = ids[start : start + tokens]
-                    rows.append((None if doc is None or doc is pd.NA or doc != doc else int(doc), k, start, len(own), zlib.crc32(own.tobytes()), *([own.astype(np.int64)] if with_ids else [])))
-            out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])])
-            out["doc_id"] = out.doc_id.astype("Int64")
-            yield out
+                    rows.append((doc, k, start, len(own), zlib.crc32(own.tobytes()), *([own.astype(np.int64)] if with_ids else [])))
+            yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])])
 
-    chosen = docs.select(F.col(id_col).cast("long").cast("string").alias("doc_id"), F.col(text_col).alias("text"))
-    return chosen.mapInPandas(cut, "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids array<long>" if with_ids else ""))
+    chosen = docs.select(F.col(id_col).cast("string").alias("doc_id"), F.col(text_col).alias("text"))
+    cut_up = chosen.mapInPandas(cut, "doc_id string, piece int, start long, length long, ids_crc32 long" + (", ids array<long>" if with_ids else ""))
+    return cut_up.withColumn("doc_id", F.col("doc_id").cast(docs.schema[id_col].dataType))
 
 
 def best_fit(lengths: np.ndarray, tokens: int, most_docs: int, most_attention: int, weights: Sequence[float] = (1.0, 0.05, 0.05), rule: str = "norm") -> tuple[np.ndarray, np.ndarray]:

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stash
+from .common import let, starts, stash
 
 #: The base kinds in the order of the results, and their patterns. Nothing follows the repeats, so they need not
 #: give back (++); that keeps the matcher's stack flat on long runs.
@@ -36,16 +36,15 @@ SPAN = "array<struct<kind:int,start:long,end:long,value:string>>"
 
 
 def matches(text: Column, pattern: str, kind: int) -> Column:
-    """All leftmost non-overlapping matches as spans; the text must not hold the mark."""
+    """All leftmost non-overlapping matches as spans; the text must not hold the mark. Work grows with the text's length."""
     parts = F.split(F.regexp_replace(text, F.lit(f"({pattern})"), F.lit(f"{_MARK}$1{_MARK}")), _MARK, -1)
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit(False).alias("inside"), F.array().cast(SPAN).alias("found"))
 
-    def step(acc: Column, part: Column) -> Column:
-        end = acc["at"] + F.length(part)
-        span = F.struct(F.lit(kind).alias("kind"), acc["at"].alias("start"), end.alias("end"), part.alias("value"))
-        return F.struct(end.alias("at"), (~acc["inside"]).alias("inside"), F.when(acc["inside"], F.concat(acc["found"], F.array(span))).otherwise(acc["found"]).alias("found"))
+    def spans(parts: Column) -> Column:  # every second part is a match
+        each = F.arrays_zip(parts.alias("part"), starts(F.transform(parts, F.length)).alias("at"))
+        hits = F.filter(each, lambda x, i: i % 2 == 1)
+        return F.transform(hits, lambda x: F.struct(F.lit(kind).alias("kind"), x["at"].alias("start"), (x["at"] + F.length(x["part"])).alias("end"), x["part"].alias("value")))
 
-    return F.aggregate(parts, start, step, lambda acc: acc["found"])
+    return let(parts, spans)
 
 
 def unmarked(text: Column) -> Column:

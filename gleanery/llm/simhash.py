@@ -1,10 +1,13 @@
 """SimHash near-dedup: 64-bit fingerprints, linked at a Hamming distance of at most `radius` with a vantage-point tree.
 
-A tree of vantage points is fitted on a bounded sample of the distinct fingerprints; its leaves are the shards. Each
-fingerprint lives in one shard and also visits every shard that a ball of `radius` around it overlaps: by the triangle
-inequality nothing nearer can lie elsewhere. In a shard all visitors are held against all residents, and a spanning forest of
-the links found goes out (not all pairs, so a dense group of k costs k - 1 rows). Large shards are cut into blocks of
-residents; every visitor goes to every block. Components of the forest are those of all links.
+A tree of vantage points is fitted on a bounded sample of the distinct fingerprints; its leaves are the shards. At each node
+what lies within the limit goes inside and the rest outside; of the rest, what lies within `radius` of the limit goes inside,
+too. By the triangle inequality two linked fingerprints then meet in a shard: both within the limit or both beyond it meet by
+themselves, and else the one beyond is near enough to the limit to go inside. (One side alone is doubled, so a level adds
+about a fifth to the rows and not two fifths.) In its task a shard grows the tree on, in the same way, until few fingerprints
+are left to compare with one another, so work stays far from quadratic however large shards are. What goes out is a spanning
+forest of the links found (not all pairs: a dense group of k costs k - 1 rows); its components are those of all links. Where
+no vantage point parts a dense group, it is compared in blocks, each a task.
 """
 
 from __future__ import annotations
@@ -21,9 +24,10 @@ from pyspark.sql import functions as F
 
 from .common import components, stash
 
-#: Distinct fingerprints a shard should hold, shards at most (the tree is broadcast: 24 bytes a node), sampled
-#: fingerprints for each shard, residents in a block.
-SHARD, MOST_SHARDS, SAMPLE_EACH, BLOCK = 1500, 4096, 12, 8192
+#: Distinct fingerprints a shard should hold, leaves of the tree that is broadcast (24 bytes a node; below them shards grow
+#: their own), sampled fingerprints for each shard, fingerprints that are compared with one another at once, and those in a
+#: block of a group that no vantage point parts.
+SHARD, MOST_SHARDS, SAMPLE_EACH, FEW, BLOCK = 4096, 1 << 16, 24, 400, 1 << 15
 #: Of drop_near_copies: buckets in which shingles are counted and the pieces they travel in, least hashes by which dense groups
 #: are joined first, and sets in a block of a shingle's list. None of them changes what is linked.
 COUNTS, PARTS, KEYS, KEY_BLOCK = 1 << 20, 16, 6, 4096
@@ -62,29 +66,38 @@ def fingerprint(text: Column, width: int) -> Column:
     return of(text)
 
 
+def vantage(some: np.ndarray, radius: int, rng: np.random.Generator) -> tuple[int, int] | None:
+    """(vantage point, limit) that part the fingerprints best: the fewest doubled rows for what the split tells. None if no
+    split of those tried is worth its rows, as in a dense group. Judged on 1,024 fingerprints at most."""
+    best, seen = None, some if len(some) <= 1024 else rng.choice(some, 1024)
+    for point in rng.choice(some, min(6, len(some)), replace=False):
+        upto = np.cumsum(np.bincount(np.bitwise_count(seen ^ point), minlength=65 + radius)) / len(seen)
+        inside, edge = upto[:65], upto[radius:] - upto[: len(upto) - radius]
+        good = np.nonzero((inside >= 0.1) & (inside <= 0.9) & (edge[:65] <= 0.5))[0]
+        if len(good):
+            x = inside[good]
+            cost = np.log2(1 + edge[good]) / -(x * np.log2(x) + (1 - x) * np.log2(1 - x))
+            k = int(cost.argmin())
+            if best is None or cost[k] < best[0]:
+                best = (cost[k], int(point), int(good[k]))
+    return best and best[1:]
+
+
 def fit_tree(sample: np.ndarray, shards: int, radius: int, seed: int = 1) -> list[tuple[int, int, int, int]]:
-    """Nodes (vantage, limit, inside, outside); a child below zero is the shard -child - 1. Of eight vantage points the one
-    whose middle limits have the fewest fingerprints within `radius` of the edge is taken; those visit both sides."""
+    """Nodes (vantage, limit, inside, outside); a child below zero is the shard -child - 1."""
     rng, nodes, leaves = np.random.default_rng(seed), [], 0
 
     def grow(some: np.ndarray, want: int) -> int:
         nonlocal leaves
-        best = None
-        if want > 1 and len(some) > 1:
-            for vantage in rng.choice(some, min(8, len(some)), replace=False):
-                far = np.bitwise_count(some ^ vantage).astype(int)
-                for limit in np.unique(np.quantile(far, [0.4, 0.5, 0.6]).astype(int)):
-                    inside = (far <= limit).mean()
-                    if 0.2 <= inside <= 0.8 and (best is None or best[0] > ((far > limit - radius) & (far <= limit + radius)).mean()):
-                        best = (((far > limit - radius) & (far <= limit + radius)).mean(), vantage, int(limit), far <= limit)
+        best = vantage(some, radius, rng) if want > 1 and len(some) > 1 else None
         if best is None:
             leaves += 1
             return -leaves
         at = len(nodes)
         nodes.append((0, 0, 0, 0))
-        inside = best[3]
-        share = min(want - 1, max(1, round(want * float(inside.mean()))))
-        nodes[at] = (int(best[1]), best[2], grow(some[inside], share), grow(some[~inside], want - share))
+        within = np.bitwise_count(some ^ np.uint64(best[0])) <= best[1]
+        share = min(want - 1, max(1, round(want * float(within.mean()))))
+        nodes[at] = (*best, grow(some[within], share), grow(some[~within], want - share))
         return at
 
     grow(sample, shards)
@@ -92,7 +105,7 @@ def fit_tree(sample: np.ndarray, shards: int, radius: int, seed: int = 1) -> lis
 
 
 def route(nodes: list[tuple[int, int, int, int]], prints: np.ndarray, slack: int) -> tuple[np.ndarray, np.ndarray]:
-    """(position in prints, shard): the shards that a ball of `slack` overlaps; at slack 0 the shard that it lives in."""
+    """(position in prints, shard): the shard that each lives in, and those that it goes to for being within `slack` of a limit."""
     if not nodes:
         return np.arange(len(prints)), np.zeros(len(prints), np.int64)
     found, todo = [], [(0, np.arange(len(prints)))]
@@ -103,25 +116,20 @@ def route(nodes: list[tuple[int, int, int, int]], prints: np.ndarray, slack: int
         if at < 0:
             found.append((own, np.full(len(own), -at - 1)))
             continue
-        vantage, limit, inside, outside = nodes[at]
-        far = np.bitwise_count(prints[own] ^ np.uint64(vantage)).astype(int)
-        todo += [(inside, own[far - slack <= limit]), (outside, own[far + slack > limit])]
+        point, limit, inside, outside = nodes[at]
+        far = np.bitwise_count(prints[own] ^ np.uint64(point)).astype(int)
+        todo += [(inside, own[far <= limit + slack]), (outside, own[far > limit])]
     return np.concatenate([x[0] for x in found] or [np.empty(0, int)]), np.concatenate([x[1] for x in found] or [np.empty(0, int)])
 
 
 def forest(visitors: np.ndarray, residents: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links between visitors and residents, as pairs of names. Rows: a name, then the words of the
-    print that distances are taken of (for a fingerprint, the name is the print)."""
-    nodes, first, inverse = np.unique(np.concatenate([visitors[:, 0], residents[:, 0]]), return_index=True, return_inverse=True)
-    prints = np.concatenate([visitors, residents])[first, 1:]
+    """A spanning forest of the links between visitors and residents."""
+    nodes, inverse = np.unique(np.concatenate([visitors, residents]), return_inverse=True)
     v, r = inverse[: len(visitors)], inverse[len(visitors) :]
     label, out, step = np.arange(len(nodes)), [], max(1, 2_000_000 // max(1, len(r)))
     for i in range(0, len(v), step):
         own = v[i : i + step]
-        far = np.bitwise_count(prints[own, None, 0] ^ prints[None, r, 0])
-        for w in range(1, prints.shape[1]):
-            far = far.astype(np.int16) + np.bitwise_count(prints[own, None, w] ^ prints[None, r, w])
-        a, b = np.nonzero(far <= radius)
+        a, b = np.nonzero(np.bitwise_count(nodes[own, None] ^ nodes[None, r]) <= radius)
         a, b = own[a], r[b]
         new = label[a] != label[b]
         if not new.any():
@@ -147,6 +155,20 @@ def forest(visitors: np.ndarray, residents: np.ndarray, radius: int) -> list[tup
     return [(int(nodes[x]), int(nodes[y])) for x, y in out]
 
 
+def links_among(prints: np.ndarray, radius: int, seed: int = 2) -> list[tuple[int, int]]:
+    """The links among some fingerprints as spanning forests of the leaves of a tree of their own."""
+    rng, out, todo = np.random.default_rng(seed), [], [prints]
+    while todo:
+        own = todo.pop()
+        best = vantage(own, radius, rng) if len(own) > FEW else None
+        if best is None:
+            out += forest(own, own, radius) if len(own) > 1 else []
+            continue
+        far = np.bitwise_count(own ^ np.uint64(best[0])).astype(int)
+        todo += [own[far <= best[1] + radius], own[far > best[1]]]
+    return out
+
+
 def signed(x: np.ndarray) -> np.ndarray:
     return np.asarray(x, np.uint64).view(np.int64)
 
@@ -160,40 +182,30 @@ def hamming_links(prints: DataFrame, radius: int = 2) -> DataFrame:
     """(u, v): links between distinct fingerprints (column fp: long) at most `radius` bits apart, as spanning forests of the
     shards; their components are those of all links. No fingerprint: no row."""
     n = prints.count()
-    shards = min(MOST_SHARDS, -(-n // SHARD))
+    shards = min(MOST_SHARDS, max(2, -(-n // SHARD)))
     nodes: list[tuple[int, int, int, int]] = []
-    if shards > 1:
+    if n:
         some = prints.where(F.expr(f"pmod(xxhash64(fp, 11), 1000000) < {min(1.0, shards * SAMPLE_EACH / n) * 1e6}")).select("fp")
         nodes = fit_tree(np.sort(np.array([x.fp for x in some.collect()], np.int64)).view(np.uint64), shards, radius)
 
-    def homes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({"shard": route(nodes, b.fp.to_numpy().view(np.uint64), 0)[1]})
-
-    blocks = {x.shard: -(-x["count"] // BLOCK) for x in prints.select("fp").mapInPandas(homes, "shard long").groupBy("shard").count().collect()}
-
-    def visits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        most = np.array([blocks.get(k, 1) for k in range(max([0, *blocks]) + 1)] or [1])
+    def members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             x = b.fp.to_numpy().view(np.uint64)
-            home = np.empty(len(x), np.int64)
-            at, shard = route(nodes, x, 0)
-            home[at] = shard
             at, shard = route(nodes, x, radius)
-            keep = np.isin(shard, list(blocks))  # a shard that nobody lives in has nothing to find
-            at, shard = at[keep], shard[keep]
-            many = most[shard]
-            at, shard, block = np.repeat(at, many), np.repeat(shard, many), np.concatenate([np.arange(k) for k in many] or [np.empty(0, int)])
-            own = (home[at] == shard) & ((x[at] % most[shard].astype(np.uint64)).astype(np.int64) == block)
-            yield pd.DataFrame({"shard": shard, "block": block, "fp": signed(x[at]), "own": own})
+            yield pd.DataFrame({"shard": shard, "fp": signed(x[at])})
+
+    dealt = stash(prints.select("fp").mapInPandas(members, "shard long, fp long"), "members")
+    some = dealt.groupBy("shard").count().where(F.col("count") > BLOCK)
+    large = stash(some.select(F.col("shard").alias("of"), F.ceil(F.col("count") / BLOCK).alias("blocks")), "large-shards")
+    # in a large shard each fingerprint is compared with those of one block for each task
+    wide = dealt.join(large, F.col("shard") == F.col("of"), "left").withColumn("blocks", F.coalesce("blocks", F.lit(1).cast("long")))
+    each = wide.withColumn("own", F.expr("pmod(xxhash64(fp, 5), blocks)")).withColumn("block", F.explode(F.expr("sequence(0L, blocks - 1)")))
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
-        x = group.fp.to_numpy().view(np.uint64)
-        x = np.stack([x, x], axis=1)
-        return as_links(forest(x, x[group.own.to_numpy()], radius))
+        x, own = group.fp.to_numpy().view(np.uint64), (group.own == group.block).to_numpy()
+        return as_links(links_among(x, radius) if own.all() else forest(x, x[own], radius))
 
-    dealt = prints.select("fp").mapInPandas(visits, "shard long, block long, fp long, own boolean")
-    return dealt.groupBy("shard", "block").applyInPandas(compare, "u long, v long")
+    return each.select("shard", "block", "own", "fp").groupBy("shard", "block").applyInPandas(compare, "u long, v long")
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 2) -> DataFrame:

@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from .common import stash
 
 #: The sample that the chain is fitted on: labelled documents of each label, characters of each label, segments and their
-#: tokens, characters of a token in a text that is not taken whole; hashed weights; words a worker remembers.
-SAMPLE, CHARACTERS, SEGMENTS, SEGMENT, LONGEST, BUCKETS, REMEMBERED = 2000, 4_000_000, 16_000, 48, 64, 1 << 18, 700_000
+#: tokens, characters of a token in a text that is not taken whole; hashed weights; words a task remembers.
+SAMPLE, CHARACTERS, SEGMENTS, SEGMENT, LONGEST, BUCKETS, REMEMBERED = 2000, 4_000_000, 16_000, 48, 64, 1 << 18, 60_000
 TOKEN = re.compile(r"\w+")
 
 
@@ -253,6 +253,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             yield pd.DataFrame(own, columns=["key", "y", "one", "most", "total"])
 
     seen = sorted(tuple(x) for x in rows.mapInPandas(summed, "key long, y int, one double, most double, total double").collect())
+    shipped.destroy()
     return chain._replace(doc=logistic(np.array([x[2:] for x in seen]).reshape(-1, 3), np.array([x[1] for x in seen], float)))
 
 
@@ -298,8 +299,8 @@ def spans(text: str, p: np.ndarray, least: float = 0.5) -> list[dict]:
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
-    """tag() with a chain fitted on the labelled rows that are not held out. Without labels of both kinds every score is 0.5
-    or lower and no span is found; an empty table gives no rows."""
+    """tag() with a chain fitted on the labelled rows that are not held out. Without labels of both kinds nothing tells toxic
+    from clean: every score is 0.018, no document is predicted toxic and no span is found. An empty table gives no rows."""
     return tag(docs, fit(docs, labels, id_col, text_col, label_col), id_col, text_col)
 
 

@@ -116,11 +116,12 @@ def test_near_groups(odd, docs):
         assert collections.Counter((r.doc_id, r.fp % (1 << 64), r.component_id) for r in got) == want
 
 
-@pytest.mark.parametrize("radius", [1, 2, 5])
-def test_tree_finds_every_link(spark, monkeypatch, radius):
-    """Small shards and blocks, many of them, dense and sparse fingerprints."""
-    monkeypatch.setattr(simhash, "SHARD", 40)
-    monkeypatch.setattr(simhash, "BLOCK", 16)
+@pytest.mark.parametrize(("radius", "block"), [(1, 16), (2, 16), (2, 1 << 15), (5, 1 << 15)])
+def test_tree_finds_every_link(spark, monkeypatch, radius, block):
+    """Small shards, leaves and blocks, many of them, dense and sparse fingerprints."""
+    monkeypatch.setattr(simhash, "SHARD", 40 if block == 16 else 200)
+    monkeypatch.setattr(simhash, "FEW", 8)
+    monkeypatch.setattr(simhash, "BLOCK", block)
     rng = np.random.default_rng(radius)
     middle = rng.integers(0, 1 << 63, 12, dtype=np.uint64)
     dense = [int(m) ^ sum(1 << int(b) for b in rng.choice(63, rng.integers(0, 6), replace=False)) for m in middle for _ in range(40)]
@@ -213,6 +214,38 @@ def test_mix(odd, docs, monkeypatch):
     assert mixing.mixed_documents(docs).columns == [*docs.columns, "shard", "place"]
 
 
+def test_the_mix_does_not_depend_on_where_rows_lie(spark, odd, docs, monkeypatch, tmp_path):
+    monkeypatch.setattr(mixing, "BLOCK_WORDS", 500)
+    monkeypatch.setattr(mixing, "SHARD_WORDS", 5000)
+    again = docs.unionByName(docs.limit(3)).unionByName(docs.where("doc_id = 7"))
+    for table in (odd, again):
+        whole = table.collect()
+        np.random.default_rng(1).shuffle(whole)
+        spark.createDataFrame(whole, table.schema).repartition(3).write.parquet(f"{tmp_path}/{len(whole)}")
+        layouts = [table.coalesce(1), table.repartition(4), table.repartition(7, "text"), spark.read.parquet(f"{tmp_path}/{len(whole)}")]
+        key = lambda r: (str(r.doc_id), r.size, r.taken, str(r.draws))
+        found = [sorted(map(key, mixing.mix(t).withColumn("taken", F.size("draws")).drop("row_id").collect())) for t in layouts]
+        assert all(x == found[0] for x in found[1:])
+        wide = table.withColumn("_k1", F.lit(1)).withColumn("shard", F.lit(2))
+        drawn = collections.Counter()
+        for r in mixing.mix(wide).collect():
+            drawn[r.doc_id] += len(r.draws)
+        mixed = mixing.mixed_documents(wide)
+        assert mixed.columns == [*table.columns, "_k1", "shard", "shard_", "place"]
+        assert collections.Counter(r.doc_id for r in mixed.collect()) == +drawn
+
+
+def test_hot_group_is_dealt_out(spark, docs, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "HOT", 20)
+    table = docs.select("doc_id", "text").unionByName(spark.range(1000, 1300).select(F.col("id").alias("doc_id"), F.lit("The same.").alias("text")))
+    got = [r for r in exact_dedup.exact_groups(table).collect() if r.doc_id >= 1000]
+    assert len(got) == 300 and {(r.keep_id, r.group_size) for r in got} == {(1299, 300)} and [r.doc_id for r in got if r.kept] == [1299]
+    for bound in (0, 1 << 20):
+        monkeypatch.setattr(exact_dedup, "SHIPPED", bound)
+        kept = exact_dedup.drop_exact_copies(table.unionByName(table.where("doc_id = 1299"))).collect()
+        assert sorted(fold(r.text) for r in kept) == sorted({fold(r.text) for r in table.collect()})
+
+
 def test_pack(odd, docs):
     from tokenizers import Tokenizer
 
@@ -237,6 +270,25 @@ def test_pack(odd, docs):
         assert len(got) <= -(-sum(r.length for r in rows) // 64) + 2
 
 
+def test_pack_under_binding_limits(spark, docs):
+    """Document-count and attention limits that bind, text ids, ties, and a tokenizer that must have whole texts."""
+    named = docs.limit(80).select(F.concat(F.lit("d"), "doc_id").alias("doc_id"), "text", F.lit(1).alias("piece"), F.lit(2).alias("row"), F.lit(3).alias("group"))
+    rows = packing.pack(named, tokens=64, most_docs=2, most_attention=64 * 64 + 100).collect()
+    by = collections.defaultdict(list)
+    for r in rows:
+        assert r.doc_id.startswith("d")
+        by[r.sequence_id].append(r.length)
+    assert all(len(x) <= 2 and sum(x) <= 64 and sum(n * n for n in x) <= 64 * 64 + 100 for x in by.values())
+    same = spark.createDataFrame([(i, "a b c") for i in range(40)], "doc_id long, text string")
+    assert len({r.sequence_id for r in packing.pack(same, tokens=8).collect()}) == 20
+    from public_tokenizers import path
+    from tokenizers import Tokenizer
+
+    other = path("byte_bpe_50k.json")
+    got = {r.doc_id: r.ids for r in packing.pieces(docs.limit(20), tokens=1 << 20, tokenizer=other, with_ids=True).collect()}
+    assert all(list(got[r.doc_id]) == [*Tokenizer.from_file(other).encode(r.text, add_special_tokens=False).ids, 1] for r in docs.limit(20).collect())
+
+
 @pytest.mark.parametrize("rule", ["norm", "dot"])
 def test_best_fit_keeps_every_capacity(rule):
     lengths = np.random.default_rng(2).integers(1, 60, 500)
@@ -376,7 +428,7 @@ def test_secrets_beside_bytes_that_are_no_text():
         assert [f.value for f in secrets.scan(f"x {base64.b64encode(raw).decode()} y")[1]] == ["password=hunter22"]
 
 
-def test_hmm_is_exact():
+def test_hmm_is_exact(monkeypatch):
     rng = np.random.default_rng(7)
     model = hmm.Model(rng.dirichlet(np.ones(3)), rng.dirichlet(np.ones(3), 3), rng.dirichlet(np.ones(5), 3).T)
     sequences = [rng.integers(0, 5, n).astype(np.int32) for n in (1, 4, 6, 4)]
@@ -395,8 +447,12 @@ def test_hmm_is_exact():
                 steps[a, b] += p / total
             for o, k in zip(s, path, strict=True):
                 emitted[o, k] += p / total
-    found = hmm.expected(model, sequences)
-    assert found[0] == pytest.approx(starts) and found[1] == pytest.approx(steps) and found[2] == pytest.approx(emitted) and found[3] == pytest.approx(got.sum())
+    assert hmm.expected(model, hmm.in_pieces(model, sequences))[3] == pytest.approx(got.sum())
+    for cut in (512, 4, 3, 2, 1):  # whole, and in pieces with messages across the cuts
+        monkeypatch.setattr(hmm, "SEGMENT", cut)
+        monkeypatch.setattr(hmm, "PASSED", 2)
+        found = hmm.counts_of(model, sequences)
+        assert found[0] == pytest.approx(starts) and found[1] == pytest.approx(steps) and found[2] == pytest.approx(emitted)
 
 
 def test_hmm_scores(odd, docs):
