@@ -14,12 +14,12 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from fractions import Fraction
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import components, stash
@@ -28,9 +28,10 @@ from .common import components, stash
 #: their own), sampled fingerprints for each shard, fingerprints that are compared with one another at once, and those in a
 #: block of a group that no vantage point parts.
 SHARD, MOST_SHARDS, SAMPLE_EACH, FEW, BLOCK = 4096, 1 << 16, 24, 400, 1 << 15
-#: Of drop_near_copies: buckets in which shingles are counted and the pieces they travel in, least hashes by which dense groups
-#: are joined first, and sets in a block of a shingle's list. None of them changes what is linked.
-COUNTS, PARTS, KEYS, KEY_BLOCK = 1 << 20, 16, 6, 4096
+#: Of drop_near_copies: buckets in which shingles are counted and the pieces they travel in; least hashes of a set, those that
+#: sets are grouped by, sets of such a group that are held against one another, partners that each proposes; sets in a block of a shingle's
+#: list; ids that are sent to every executor at most. None of them changes what is linked.
+COUNTS, PARTS, KEYS, GROUPED, GROUP, TRIES, KEY_BLOCK, SHIPPED = 1 << 20, 16, 16, 4, 1024, 6, 4096, 1 << 22
 #: Odd constants that make further hashes of a hash.
 _MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93)
 
@@ -256,17 +257,18 @@ def shingle_counts(texts: DataFrame, width: int) -> np.ndarray:
     return out
 
 
-def shape(text: str | None, width: int, often: np.ndarray, usual: int, least: Fraction) -> tuple[int, int, int, list[int], np.ndarray, np.ndarray]:
-    """Of the set of distinct shingles: its digest (two longs), its size, its least hashes under KEYS orders, and its rarest
-    shingles, one of which any set of similarity `least` must share, with the blocks that each one's list is cut into."""
+def shape(text: str | None, width: int, often: np.ndarray, usual: int, least: Fraction) -> tuple[int, int, int, int, list[int], np.ndarray, np.ndarray]:
+    """Of the set of distinct shingles: its digest (two longs), its size, its fingerprint, its least hashes under KEYS orders, and
+    its rarest shingles, one of which any set of similarity `least` must share, with the blocks that each one's list is cut into."""
     own = np.unique(shingle_hashes(text, width))
+    fp = simhash(own)
     a, b = np.frombuffer(hashlib.blake2b(own.tobytes(), digest_size=16).digest(), np.int64).tolist()
     if not len(own):
-        return a, b, 0, [], signed(own), signed(own)
+        return a, b, 0, fp, [], signed(own), signed(own)
     n = often[(own % np.uint64(COUNTS)).astype(np.int64)]
     first = np.lexsort((own, n))[: len(own) - math.ceil(least * len(own)) + 1]  # one order of all shingles for all sets
     keys = [int(signed(mixed(own, 8 + i).min(keepdims=True))[0]) for i in range(KEYS)]
-    return a, b, len(own), keys, signed(own[first]), 1 + np.maximum(0, n[first] - usual) // KEY_BLOCK
+    return a, b, len(own), fp, keys, signed(own[first]), 1 + np.maximum(0, n[first] - usual) // KEY_BLOCK
 
 
 def candidates(rows: pd.DataFrame, least: Fraction) -> pd.DataFrame:
@@ -306,29 +308,79 @@ def candidates(rows: pd.DataFrame, least: Fraction) -> pd.DataFrame:
     return pd.DataFrame({"u": pairs[:, 0], "v": pairs[:, 1]})
 
 
-def sharing_pairs(sets: DataFrame, least: Fraction) -> DataFrame:
-    """(u, v): every pair of sets (id, size, root, prefix, parts) with different roots that may reach the similarity, and others.
-    A token of many sets is cut into blocks, and each pair of blocks is a group of its own."""
-    each = sets.select("id", "size", "root", F.posexplode(F.arrays_zip("prefix", "parts")).alias("at", "t"))
-    each = each.select("id", "size", "root", "at", F.col("t.prefix").alias("token"), F.expr("pmod(xxhash64(id), t.parts)").alias("block"), F.explode(F.expr("sequence(0L, t.parts - 1)")).alias("other"))
-    dealt = each.select("token", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), "id", "size", "root", "at", "block")
+def in_groups(rows: DataFrame, keys: list[str], compare: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """compare() of whole groups, many small ones at once: a group of one key lies together, and batches are cut between groups."""
 
-    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest: list[pd.DataFrame] = []
         for b in batches:
             if not len(b):
                 continue
-            last = (b[["token", "a", "b"]].to_numpy() == b[["token", "a", "b"]].to_numpy()[-1]).all(1)  # may go on in the next batch
-            same = rest and (rest[0][["token", "a", "b"]].iloc[0].to_numpy() == b[["token", "a", "b"]].iloc[0].to_numpy()).all()
+            last = (b[keys].to_numpy() == b[keys].to_numpy()[-1]).all(1)  # may go on in the next batch
+            same = rest and (rest[0][keys].iloc[0].to_numpy() == b[keys].iloc[0].to_numpy()).all()
             if last.all() and (same or not rest):
                 rest.append(b)
                 continue
-            yield candidates(pd.concat([*rest, b[~last]], ignore_index=True), least)
+            yield compare(pd.concat([*rest, b[~last]], ignore_index=True))
             rest = [b[last]]
         if rest:
-            yield candidates(pd.concat(rest, ignore_index=True), least)
+            yield compare(pd.concat(rest, ignore_index=True))
 
-    return dealt.repartition("token", "a", "b").sortWithinPartitions("token", "a", "b").mapInPandas(compare, "u long, v long").distinct()
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(each, schema)
+
+
+def likeliest(rows: pd.DataFrame, least: Fraction) -> pd.DataFrame:
+    """(u, v, shared): for each set of whole groups (which, key, salt) the TRIES sets of other roots that share most of their
+    least hashes with it."""
+    key = rows[["which", "key", "salt"]].to_numpy()
+    starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(1)]) if len(key) else np.empty(0, np.int64)
+    ids, sizes, roots = (rows[c].to_numpy() for c in ("id", "size", "root"))
+    hashes = np.stack(rows["keys"].to_numpy()) if len(rows) else np.empty((0, KEYS), np.int64)
+    out = [np.empty((0, 3), np.int64)]
+    for low, high in zip(starts, [*starts[1:], len(key)], strict=True):
+        r, z, h = roots[low:high], sizes[low:high], hashes[low:high]
+        if high - low < 2 or (r == r[0]).all():
+            continue
+        shared = np.zeros((high - low, high - low), np.int8)
+        for k in range(h.shape[1]):
+            shared += h[:, None, k] == h[None, :, k]
+        fits = (r[:, None] != r[None, :]) & (np.minimum(z[:, None], z[None, :]) * least.denominator >= np.maximum(z[:, None], z[None, :]) * least.numerator)
+        shared[~fits] = 0
+        most = min(TRIES, high - low)
+        best = np.argpartition(-shared, most - 1, axis=1)[:, :most]
+        n = np.take_along_axis(shared, best, 1)
+        some, place = np.nonzero(n >= KEYS // 2)
+        u, v = ids[low + some], ids[low + best[some, place]]
+        out.append(np.unique(np.stack([np.minimum(u, v), np.maximum(u, v), n[some, place]], axis=1), axis=0))
+    pairs = np.concatenate(out)
+    return pd.DataFrame({"u": pairs[:, 0], "v": pairs[:, 1], "shared": pairs[:, 2]})
+
+
+def likely_pairs(sets: DataFrame, least: Fraction) -> DataFrame:
+    """(u, v): for each set (id, size, root, keys) its likeliest partners in other components, in the groups of its least hashes;
+    for each two components the TRIES likeliest pairs. Groups are dealt out in parts of about GROUP, so pairs grow with the sets."""
+    each = sets.select("id", "size", "root", "keys", F.posexplode(F.slice("keys", 1, GROUPED)).alias("which", "key"))
+    groups = each.groupBy("which", "key").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("n > 1 and lo <> hi").select("which", "key", "n")
+    dealt = each.join(groups, ["which", "key"]).withColumn("salt", F.expr(f"pmod(xxhash64(id, which), cast(ceil(n / {GROUP}) as bigint))")).drop("n")
+    found = in_groups(dealt, ["which", "key", "salt"], lambda rows: likeliest(rows, least), "u long, v long, shared long").distinct()
+    p, q = F.least("u_root", "v_root"), F.greatest("u_root", "v_root")
+    best = Window.partitionBy(p, q).orderBy(F.desc("shared"), "u", "v")
+    return with_roots(found, sets).withColumn("at", F.row_number().over(best)).where(F.col("at") <= TRIES).select("u", "v")
+
+
+def sharing_pairs(sets: DataFrame, least: Fraction) -> DataFrame:
+    """(u, v): every pair of sets (id, size, root, prefix, parts) with different roots that may reach the similarity, and others.
+    A token of many sets is cut into blocks, and each pair of blocks is a group of its own."""
+    each = sets.select("id", "size", "root", F.posexplode(F.arrays_zip("prefix", "parts")).alias("at", "t"))
+    each = each.select("id", "size", "root", "at", F.col("t.prefix").alias("token"), F.expr("pmod(xxhash64(id), t.parts)").alias("block"), F.explode(F.expr("sequence(0L, t.parts - 1)")).alias("other"))
+    dealt = each.select("token", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), "id", "size", "root", "at", "block")
+
+    return in_groups(dealt, ["token", "a", "b"], lambda rows: candidates(rows, least), "u long, v long").distinct()
+
+
+def few(ids: DataFrame) -> DataFrame:
+    """ids, sent to every executor if there are SHIPPED at most; beyond that they are joined."""
+    return F.broadcast(ids) if ids.count() <= SHIPPED else ids
 
 
 def alike(pairs: DataFrame, texts: DataFrame, width: int, least: Fraction) -> DataFrame:
@@ -339,44 +391,67 @@ def alike(pairs: DataFrame, texts: DataFrame, width: int, least: Fraction) -> Da
         return pd.Series([signed(np.unique(shingle_hashes(t, width))) for t in some], dtype=object)
 
     pairs = stash(pairs, "candidates")
-    wanted = pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct()
-    sets = stash(texts.join(wanted, "id", "left_semi").select("id", shingles("text").alias("own")), "shingles")
+    wanted = stash(pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct(), "wanted")
+    sets = stash(texts.join(few(wanted), "id", "left_semi").select("id", shingles("text").alias("own")), "shingles")
     both = pairs.join(sets.select(F.col("id").alias("u"), F.col("own").alias("x")), "u").join(sets.select(F.col("id").alias("v"), F.col("own").alias("y")), "v")
     shared = F.size(F.array_intersect("x", "y")) * F.lit(least.numerator + least.denominator)
     return both.where(shared >= (F.size("x") + F.size("y")) * F.lit(least.numerator)).select("u", "v")
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
+def with_roots(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """pairs (u, v, ...) of sets in different components, with u_root and v_root."""
+    root = lambda name: sets.select(F.col("id").alias(name), F.col("root").alias(f"{name}_root"))
+    return pairs.join(root("u"), "u").join(root("v"), "v").where("u_root <> v_root")
+
+
+def between(links: DataFrame, sets: DataFrame) -> DataFrame:
+    """One of the links (u, v) for each two components that they join; none within a component."""
+    one = with_roots(links, sets).groupBy(F.least("u_root", "v_root").alias("p"), F.greatest("u_root", "v_root").alias("q")).agg(F.min(F.struct("u", "v")).alias("e"))
+    return one.select("e.u", "e.v")
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, radius: int = 2) -> DataFrame:
     """One row of each group of near-copies, that with the smallest doc_id (of repeated rows, one); columns as they were.
 
     Near-copies: texts whose sets of distinct shingles have a Jaccard similarity of `similarity` or more. All such pairs count
-    and no others. Equal sets are one first. Then sets that share a least hash with the head of its group are compared, so that
-    dense groups are joined by few pairs; then all pairs of sets not joined yet that share one of their rarest shingles, which
-    two sets of that similarity must. Groups are the components of all links. Texts without a word are one group. An empty
-    table gives no rows.
+    and no others: each candidate is decided by the shingles themselves. Equal sets are one first. Then come pairs whose
+    SimHash fingerprints the vantage-point tree links at `radius` bits, then for each set its likeliest partners by least
+    hashes in components that are still apart; so dense groups are joined by few pairs. At last come all pairs of
+    sets not joined yet that share one of their rarest shingles, which two sets of that similarity must, so none is lost.
+    Groups are the components of all links. Null and empty texts and those without a word are one group. An empty table gives
+    no rows; of very long texts the shingle set is held, one text at a time.
     """
     least = Fraction(str(similarity))
     counts = shingle_counts(docs.select(F.col(text_col).alias("text")), width)
     shipped = docs.sparkSession.sparkContext.broadcast((counts, int(counts.mean())))  # COUNTS numbers
 
-    @F.pandas_udf("a long, b long, size long, keys array<long>, prefix array<long>, parts array<long>")
+    @F.pandas_udf("a long, b long, size long, fp long, keys array<long>, prefix array<long>, parts array<long>")
     def shaped(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([shape(t, width, *shipped.value, least) for t in texts], columns=["a", "b", "size", "keys", "prefix", "parts"])
+        return pd.DataFrame([shape(t, width, *shipped.value, least) for t in texts], columns=["a", "b", "size", "fp", "keys", "prefix", "parts"])
 
     rows = stash(docs.select(F.monotonically_increasing_id().alias("row_id"), F.struct(*docs.columns).alias("kept"), shaped(F.col(text_col)).alias("s")), "shaped")
+    shipped.destroy()
     texts = rows.select(F.col("row_id").alias("id"), F.col(f"kept.{text_col}").alias("text"))
     marked = rows.select("row_id", F.col(f"kept.{id_col}").alias("doc_id"), "s.*")
-    one = F.struct(F.col("row_id").alias("id"), "size", "keys", "prefix", "parts")
+    one = F.struct(F.col("row_id").alias("id"), "size", "fp", "keys", "prefix", "parts")
     sets = marked.groupBy("a", "b").agg(F.min(F.struct("doc_id", "row_id")).alias("least"), F.min(one).alias("one"))
     sets = stash(sets.select("least", "one.*"), "distinct-sets")
-    each = sets.select("id", "size", F.posexplode("keys").alias("which", "key"))
-    heads = each.groupBy("which", "key").agg(F.min(F.struct(F.xxhash64("which", "id"), "id", "size")).alias("head"), F.count("*").alias("n")).where("n > 1")
-    near = each.join(heads, ["which", "key"]).where(F.col("id") != F.col("head.id")).where(F.least("size", "head.size") * least.denominator >= F.greatest("size", "head.size") * least.numerator)
-    first = stash(alike(near.select(F.least("id", "head.id").alias("u"), F.greatest("id", "head.id").alias("v")).distinct(), texts, width, least), "links")
-    roots = components(first)
-    placed = sets.join(roots, F.col("id") == F.col("node"), "left").select("id", "size", F.coalesce("root", "id").alias("root"), "prefix", "parts")
-    links = stash(first.union(alike(sharing_pairs(placed, least), texts, width, least)), "links")
+    empty = docs.sparkSession.createDataFrame([], "u long, v long")
+
+    def placed(links: DataFrame) -> DataFrame:
+        roots = components(links)
+        return stash(sets.drop("least").join(roots, F.col("id") == F.col("node"), "left").select("id", "size", "fp", F.coalesce("root", "id").alias("root"), "keys", "prefix", "parts"), "placed")
+
+    heads = stash(sets.groupBy("fp").agg(F.min("id").alias("head")), "prints")
+    same = sets.join(heads, "fp").where("id <> head").select(F.col("head").alias("u"), F.col("id").alias("v"))
+    near = hamming_links(heads.select("fp"), radius).join(heads.select(F.col("fp").alias("u"), F.col("head").alias("x")), "u").join(heads.select(F.col("fp").alias("v"), F.col("head").alias("y")), "v")
+    links = stash(alike(same.union(near.select(F.least("x", "y"), F.greatest("x", "y"))).distinct(), texts, width, least).union(empty), "links")
+    now = placed(links)
+    links = stash(links.union(alike(likely_pairs(now, least), texts, width, least)), "links")
+    now = placed(links)
+    links = stash(links.union(between(alike(sharing_pairs(now, least), texts, width, least), now)), "links")
     roots = components(links)
     groups = sets.select("id", "least").join(roots, F.col("id") == F.col("node"), "left").groupBy(F.coalesce("root", "id").alias("root"))
-    kept = stash(groups.agg(F.min("least").alias("least")).select(F.col("least.row_id").alias("row_id")), "kept")
-    return rows.join(kept, "row_id", "left_semi").select("kept.*")
+    kept = groups.agg(F.min("least").alias("least")).select(F.col("least.row_id").alias("row_id"))
+    gone = stash(marked.select("row_id").join(kept, "row_id", "left_anti"), "gone")
+    return rows.join(few(gone), "row_id", "left_anti").select("kept.*")
