@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stash
+from .common import row_keys, stash
 
 MOST_BLOCKS, BLOCK_WORDS, SHARD_WORDS, SUBTREES = 1 << 16, 20_000, 1_000_000, 64
 
@@ -58,12 +58,6 @@ def split(quota: np.ndarray, low: int, high: int, seed: int, stop: int = 1) -> I
     yield from split(quota - left, middle, high, seed, stop)
 
 
-def row_keys(docs: DataFrame) -> tuple[Column, Column]:
-    """Two longs that tell rows apart by what they hold, wherever they lie."""
-    own = [F.col(f"`{c}`") for c, kind in docs.dtypes if not kind.startswith(("map", "variant"))]
-    return F.xxhash64(F.lit(0), *own), F.xxhash64(F.lit(1), *own)
-
-
 def numbered(sized: DataFrame, equal: DataFrame) -> DataFrame:
     """sized with n: a number from 0 among rows of one key (k1, k2), first by partition, so that no group lies in one task.
     Equal rows are alike in all, so it does not matter which gets which number."""

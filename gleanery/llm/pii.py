@@ -1,13 +1,15 @@
 """PII: base kinds by pattern, and terms that disclose them by corpus co-occurrence; DataFrame functions only.
 
 Information-theoretic sanitisation: a protected entity (the value of a base span) carries -log2 p(entity) bits. A term near it
-discloses PMI(term, entity) = log2(p(term, entity) / (p(term) p(entity))) of them, estimated over all documents. Terms that
-stand near an entity in at least `support` different contexts (copies of one context count once) and disclose at least
-`threshold` of its bits become spans wherever they occur in documents that hold the entity. In the sanitised text base spans
-are generalised to their kind and terms to [word].
+discloses PMI(term, entity) = log2(p(term, entity) / (p(term) p(entity))) of them, where each p is a share of all documents:
+of those that hold the term, hold the entity, or hold the term near the entity. Terms that stand near an entity in at least
+`support` different contexts (copies of one context count once) and disclose at least `threshold` of its bits become spans
+wherever they occur in documents that hold the entity. In the sanitised text base spans are generalised to their kind and
+terms to [word].
 
 Positions: each match is set between marks, the text is split at them, and starts are sums of lengths. The mark is a
-noncharacter, and one that a text holds itself is first replaced by another that no pattern matches either.
+noncharacter, and one that a text holds itself is first replaced by another that no pattern matches either. Work grows with a
+text's length, however many matches it has.
 """
 
 from __future__ import annotations
@@ -28,9 +30,9 @@ PATTERNS = {
 }
 #: What a text must hold for a pattern to match at all.
 NEEDS = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
-TERM = r"\p{L}{3,}"
-#: Characters on either side of a mention that are its context.
-CONTEXT = 80
+TERM = r"\p{L}{2,}"
+#: Characters on either side of a mention that are its context, and those of a block of text that contexts are taken from.
+CONTEXT, BLOCK = 80, 1024
 _MARK, _OTHER = "﷐", "﷑"
 SPAN = "array<struct<kind:int,start:long,end:long,value:string>>"
 
@@ -87,24 +89,43 @@ def described(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def words_of(text: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(f"({TERM})"), F.lit(1)))
+
+
 def disclosing_terms(found: DataFrame, docs: DataFrame, text_col: str, threshold: float, support: int) -> DataFrame:
     """(value, term, disclosure, contexts): terms that disclose at least `threshold` of an entity's bits.
 
     found: row_id, text and base of the documents that hold a base span.
     """
-    span = F.col("s")
-    before = F.substring(F.col("text"), F.greatest(F.lit(1), span["start"].cast("int") + 1 - CONTEXT), F.least(F.lit(CONTEXT), span["start"].cast("int")))
-    after = F.substring(F.col("text"), span["end"].cast("int") + 1, F.lit(CONTEXT))
-    near = found.select("row_id", "text", F.explode("base").alias("s")).select("row_id", F.lower(span["value"]).alias("value"), F.concat(before, F.lit(" . "), after).alias("context"))
+    # contexts are taken from blocks of the text, so that a match costs the same in a text of any length
+    cut = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+
+    def piece(blocks: Column, start: Column, n: Column) -> Column:
+        i = F.floor(start / BLOCK).cast("int")
+        return F.substring(F.concat(F.coalesce(F.get(blocks, i), F.lit("")), F.coalesce(F.get(blocks, i + 1), F.lit(""))), (start - i * BLOCK + 1).cast("int"), n)
+
+    def context(blocks: Column, s: Column) -> Column:
+        low = F.greatest(F.lit(0).cast("long"), s["start"] - CONTEXT - 1)
+        before, after = piece(blocks, low, (s["start"] - low).cast("int")), piece(blocks, s["end"], F.lit(CONTEXT + 1))
+        # a word that the context cuts is no word of it
+        before = F.when(F.length(before) > CONTEXT, F.regexp_replace(before, r"^(?:\p{L}+|[^\p{L}])", "")).otherwise(before)
+        after = F.when(F.length(after) > CONTEXT, F.regexp_replace(after, r"(?:\p{L}+|[^\p{L}])$", "")).otherwise(after)
+        return F.struct(F.lower(s["value"]).alias("value"), F.concat(before, F.lit(" . "), after).alias("context"))
+
+    each = found.select("row_id", F.explode(let(cut, lambda blocks: F.transform("base", lambda s: context(blocks, s)))).alias("s"))
+    near = each.select("row_id", "s.*")
+    near = stash(near.select("row_id", "value", F.xxhash64("context").alias("context"), words_of(F.col("context")).alias("terms")), "contexts")
     entity = near.select("row_id", "value").distinct().groupBy("value").agg(F.count("*").alias("n_entity"))
-    terms = F.array_distinct(F.regexp_extract_all(F.lower("context"), F.lit(f"({TERM})"), F.lit(1)))
-    pairs = near.select("row_id", "value", F.xxhash64("context").alias("context"), F.explode(terms).alias("term"))
+    pairs = near.select("row_id", "value", "context", F.explode("terms").alias("term"))
     # first by context, so that a group of copies is one row before anything is counted distinctly
-    by_context = pairs.groupBy("value", "term", "context").agg(F.count("*").alias("n"))
-    both = by_context.groupBy("value", "term").agg(F.count("*").alias("contexts"), F.sum("n").alias("n_both")).where(F.col("contexts") >= support)
-    both = stash(both.join(entity, "value").withColumn("n_both", F.least("n_both", "n_entity")), "near")
-    # documents that hold each term, over all documents and whole texts; words are summed in each task before they travel
-    held = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(F.col(text_col), F.lit(""))), F.lit(f"({TERM})"), F.lit(1)))).alias("term"))
+    contexts = pairs.groupBy("value", "term", "context").agg(F.count("*").alias("n")).groupBy("value", "term").agg(F.count("*").alias("contexts")).where(F.col("contexts") >= support)
+    contexts = stash(contexts, "supported")
+    together = pairs.join(contexts, ["value", "term"], "left_semi").select("value", "term", "row_id").distinct().groupBy("value", "term").agg(F.count("*").alias("n_both"))
+    both = stash(contexts.join(together, ["value", "term"]).join(entity, "value"), "near")
+    # documents that hold each term, over all documents and whole texts; only the terms in question travel
+    asked = stash(both.select("term").distinct(), "terms")
+    held = docs.select(F.explode(words_of(F.coalesce(F.col(text_col), F.lit("")))).alias("term")).join(asked, "term", "left_semi")
     often = held.groupBy("term").agg(F.count("*").alias("n_term"))
     total = F.lit(float(max(1, docs.count())))
     pmi = F.log2(F.col("n_both") * total / (F.col("n_term") * F.col("n_entity")))
@@ -116,7 +137,8 @@ def disclosing_terms(found: DataFrame, docs: DataFrame, text_col: str, threshold
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, support: int = 3) -> DataFrame:
     """One row per row of docs: doc_id, base (spans of the base kinds), terms (spans that the method adds; value: the word).
 
-    Null and empty texts have no span. Repeated rows are found each for itself. An empty table gives no rows.
+    Null and empty texts have no span; very long ones with many matches take time in proportion. Repeated rows are found each
+    for itself. An empty table gives no rows. Other columns of docs take no part.
     """
     rows = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col(id_col).alias("doc_id"), unmarked(F.col(text_col)).alias("text"))
     marked = rows.withColumn("base", base_spans(F.col("text")))

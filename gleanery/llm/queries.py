@@ -45,7 +45,10 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secrets.find(table(spark, sf_dir, "documents"))
+    return secret_digest(secrets.find(table(spark, sf_dir, "documents")))
+
+
+def secret_digest(found: DataFrame) -> DataFrame:
     counts = [F.size(F.filter("base", _is_kind(k))).cast("long").alias(f"n_{k}") for k in secrets.KINDS]
     base = _described(F.col("base"))
     order = F.array(*[F.lit(k) for k in secrets.KINDS])

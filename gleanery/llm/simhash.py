@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, stash
+from .common import MADE, components, row_keys, stash, tidy
 
 #: Distinct fingerprints a shard should hold, leaves of the tree that is broadcast (24 bytes a node; below them shards grow
 #: their own), sampled fingerprints for each shard, fingerprints that are compared with one another at once, and those in a
@@ -238,17 +238,17 @@ def shingle_counts(texts: DataFrame, width: int) -> np.ndarray:
     each = COUNTS // PARTS
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        n = np.zeros(COUNTS, np.int64)
+        n = np.zeros(COUNTS, np.int32)
         for b in batches:
             some = [np.unique(shingle_hashes(t, width)) for t in b.text]
-            n += np.bincount((np.concatenate([*some, np.empty(0, np.uint64)]) % np.uint64(COUNTS)).astype(np.int64), minlength=COUNTS)
+            n += np.bincount((np.concatenate([*some, np.empty(0, np.uint64)]) % np.uint64(COUNTS)).astype(np.int64), minlength=COUNTS).astype(np.int32)
         yield pd.DataFrame({"part": range(PARTS), "n": [n[i * each : (i + 1) * each].tobytes() for i in range(PARTS)]})
 
     def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[int, np.ndarray] = {}
         for b in batches:
             for part, n in zip(b.part, b.n, strict=True):
-                sums[part] = sums.get(part, 0) + np.frombuffer(n, np.int64)
+                sums[part] = sums.get(part, 0) + np.frombuffer(n, np.int32).astype(np.int64)
         yield pd.DataFrame({"part": list(sums), "n": [n.tobytes() for n in sums.values()]})
 
     out = np.zeros(COUNTS, np.int64)
@@ -257,17 +257,17 @@ def shingle_counts(texts: DataFrame, width: int) -> np.ndarray:
     return out
 
 
-def shape(text: str | None, width: int, often: np.ndarray, usual: int, least: Fraction) -> tuple[int, int, int, int, list[int], np.ndarray, np.ndarray]:
+def shape(text: str | None, width: int, often: np.ndarray, usual: int, least: Fraction) -> tuple[int, int, int, int, np.ndarray, np.ndarray, np.ndarray]:
     """Of the set of distinct shingles: its digest (two longs), its size, its fingerprint, its least hashes under KEYS orders, and
     its rarest shingles, one of which any set of similarity `least` must share, with the blocks that each one's list is cut into."""
     own = np.unique(shingle_hashes(text, width))
     fp = simhash(own)
     a, b = np.frombuffer(hashlib.blake2b(own.tobytes(), digest_size=16).digest(), np.int64).tolist()
     if not len(own):
-        return a, b, 0, fp, [], signed(own), signed(own)
+        return a, b, 0, fp, signed(own), signed(own), signed(own)
     n = often[(own % np.uint64(COUNTS)).astype(np.int64)]
     first = np.lexsort((own, n))[: len(own) - math.ceil(least * len(own)) + 1]  # one order of all shingles for all sets
-    keys = [int(signed(mixed(own, 8 + i).min(keepdims=True))[0]) for i in range(KEYS)]
+    keys = signed(np.array([mixed(own, 8 + i).min() for i in range(KEYS)], np.uint64))
     return a, b, len(own), fp, keys, signed(own[first]), 1 + np.maximum(0, n[first] - usual) // KEY_BLOCK
 
 
@@ -383,19 +383,21 @@ def few(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= SHIPPED else ids
 
 
-def alike(pairs: DataFrame, texts: DataFrame, width: int, least: Fraction) -> DataFrame:
-    """Those of the pairs (u, v: ids) whose texts (id, text) have a similarity of `least` or more, from the shingles themselves."""
+def alike(pairs: DataFrame, texts: Callable[[DataFrame], DataFrame], width: int, least: Fraction) -> DataFrame:
+    """Those of the pairs (u, v: ids) whose texts have a similarity of `least` or more, from the shingles themselves. texts gives
+    (id, text) of ids."""
 
     @F.pandas_udf("array<long>")
     def shingles(some: pd.Series) -> pd.Series:
         return pd.Series([signed(np.unique(shingle_hashes(t, width))) for t in some], dtype=object)
 
+    made = len(MADE)
     pairs = stash(pairs, "candidates")
     wanted = stash(pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct(), "wanted")
-    sets = stash(texts.join(few(wanted), "id", "left_semi").select("id", shingles("text").alias("own")), "shingles")
+    sets = stash(texts(wanted).select("id", shingles("text").alias("own")), "shingles")
     both = pairs.join(sets.select(F.col("id").alias("u"), F.col("own").alias("x")), "u").join(sets.select(F.col("id").alias("v"), F.col("own").alias("y")), "v")
     shared = F.size(F.array_intersect("x", "y")) * F.lit(least.numerator + least.denominator)
-    return both.where(shared >= (F.size("x") + F.size("y")) * F.lit(least.numerator)).select("u", "v")
+    return tidy(stash(both.where(shared >= (F.size("x") + F.size("y")) * F.lit(least.numerator)).select("u", "v"), "links"), made)
 
 
 def with_roots(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -429,29 +431,42 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     def shaped(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([shape(t, width, *shipped.value, least) for t in texts], columns=["a", "b", "size", "fp", "keys", "prefix", "parts"])
 
-    rows = stash(docs.select(F.monotonically_increasing_id().alias("row_id"), F.struct(*docs.columns).alias("kept"), shaped(F.col(text_col)).alias("s")), "shaped")
+    # rows are known by what they hold (k1, k2), so that texts are read again where they lie and never written
+    k1, k2 = row_keys(docs)
+    rows = stash(docs.select(F.monotonically_increasing_id().alias("id"), k1.alias("k1"), k2.alias("k2"), F.col(id_col).alias("doc_id"), shaped(F.col(text_col)).alias("s")).select("id", "k1", "k2", "doc_id", "s.*"), "shaped")
     shipped.destroy()
-    texts = rows.select(F.col("row_id").alias("id"), F.col(f"kept.{text_col}").alias("text"))
-    marked = rows.select("row_id", F.col(f"kept.{id_col}").alias("doc_id"), "s.*")
-    one = F.struct(F.col("row_id").alias("id"), "size", "fp", "keys", "prefix", "parts")
-    sets = marked.groupBy("a", "b").agg(F.min(F.struct("doc_id", "row_id")).alias("least"), F.min(one).alias("one"))
-    sets = stash(sets.select("least", "one.*"), "distinct-sets")
-    empty = docs.sparkSession.createDataFrame([], "u long, v long")
+    equal = stash(rows.groupBy("a", "b").agg(F.min("id").alias("one"), F.count("*").alias("n")).where("n > 1").select("a", "b", "one"), "equal-sets")
+    stood_for = stash(rows.select("id", "a", "b").join(equal, ["a", "b"]).where("id <> one").select("id", "one"), "stood-for")
+    sets = rows.join(few(stood_for.select("id")), "id", "left_anti").select("id", "size", "fp", "keys", "prefix", "parts")
+
+    def texts(wanted: DataFrame) -> DataFrame:
+        named = rows.select("id", "k1", "k2").join(few(wanted), "id", "left_semi")
+        found = few(stash(named.select("id", "k1", "k2"), "named"))
+        own = docs.select(k1.alias("k1"), k2.alias("k2"), F.col(text_col).alias("text")).join(found, ["k1", "k2"]).select("id", "text")
+        return own if equal.isEmpty() else own.dropDuplicates(["id"])  # equal rows have one id that is wanted
 
     def placed(links: DataFrame) -> DataFrame:
-        roots = components(links)
-        return stash(sets.drop("least").join(roots, F.col("id") == F.col("node"), "left").select("id", "size", "fp", F.coalesce("root", "id").alias("root"), "keys", "prefix", "parts"), "placed")
+        roots = few(stash(components(links), "roots"))
+        return sets.join(roots, F.col("id") == F.col("node"), "left").withColumn("root", F.coalesce("root", "id")).drop("node")
 
     heads = stash(sets.groupBy("fp").agg(F.min("id").alias("head")), "prints")
-    same = sets.join(heads, "fp").where("id <> head").select(F.col("head").alias("u"), F.col("id").alias("v"))
+    same = sets.select("id", "fp").join(heads, "fp").where("id <> head").select(F.col("head").alias("u"), F.col("id").alias("v"))
     near = hamming_links(heads.select("fp"), radius).join(heads.select(F.col("fp").alias("u"), F.col("head").alias("x")), "u").join(heads.select(F.col("fp").alias("v"), F.col("head").alias("y")), "v")
-    links = stash(alike(same.union(near.select(F.least("x", "y"), F.greatest("x", "y"))).distinct(), texts, width, least).union(empty), "links")
+    links = alike(same.union(near.select(F.least("x", "y"), F.greatest("x", "y"))).distinct(), texts, width, least)
     now = placed(links)
-    links = stash(links.union(alike(likely_pairs(now, least), texts, width, least)), "links")
+    links = links.union(alike(likely_pairs(now, least), texts, width, least))
     now = placed(links)
     links = stash(links.union(between(alike(sharing_pairs(now, least), texts, width, least), now)), "links")
-    roots = components(links)
-    groups = sets.select("id", "least").join(roots, F.col("id") == F.col("node"), "left").groupBy(F.coalesce("root", "id").alias("root"))
-    kept = groups.agg(F.min("least").alias("least")).select(F.col("least.row_id").alias("row_id"))
-    gone = stash(marked.select("row_id").join(kept, "row_id", "left_anti"), "gone")
-    return rows.join(few(gone), "row_id", "left_anti").select("kept.*")
+    roots = few(stash(components(links), "roots"))
+    every = rows.select("id", "doc_id", "k1", "k2").join(few(stood_for), "id", "left").withColumn("set", F.coalesce("one", "id"))
+    every = every.join(roots, F.col("set") == F.col("node"), "left").withColumn("root", F.coalesce("root", "set"))
+    kept = every.groupBy("root").agg(F.min(F.struct("doc_id", "id")).alias("least")).select(F.col("least.id").alias("id"))
+    gone = stash(every.join(kept, "id", "left_anti").select("k1", "k2"), "gone")
+    # equal rows: all go, or one stays
+    twice = stash(rows.groupBy("k1", "k2").count().where("count > 1").select("k1", "k2").join(gone, ["k1", "k2"], "left_semi"), "twice")
+    named = lambda some: (k1 == some["k1"]) & (k2 == some["k2"])
+    out = docs.join(few(gone), named(gone), "left_anti")
+    if twice.isEmpty():
+        return out
+    stay = stash(twice.join(every.join(kept, "id", "left_semi"), ["k1", "k2"], "left_semi"), "stay")
+    return out.unionAll(docs.join(few(stay), named(stay), "left_semi").dropDuplicates([id_col, text_col]))

@@ -26,8 +26,9 @@ from pyspark.sql import functions as F
 from .common import stash
 
 #: The sample that the chain is fitted on: labelled documents of each label, characters of each label, segments and their
-#: tokens, characters of a token in a text that is not taken whole; hashed weights; words a task remembers.
-SAMPLE, CHARACTERS, SEGMENTS, SEGMENT, LONGEST, BUCKETS, REMEMBERED = 2000, 4_000_000, 16_000, 48, 64, 1 << 18, 60_000
+#: tokens, characters of a token in a text that is not taken whole; hashed weights; words a task remembers; tokens that are
+#: worked on at once.
+SAMPLE, CHARACTERS, SEGMENTS, SEGMENT, LONGEST, BUCKETS, REMEMBERED, AT_ONCE = 2000, 4_000_000, 16_000, 48, 64, 1 << 18, 60_000, 300_000
 TOKEN = re.compile(r"\w+")
 
 
@@ -258,11 +259,22 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def scored(texts: pd.Series, known: Emissions, chain: Chain) -> tuple[list[np.ndarray], np.ndarray]:
-    """The marginals of each text's tokens, and the texts' scores."""
-    tokens = [list(map(known.__getitem__, TOKEN.findall(t or ""))) for t in texts]
-    lengths = np.array([len(t) for t in tokens], np.int64)
-    p = marginals(np.concatenate([np.array(t) for t in tokens] or [np.empty(0)]).astype(float), lengths, chain.step)
-    rows = [p[e - n : e] for n, e in zip(lengths, np.cumsum(lengths), strict=True)]
+    """The marginals of each text's tokens, and the texts' scores. Texts of like length are worked on together, AT_ONCE tokens at
+    most (or one text)."""
+    tokens = [np.fromiter(map(known.__getitem__, TOKEN.findall(t or "")), np.float32) for t in texts]
+    order = sorted(range(len(tokens)), key=lambda i: -len(tokens[i]))
+    rows: list[np.ndarray] = [np.empty(0)] * len(tokens)
+    at = 0
+    while at < len(order):
+        some, n = [], 0
+        while at < len(order) and (not some or n + len(tokens[order[at]]) <= AT_ONCE):
+            some.append(order[at])
+            n += len(tokens[order[at]])
+            at += 1
+        lengths = np.array([len(tokens[i]) for i in some], np.int64)
+        p = marginals(np.concatenate([tokens[i] for i in some]).astype(float), lengths, chain.step)
+        for i, k, end in zip(some, lengths, np.cumsum(lengths), strict=True):
+            rows[i] = p[end - k : end].astype(np.float32)
     return rows, 1 / (1 + np.exp(-(np.array([summary(r) for r in rows]).reshape(-1, 3) @ chain.doc)))
 
 
