@@ -2,7 +2,7 @@
 
 Each stage takes (spark, docs, sf_dir), works on all that the stage before kept, and is written as Parquet before the next.
 When a stage begins, tables that earlier stages wrote for themselves are removed, but for those that its input still reads;
-one pipeline runs in a driver at a time.
+one pipeline runs in a driver at a time. Batches of rows that go to Python are set to ROWS.
 """
 
 from __future__ import annotations
@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from gleanery.llm import common, exact_dedup, mixing, packing, simhash, toxicity
 from gleanery.llm.common import stash, table
 
+#: Rows in a batch that goes to Python: few, as a row is a whole text.
+ROWS = 1000
 #: Tables that stages have written for themselves.
 _own: list[str] = []
 
@@ -22,6 +24,7 @@ _own: list[str] = []
 def stage(f: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
     @wraps(f)
     def begin(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ROWS)
         read = docs.inputFiles()
         over = [p for p in _own if not any(p.rsplit("/", 1)[1] in f for f in read)]
         common.discard(spark, over)
