@@ -2,13 +2,16 @@
 
 On a bounded sample of the distinct vectors a neighbour graph is built and cut into balanced partitions (halving by the main
 direction, then moves that keep more neighbours together while sizes stay balanced). A small network learns to tell a vector's
-partitions from the vector. Every distinct vector is indexed in its likeliest partition; a query goes to its `probes` likeliest
-ones and is ranked there by exact cosine in double precision. `probes` is the fewest that reach `recall` on held-out sampled
-queries. Equal vectors are one entry with their smallest ids, so a very common vector is no hot group.
+partitions from the vector. Within each partition the same is done once more, in a task, on a bounded sample of it, as far as
+it has vectors for several cells; so there are up to 16,384 cells of PARTITION vectors and more. Every distinct vector is
+indexed in its likeliest cell; a query goes to its likeliest partitions and there to their likeliest cells, at each level the
+fewest that reach `recall` on held-out sampled vectors, and on until they hold k + 1 entries, and is ranked there by exact
+cosine in double precision. Equal vectors are one entry with their smallest ids, so a very common vector is no hot group.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -19,9 +22,9 @@ from pyspark.sql import functions as F
 
 from .common import stash
 
-#: Sampled vectors at most (and bytes of them), distinct vectors a partition should hold, sampled ones it needs; entries in a
-#: bucket, queries ranked at once.
-SAMPLE, SAMPLE_BYTES, PARTITION, EACH, BUCKET, QUERIES_AT_ONCE = 6144, 64 << 20, 1500, 48, 8192, 512
+#: Sampled vectors at most (and bytes of them) of the table and of each partition, sampled ones that a partition needs, distinct
+#: vectors a cell should hold; entries in a bucket, queries ranked at once; queries by which recall is measured.
+SAMPLE, SAMPLE_BYTES, EACH, PARTITION, BUCKET, QUERIES_AT_ONCE, MEASURED = 6144, 64 << 20, 48, 1500, 8192, 512, 200
 
 
 class Router(NamedTuple):
@@ -147,32 +150,64 @@ def nearest(vectors: DataFrame, is_query, id_col: str = "vec_id", vector_col: st
     n = entries.count()
     most = max(64, min(SAMPLE, SAMPLE_BYTES // (8 * max(1, length.d if length else 1))))
     some = entries.where(F.expr(f"pmod(xxhash64(v), 1000000) < {min(1.0, most / max(1, n)) * 1e6}")).select("v").orderBy(F.xxhash64("v"), "v").limit(most).collect()
-    parts = max(1, min(n // PARTITION, len(some) // EACH))
+    parts = max(1, len(some) // EACH)
     router = fit_router(np.array([x.v for x in some]).reshape(len(some), -1), parts, k, recall) if some else None
     if router is None:
         return asked.select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0.0).alias("score")).where("false")
-    shipped = vectors.sparkSession.sparkContext.broadcast(router)
+    spark = vectors.sparkSession
+    shipped = spark.sparkContext.broadcast(router)
 
     def home(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             x = np.stack(b.v.to_numpy()) if len(b) else np.empty((0, 1))
             yield b.assign(part=likely(shipped.value, unit(x)).argmax(1) if len(b) else np.empty(0, np.int64))
 
-    placed = stash(entries.mapInPandas(home, "v array<double>, ids array<long>, part long"), "placed")
-    salts = {x.part: -(-x["count"] // BUCKET) for x in placed.groupBy("part").count().collect()}  # one row a partition
-    bucketed = placed.withColumn("salt", F.pmod(F.xxhash64("v"), F.element_at(F.create_map(*[F.lit(i).cast("long") for kv in salts.items() for i in kv]), F.col("part"))))
+    parted = stash(entries.mapInPandas(home, "v array<double>, ids array<long>, part long"), "parted")
+    sizes = {x.part: x["count"] for x in parted.groupBy("part").count().collect()}  # one row a partition
+    cells = {p: min(SAMPLE // EACH, c // PARTITION) for p, c in sizes.items() if c >= 2 * PARTITION}
+
+    def fit(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
+        found = fit_router(np.stack(own.v.to_numpy()), min(cells[key[0]], max(1, len(own) // EACH)), k, recall)
+        return pd.DataFrame({"part": [key[0]], "router": [pickle.dumps(found._replace(**{n: x.astype(np.float32) for n, x in found._asdict().items() if n != "probes"}))]})
+
+    by_hash = Window.partitionBy("part").orderBy(F.xxhash64("v"), "v")
+    sampled = parted.where(F.col("part").isin(list(cells))).select("part", "v").withColumn("at", F.row_number().over(by_hash)).where(F.col("at") <= most)
+    inner = {x.part: pickle.loads(x.router) for x in sampled.groupBy("part").applyInPandas(fit, "part long, router binary").collect()} if cells else {}  # one of a partition each
+    within = spark.sparkContext.broadcast(inner)
+
+    def cell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            sub = np.zeros(len(b), np.int64)
+            for p in set(b.part) & set(within.value):
+                own = np.nonzero((b.part == p).to_numpy())[0]
+                sub[own] = likely(within.value[p], unit(np.stack(b.v.to_numpy()[own]))).argmax(1)
+            yield b.assign(cell=sub)
+
+    placed = stash(parted.mapInPandas(cell, "v array<double>, ids array<long>, part long, cell long"), "placed")
+    held = {(x.part, x.cell): x["count"] for x in placed.groupBy("part", "cell").count().collect()}  # one row a cell, 16,384 at most
+    names = spark.createDataFrame([(p, c, -(-m // BUCKET)) for (p, c), m in held.items()], "part long, cell long, salts long")
+    bucketed = placed.join(F.broadcast(names), ["part", "cell"]).withColumn("salt", F.expr("pmod(xxhash64(v), salts)")).drop("salts")
 
     def routed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            if not len(b):
-                continue
-            scores = likely(shipped.value, unit(np.stack(b.v.to_numpy())))
-            top = np.argsort(-scores, axis=1, kind="stable")[:, : shipped.value.probes]
-            rows = [(i, p, s) for i in range(len(b)) for p in top[i].tolist() if p in salts for s in range(salts[p])]
+            rows = []
+            x = unit(np.stack(b.v.to_numpy())) if len(b) else np.empty((0, 1))
+            order = np.argsort(-likely(shipped.value, x), axis=1, kind="stable") if len(b) else []
+            for i, parts_of in enumerate(order):
+                got = 0
+                for tried, p in enumerate(parts_of.tolist()):
+                    if tried >= shipped.value.probes and got > k:
+                        break
+                    own = within.value.get(p)
+                    subs = np.argsort(-likely(own, x[i : i + 1])[0], kind="stable")[: own.probes].tolist() if own else [0]
+                    for c in subs:
+                        m = held.get((p, c), 0)
+                        got += m
+                        rows += [(i, p, c, s) for s in range(-(-m // BUCKET))]
             at = [r[0] for r in rows]
-            yield pd.DataFrame({"question": b.question.to_numpy()[at], "v": b.v.to_numpy()[at], "part": [r[1] for r in rows], "salt": [r[2] for r in rows]})
+            yield pd.DataFrame({"question": b.question.to_numpy()[at], "v": b.v.to_numpy()[at], "part": [r[1] for r in rows], "cell": [r[2] for r in rows], "salt": [r[3] for r in rows]})
 
-    sent = questions.mapInPandas(routed, "question long, v array<double>, part long, salt long")
+    sent = questions.mapInPandas(routed, "question long, v array<double>, part long, cell long, salt long")
 
     def rank(asks: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
         out: dict[str, list] = {"question": [], "score": [], "ids": []}
@@ -191,7 +226,7 @@ def nearest(vectors: DataFrame, is_query, id_col: str = "vec_id", vector_col: st
                         out["question"].append(name), out["score"].append(float(exact[m])), out["ids"].append(ids[some[m]])
         return pd.DataFrame(out, dtype=object)
 
-    found = sent.groupBy("part", "salt").cogroup(bucketed.groupBy("part", "salt")).applyInPandas(rank, "question long, score double, ids array<long>")
+    found = sent.groupBy("part", "cell", "salt").cogroup(bucketed.groupBy("part", "cell", "salt")).applyInPandas(rank, "question long, score double, ids array<long>")
     best = Window.partitionBy("question").orderBy(F.desc("score"), F.col("ids")[0])
     best_of = found.withColumn("at", F.row_number().over(best)).where(F.col("at") <= k + 1).select("question", "score", "ids")
     by_row = asked.join(questions, "v").select(F.col("vec_id").alias("query_id"), "question").join(best_of, "question")
@@ -200,3 +235,32 @@ def nearest(vectors: DataFrame, is_query, id_col: str = "vec_id", vector_col: st
     ordered = each.withColumn("own", F.when(F.col("vec_id") == F.col("query_id"), F.row_number().over(Window.partitionBy("query_id", "vec_id").orderBy(F.desc("score"), "at"))))
     ordered = ordered.where("own is null or own > 1").withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id", "at")))
     return ordered.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def recall(vectors: DataFrame, found: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 5) -> DataFrame:
+    """(queries, recall): the share of the k nearest of MEASURED queries of found (query_id, rank, vec_id, score), chosen by a hash,
+    that it has, by brute force over all vectors where they lie. A neighbour counts if it is as near as the k-th."""
+    v = F.transform(F.col(vector_col), lambda c: c.cast("double"))
+    good = vectors.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v")).where("vec_id is not null and v is not null")
+    some = found.select("query_id").distinct().orderBy(F.xxhash64("query_id"), "query_id").limit(MEASURED)
+    asked = {x.vec_id: np.array(x.v) for x in good.join(F.broadcast(some), F.col("vec_id") == F.col("query_id")).collect()}  # MEASURED rows, if ids are unique
+    shipped = vectors.sparkSession.sparkContext.broadcast(asked)
+
+    def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids = list(shipped.value)
+        q = np.stack(list(shipped.value.values())) if ids else np.empty((0, 1))
+        for b in batches:
+            own = [i for i, x in enumerate(b.v) if ids and len(x) == q.shape[1] and all(c is not None for c in x)]
+            x = np.stack([np.asarray(b.v[i], float) for i in own]) if own else np.empty((0, q.shape[1]))
+            fine = np.isfinite(x).all(1) & x.any(1)
+            x, named = x[fine], b.vec_id.to_numpy()[own][fine]
+            s = (q @ x.T) / (np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(x, axis=1)[None])
+            s[np.array(ids).reshape(-1, 1) == named[None]] = -2
+            for i, name in enumerate(ids):
+                top = np.sort(s[i])[::-1][:k]
+                yield pd.DataFrame({"query_id": name, "score": top[top > -2]})
+
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"))
+    least = good.mapInPandas(near, "query_id long, score double").withColumn("at", F.row_number().over(order)).where(F.col("at") <= k).groupBy("query_id").agg(F.min("score").alias("least"), F.count("*").alias("n"))
+    hits = found.select("query_id", "score").join(F.broadcast(least), "query_id").groupBy("query_id").agg(F.count_if(F.col("score") >= F.col("least") - 1e-9).alias("hits"), F.first("n").alias("n"))
+    return hits.agg(F.count("*").alias("queries"), F.round(F.sum(F.least("hits", "n")) / F.sum("n"), 4).alias("recall"))

@@ -33,6 +33,11 @@ def op4_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def ann_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The recall of op4_ann against brute force."""
+    return ann.recall(table(spark, sf_dir, "embeddings"), op4_ann(spark, sf_dir))
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(table(spark, sf_dir, "documents"))
     counts = [pii.count_of(F.col("base"), k).alias(f"n_{k}") for k in pii.KINDS[:4]]
@@ -84,4 +89,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secrets": op8_secrets,
     "op9_hmm": op9_hmm,
     "op10_packing": op10_packing,
+    "ann_recall": ann_recall,
 }

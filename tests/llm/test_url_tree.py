@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from gleanery.llm import url_filter
 
 
-def plain_tree(rows, most_kids=16, least=5, z=1.96, strength=4.0):
-    """rows (host, path, label) -> {(host, path): (template, purity)}"""
+def plain_tree(rows, most_kids=16, z=1.96, strength=4.0, sure=1.64):
+    """rows (host, path, label) -> {(host, path): (template, purity, rejected)}"""
     shapes = collections.defaultdict(lambda: [0, 0, 0])
     cut = {}
     for host, path, label in rows:
@@ -22,35 +22,42 @@ def plain_tree(rows, most_kids=16, least=5, z=1.96, strength=4.0):
         s[0] += 1
         s[1] += label is not None
         s[2] += label or 0
-    template = {k: () for k in shapes}
-    for level in range(max((len(k[1]) for k in shapes), default=0)):
-        kids = collections.defaultdict(lambda: [0, 0, 0])
-        for (host, seg), counts in shapes.items():
-            if len(seg) > level:
-                for i in range(3):
-                    kids[host, template[host, seg], seg[level]][i] += counts[i]
-        families = collections.defaultdict(list)
-        for (host, t, _), counts in kids.items():
-            families[host, t].append(counts)
-        grown = {}
-        for (host, seg), t in template.items():
-            if len(seg) <= level:
-                grown[host, seg] = t
-                continue
-            n, labelled, bad = kids[host, t, seg[level]]
-            family = families[host, t]
-            known = [c for c in family if c[1] >= least]
-            rate = (sum(c[2] for c in known) + 0.5) / (sum(c[1] for c in known) + 1)
-            variable = len(family) > most_kids and n * len(family) < sum(c[0] for c in family)
-            similar = len(known) > 1 and labelled >= least and abs(bad / labelled - rate) <= z * (rate * (1 - rate) / labelled) ** 0.5
-            grown[host, seg] = (*t, "*" if variable or similar else seg[level])
-        template = grown
-    share = sum(c[2] for c in shapes.values()) / max(1, sum(c[0] for c in shapes.values()))
+    prior = (sum(c[2] for c in shapes.values()) + 1) / (sum(c[1] for c in shapes.values()) + 2)
+    template = {}
+
+    def grow(host, own, done):
+        """own: {shape: rest} of one node"""
+        template.update({(host, s): done for s, rest in own.items() if not rest})
+        kids = collections.defaultdict(dict)
+        for s, rest in own.items():
+            if rest:
+                kids[rest[0]][s] = rest[1:]
+        counts = {k: [sum(shapes[host, s][i] for s in v) for i in range(3)] for k, v in kids.items()}
+        whole = [sum(c[i] for c in counts.values()) for i in range(3)]
+        merged = collections.defaultdict(dict)
+        for k, (n, labelled, bad) in counts.items():
+            others = whole[1] - labelled + strength
+            rate = (whole[2] - bad + strength * prior) / others
+            variable = len(kids) > most_kids and n * len(kids) < whole[0]
+            similar = abs(bad - labelled * rate) <= z * (labelled * rate * (1 - rate) * (1 + labelled / others)) ** 0.5
+            # a node's only branch keeps its name, if no shape ends at the node, too
+            name = "*" if len(kids) > 1 and (variable or similar) else k
+            merged[name].update(kids[k])
+        for name, some in merged.items():
+            grow(host, some, (*done, name))
+
+    for host in {h for h, _ in shapes}:
+        grow(host, {s: s for h, s in shapes if h == host}, ())
     pure = collections.defaultdict(lambda: [0, 0])
     for k, t in template.items():
         pure[k[0], t][0] += shapes[k][1]
         pure[k[0], t][1] += shapes[k][2]
-    return {k: ("/" + "/".join(template[k[0], s]), (pure[k[0], template[k[0], s]][1] + strength * share) / (pure[k[0], template[k[0], s]][0] + strength)) for k, s in cut.items()}
+    out = {}
+    for k, s in cut.items():
+        labelled, bad = pure[k[0], template[k[0], s]]
+        p = (bad + strength * prior) / (labelled + strength)
+        out[k] = ("/" + "/".join(template[k[0], s]), p, labelled > 0 and p - sure * (p * (1 - p) / (labelled + strength + 1)) ** 0.5 >= 0.5)
+    return out
 
 
 def test_tree(spark):
@@ -59,7 +66,7 @@ def test_tree(spark):
     for _ in range(1500):
         host = rng.choice(["a.test", "b.test", "b.test", "b.test"])
         branch = rng.choice(["news", "shop", "spam", "x" + str(rng.randrange(40)) + chr(97 + rng.randrange(26)), ""])
-        tail = rng.choice(["", f"/{rng.randrange(99)}", f"/deadbeef{rng.randrange(10)}", "/p/q.html", "//"])
+        tail = rng.choice(["", "/deep" * 40 + rng.choice(["", "/x", "/y"]), f"/{rng.randrange(99)}", f"/deadbeef{rng.randrange(10)}", "/p/q.html", "//"])
         bad = rng.random() < (0.9 if branch == "spam" else 0.1)
         rows.append((host, f"/{branch}{tail}" if branch else rng.choice(["", "/"]), rng.choice([None, int(bad)])))
     want = plain_tree(rows)
@@ -67,5 +74,6 @@ def test_tree(spark):
     got = url_filter.judge(pages, label=F.col("y"), rules=()).collect()
     assert len(got) == len(rows)
     for r in got:
-        template, purity = want[r.host, r.path]
-        assert r.template == template and r.purity == pytest.approx(purity) and r.verdict == ("block" if purity >= 0.5 else "allow")
+        template, purity, rejected = want[r.host, r.path]
+        assert r.template == template and r.purity == pytest.approx(purity) and r.verdict == ("block" if rejected else "allow")
+    assert len({r.verdict for r in got}) == 2
