@@ -1,7 +1,8 @@
 """Detection of sensitive values as canonical findings, with built-in functions only.
 
-Positions come from setting each match between marks and splitting there; validators are Columns over the value and 96
-characters of context on either side. Overlaps are resolved per unit by one fold over its candidates.
+A text is cut into blocks that end with lines. In a block, a pattern runs only where the literals are that it needs; its
+positions come from setting each match between marks and splitting there. Validators are Columns over the value and 96
+characters of context on either side. Overlaps are resolved among candidates that touch, so work grows with the text.
 """
 
 from __future__ import annotations
@@ -13,24 +14,51 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions import scalars as S
+from ..functions.spans import MARK, blocks, unmarked
 
-_MARK, _OTHER = "﷐", "﷑"
-_CANDIDATE = "array<struct<spec:int,start:int,end:int,value:string>>"
+_CANDIDATE = "array<struct<part:string,at:int,spec:int>>"
 NEAR = 96
-
-
-def _spans(text: Column, spec: P.Spec, number: int) -> Column:
-    """Candidates of one pattern: the value's place, not that of what stands before it."""
-    marked = F.regexp_replace(text, F.lit(f"({spec.before})({spec.value})"), F.lit(f"$1{_MARK}$2{_MARK}"))
+#: Whole PEM blocks, from the first line to the last.
+PEM = {
+    "private-key": r"(?s)-----BEGIN (?:[A-Z0-9 ]+ )?PRIVATE KEY-----.*?-----END (?:[A-Z0-9 ]+ )?PRIVATE KEY-----",
+    "pem-certificate": r"(?s)-----BEGIN CERTIFICATE-----.*?-----END CERTIFICATE-----",
+}
+#: Literals (lower case) without which a pattern cannot match: one of each group must be there. "0" stands for any digit.
+NEEDS: dict[str, tuple[tuple[str, ...], ...]] = {
+    "private-key": (("-----begin",),), "pem-certificate": (("-----begin",),), "bearer": (("bearer",),), "basic-auth": (("basic",),), "jwt": (("eyj",),),
+    "aws-access-key": (("akia", "asia"),), "github-token": (("ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_"),), "gitlab-token": (("glpat-", "glptt-", "gldt-", "glrt-", "glsoat-"),),
+    "slack-token": (("xox", "hooks.slack"),), "stripe-key": (("_live_", "_test_", "whsec_"),), "azure-key": (("accountkey", "sharedaccess"),), "sendgrid-key": (("sg.",),), "twilio-sid": (("sk", "ac"), ("0",)),
+    "npm-token": (("npm_",),), "pypi-token": (("pypi-",),), "google-api-key": (("aiza",),), "db-uri": (("://",),), "ssh-key": (("ssh-",),), "email": (("@",),), "upi": (("@",),), "url": (("://",),),
+    "secret-in-url": (("?", "&"), ("=",)), "iban": (("0",),), "pan": (("0",),), "aadhaar": (("0",),), "credit-card": (("0",),), "indian-phone": (("0",),), "intl-phone": (("+",), ("0",)), "passport": (("0",),),
+    "uuid": (("-",), ("0",)), "bank-account": (("acc",), ("0",)), "ipv4": (("0",), (".",)), "ipv6": (("::", ":"),), "internal-host": ((".internal", ".corp", ".lan", ".local", ".intranet"),), "domain": ((".",),),
+    "password": (("pass", "pw"), ("=", ":", "<")), "username": (("user", "uname", "usr", "login", "account"), ("=", ":", "<")), "secret": (("key", "secret", "cred", "token", "jwt", "pat"), ("=", ":", "<")),
+    "session-cookie": (("sess", "sid"), ("=",)), "insecure-cookie": (("set-cookie",),), "cors-wildcard": (("access-control",),), "debug-enabled": (("debug", "development"),), "tls-verify-disabled": (("verify", "node_tls"),),
+    "unrestricted-bind": (("0.0.0.0",),), "guessable-id": (("?", "&"), ("=",)), "sql-error": (("sql", "ora-", "unclosed"),), "sql-fragment": (("'", "union", "drop"),), "stack-trace": (("traceback", "exception", ".java"),),
+    "xxe": (("<!doctype",),), "ldap-filter": (("(",), ("=",)), "xpath-fragment": (("//",), ("[",)), "java-serialized": (("ro0ab",),), "directory-listing": (("index of",),), "shell-metachar": (("?", "&"), ("=",)),
+}
+
+
+def _may_match(kind: str, lowered: Column, digits: Column) -> Column:
+    out = F.lit(True)
+    for group in NEEDS.get(kind, ()):
+        some = F.lit(False)
+        for x in group:
+            some = some | (digits if x == "0" else F.contains(lowered, F.lit(x)))
+        out = out & some
+    return out
+
+
+def _spans(text: Column, spec: P.Spec, number: int, may: Column) -> Column:
+    """Candidates of one pattern in a block: the value's place, not that of what stands before it. A block is short, so one fold
+    over its parts is cheap."""
+    marked = F.regexp_replace(text, F.lit(f"({spec.before})({spec.value})"), F.lit(f"$1{MARK}$2{MARK}"))
     first = F.struct(F.lit(0).alias("at"), F.lit(False).alias("inside"), F.array().cast(_CANDIDATE).alias("found"))
 
     def step(a: Column, part: Column) -> Column:
-        end = (a["at"] + F.length(part)).cast("int")
-        span = F.struct(F.lit(number).alias("spec"), a["at"].alias("start"), end.alias("end"), part.alias("value"))
-        return F.struct(end.alias("at"), (~a["inside"]).alias("inside"), F.when(a["inside"], F.concat(a["found"], F.array(span))).otherwise(a["found"]).alias("found"))
+        span = F.struct(part.alias("part"), a["at"].alias("at"), F.lit(number).alias("spec"))
+        return F.struct((a["at"] + F.length(part)).cast("int").alias("at"), (~a["inside"]).alias("inside"), F.when(a["inside"], F.concat(a["found"], F.array(span))).otherwise(a["found"]).alias("found"))
 
-    found = F.aggregate(F.split(marked, _MARK, -1), first, step, lambda a: a["found"])
-    return F.when(text.rlike(spec.before + f"(?:{spec.value})"), found).otherwise(F.array().cast(_CANDIDATE))
+    return F.when(may, F.aggregate(F.split(marked, MARK, -1), first, step, lambda a: a["found"])).otherwise(F.array().cast(_CANDIDATE))
 
 
 def unquoted(value: Column) -> Column:
@@ -134,17 +162,24 @@ def _confidence(kind: str, v: Column, near: Column, line: Column) -> Column:
 
 
 def candidates(units: DataFrame, source: str, unit: str, text: str, kinds: Iterable[str] | None = None) -> DataFrame:
-    """(source, unit_id, spec, start, end, value, context, line_text, line): every match of the asked kinds before validation."""
+    """(source, unit_id, spec, start, end, value, context, line_text, line): every match of the asked kinds before validation.
+    A value that crosses a block's end, which only one in a line of over 8,192 characters can, is seen as far as the margin."""
     wanted = set(kinds or P.KINDS)
-    t = F.when(F.contains(F.col("text"), F.lit(_MARK)), F.translate("text", _MARK, _OTHER)).otherwise(F.col("text"))
-    rows = units.select(F.col(source).cast("string").alias("source"), F.col(unit).cast("string").alias("unit_id"), F.col(text).alias("text")).where("text is not null").withColumn("text", t)
-    found = F.concat(*[_spans(F.col("text"), s, i) for i, s in enumerate(P.SPECS) if s.kind in wanted])
-    each = rows.select("source", "unit_id", "text", F.explode(found).alias("c")).select("source", "unit_id", "text", "c.*").where("end > start")
-    before = F.left("text", F.col("start"))
-    near = F.substring(F.col("text"), F.greatest(F.lit(1), F.col("start") + 1 - NEAR), F.col("end") - F.greatest(F.lit(0), F.col("start") - NEAR) + NEAR)
-    line = F.concat(F.substring_index(before, "\n", -1), F.substring_index(F.substring(F.col("text"), F.col("start") + 1, F.length("text")), "\n", 1))
-    number = F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit(""))) + 1
-    return each.select("source", "unit_id", "spec", "start", "end", "value", near.alias("context"), line.alias("line_text"), number.cast("long").alias("line"))
+    rows = units.select(F.col(source).cast("string").alias("source"), F.col(unit).cast("string").alias("unit_id"), unmarked(F.col(text)).alias("text")).where("text is not null")
+    each = rows.select("source", "unit_id", F.explode(blocks(F.col("text"))).alias("b")).select("source", "unit_id", "b.*")
+    each = each.withColumn("lowered", F.lower("text")).withColumn("digits", F.col("text").rlike("[0-9]"))
+    may = {k: _may_match(k, F.col("lowered"), F.col("digits")) for k in P.KINDS if k in wanted}
+    found = F.concat(*[_spans(F.col("text"), s, i, may[s.kind]) for i, s in enumerate(P.SPECS) if s.kind in wanted])
+    each = each.select("source", "unit_id", "text", "at", "low", "high", "line", F.explode(found).alias("c"))
+    each = each.select("source", "unit_id", "text", "at", "low", "high", "line", "c.spec", F.col("c.at").alias("from"), F.col("c.part").alias("value"), (F.col("c.at") + F.length("c.part")).cast("int").alias("to"))
+    each = each.where("to > from and from >= low and from < high")
+    before = F.left("text", F.col("from"))
+    near = F.substring(F.col("text"), F.greatest(F.lit(1), F.col("from") + 1 - NEAR), F.col("to") - F.greatest(F.lit(0), F.col("from") - NEAR) + NEAR)
+    line = F.concat(F.substring_index(before, "\n", -1), F.substring_index(F.substring(F.col("text"), F.col("from") + 1, F.length("text")), "\n", 1))
+    own = F.substring(F.col("text"), F.col("low") + 1, F.col("from") - F.col("low"))
+    number = F.col("line") + F.length(own) - F.length(F.replace(own, F.lit("\n"), F.lit(""))) + 1
+    start, end = (F.col("at") + F.col("from")).cast("int"), (F.col("at") + F.col("to")).cast("int")
+    return each.select("source", "unit_id", "spec", start.alias("start"), end.alias("end"), "value", near.alias("context"), line.alias("line_text"), number.cast("long").alias("line"))
 
 
 def validated(found: DataFrame, kinds: Iterable[str] | None = None) -> DataFrame:
@@ -169,7 +204,12 @@ def resolve_overlaps(found: DataFrame) -> DataFrame:
     first = {k: i for i, k in reversed(list(enumerate(s.kind for s in P.SPECS)))}
     rank = F.element_at(F.create_map(*[F.lit(x) for kv in first.items() for x in kv]), F.col("kind"))
     item = F.struct(F.col("start"), rank.alias("rank"), (-(F.col("end") - F.col("start"))).alias("short"), F.col("end"), "kind", "confidence", "value", "context", "line")
-    units = found.groupBy("source", "unit_id").agg(F.array_sort(F.collect_set(item)).alias("items"))
+    # runs of candidates that touch one another; those of different runs never compete, so no long list is folded
+    order = Window.partitionBy("source", "unit_id").orderBy("start", F.desc("end"))
+    reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    new = F.when(F.coalesce(F.col("start") >= reach, F.lit(True)), 1).otherwise(0)
+    runs = found.withColumn("_new", new).withColumn("_run", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    units = runs.groupBy("source", "unit_id", "_run").agg(F.array_sort(F.collect_set(item)).alias("items"))
     empty = F.slice("items", 1, 0)
 
     def step(taken: Column, x: Column) -> Column:
@@ -247,9 +287,15 @@ def with_path_context(findings: DataFrame, path: str) -> DataFrame:
 
 
 def redact(units: DataFrame, source: str = "source", unit: str = "doc_id", text: str = "text", kinds: Iterable[str] | None = None) -> DataFrame:
-    """(source, unit_id, redacted, n): texts with each finding replaced by [REDACTED:kind]."""
+    """(source, unit_id, redacted, n): texts with each finding replaced by [REDACTED:kind]; a PEM block goes as a whole."""
+    wanted = set(kinds or P.KINDS)
+    for kind, pattern in PEM.items():
+        if kind in wanted:
+            held = F.regexp_count(text, F.lit(pattern))
+            units = units.withColumn("_pem", (F.col("_pem") if "_pem" in units.columns else F.lit(0)) + F.coalesce(held, F.lit(0))).withColumn(text, F.regexp_replace(text, pattern, f"[REDACTED:{kind}]"))
+    units = units if "_pem" in units.columns else units.withColumn("_pem", F.lit(0))
     found = detect(units, source, unit, text, kinds).groupBy("source", "unit_id").agg(F.array_sort(F.collect_list(F.struct("start", "end", "kind"))).alias("spans"))
-    rows = units.select(F.col(source).cast("string").alias("source"), F.col(unit).cast("string").alias("unit_id"), F.col(text).alias("text")).join(found, ["source", "unit_id"], "left")
+    rows = units.select(F.col(source).cast("string").alias("source"), F.col(unit).cast("string").alias("unit_id"), F.col(text).alias("text"), "_pem").join(found, ["source", "unit_id"], "left")
     first = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(a: Column, s: Column) -> Column:
@@ -258,7 +304,7 @@ def redact(units: DataFrame, source: str = "source", unit: str = "doc_id", text:
         return F.when(s["start"] >= a["at"], new).otherwise(a)
 
     out = F.aggregate("spans", first, step, lambda a: F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, F.length("text"))))
-    return rows.select("source", "unit_id", F.coalesce(out, F.col("text")).alias("redacted"), F.coalesce(F.size("spans"), F.lit(0)).alias("n"))
+    return rows.select("source", "unit_id", F.coalesce(out, F.col("text")).alias("redacted"), (F.coalesce(F.size("spans"), F.lit(0)) + F.col("_pem")).alias("n"))
 
 
 # -- roll-ups

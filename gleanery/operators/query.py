@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.spans import lines_of, matches, unmarked
+
 _REFUSED = "insert update delete drop alter create replace truncate merge attach detach pragma vacuum grant revoke call load set".split()
 
 
@@ -65,9 +67,7 @@ def project_columns(df: DataFrame, keys: list[str]) -> DataFrame:
 
 def lines(df: DataFrame, text: str = "text", *keys: str) -> DataFrame:
     """(keys, line, text): one row per line, from 1; an empty piece after the last line end is no line."""
-    each = df.select(*keys, F.col(text).alias("_whole"), F.posexplode(F.split(text, "\r?\n")).alias("_at", "text"))
-    last = F.size(F.split("_whole", "\r?\n")) - 1
-    return each.where(~((F.col("_at") == last) & (F.col("text") == "") & (last > 0))).select(*keys, (F.col("_at") + 1).alias("line"), "text")
+    return df.select(*keys, F.posexplode(lines_of(F.col(text))).alias("_at", "text")).select(*keys, (F.col("_at") + 1).alias("line"), "text")
 
 
 def grep_lines(df: DataFrame, needle: str, text: str = "text") -> DataFrame:
@@ -102,12 +102,8 @@ def search_corpus(df: DataFrame, pattern: str, *keys: str, text: str = "text", r
     found = pattern if regex else re.escape(pattern)
     found = f"(?i){found}" if not case else found
     each = lines(df, text, *keys)
-    mark = "﷐"
-    parts = F.split(F.regexp_replace("text", F.lit(f"({found})"), F.lit(f"{mark}$1{mark}")), mark, -1)
-    first = F.struct(F.lit(0).alias("at"), F.lit(False).alias("inside"), F.array().cast("array<struct<column:int,match:string>>").alias("out"))
-    step = lambda a, p: F.struct((a["at"] + F.length(p)).cast("int").alias("at"), (~a["inside"]).alias("inside"), F.when(a["inside"], F.concat(a["out"], F.array(F.struct((a["at"] + 1).alias("column"), p.alias("match"))))).otherwise(a["out"]).alias("out"))
-    hit = each.where(F.col("text").rlike(found) & ~F.contains("text", F.lit(mark)))
-    return hit.select(*keys, "line", "text", F.explode(F.aggregate(parts, first, step, lambda a: a["out"])).alias("m")).select(*keys, "line", "m.column", "text", "m.match")
+    hit = each.withColumn("text", unmarked(F.col("text"))).where(F.col("text").rlike(found))
+    return hit.select(*keys, "line", "text", F.explode(matches(F.col("text"), found)).alias("m")).select(*keys, "line", (F.col("m.at") + 1).cast("int").alias("column"), "text", F.col("m.part").alias("match"))
 
 
 def relevant_lines(df: DataFrame, words: list[str], keys: list[str], order: str = "line", text: str = "text", budget: int = 12_000, ends: int = 24) -> DataFrame:
@@ -125,11 +121,18 @@ def relevant_lines(df: DataFrame, words: list[str], keys: list[str], order: str
 
 
 def collapse_repeats(df: DataFrame, keys: list[str], order: str, text: str = "text") -> DataFrame:
-    """Without lines equal to the one before."""
+    """Without lines equal to the one before; first_occurrences() drops all later ones."""
     before = F.lag(text).over(Window.partitionBy(*keys).orderBy(order))
     return df.withColumn("_p", before).where(F.col("_p").isNull() | (F.col("_p") != F.col(text))).drop("_p")
 
 
+def first_occurrences(df: DataFrame, keys: list[str], order: str, text: str = "text") -> DataFrame:
+    """The first of lines that are equal but for case, space and the ends; blank ones go."""
+    norm = F.trim(F.regexp_replace(F.lower(F.col(text)), r"\s+", " "))
+    first = Window.partitionBy(*keys, "_norm").orderBy(order)
+    return df.withColumn("_norm", norm).where("_norm <> ''").withColumn("_r", F.row_number().over(first)).where("_r = 1").drop("_r", "_norm")
+
+
 def find_files(df: DataFrame, name: str, path: str = "path") -> DataFrame:
     """Paths that contain the name or match its glob, entry points first, then depth, then path."""
     glob = "(?i)" + re.escape(name).replace(r"\*", ".*").replace(r"\?", ".")

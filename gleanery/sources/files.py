@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.spans import let
+
 COMMON = {"id", "name", "email", "date", "time", "type", "status", "user", "username", "value", "count", "host", "url", "path", "ip", "port", "city", "country", "address", "phone", "score", "title", "description"}
 
 
@@ -179,17 +181,28 @@ def read_mail(spark: SparkSession, path: str, most: int = 50 << 20) -> DataFrame
     return parse_mail(spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).where(F.col("length") <= most))
 
 
+#: Elements whose content is no visible text; each with a pattern of its own, as a back-reference would search to the end of the
+#: page from every opening tag.
+_FURNITURE = "script style nav header footer aside form noscript svg".split()
+
+
 def html_to_text(html: Column) -> Column:
     """Visible text: scripts, styles and page furniture dropped, blocks on lines of their own, list items marked."""
-    t = F.regexp_replace(html, r"(?is)<(script|style|nav|header|footer|aside|form|noscript|svg)\b.*?</\1\s*>", " ")
-    main = F.regexp_extract(t, r"(?is)<(main|article)\b[^>]*>(.*?)</\1>", 2)
-    t = F.when(F.length(main) >= 200, main).otherwise(t)
+    t = html
+    for name in _FURNITURE:
+        t = F.regexp_replace(t, rf"(?i)<{name}\b(?:[^<]|<(?!/{name}\b))*+</{name}\s*>", " ")
+
+    def visible(t: Column) -> Column:
+        inner = F.coalesce(*[F.nullif(F.regexp_extract(t, rf"(?i)<{name}\b[^>]*>((?:[^<]|<(?!/{name}>))*+)</{name}>", 1), F.lit("")) for name in ("main", "article")], F.lit(""))
+        return let(inner, lambda main: F.when(F.length(main) >= 200, main).otherwise(t))
+
+    t = let(t, visible)
     t = F.regexp_replace(F.regexp_replace(t, r"(?is)<!--.*?-->|<head\b.*?</head>", " "), r"(?i)<li\b[^>]*>", "\n- ")
     t = F.regexp_replace(F.regexp_replace(t, r"(?i)<(?:br|/?(?:p|div|h[1-6]|ul|ol|tr|table|section|main|article|blockquote|pre))\b[^>]*>", "\n"), r"<[^>]+>", "")
     for name, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
         t = F.replace(t, F.lit(name), F.lit(char))
     rows = F.filter(F.transform(F.split(t, "\n"), lambda x: F.trim(F.regexp_replace(x, r"\s+", " "))), lambda x: x != "")
-    return F.array_join(F.filter(rows, lambda x, i: (i == 0) | (F.get(rows, i - 1) != x)), "\n")
+    return let(rows, lambda r: F.array_join(F.filter(r, lambda x, i: (i == 0) | (F.get(r, i - 1) != x)), "\n"))
 
 
 def html_title(html: Column) -> Column:

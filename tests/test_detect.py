@@ -84,3 +84,29 @@ def test_redact_and_rollups(spark):
     assert (row.projects, row.files, row.occurrences, row.severity) == (2, 4, 4, "HIGH") and row.places.endswith("+1 more")
     moved = {r.confidence for r in D.with_path_context(found, F.lit("tests/a.py")).collect()}
     assert moved == {"medium"} and {r.confidence for r in D.with_path_context(found, F.lit(".env")).collect()} == {"critical"}
+
+
+def test_dense_and_long_texts(spark):
+    """60,000 lines with an address each, in one text; lines over a block; values at the ends of blocks."""
+    import time
+
+    dense = "\n".join(f"user{i}@example.org row" for i in range(60_000))
+    long = "x " * 9000 + "me@long.org " + "y " * 9000 + "last@long.org"
+    edge = "\n".join("z" * 97 + f" {i}@edge.org" for i in range(400))
+    began = time.time()
+    rows = D.detect(spark.createDataFrame([("s", "dense", dense), ("s", "long", long), ("s", "edge", edge)], "source string, doc_id string, text string"), kinds=["email"]).select("unit_id", "start", "end", "value", "line").collect()
+    assert time.time() - began < 60
+    texts = {"dense": dense, "long": long, "edge": edge}
+    assert all(texts[r.unit_id][r.start : r.end] == r.value and r.line == texts[r.unit_id].count("\n", 0, r.start) + 1 for r in rows)
+    assert {k: sum(r.unit_id == k for r in rows) for k in texts} == {"dense": 60_000, "long": 2, "edge": 400}
+
+
+def test_pem_block_goes_as_a_whole(spark):
+    key = "-----BEGIN RSA PRIVATE KEY-----\nMIIE\nabc\n-----END RSA PRIVATE KEY-----"
+    row = D.redact(spark.createDataFrame([(1, f"a\n{key}\nb me@x.org", "s")], "doc_id long, text string, source string")).first()
+    assert row.redacted == "a\n[REDACTED:private-key]\nb [REDACTED:email]" and row.n == 2
+
+
+def test_needs_are_needed():
+    """A kind's literals are there for all kinds that have them, and only known kinds are named."""
+    assert set(D.NEEDS) <= set(P.KINDS)
