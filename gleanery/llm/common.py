@@ -5,7 +5,6 @@ from __future__ import annotations
 import string
 import tempfile
 import uuid
-from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -66,25 +65,6 @@ def row_keys(docs: DataFrame) -> tuple[Column, Column]:
     return F.xxhash64(F.lit(0), *own), F.xxhash64(F.lit(1), *own)
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body(value), where value is worked out once however often the body names it, also within its own lambdas."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
-def starts(lengths: Column, block: int = 256) -> Column:
-    """Where each of a row of neighbours begins: the sums of the lengths before it (array<long>), block by block, so that an
-    array of n is not copied n times."""
-
-    def sums(some: Column) -> Column:
-        return F.aggregate(some, F.array(F.lit(0).cast("long")), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x)))
-
-    whole = F.transform(lengths, lambda x: x.cast("long"))
-    cut = lambda xs: F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size(xs) - 1) / block).cast("int"))), lambda i: sums(F.slice(xs, i * block + 1, F.lit(block))))
-    bases = lambda blocks: sums(F.transform(blocks, lambda b: F.element_at(b, -1)))
-    moved = lambda blocks, at: F.flatten(F.transform(blocks, lambda b, i: F.transform(F.slice(b, 1, F.size(b) - 1), lambda x: x + F.get(at, i))))
-    return let(whole, lambda xs: let(cut(xs), lambda blocks: let(bases(blocks), lambda at: moved(blocks, at))))
-
-
 def ascii_lower(text: Column) -> Column:
     """A-Z to a-z and nothing else. lower() does that wherever no other cased character occurs, and is far quicker than translate()."""
     return F.when(text.rlike(CASED_BEYOND_ASCII), F.translate(text, UPPER, LOWER)).otherwise(F.lower(text))

@@ -17,7 +17,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, starts, stash
+from ..functions import spans
+from ..functions.spans import let
+from .common import stash
 
 #: The base kinds in the order of the results, and their patterns. Nothing follows the repeats, so they need not
 #: give back (++); that keeps the matcher's stack flat on long runs.
@@ -33,25 +35,16 @@ NEEDS = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "p
 TERM = r"\p{L}{2,}"
 #: Characters on either side of a mention that are its context, and those of a block of text that contexts are taken from.
 CONTEXT, BLOCK = 80, 1024
-_MARK, _OTHER = "﷐", "﷑"
 SPAN = "array<struct<kind:int,start:long,end:long,value:string>>"
 
 
 def matches(text: Column, pattern: str, kind: int) -> Column:
-    """All leftmost non-overlapping matches as spans; the text must not hold the mark. Work grows with the text's length."""
-    parts = F.split(F.regexp_replace(text, F.lit(f"({pattern})"), F.lit(f"{_MARK}$1{_MARK}")), _MARK, -1)
-
-    def spans(parts: Column) -> Column:  # every second part is a match
-        each = F.arrays_zip(parts.alias("part"), starts(F.transform(parts, F.length)).alias("at"))
-        hits = F.filter(each, lambda x, i: i % 2 == 1)
-        return F.transform(hits, lambda x: F.struct(F.lit(kind).alias("kind"), x["at"].alias("start"), (x["at"] + F.length(x["part"])).alias("end"), x["part"].alias("value")))
-
-    return let(parts, spans)
+    """All leftmost non-overlapping matches as spans; the text must not hold the mark."""
+    return F.transform(spans.matches(text, pattern), lambda x: F.struct(F.lit(kind).alias("kind"), x["at"].alias("start"), (x["at"] + F.length(x["part"])).alias("end"), x["part"].alias("value")))
 
 
 def unmarked(text: Column) -> Column:
-    text = F.coalesce(text, F.lit(""))
-    return F.when(F.contains(text, F.lit(_MARK)), F.translate(text, _MARK, _OTHER)).otherwise(text)
+    return spans.unmarked(F.coalesce(text, F.lit("")))
 
 
 def digits(value: Column) -> Column:
@@ -79,14 +72,14 @@ def base_spans(text: Column) -> Column:
     return F.concat(*[spans_of(text, k) for k in KINDS[:4]])
 
 
-def count_of(spans: Column, kind: str) -> Column:
-    return F.size(F.filter(spans, lambda s: s["kind"] == KINDS.index(kind))).cast("long")
+def count_of(found: Column, kind: str) -> Column:
+    return F.size(F.filter(found, lambda s: s["kind"] == KINDS.index(kind))).cast("long")
 
 
-def described(spans: Column) -> Column:
+def described(found: Column) -> Column:
     """kind:start:end, comma-joined."""
     names = F.array(*[F.lit(k) for k in KINDS])
-    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return F.array_join(F.transform(found, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
 def words_of(text: Column) -> Column:
@@ -154,9 +147,9 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
     return marked.join(terms, "row_id", "left").select("doc_id", "base", F.coalesce("terms", F.array().cast(SPAN)).alias("terms"))
 
 
-def sanitised(text: Column, spans: Column) -> Column:
+def sanitised(text: Column, found: Column) -> Column:
     """The text with each span replaced: base kinds by [kind], terms by [word]; a span that overlaps an earlier one goes with it."""
-    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    ordered = F.array_sort(F.transform(found, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
     names = F.array(*[F.lit(f"[{k}]") for k in (*KINDS[:4], "word")])
     first = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
 

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann, exact_dedup, hmm, mixing, packing, pii, secrets, simhash, toxicity, url_filter
-from .common import table
+from .common import MADE, table, tidy
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,7 +79,18 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokens=4096, end_id=1)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+def tidied(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """The query; of the tables that it writes on the way only those that its result reads are left."""
+
+    @wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        made = len(MADE)
+        return tidy(query(spark, sf_dir), made)
+
+    return run
+
+
+_ALL: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_toxicity": op2_toxicity,
     "op3_exact_dedup": op3_exact_dedup,
@@ -91,3 +103,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_packing": op10_packing,
     "ann_recall": ann_recall,
 }
+QUERIES = {name: tidied(query) for name, query in _ALL.items()}
