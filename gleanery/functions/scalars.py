@@ -152,11 +152,32 @@ def url_path(url: Column) -> Column:
     return F.coalesce(F.try_parse_url(url, F.lit("PATH")), F.lit(""))
 
 
+# fixed values: form fields that frameworks add
+NOISE_FIELDS = ["__viewstate", "__viewstategenerator", "__eventvalidation", "__eventtarget", "__eventargument", "__viewstateencrypted", "__lastfocus", "__requestverificationtoken"]
+
+
+def drop_noise_fields(fields: Column) -> Column:
+    """array<struct<name, value>> without what frameworks add."""
+    return F.filter(fields, lambda f: ~F.lower(f["name"]).isin(NOISE_FIELDS))
+
+
 def form_fields(body: Column) -> Column:
     """name=value pairs of a URL-encoded body, decoded, without what frameworks add."""
     pairs = F.filter(F.split(F.coalesce(body, F.lit("")), "&"), lambda p: p.contains("="))
     decoded = F.transform(pairs, lambda p: F.struct(F.coalesce(F.try_url_decode(F.split_part(p, F.lit("="), F.lit(1))), F.lit("")).alias("name"), F.coalesce(F.try_url_decode(F.regexp_replace(p, "^[^=]*=", "")), F.lit("")).alias("value")))
-    return F.filter(decoded, lambda f: ~F.lower(f["name"]).isin("__viewstate", "__viewstategenerator", "__eventvalidation", "__eventtarget", "__eventargument", "__requestverificationtoken", "utf8"))
+    return drop_noise_fields(decoded)
+
+
+def normalise_target(value: Column) -> Column:
+    """struct<kind: ip or domain, target> of what a user gives as a target: without scheme, user, path, port and last dots; null
+    if it is neither."""
+    bare = F.regexp_replace(F.regexp_replace(F.trim(value), r"^[^/]*://(?:[^/@]*@)?", ""), r"[/?#].*$", "")
+    bare = F.lower(F.regexp_replace(bare, r"\.+$", ""))
+    six = bare.rlike(r"^\[?[0-9a-f:]*:[0-9a-f:]*:[0-9a-f:]*\]?(?::\d+)?$")
+    clean = F.when(six, F.regexp_replace(F.regexp_replace(bare, r"\]:\d+$", "]"), r"[\[\]]", "")).otherwise(F.regexp_replace(bare, r":[^:]*$", ""))
+    domain = clean.rlike(r"^(?:[a-z0-9](?:[a-z0-9-]{0,61}[a-z0-9])?\.)+[a-z0-9-]{2,63}$")
+    kind = F.when(six | ipv4_number(clean).isNotNull(), "ip").when(domain, "domain")
+    return F.when(kind.isNotNull(), F.struct(kind.alias("kind"), clean.alias("target")))
 
 
 def days_since(day: Column, today: Column) -> Column:

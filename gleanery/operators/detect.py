@@ -317,6 +317,40 @@ def inventory(findings: DataFrame) -> DataFrame:
     return out.withColumn("top", F.get(F.lit(["", *P.LEVELS]), F.col("top")))
 
 
+#: What a finding of a category can be used for, and what to do.
+EXPOSURE = {
+    "secret": "Acts for a service. Revoke it and issue another.",
+    "authentication": "Lets its holder act as a user. Rotate it and keep it out of pages and logs.",
+    "identity": "Identifies a person. Keep no copy that is not needed.",
+    "financial": "Can be used for fraud. Restrict who can export it.",
+    "network": "Shows where systems are. Check that it is meant to be public.",
+    "http": "A weak setting of a web service. Mend the flag or header.",
+    "injection": "Input that may be executed. Do not run it; review where it came from.",
+    "config": "An unsafe setting. Turn it off outside development.",
+}
+
+
+def exposure_note(category: Column) -> Column:
+    return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in EXPOSURE.items() for x in kv]), category), F.lit("Check who can read this."))
+
+
+def analyst_report(findings: DataFrame) -> DataFrame:
+    """The inventory with what each kind exposes, worst first."""
+    out = inventory(findings)
+    return out.withColumn("exposure", exposure_note(F.col("category"))).orderBy(F.desc(rank_of(F.col("top"))), F.desc("n"), "kind")
+
+
+def kinds_in_question(flagged: list[str], asked: list[str]) -> list[str]:
+    """Kinds that a flag and a question both name; else those that either names."""
+    return [k for k in flagged if k in asked] or flagged or asked
+
+
+def project_summary(records: DataFrame) -> DataFrame:
+    """Per project of report records: files, findings, distinct values, and how many of each severity."""
+    levels = [F.count_if(F.col("severity") == x.upper()).alias(x) for x in reversed(P.LEVELS)]
+    return records.groupBy("project").agg(F.count_distinct("file").alias("files"), F.count("*").alias("findings"), F.count_distinct("fingerprint").alias("n_values"), *levels)
+
+
 def tally(findings: DataFrame) -> DataFrame:
     return findings.groupBy("confidence").agg(F.count("*").alias("n"))
 

@@ -163,6 +163,51 @@ def next_dataset_name(registry: DataFrame) -> str:
     return f"dt{(used or 0) + 1}"
 
 
+def register(registry: DataFrame, name: str | None, source: str, now: Column, hours: float = 4.0) -> DataFrame:
+    """registry with one dataset more; without a name it gets the next one."""
+    own = registry.sparkSession.range(1).select(
+        F.sha2(F.concat_ws("\n", F.lit(name or next_dataset_name(registry)), F.lit(source), now.cast("string")), 256).alias("id"), F.lit(name or next_dataset_name(registry)).alias("name"),
+        F.lit(source).alias("source"), now.alias("created_at"), (now + F.make_dt_interval(hours=F.lit(0), mins=F.lit(0), secs=F.lit(hours * 3600.0))).alias("expires_at"),
+    )
+    return registry.unionByName(own, allowMissingColumns=True)
+
+
+def list_datasets(registry: DataFrame, now: Column) -> DataFrame:
+    """Datasets that have not expired, newest first."""
+    return expire(registry, now).orderBy(F.desc("created_at"), "id")
+
+
+def rank_store(store: DataFrame, needle: str | None = None, text: tuple[str, ...] = ("tool", "operation", "purpose", "labels", "intent", "source"), n: int | None = None) -> DataFrame:
+    """Stored entries, most used first, then newest, then by falling id; with a needle those that have it in a text column."""
+    from .query import search_turns
+
+    some = search_turns(store, needle, [c for c in text if c in store.columns]) if needle else store
+    ranked = some.orderBy(F.desc("hit_count"), F.desc("updated_at"), F.desc("id"))
+    return ranked if n is None else ranked.limit(n)
+
+
+def item_in_order(rows: DataFrame, file: str, position: str) -> DataFrame:
+    """rows with item: their number in the file, from 1, in export order."""
+    return rows.withColumn("item", F.row_number().over(Window.partitionBy(file).orderBy(position)))
+
+
+def file_hash(content: Column) -> Column:
+    """SHA-256 of a whole file."""
+    return F.sha2(content.cast("binary"), 256)
+
+
+def row_where(df: DataFrame) -> Column:
+    """Where a row is, for a reader: its packet and item, and the first of url, time, id, path, host that it has; else the first
+    column."""
+    have = {c.lower(): c for c in df.columns}
+    told = lambda c: F.trim(F.col(f"`{have[c]}`").cast("string"))
+    numbers = [F.when(~F.coalesce(told(c), F.lit("")).isin("", "0"), F.concat(F.lit(label + " "), told(c))) for c, label in (("packet", "packet"), ("item", "item"), ("frame", "packet")) if c in have]
+    places = [F.when(told(c) != "", told(c)) for c in ("url", "time", "id", "path", "host") if c in have]
+    place = F.coalesce(*places) if places else F.lit(None).cast("string")
+    parts = F.array_compact(F.array(*numbers, place) if numbers else F.array(place))
+    return F.when(F.size(parts) > 0, F.array_join(parts, " · ")).otherwise(F.coalesce(F.col(f"`{df.columns[0]}`").cast("string"), F.lit("")))
+
+
 def finding_where(*columns: str) -> Column:
     return F.concat_ws(" · ", *[F.concat(F.lit(c + " "), F.col(c).cast("string")) for c in columns])
 

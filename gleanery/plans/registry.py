@@ -502,3 +502,51 @@ def r07_sessions(t):
 @register("SELECT event_type, count(*) AS n FROM events WHERE ts + INTERVAL 5 DAY <= TIMESTAMP '2024-01-15' GROUP BY event_type")
 def r05_expired(t):
     return stream.expired(t("events"), "5 days", "2024-01-15").groupBy("event_type").agg(F.count("*").alias("n"))
+
+
+# -- rows of the survey that came later
+
+
+@register("SELECT page_id, 'domain' AS kind, regexp_extract(lower(url), '://([^/:?#]+)', 1) AS target FROM pages WHERE url IS NOT NULL")
+def f_normalise_target(t):
+    return t("pages").where("url is not null").select("page_id", S.normalise_target(F.regexp_replace("url", "[?#].*$", "")).alias("t")).select("page_id", "t.kind", "t.target")
+
+
+@register("SELECT doc_id, sha256(text) AS digest FROM documents WHERE text IS NOT NULL")
+def f_file_hash(t):
+    return t("documents").where("text is not null").select("doc_id", tables.file_hash(F.col("text")).alias("digest"))
+
+
+@register("SELECT o_orderkey AS id, o_orderkey % 7 AS hit_count, o_orderpriority AS purpose FROM orders WHERE o_orderpriority ILIKE '%urgent%' ORDER BY hit_count DESC, o_orderdate DESC, id DESC LIMIT 50")
+def t05_store_ranking(t):
+    store = t("orders").select(F.col("o_orderkey").alias("id"), (F.col("o_orderkey") % 7).alias("hit_count"), F.col("o_orderdate").alias("updated_at"), F.col("o_orderpriority").alias("purpose"))
+    return tables.rank_store(store, "urgent", n=50).select("id", "hit_count", "purpose")
+
+
+@register("SELECT o_orderkey, concat('a=1,b=', o_orderkey, ' x') AS fields FROM orders")
+def p25_form_fields(t):
+    body = F.concat(F.lit("a=1&__VIEWSTATE=zz&b="), F.col("o_orderkey").cast("string"), F.lit("%20x&__LASTFOCUS="))
+    fields = F.transform(S.form_fields(body), lambda f: F.concat(f["name"], F.lit("="), f["value"]))
+    return t("orders").select("o_orderkey", F.array_join(fields, ",").alias("fields"))
+
+
+@register("SELECT event_id, CASE WHEN event_id % 5 = 0 THEN event_type ELSE concat('packet ', event_id % 5, ' · ', event_type) END AS place FROM events")
+def f_row_where(t):
+    rows = t("events").select((F.col("event_id") % 5).alias("packet"), F.col("event_type").alias("path"), "event_id")
+    return rows.select("event_id", tables.row_where(rows).alias("place"))
+
+
+@register("SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn)::INT AS item FROM conversations")
+def w04_item_numbers(t):
+    return tables.item_in_order(t("conversations"), "conv_id", "turn").select("conv_id", "turn", "item")
+
+
+@register(f"SELECT doc_id, count(*) AS n FROM (SELECT DISTINCT doc_id, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) AS k FROM ({_LINES})) WHERE k <> '' GROUP BY doc_id")
+def w13_first_occurrences(t):
+    return query.first_occurrences(query.lines(t("documents"), "text", "doc_id"), ["doc_id"], "line").groupBy("doc_id").agg(F.count("*").alias("n"))
+
+
+@register("SELECT o_orderpriority AS project, count(*) AS files, count(*) AS findings, count(*) AS n_values, count(*) FILTER (o_orderkey % 3 = 0) AS critical, count(*) FILTER (o_orderkey % 3 = 1) AS high, count(*) FILTER (o_orderkey % 3 = 2) AS medium, 0::BIGINT AS low FROM orders GROUP BY 1")
+def a06_project_summary(t):
+    records = t("orders").select(F.col("o_orderpriority").alias("project"), F.col("o_orderkey").alias("file"), F.col("o_orderkey").alias("fingerprint"), F.get(F.lit(["CRITICAL", "HIGH", "MEDIUM"]), (F.col("o_orderkey") % 3).cast("int")).alias("severity"))
+    return D.project_summary(records)

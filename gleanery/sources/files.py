@@ -177,8 +177,10 @@ def parse_mail(files: DataFrame) -> DataFrame:
     return files.select("content").mapInPandas(each, MAIL)
 
 
-def read_mail(spark: SparkSession, path: str, most: int = 50 << 20) -> DataFrame:
-    return parse_mail(spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).where(F.col("length") <= most))
+def read_mail(spark: SparkSession, path: str, most: int | None = None) -> DataFrame:
+    """Messages of all sizes, or of at most `most` bytes."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    return parse_mail(found if most is None else found.where(F.col("length") <= most))
 
 
 #: Elements whose content is no visible text; each with a pattern of its own, as a back-reference would search to the end of the
@@ -214,13 +216,30 @@ def html_inputs(html: Column) -> Column:
 
 
 def write_findings(df: DataFrame, path: str, fmt: str = "json") -> None:
+    """fmt text: the columns of a row with tabs between them."""
+    if fmt == "text":
+        df = df.select(F.concat_ws("\t", *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in df.columns]).alias("value"))
     writer = df.write.mode("errorifexists")
     writer.option("header", True).csv(path) if fmt == "csv" else writer.format(fmt).save(path)
 
 
-def write_report_pack(records: DataFrame, path: str) -> None:
-    """Records by project; columns as report_records() gives them."""
-    records.write.mode("errorifexists").partitionBy("project").json(path)
+def run_stamp(now: Column) -> Column:
+    """The stamp of a run, in Indian time."""
+    return F.concat(F.date_format(F.from_utc_timestamp(now, "Asia/Kolkata"), "dd_MMM_yyyy_HHmm"), F.lit("_IST"))
+
+
+def write_report_pack(records: DataFrame, findings: DataFrame, path: str) -> str:
+    """Of one run, under path/stamp: the records of each project as JSON lines and CSV, a summary of the projects, and the
+    rotation report. Records as report_records() gives them. Returns where it is."""
+    from ..operators import detect
+
+    stamp = records.sparkSession.range(1).select(run_stamp(F.current_timestamp())).first()[0]
+    at = f"{path}/{stamp}"
+    records.write.mode("errorifexists").partitionBy("project").json(f"{at}/json")
+    records.write.mode("errorifexists").partitionBy("project").option("header", True).csv(f"{at}/csv")
+    detect.project_summary(records).write.mode("errorifexists").json(f"{at}/summary")
+    detect.rotation(findings).orderBy("rank", F.desc("files")).write.mode("errorifexists").json(f"{at}/rotation")
+    return at
 
 
 def maybe_base64(text: Column) -> Column:
@@ -245,25 +264,3 @@ def http_extras(items: DataFrame, request: str = "request", response: str = "res
         "set_cookie": http_header(F.col("_b.headers"), "Set-Cookie"), "authorization": F.split_part(http_header(F.col("_a.headers"), "Authorization"), F.lit(" "), F.lit(1)), "location": http_header(F.col("_b.headers"), "Location"),
         "form": F.when(F.contains(F.lower(http_header(F.col("_a.headers"), "Content-Type")), F.lit("urlencoded")), form_fields(F.col("_a.body"))),
     }).drop("_a", "_b")
-
-
-def zip_inventory(archives: DataFrame, content: str = "content") -> DataFrame:
-    """archives with inventory: entries, whether one is encrypted, the ratio; from the directory alone, nothing is unpacked."""
-
-    @F.pandas_udf("n int, encrypted boolean, total long, ratio double, names array<string>")
-    def read(blobs: pd.Series) -> pd.DataFrame:
-        import io
-        import zipfile
-
-        rows = []
-        for raw in blobs:
-            try:
-                with zipfile.ZipFile(io.BytesIO(bytes(raw))) as z:
-                    infos = z.infolist()
-                total = sum(i.file_size for i in infos)
-                rows.append((len(infos), any(i.flag_bits & 1 for i in infos), total, round(total / max(1, len(raw)), 1), [i.filename for i in infos]))
-            except (zipfile.BadZipFile, ValueError, RuntimeError, TypeError):
-                rows.append((0, False, 0, 0.0, []))
-        return pd.DataFrame(rows, columns=["n", "encrypted", "total", "ratio", "names"], dtype=object)
-
-    return archives.withColumn("inventory", read(F.col(content)))

@@ -1,9 +1,6 @@
-import io
-import zipfile
-
 from pyspark.sql import functions as F
 
-from gleanery.operators import detect, extend, fleet, query
+from gleanery.operators import detect, extend, fleet, query, tables
 from gleanery.sources import files
 
 
@@ -22,12 +19,7 @@ def test_http_extras(spark):
     assert [tuple(f) for f in row.form] == [("u", "jo"), ("p", "a b")]
 
 
-def test_zip_and_json(spark):
-    raw = io.BytesIO()
-    with zipfile.ZipFile(raw, "w") as z:
-        z.writestr("a.exe", "x" * 10)
-    rows = files.zip_inventory(spark.createDataFrame([(bytearray(raw.getvalue()),), (bytearray(b"no"),), (None,)], "content binary")).collect()
-    assert [(r.inventory.n, r.inventory.names) for r in rows] == [(1, ["a.exe"]), (0, []), (0, [])]
+def test_bounded_json(spark):
     row = spark.createDataFrame([('{"a": [1, 2, 3], "b": {"c": {"d": 1}}}',), ("no",), (None,)], "j string").select(query.bounded_json(F.col("j"), depth=2, items=2).alias("j")).collect()
     assert "1 items left out" in row[0].j and "keys left out" in row[0].j and row[1].j == "no" and row[2].j is None
 
@@ -60,3 +52,30 @@ def test_host_extras(spark):
     two = spark.createDataFrame([("h", "cron", "a", "/x"), ("h", "cron", "a", "/y")], "host_id string, kind string, name string, path string")
     assert fleet.distinct_persistence(two).count() == 1
     assert {r.language: r.files for r in query.languages(spark.createDataFrame([("a/main.py",), ("b.py",), ("c.go",), ("d",)], "path string")).collect()} == {"Python": 2, "Go": 1}
+
+
+def test_registry_and_report_pack(spark, tmp_path):
+    now = F.lit("2024-01-01 10:00:00").cast("timestamp")
+    none = spark.createDataFrame([], "id string, name string, source string, created_at timestamp, expires_at timestamp")
+    two = tables.register(tables.register(none, None, "a.csv", now), None, "b.csv", now + F.expr("interval 1 hour"))
+    assert [r.name for r in tables.list_datasets(two, now).collect()] == ["dt2", "dt1"]
+    assert [r.name for r in tables.list_datasets(two, now + F.expr("interval 270 minutes")).collect()] == ["dt2"]
+    docs = spark.createDataFrame([(i, f"k AKIA{i:016d} x", f"p{i % 2}") for i in range(4)], "doc_id long, text string, source string")
+    found = detect.detect(docs, kinds=["aws-access-key"])
+    at = files.write_report_pack(detect.report_records(found), found, str(tmp_path / "pack"))
+    assert at.endswith("_IST") and {r.project: (r.files, r.critical) for r in spark.read.json(f"{at}/summary").collect()} == {"p0": (2, 2), "p1": (2, 2)}
+    assert spark.read.json(f"{at}/rotation").count() == 4 and spark.read.option("header", True).csv(f"{at}/csv").count() == 4
+    files.write_findings(found.select("kind", "value"), str(tmp_path / "text"), "text")
+    assert all(r.value.startswith("aws-access-key\tAKIA") for r in spark.read.text(str(tmp_path / "text")).collect())
+    assert detect.kinds_in_question(["a", "b"], ["b"]) == ["b"] and detect.kinds_in_question([], ["c"]) == ["c"]
+    assert [r.exposure[:4] for r in detect.analyst_report(found).collect()] == ["Acts"]
+
+
+def test_targets_and_places(spark):
+    from gleanery.functions import scalars as S
+
+    given = ["https://u:p@A.example.com:8080/x", "8.8.8.8:53", "[2001:db8::1]:443", "2001:db8::1", "b.example.", "no", ""]
+    got = [r[0] and tuple(r[0]) for r in spark.createDataFrame([(g,) for g in given], "v string").select(S.normalise_target(F.col("v"))).collect()]
+    assert got == [("domain", "a.example.com"), ("ip", "8.8.8.8"), ("ip", "2001:db8::1"), ("ip", "2001:db8::1"), ("domain", "b.example"), None, None]
+    rows = spark.createDataFrame([("a", 3, "u"), ("b", 0, None)], "name string, packet int, url string")
+    assert [r[0] for r in rows.select(tables.row_where(rows)).collect()] == ["packet 3 · u", "b"]
