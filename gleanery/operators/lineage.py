@@ -1,15 +1,29 @@
-"""Cutting lineage in loops."""
+"""Cutting lineage in loops, in the folder that all executors share."""
 
 from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir, which all executors share. Where none is set, one of our own if Spark runs in this one
+    process (tests); on a cluster that would be a folder that others don't see, so it is an error."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="spark-stash-", dir="/tmp")
+        spark.sparkContext.setCheckpointDir(folder)
+        folder = spark.sparkContext.getCheckpointDir()
+    return folder
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """df written to the folder in spark.checkpoint.dir, which executors share; to one of our own only where none is set."""
+    """df checkpointed in the shared folder."""
     spark = df.sparkSession
+    folder = shared_folder(spark)
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-check-", dir="/tmp"))
+        spark.sparkContext.setCheckpointDir(folder)
     return df.checkpoint()
