@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import string
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.lineage import shared_folder
+
 UPPER, LOWER = string.ascii_uppercase, string.ascii_lowercase
 #: Categories in which lower() changes a character outside A-Z (unassigned ones too: ICU may know them).
 CASED_BEYOND_ASCII = r"[^\x00-\x7F&&[\p{Lu}\p{Lt}\p{Nl}\p{So}\p{Cn}]]"
@@ -18,19 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which all executors share. Where none is set, one of our own if Spark runs in this one
-    process (tests); on a cluster that would be a folder that others don't see, so it is an error."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="spark-stash-", dir="/tmp")
-        spark.sparkContext.setCheckpointDir(folder)
-        folder = spark.sparkContext.getCheckpointDir()
-    return folder
-
-
 #: Where this driver's stashes lie, in the order in which they were made.
 MADE: list[str] = []
 

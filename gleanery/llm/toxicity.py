@@ -27,8 +27,8 @@ from .common import stash
 
 #: The sample that the chain is fitted on: labelled documents of each label, characters of each label, segments and their
 #: tokens, characters of a token in a text that is not taken whole; hashed weights; words a task remembers; tokens that are
-#: worked on at once.
-SAMPLE, CHARACTERS, SEGMENTS, SEGMENT, LONGEST, BUCKETS, REMEMBERED, AT_ONCE = 2000, 4_000_000, 16_000, 48, 64, 1 << 18, 60_000, 300_000
+#: worked on at once, and those beyond which a text is worked on by itself.
+SAMPLE, CHARACTERS, SEGMENTS, SEGMENT, LONGEST, BUCKETS, REMEMBERED, AT_ONCE, LONG = 2000, 4_000_000, 16_000, 48, 64, 1 << 18, 200_000, 300_000, 1000
 TOKEN = re.compile(r"\w+")
 
 
@@ -88,6 +88,24 @@ def marginals(flat: np.ndarray, lengths: np.ndarray, step: np.ndarray) -> np.nda
     return odds / (1 + odds)
 
 
+def marginals_of_one(flat: np.ndarray, step: np.ndarray) -> np.ndarray:
+    """marginals() of one long sequence, number by number: array steps of a single sequence would cost far more."""
+    x = np.exp(np.clip(flat, -30, 30)).tolist()
+    (cc, ct), (tc, tt) = step.tolist()
+    ahead, ratio = [], 0.0
+    for i, v in enumerate(x):
+        ratio = v * (ct + tt * ratio) / (cc + tc * ratio) if i else v
+        ratio = 1e-30 if ratio < 1e-30 else 1e30 if ratio > 1e30 else ratio
+        ahead.append(ratio)
+    back = 1.0
+    for i in range(len(x) - 1, -1, -1):
+        ahead[i] *= back
+        y = x[i] * back
+        back = (tc + tt * y) / (cc + ct * y)
+    odds = np.array(ahead)
+    return odds / (1 + odds)
+
+
 def signs(parts: np.ndarray, lengths: np.ndarray, documents: list[tuple[np.ndarray, int]]) -> np.ndarray:
     """Whether each feature tells toxic documents from clean ones: pure ones that cover the toxic documents, each taken for those
     not yet covered (the longest of equals), and all pure ones that a good part of the toxic documents have.
@@ -262,8 +280,8 @@ def scored(texts: pd.Series, known: Emissions, chain: Chain) -> tuple[list[np.nd
     """The marginals of each text's tokens, and the texts' scores. Texts of like length are worked on together, AT_ONCE tokens at
     most (or one text)."""
     tokens = [np.fromiter(map(known.__getitem__, TOKEN.findall(t or "")), np.float32) for t in texts]
-    order = sorted(range(len(tokens)), key=lambda i: -len(tokens[i]))
-    rows: list[np.ndarray] = [np.empty(0)] * len(tokens)
+    order = sorted((i for i in range(len(tokens)) if len(tokens[i]) <= LONG), key=lambda i: -len(tokens[i]))
+    rows: list[np.ndarray] = [marginals_of_one(t, chain.step).astype(np.float32) if len(t) > LONG else np.empty(0) for t in tokens]
     at = 0
     while at < len(order):
         some, n = [], 0

@@ -313,6 +313,7 @@ def test_marginals_are_those_of_all_paths():
             total += w
             toxic += w * np.array(tags)
         assert got[at : at + n] == pytest.approx(toxic / total)
+        assert toxicity.marginals_of_one(x, step) == pytest.approx(toxic / total)
         at += n
 
 
