@@ -611,6 +611,7 @@ def test_hmm_is_exact(monkeypatch):
                 steps[a, b] += p / total
             for o, k in zip(s, path, strict=True):
                 emitted[o, k] += p / total
+    assert not any(x.any() for x in hmm.counts_of(model, []))
     assert hmm.expected(model, hmm.in_pieces(model, sequences))[3] == pytest.approx(got.sum())
     for cut in (512, 4, 3, 2, 1):  # whole, and in pieces with messages across the cuts
         monkeypatch.setattr(hmm, "SEGMENT", cut)
