@@ -53,6 +53,20 @@ def row_keys(docs: DataFrame) -> tuple[Column, Column]:
     return F.xxhash64(F.lit(0), *own), F.xxhash64(F.lit(1), *own)
 
 
+#: Of a group with over 1/HOT of the rows there are HOT at most.
+HOT = 1000
+
+
+def join_hot(rows: DataFrame, groups: DataFrame, keys: list[str], n: str) -> DataFrame:
+    """rows joined with groups (one row for each value of keys, n: its rows). Large groups, HOT of them at most, are sent to every
+    executor, so that the rows of one group are not gathered in a task; the others are joined as Spark sees fit."""
+    most = (groups.agg(F.sum(n)).first()[0] or 0) // HOT
+    hot, cool = groups.where(F.col(n) > most), groups.where(F.col(n) <= most)
+    if most < HOT:  # no group can be large
+        return rows.join(groups, keys)
+    return rows.join(F.broadcast(hot), keys).unionByName(rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cool, keys))
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z to a-z and nothing else. lower() does that wherever no other cased character occurs, and is far quicker than translate()."""
     return F.when(text.rlike(CASED_BEYOND_ASCII), F.translate(text, UPPER, LOWER)).otherwise(F.lower(text))

@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, exact_dedup, hmm, mixing, packing, pii, secrets, simhash, toxicity, url_filter
+from . import ann, exact_dedup, hmm, mixing, odd_sketch, packing, pii, secrets, simhash, toxicity, url_filter
 from .common import MADE, table, tidy
 
 
@@ -79,6 +79,11 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokens=4096, end_id=1)
 
 
+def op11_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = odd_sketch.near_classes(table(spark, sf_dir, "documents"), width=5, similarity=0.85)
+    return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
 def tidied(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     """The query; of the tables that it writes on the way only those that its result reads are left."""
 
@@ -101,6 +106,7 @@ _ALL: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secrets": op8_secrets,
     "op9_hmm": op9_hmm,
     "op10_packing": op10_packing,
+    "op11_minhash": op11_minhash,
     "ann_recall": ann_recall,
 }
 QUERIES = {name: tidied(query) for name, query in _ALL.items()}
