@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, exact_dedup, hmm, mixing, odd_sketch, packing, pii, secrets, simhash, toxicity, url_filter
+from . import ann, exact_dedup, hmm, mixing, odd_sketch, packing, pii, prefix_trie, ranked, secrets, simhash, toxicity, url_filter
 from .common import MADE, table, tidy
 
 
@@ -84,6 +84,14 @@ def op11_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def op12_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), top=20)
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def tidied(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     """The query; of the tables that it writes on the way only those that its result reads are left."""
 
@@ -107,6 +115,8 @@ _ALL: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_hmm": op9_hmm,
     "op10_packing": op10_packing,
     "op11_minhash": op11_minhash,
+    "op12_ranked": op12_ranked,
+    "op13_prefix_trie": op13_prefix_trie,
     "ann_recall": ann_recall,
 }
 QUERIES = {name: tidied(query) for name, query in _ALL.items()}
