@@ -77,22 +77,24 @@ def chained(keys: Column) -> Column:
 
 
 def before(items: DataFrame) -> DataFrame:
-    """(conv, k, start, behind): for the k-th item of a conversation the digest of those before it (empty for the first) and their
-    bytes. items: (conv, k, end: digest, bytes). FAN items at once, their digests in turn the same way; so what precedes an item
-    is digested alike in every conversation, however long it is."""
-    group = F.floor(F.col("k") / FAN)
-    own = items.groupBy("conv", group.alias("g")).agg(F.array_sort(F.collect_list(F.struct("k", "end", "bytes"))).alias("items"))
+    """(conv, k, start, upto, behind): for the k-th item of a conversation the digest of those before it (empty for the first), of
+    those up to it, which is the start of the next, and the bytes before it. items: (conv, k, end: digest, bytes).
+
+    FAN items at once; their digests the same way in turn. So what precedes an item has one digest in all conversations.
+    """
+    own = items.groupBy("conv", F.floor(F.col("k") / FAN).alias("g")).agg(F.array_sort(F.collect_list(F.struct("k", "end", "bytes"))).alias("items"))
     own = stash(own.withColumn("chain", chained(F.col("items.end"))), "chains")
     upper = own.select("conv", F.col("g").alias("k"), F.element_at("chain", -1).alias("end"), F.aggregate("items", F.lit(0).cast("long"), lambda s, x: s + x["bytes"]).alias("bytes"))
     if own.where("g > 0").isEmpty():
-        own = own.withColumn("start", none()).withColumn("behind", F.lit(0).cast("long"))
+        own = own.withColumn("start", none()).withColumn("upto", F.get("chain", F.lit(FAN - 1))).withColumn("behind", F.lit(0).cast("long"))
     else:
         own = own.join(before(upper).withColumnRenamed("k", "g"), ["conv", "g"])
-    each = own.select("conv", "g", "start", "behind", "chain", "items", F.posexplode("items").alias("i", "x"))
-    local = F.when(F.col("i") > 0, F.get("chain", F.col("i") - 1)).otherwise(none())
-    start = F.when(F.col("g") == 0, local).otherwise(digest(F.col("start"), local))
+    each = own.select("conv", "g", "start", "upto", "behind", "chain", "items", F.posexplode("items").alias("i", "x"))
+    within = lambda i: F.when(F.col("g") == 0, F.get("chain", i)).otherwise(digest(F.col("start"), F.get("chain", i)))
+    start = F.when(F.col("i") == 0, F.col("start")).otherwise(within(F.col("i") - 1))
+    upto = F.when(F.col("i") == FAN - 1, F.col("upto")).otherwise(within(F.col("i")))
     so_far = F.aggregate(F.slice("items", F.lit(1), F.col("i")), F.lit(0).cast("long"), lambda s, x: s + x["bytes"])
-    return each.select("conv", F.col("x.k").alias("k"), start.alias("start"), (F.col("behind") + so_far).alias("behind"))
+    return each.select("conv", F.col("x.k").alias("k"), start.alias("start"), upto.alias("upto"), (F.col("behind") + so_far).alias("behind"))
 
 
 def blocks(turns: DataFrame) -> DataFrame:
@@ -104,7 +106,7 @@ def blocks(turns: DataFrame) -> DataFrame:
     starts = before(own.select("conv", "k", F.element_at("chain", -1).alias("end"), total.alias("bytes")))
     whole = own.groupBy("conv").agg(F.sum(total).alias("whole"), F.count("*").alias("n"))
     own = join_hot(own.join(starts, ["conv", "k"]), whole, ["conv"], "n")
-    nodes = F.transform("chain", lambda c: digest(F.col("start"), c))
+    nodes = F.transform("chain", lambda c, j: F.when(j == BLOCK - 1, F.col("upto")).otherwise(digest(F.col("start"), c)))
     after = F.transform("sizes", lambda _, i: F.col("whole") - F.col("behind") - F.aggregate(F.slice("sizes", F.lit(1), i), F.lit(0).cast("long"), lambda s, x: s + x))
     return stash(own.select("conv", "k", "start", nodes.alias("nodes"), "sizes", after.alias("after")), "placed")
 
