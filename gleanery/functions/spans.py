@@ -34,10 +34,12 @@ def unmarked(text: Column) -> Column:
     return F.when(F.contains(text, F.lit(MARK)), F.translate(text, MARK, OTHER)).otherwise(text)
 
 
-def matches(text: Column, pattern: str, before: str = "") -> Column:
+def matches(text: Column, pattern: str | Column, before: str | Column = "") -> Column:
     """All leftmost non-overlapping matches as array<struct<part, at>>: what the pattern matches after `before`, and where it
     starts. The text must not hold the mark."""
-    parts = F.split(F.regexp_replace(text, F.lit(f"({before})({pattern})"), F.lit(f"$1{MARK}$2{MARK}")), MARK, -1)
+    before, pattern = (F.lit(x) if isinstance(x, str) else x for x in (before, pattern))
+    both = F.concat(F.lit("("), before, F.lit(")("), pattern, F.lit(")"))
+    parts = F.split(F.regexp_replace(text, both, F.lit(f"$1{MARK}$2{MARK}")), MARK, -1)
 
     def placed(parts: Column) -> Column:  # every second part is a match
         each = F.arrays_zip(parts.alias("part"), starts(F.transform(parts, F.length)).alias("at"))
@@ -52,22 +54,48 @@ def lines_of(text: Column) -> Column:
     return let(rows, lambda r: F.when((F.size(r) > 1) & (F.element_at(r, -1) == ""), F.slice(r, 1, F.size(r) - 1)).otherwise(r))
 
 
-def blocks(text: Column, size: int = 8192, margin: int = 1024) -> Column:
+#: Characters in a block, and those seen before and after it: the second is longer than any value of bounded length.
+BLOCK, BEFORE, AFTER = 16384, 512, 8192
+
+
+def blocks(text: Column, size: int = BLOCK, before: int = BEFORE, after: int = AFTER) -> Column:
     """The text in blocks of at most `size` characters that end with a line where they can, as array<struct<text, at, low, high,
-    line>>: the block with up to `margin` characters around it, where that begins in the whole text, where the block itself
-    begins and ends in its text, and the number of line ends before it."""
-    cut = F.when(F.length(text) <= size, F.array(text)).otherwise(F.regexp_extract_all(text, F.lit(rf"(?s).{{0,{size - 1}}}\n|.{{1,{size}}}"), F.lit(0)))
+    line, cut>>: the block with what stands before and after it, where that begins in the whole text, where the block itself
+    begins and ends in its text, the number of line ends before it, and how many of its characters belong to a line that is
+    in several blocks (see long_lines)."""
+    pieces = F.when(F.length(text) <= size, F.array(text)).otherwise(F.regexp_extract_all(text, F.lit(rf"(?s).{{0,{size - 1}}}\n|.{{1,{size}}}"), F.lit(0)))
     ends = lambda own: F.transform(own, lambda b: F.length(b) - F.length(F.replace(b, F.lit("\n"), F.lit(""))))
 
     def placed(own: Column) -> Column:
         each = F.arrays_zip(own.alias("own"), starts(F.transform(own, F.length)).alias("at"), starts(ends(own)).alias("line"))
 
         def one(x: Column, i: Column) -> Column:
-            before = F.when(i > 0, F.right(F.get(own, i - 1), F.lit(margin))).otherwise("")
-            after = F.coalesce(F.left(F.get(own, i + 1), F.lit(margin)), F.lit(""))
-            low = F.length(before)
-            return F.struct(F.concat(before, x["own"], after).alias("text"), (x["at"] - low).alias("at"), low.alias("low"), (low + F.length(x["own"])).alias("high"), x["line"].alias("line"))
+            left = F.when(i > 0, F.right(F.get(own, i - 1), F.lit(before))).otherwise("")
+            right = F.coalesce(F.left(F.get(own, i + 1), F.lit(after)), F.lit(""))
+            low, first = F.length(left), F.instr(x["own"], "\n")
+            goes_on = (i > 0) & ~F.coalesce(F.get(own, i - 1), F.lit("\n")).endswith("\n")
+            cut = F.when(goes_on, F.when(first > 0, first).otherwise(F.length(x["own"]))).when((first == 0) & (i < F.size(own) - 1), F.length(x["own"])).otherwise(0)
+            return F.struct(F.concat(left, x["own"], right).alias("text"), (x["at"] - low).alias("at"), low.alias("low"), (low + F.length(x["own"])).alias("high"), x["line"].alias("line"), cut.alias("cut"))
 
         return F.transform(each, one)
 
-    return let(cut, placed)
+    return let(pieces, placed)
+
+
+def long_lines(text: Column, size: int = BLOCK, before: int = BEFORE, after: int = AFTER) -> Column:
+    """The lines that blocks() cuts, whole, with what stands before and after them, as array<struct<text, at, low, high, line>>."""
+    rows = F.split(text, "\n", -1)
+
+    def placed(own: Column) -> Column:
+        each = F.arrays_zip(own.alias("own"), starts(F.transform(own, lambda r: F.length(r) + 1)).alias("at"), F.sequence(F.lit(0), F.size(own) - 1).alias("line"))
+        long = F.filter(each, lambda x: F.length(x["own"]) + F.when(x["line"] < F.size(own) - 1, 1).otherwise(0) > size)
+
+        def one(x: Column) -> Column:
+            left = F.when(x["line"] > 0, F.concat(F.right(F.get(own, x["line"] - 1), F.lit(before)), F.lit("\n"))).otherwise("")
+            right = F.coalesce(F.concat(F.lit("\n"), F.left(F.get(own, x["line"] + 1), F.lit(after))), F.lit(""))
+            low = F.length(left)
+            return F.struct(F.concat(left, x["own"], right).alias("text"), (x["at"] - low).alias("at"), low.alias("low"), (low + F.length(x["own"])).alias("high"), x["line"].cast("long").alias("line"))
+
+        return F.transform(long, one)
+
+    return F.when(F.length(text) > size, let(rows, placed))

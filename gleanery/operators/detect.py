@@ -1,7 +1,8 @@
 """Detection of sensitive values as canonical findings, with built-in functions only.
 
 A text is cut into blocks that end with lines. In a block, a pattern runs only where the literals are that it needs; its
-positions come from setting each match between marks and splitting there. Validators are Columns over the value and 96
+positions come from setting each match between marks and splitting there. Values of unbounded length are looked for in whole
+lines where a line is longer than a block. Validators are Columns over the value and 96
 characters of context on either side. Overlaps are resolved among candidates that touch, so work grows with the text.
 """
 
@@ -14,7 +15,8 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions import scalars as S
-from ..functions.spans import MARK, blocks, unmarked
+from ..functions.spans import BLOCK, MARK, blocks, long_lines, matches, unmarked
+from .scans import running_sum, with_neighbours
 
 _CANDIDATE = "array<struct<part:string,at:int,spec:int>>"
 NEAR = 96
@@ -23,6 +25,14 @@ PEM = {
     "private-key": r"(?s)-----BEGIN (?:[A-Z0-9 ]+ )?PRIVATE KEY-----.*?-----END (?:[A-Z0-9 ]+ )?PRIVATE KEY-----",
     "pem-certificate": r"(?s)-----BEGIN CERTIFICATE-----.*?-----END CERTIFICATE-----",
 }
+#: Kinds whose values may be of any length; a value of another kind is shorter than what a block sees after its end.
+LONG = {
+    "bearer", "basic-auth", "jwt", "github-token", "gitlab-token", "slack-token", "stripe-key", "azure-key", "sendgrid-key", "npm-token", "pypi-token", "db-uri", "ssh-key", "email", "url",
+    "secret-in-url", "session-cookie", "insecure-cookie", "sql-error", "stack-trace", "xxe", "java-serialized", "shell-metachar",
+}
+#: What tells units apart: their names, and their texts where names are repeated. Positions in a block of a unit's candidates.
+UNIT = ["source", "unit_id", "_row"]
+SPAN = 1 << 16
 #: Literals (lower case) without which a pattern cannot match: one of each group must be there. "0" stands for any digit.
 NEEDS: dict[str, tuple[tuple[str, ...], ...]] = {
     "private-key": (("-----begin",),), "pem-certificate": (("-----begin",),), "bearer": (("bearer",),), "basic-auth": (("basic",),), "jwt": (("eyj",),),
@@ -161,25 +171,49 @@ def _confidence(kind: str, v: Column, near: Column, line: Column) -> Column:
     raise KeyError(kind)
 
 
+def _rows(units: DataFrame, source: str, unit: str, text: str) -> DataFrame:
+    """(source, unit_id, _row, text): _row tells rows of one name apart by what they hold."""
+    return units.select(F.col(source).cast("string").alias("source"), F.col(unit).cast("string").alias("unit_id"), F.unhex(F.md5(F.col(text))).alias("_row"), unmarked(F.col(text)).alias("text")).where("text is not null")
+
+
+def _places(each: DataFrame) -> DataFrame:
+    """Candidates (c: part, at, spec) in a block as spans of the whole text, with their context and line."""
+    each = each.select("*", "c.spec", F.col("c.at").cast("int").alias("from"), F.col("c.part").alias("value"), (F.col("c.at") + F.length("c.part")).cast("int").alias("to"))
+    each = each.where("to > from and from >= low and from < high")
+    near = F.substring(F.col("text"), F.greatest(F.lit(1), F.col("from") + 1 - NEAR), F.col("to") - F.greatest(F.lit(0), F.col("from") - NEAR) + NEAR)
+    return each.withColumn("start", (F.col("at") + F.col("from")).cast("int")).withColumn("end", (F.col("at") + F.col("to")).cast("int")).withColumn("context", near)
+
+
 def candidates(units: DataFrame, source: str, unit: str, text: str, kinds: Iterable[str] | None = None) -> DataFrame:
-    """(source, unit_id, spec, start, end, value, context, line_text, line): every match of the asked kinds before validation.
-    A value that crosses a block's end, which only one in a line of over 8,192 characters can, is seen as far as the margin."""
+    """(source, unit_id, _row, spec, start, end, value, context, line_text, line): every match of the asked kinds before
+    validation. Only a value that goes on over line ends for more than spans.AFTER characters is seen in part."""
     wanted = set(kinds or P.KINDS)
-    rows = units.select(F.col(source).cast("string").alias("source"), F.col(unit).cast("string").alias("unit_id"), unmarked(F.col(text)).alias("text")).where("text is not null")
-    each = rows.select("source", "unit_id", F.explode(blocks(F.col("text"))).alias("b")).select("source", "unit_id", "b.*")
+    rows = _rows(units, source, unit, text)
+    each = rows.select(*UNIT, F.explode(blocks(F.col("text"))).alias("b")).select(*UNIT, "b.*")
     each = each.withColumn("lowered", F.lower("text")).withColumn("digits", F.col("text").rlike("[0-9]"))
     may = {k: _may_match(k, F.col("lowered"), F.col("digits")) for k in P.KINDS if k in wanted}
     found = F.concat(*[_spans(F.col("text"), s, i, may[s.kind]) for i, s in enumerate(P.SPECS) if s.kind in wanted])
-    each = each.select("source", "unit_id", "text", "at", "low", "high", "line", F.explode(found).alias("c"))
-    each = each.select("source", "unit_id", "text", "at", "low", "high", "line", "c.spec", F.col("c.at").alias("from"), F.col("c.part").alias("value"), (F.col("c.at") + F.length("c.part")).cast("int").alias("to"))
-    each = each.where("to > from and from >= low and from < high")
+    each = _places(each.select(*UNIT, "text", "at", "low", "high", "line", "cut", F.explode(found).alias("c")))
+    long = [i for i, s in enumerate(P.SPECS) if s.kind in wanted & LONG]
+    if long:
+        each = each.where(~F.col("spec").isin(long) | (F.col("from") - F.col("low") >= F.col("cut")))
     before = F.left("text", F.col("from"))
-    near = F.substring(F.col("text"), F.greatest(F.lit(1), F.col("from") + 1 - NEAR), F.col("to") - F.greatest(F.lit(0), F.col("from") - NEAR) + NEAR)
     line = F.concat(F.substring_index(before, "\n", -1), F.substring_index(F.substring(F.col("text"), F.col("from") + 1, F.length("text")), "\n", 1))
     own = F.substring(F.col("text"), F.col("low") + 1, F.col("from") - F.col("low"))
     number = F.col("line") + F.length(own) - F.length(F.replace(own, F.lit("\n"), F.lit(""))) + 1
-    start, end = (F.col("at") + F.col("from")).cast("int"), (F.col("at") + F.col("to")).cast("int")
-    return each.select("source", "unit_id", "spec", start.alias("start"), end.alias("end"), "value", near.alias("context"), line.alias("line_text"), number.cast("long").alias("line"))
+    columns = [*UNIT, "spec", "start", "end", "value", "context"]
+    out = each.select(*columns, line.alias("line_text"), number.cast("long").alias("line"))
+    if not long:
+        return out
+    # lines over several blocks, whole; the context stands for the line, which no kind of these reads
+    whole = rows.where(F.length("text") > BLOCK).select(*UNIT, F.explode(long_lines(F.col("text"))).alias("b")).select(*UNIT, "b.*")
+    whole = whole.withColumn("lowered", F.lower("text")).withColumn("digits", F.col("text").rlike("[0-9]"))
+
+    specs = F.array(*[F.struct(F.lit(i).alias("spec"), F.lit(P.SPECS[i].before).alias("before"), F.lit(P.SPECS[i].value).alias("value"), may[P.SPECS[i].kind].alias("may")) for i in long])
+    place = lambda m, x: F.struct(m["part"].alias("part"), m["at"].cast("int").alias("at"), x["spec"].alias("spec"))
+    spans = F.flatten(F.transform(F.filter(specs, lambda x: x["may"]), lambda x: F.transform(matches(F.col("text"), x["value"], x["before"]), lambda m: place(m, x))))
+    whole = _places(whole.select(*UNIT, "text", "at", "low", "high", "line", F.explode(spans).alias("c")))
+    return out.unionByName(whole.select(*columns, F.col("context").alias("line_text"), (F.col("line") + 1).alias("line")))
 
 
 def validated(found: DataFrame, kinds: Iterable[str] | None = None) -> DataFrame:
@@ -204,12 +238,21 @@ def resolve_overlaps(found: DataFrame) -> DataFrame:
     first = {k: i for i, k in reversed(list(enumerate(s.kind for s in P.SPECS)))}
     rank = F.element_at(F.create_map(*[F.lit(x) for kv in first.items() for x in kv]), F.col("kind"))
     item = F.struct(F.col("start"), rank.alias("rank"), (-(F.col("end") - F.col("start"))).alias("short"), F.col("end"), "kind", "confidence", "value", "context", "line")
-    # runs of candidates that touch one another; those of different runs never compete, so no long list is folded
-    order = Window.partitionBy("source", "unit_id").orderBy("start", F.desc("end"))
+    # runs of candidates that touch one another; those of different runs never compete. A unit is scanned in blocks of SPAN
+    # characters: a candidate that goes on over a block's end is seen in the next ones too. A run within a block is whole; of the
+    # others a block has two at most, and they are put together in order
+    block = lambda x: F.floor(x / SPAN).cast("long")
+    marked = found.withColumn("_block", F.explode(F.sequence(block(F.col("start")), block(F.greatest(F.col("start"), F.col("end") - 1))))).withColumn("_own", F.col("_block") == block(F.col("start")))
+    order = Window.partitionBy(*UNIT, "_block").orderBy("start", F.desc("end"))
     reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    new = F.when(F.coalesce(F.col("start") >= reach, F.lit(True)), 1).otherwise(0)
-    runs = found.withColumn("_new", new).withColumn("_run", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    units = runs.groupBy("source", "unit_id", "_run").agg(F.array_sort(F.collect_set(item)).alias("items"))
+    head = F.when(F.col("_own") & F.coalesce(F.col("start") >= reach, F.lit(True)), F.col("start"))
+    runs = marked.withColumn("_head", head).withColumn("_run", F.coalesce(F.max("_head").over(order.rowsBetween(Window.unboundedPreceding, 0)), F.lit(-1))).where("_own")
+    parts = runs.groupBy(*UNIT, "_block", "_run").agg(F.collect_set(item).alias("items"), F.max("end").alias("_end"))
+    opened, goes_on = F.col("_run") < 0, F.col("_end") > (F.col("_block") + 1) * SPAN
+    parts = parts.withColumn("_key", F.when(opened | goes_on, -1).otherwise(F.col("_run")))
+    chain = Window.partitionBy(*UNIT, "_key").orderBy("_block", "_run").rowsBetween(Window.unboundedPreceding, 0)
+    parts = parts.withColumn("_chain", F.sum(F.when(opened, 0).otherwise(1)).over(chain))
+    units = parts.groupBy(*UNIT, "_key", "_chain").agg(F.array_sort(F.flatten(F.collect_list("items"))).alias("items"))
     empty = F.slice("items", 1, 0)
 
     def step(taken: Column, x: Column) -> Column:
@@ -221,23 +264,29 @@ def resolve_overlaps(found: DataFrame) -> DataFrame:
         rest = F.filter(taken, lambda o: ~((x["start"] < o["end"]) & (o["start"] < x["end"])))
         return F.when((F.size(over) == 0) | beside, F.concat(taken, F.array(x))).when((place & in_url) | better | F.exists(over, lambda o: o["kind"] == x["kind"]), taken).otherwise(F.concat(rest, F.array(x)))
 
-    kept = units.select("source", "unit_id", F.explode(F.aggregate("items", empty, step)).alias("f"))
-    return kept.select("source", "unit_id", "f.line", "f.start", "f.end", "f.kind", "f.value", "f.confidence", "f.context")
+    kept = units.select(*UNIT, F.explode(F.aggregate("items", empty, step)).alias("f"))
+    return kept.select(*UNIT, "f.line", "f.start", "f.end", "f.kind", "f.value", "f.confidence", "f.context")
 
 
 def pair_credentials(findings: DataFrame, window: int = 5) -> DataFrame:
     """A username and a credential within `window` lines of each other in a unit raise each other's confidence by one level."""
-    near = Window.partitionBy("source", "unit_id").orderBy("line").rangeBetween(-window, window)
+    unit = [k for k in UNIT if k in findings.columns]
+    near = Window.partitionBy(*unit, "_block").orderBy("line").rangeBetween(-window, window)
     proof = F.col("kind").isin("password", "secret", "bearer", "basic-auth", "jwt")
     paired = F.when(F.col("kind") == "username", F.max(proof).over(near)).when(proof, F.max(F.col("kind") == "username").over(near)).otherwise(False)
     raised = F.when(F.col("confidence") == "low", "medium").when(F.col("confidence") == "medium", "high").otherwise("critical")
-    return findings.withColumn("confidence", F.when(paired, raised).otherwise(F.col("confidence")))
+    return with_neighbours(findings, "line", window).withColumn("confidence", F.when(paired, raised).otherwise(F.col("confidence"))).where("_own").drop("_block", "_own")
 
 
-def detect(units: DataFrame, source: str = "source", unit: str = "doc_id", text: str = "text", kinds: Iterable[str] | None = None, keep: Column | None = None) -> DataFrame:
-    """Canonical findings. keep: a predicate on findings, applied before overlaps are resolved."""
+def _found(units: DataFrame, source: str, unit: str, text: str, kinds: Iterable[str] | None, keep: Column | None = None) -> DataFrame:
     found = validated(candidates(units, source, unit, text, kinds), kinds)
-    found = pair_credentials(resolve_overlaps(found if keep is None else found.where(keep)))
+    return pair_credentials(resolve_overlaps(found if keep is None else found.where(keep)))
+
+
+def detect(units: DataFrame, source: str = "source", unit: str = "doc_id", text: str = "text", kinds: Iterable[str] | None = None, keep: Column | None = None) -> DataFrame:
+    """Canonical findings. keep: a predicate on findings, applied before overlaps are resolved. Rows of one name are units of their
+    own if their texts differ; repeated rows are one unit."""
+    found = _found(units, source, unit, text, kinds, keep)
     category = F.element_at(F.create_map(*[F.lit(x) for kv in P.CATEGORY.items() for x in kv]), F.col("kind"))
     return found.select("source", "unit_id", "line", "start", "end", "kind", category.alias("category"), "value", "confidence", "context", F.lit(None).cast("long").alias("packet"), F.lit(None).cast("long").alias("item"))
 
@@ -286,25 +335,85 @@ def with_path_context(findings: DataFrame, path: str) -> DataFrame:
     return findings.withColumn("confidence", F.when(points == 0, F.col("confidence")).otherwise(moved))
 
 
-def redact(units: DataFrame, source: str = "source", unit: str = "doc_id", text: str = "text", kinds: Iterable[str] | None = None) -> DataFrame:
-    """(source, unit_id, redacted, n): texts with each finding replaced by [REDACTED:kind]; a PEM block goes as a whole."""
+#: Characters in the pieces that texts are put together from again.
+PIECE = 4096
+
+
+def redact(units: DataFrame, source: str = "source", unit: str = "doc_id", text: str = "text", kinds: Iterable[str] | None = None, everywhere: bool = False) -> DataFrame:
+    """(source, unit_id, redacted, n): texts with each finding replaced by [REDACTED:kind]; a PEM block goes as a whole.
+
+    With everywhere, a value found once in a unit is replaced wherever it stands in the unit's texts. Rows of one name keep their
+    own findings. A text is put together from pieces of PIECE characters, each with its spans, so work grows with the text.
+    """
     wanted = set(kinds or P.KINDS)
     for kind, pattern in PEM.items():
         if kind in wanted:
             held = F.regexp_count(text, F.lit(pattern))
             units = units.withColumn("_pem", (F.col("_pem") if "_pem" in units.columns else F.lit(0)) + F.coalesce(held, F.lit(0))).withColumn(text, F.regexp_replace(text, pattern, f"[REDACTED:{kind}]"))
     units = units if "_pem" in units.columns else units.withColumn("_pem", F.lit(0))
-    found = detect(units, source, unit, text, kinds).groupBy("source", "unit_id").agg(F.array_sort(F.collect_list(F.struct("start", "end", "kind"))).alias("spans"))
-    rows = units.select(F.col(source).cast("string").alias("source"), F.col(unit).cast("string").alias("unit_id"), F.col(text).alias("text"), "_pem").join(found, ["source", "unit_id"], "left")
+    own = units.select(F.col(source).cast("string").alias("source"), F.col(unit).cast("string").alias("unit_id"), F.unhex(F.md5(F.col(text))).alias("_row"), F.col(text).alias("text"), "_pem")
+    found = _found(units, source, unit, text, kinds).select(*UNIT, "start", "end", "kind", "value")
+    if everywhere:
+        found = found.select(*UNIT, "start", "end", "kind").unionByName(repeats(own, found)).distinct()
+    return _replaced(own, found.select(*UNIT, "start", "end", "kind"))
+
+
+def _replaced(own: DataFrame, spans: DataFrame) -> DataFrame:
+    """own (UNIT, text, _pem) with its spans replaced; of overlapping spans the first and longest counts. A span's mark stands in
+    the piece that it begins in, and pieces leave out what a span covers."""
+    row = [F.col(k) for k in UNIT]
+    order = Window.partitionBy(*UNIT, "_block").orderBy("start", F.desc("end"), "kind")
+    block = lambda x: F.floor(x / SPAN).cast("long")
+    seen = spans.withColumn("_block", F.explode(F.sequence(block(F.col("start")), block(F.col("end") - 1)))).withColumn("_own", F.col("_block") == block(F.col("start")))
+    reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    # where spans touch, what the one before covers is left out; the one that begins within it has no mark of its own
+    flat = seen.withColumn("_reach", F.coalesce(reach, F.lit(0))).where("_own and end > _reach").select(*UNIT, F.greatest("start", "_reach").alias("start"), "end", F.when(F.col("start") >= F.col("_reach"), F.col("kind")).alias("kind"))
+    piece = lambda x: F.floor(x / PIECE).cast("int")
+    each = flat.withColumn("piece", F.explode(F.sequence(piece(F.col("start")), piece(F.col("end") - 1))))
+    here = F.struct(F.greatest(F.lit(0), F.col("start") - F.col("piece") * PIECE).cast("int").alias("from"), F.least(F.lit(PIECE), F.col("end") - F.col("piece") * PIECE).cast("int").alias("to"), F.when(piece(F.col("start")) == F.col("piece"), F.col("kind")).alias("kind"))
+    none = own.distinct().select(*row, F.explode(F.sequence(F.lit(0), piece(F.greatest(F.lit(0), F.length("text") - 1)))).alias("piece"), F.lit(None).cast("struct<from:int,to:int,kind:string>").alias("s"))
+    pieces = each.select(*row, "piece", here.alias("s")).unionByName(none).groupBy(*UNIT, "piece").agg(F.array_sort(F.collect_list("s")).alias("s"))
+    lists = pieces.groupBy(*UNIT).agg(F.transform(F.array_sort(F.collect_list(F.struct("piece", "s"))), lambda p: p["s"]).alias("spans"))
     first = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
-    def step(a: Column, s: Column) -> Column:
-        gap = F.substring(F.col("text"), a["at"] + 1, s["start"] - a["at"])
-        new = F.struct(s["end"].alias("at"), F.concat(a["out"], gap, F.lit("[REDACTED:"), s["kind"], F.lit("]")).alias("out"))
-        return F.when(s["start"] >= a["at"], new).otherwise(a)
+    def put(text: Column, spans: Column) -> Column:
+        def step(a: Column, s: Column) -> Column:
+            mark = F.coalesce(F.concat(F.lit("[REDACTED:"), s["kind"], F.lit("]")), F.lit(""))
+            return F.struct(s["to"].alias("at"), F.concat(a["out"], F.substring(text, a["at"] + 1, s["from"] - a["at"]), mark).alias("out"))
+
+        return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(spans, first, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.lit(PIECE)))))
+
+    cut = F.regexp_extract_all("text", F.lit(rf"(?s).{{1,{PIECE}}}"), F.lit(0))
+    joined = own.join(lists.select(*[F.col(k).alias(f"_{k}") for k in UNIT], "spans"), F.col("source").eqNullSafe(F.col("_source")) & F.col("unit_id").eqNullSafe(F.col("_unit_id")) & F.col("_row").eqNullSafe(F.col("__row")), "left")
+    marks = F.aggregate("spans", F.lit(0), lambda n, p: n + F.size(F.filter(p, lambda s: s["kind"].isNotNull())))
+    out = F.array_join(F.transform(cut, lambda t, i: put(t, F.coalesce(F.get("spans", i), F.array().cast("array<struct<from:int,to:int,kind:string>>")))), "")
+    return joined.select("source", "unit_id", F.when(F.col("text").isNotNull(), F.coalesce(out, F.col("text"))).alias("redacted"), (F.coalesce(marks, F.lit(0)) + F.col("_pem")).alias("n"))
+
+
+def repeats(own: DataFrame, found: DataFrame, least: int = 4) -> DataFrame:
+    """Where values of `least` characters or more that were found in a unit stand in any of its texts: (UNIT, start, end, kind).
+
+    An automaton of a unit's values runs over its texts once, in Arrow batches; overlapping places are all reported.
+    """
+    values = found.where(F.length("value") >= least).groupBy("source", "unit_id", "value").agg(F.min("kind").alias("kind"))
+    known = values.groupBy("source", "unit_id").agg(F.collect_list(F.struct("value", "kind")).alias("values"))
+    rows = own.where("text is not null").select(*UNIT, "text").distinct().join(known, ["source", "unit_id"])
+
+    def search(batches):
+        import ahocorasick
+        import pandas as pd
+
+        for b in batches:
+            out = []
+            for source, unit, row, text, values in zip(b.source, b.unit_id, b._row, b.text, b["values"], strict=True):
+                automaton = ahocorasick.Automaton()
+                for v in values:
+                    automaton.add_word(v["value"], (len(v["value"]), v["kind"]))
+                automaton.make_automaton()
+                out += [(source, unit, row, end + 1 - n, end + 1, kind) for end, (n, kind) in automaton.iter(text)]
+            yield pd.DataFrame(out, columns=[*UNIT, "start", "end", "kind"])
 
-    out = F.aggregate("spans", first, step, lambda a: F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, F.length("text"))))
-    return rows.select("source", "unit_id", F.coalesce(out, F.col("text")).alias("redacted"), (F.coalesce(F.size("spans"), F.lit(0)) + F.col("_pem")).alias("n"))
+    return rows.mapInPandas(search, "source string, unit_id string, _row binary, start int, end int, kind string")
 
 
 # -- roll-ups
@@ -411,6 +520,4 @@ def with_native_ids(findings: DataFrame, rows: DataFrame, *ids: str) -> DataFram
 
 def item_numbers(lines: DataFrame, *keys: str, order: str = "line", text: str = "text", tag: str = "<item>") -> DataFrame:
     """Lines with the number of item tags up to each, in order."""
-    upto = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    seen = F.size(F.split(F.col(text), tag)) - 1
-    return lines.withColumn("item", F.sum(seen).over(upto))
+    return running_sum(lines, list(keys), order, F.size(F.split(F.col(text), tag)) - 1, "item")

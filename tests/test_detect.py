@@ -110,3 +110,66 @@ def test_pem_block_goes_as_a_whole(spark):
 def test_needs_are_needed():
     """A kind's literals are there for all kinds that have them, and only known kinds are named."""
     assert set(D.NEEDS) <= set(P.KINDS)
+
+
+def long_values():
+    """Texts whose values of 10 to 20,000 characters lie at all offsets round the ends of blocks, in one line and in many."""
+    from gleanery.functions.spans import BLOCK
+
+    rows = []
+    for i in range(40):
+        value = ("eyJhbGciOiJIUzI1NiJ9." + "b" * (9 + 400 * i) + "." + "c" * 9, "Zx9" * (4 + 160 * i))[i % 2]
+        before, after = ("t ", " x") if i % 2 == 0 else ("Authorization: Bearer ", " x")
+        gap = BLOCK * (1 + i % 2) - 700 + 37 * i - len(before)
+        filler = "q " * (gap // 2) + "q" * (gap % 2) if i % 4 < 2 else ("row of words\n" * (gap // 13 + 1))[:gap].rstrip("\n") + " " * 0
+        rows.append((f"p{i % 2}", str(i), filler + " " + before + value + after + "\nlast line", value, len(filler) + 1 + len(before)))
+    return rows
+
+
+def test_values_across_the_ends_of_blocks_are_whole(spark):
+    rows = long_values()
+    units = spark.createDataFrame([r[:3] for r in rows], "source string, doc_id string, text string")
+    got = {(r.unit_id, r.start, r.value) for r in D.detect(units, kinds=["jwt", "bearer"]).collect() if r.kind == ("jwt", "bearer")[int(r.unit_id) % 2]}
+    assert got == {(r[1], r[4], r[3]) for r in rows}
+
+
+def test_findings_belong_to_their_rows(spark):
+    """Repeated and null ids: each text keeps its own findings."""
+    rows = [(1, "a@bcd.com", "s"), (1, "zz", "s"), (1, "zz", "s"), (None, "x me@y.org", "s"), (None, "no", None), (None, None, "s"), (2, "", "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = sorted([tuple(r) for r in D.redact(docs, kinds=["email"]).collect()], key=str)
+    want = [("s", "1", "[REDACTED:email]", 1), ("s", "1", "zz", 0), ("s", "1", "zz", 0), ("s", None, "x [REDACTED:email]", 1), (None, None, "no", 0), ("s", None, None, 0), ("s", "2", "", 0)]
+    assert got == sorted(want, key=str)
+
+
+def test_values_found_once_are_redacted_everywhere(spark):
+    docs = spark.createDataFrame([(1, 'password = "Zq9!hunter22" and again Zq9!hunter22x', "s"), (1, "bare Zq9!hunter22", "s"), (2, "bare Zq9!hunter22", "s")], "doc_id long, text string, source string")
+    got = sorted((r.unit_id, r.redacted, r.n) for r in D.redact(docs, kinds=["password"], everywhere=True).collect())
+    assert got == [("1", "bare [REDACTED:password]", 1), ("1", 'password = [REDACTED:password] and again [REDACTED:password]x', 2), ("2", "bare Zq9!hunter22", 0)]
+
+
+def test_redact_of_a_dense_text(spark):
+    """60,000 addresses in one text, some over the ends of pieces, with characters of several bytes."""
+    import time
+
+    dense = "\n".join(f"üser user{i}@example.org row" for i in range(60_000))
+    began = time.time()
+    row = D.redact(spark.createDataFrame([("s", "dense", dense)], "source string, doc_id string, text string"), kinds=["email"]).first()
+    assert row.redacted == "\n".join("üser [REDACTED:email] row" for _ in range(60_000)) and row.n == 60_000
+    assert time.time() - began < 60
+
+
+def test_a_huge_unit_is_scanned_in_blocks(spark, monkeypatch):
+    """Overlaps, pairs and item numbers are the same however small the blocks are."""
+    from gleanery.operators import scans
+
+    words = ['login = "bob77"', 'password = "Zq9!x%d"', "https://u%d:p@h.example.com/a?token=abcdef", "me%d@x.example.org", "10.0.0.%d", "plain"]
+    text = "\n".join((words[(i * i + i // 7) % 6] % i) if "%d" in words[(i * i + i // 7) % 6] else words[(i * i + i // 7) % 6] for i in range(300))
+    docs = spark.createDataFrame([(1, text, "s"), (2, text[: len(text) // 2], "s")], "doc_id long, text string, source string")
+    want = sorted(map(tuple, D.detect(docs).collect()), key=str)
+    monkeypatch.setattr(D, "SPAN", 40)
+    monkeypatch.setattr(scans, "BLOCK", 7)
+    assert sorted(map(tuple, D.detect(docs).collect()), key=str) == want and len(want) > 200
+    lines = spark.createDataFrame([(k, i, "<item> a <item>" if i % 3 == 0 else "b") for k in ("x", None) for i in range(50)], "f string, line long, text string")
+    got = {(r.f, r.line): r.item for r in D.item_numbers(lines, "f").collect()}
+    assert got == {(k, i): 2 * (i // 3 + 1) for k in ("x", None) for i in range(50)}
