@@ -55,6 +55,28 @@ def ipv4_number(value: Column) -> Column:
     return F.when(good, F.aggregate(parts, F.lit(0).cast("bigint"), lambda a, p: a * 256 + p.try_cast("bigint")))
 
 
+def ipv6_hex(value: Column) -> Column:
+    """The address as 32 hexadecimal digits, its zone left out; null if it is none. The last two groups may be an IPv4 address."""
+    v = F.lower(F.regexp_replace(value, "%[^%]+$", ""))
+    four = F.regexp_extract(v, r":((?:\d+\.){3}\d+)$", 1)
+    n = ipv4_number(four)
+    tail = F.concat(F.hex(F.shiftright(n, 16)), F.lit(":"), F.hex(n.bitwiseAND(65535)))
+    v = F.when(four == "", v).otherwise(F.concat(F.left(v, F.length(v) - F.length(four)), F.lower(tail)))
+    run = "[0-9a-f]{1,4}(?::[0-9a-f]{1,4})*"
+    groups = lambda i: F.transform(F.filter(F.split(F.split_part(v, F.lit("::"), F.lit(i)), ":"), lambda g: g != ""), lambda g: F.lpad(g, 4, "0"))
+    a, b, gap = groups(1), groups(2), v.contains("::")
+    n = F.size(a) + F.size(b)
+    good = v.rlike(f"^(?:{run})?(?:::(?:{run})?)?$") & F.when(gap, n <= 7).otherwise(n == 8)
+    return F.when(good, F.concat(F.array_join(a, ""), F.repeat(F.lit("0000"), F.lit(8) - n), F.array_join(b, "")))
+
+
+def ip_bits(value: Column) -> Column:
+    """The address as a string of 32 or 128 bits; null if it is none."""
+    six = ipv6_hex(value)
+    half = lambda i: F.lpad(F.conv(F.substring(six, i, 16), 16, 2), 64, "0")
+    return F.coalesce(F.lpad(F.conv(ipv4_number(value).cast("string"), 10, 2), 32, "0"), F.concat(half(1), half(17)))
+
+
 # fixed values: private, loopback and other special networks (first address, bits)
 _NETS = {"loopback": [("127.0.0.0", 8)], "unspecified": [("0.0.0.0", 32)], "multicast": [("224.0.0.0", 4)], "private": [("10.0.0.0", 8), ("172.16.0.0", 12), ("192.168.0.0", 16), ("169.254.0.0", 16), ("192.0.0.0", 29), ("192.0.2.0", 24), ("198.18.0.0", 15), ("198.51.100.0", 24), ("203.0.113.0", 24), ("240.0.0.0", 4), ("0.0.0.0", 8), ("127.0.0.0", 8)], "shared": [("100.64.0.0", 10)]}
 

@@ -155,10 +155,8 @@ def _confidence(kind: str, v: Column, near: Column, line: Column) -> Column:
         n = S.ipv4_number(v)
         return F.when(n.isNotNull(), F.when(S.in_net(n, "loopback") | S.in_net(n, "unspecified") | S.in_net(n, "multicast") | S.in_net(n, "shared"), "low").otherwise("medium"))
     if kind == "ipv6":
-        groups = F.split(v, ":")
-        filled = F.size(F.filter(groups, lambda g: g != ""))
-        good = F.when(v.contains("::"), (filled <= 7) & ~v.rlike(":::|::.*::")).otherwise((F.size(groups) == 8) & (filled == 8))
-        return F.when(good, F.when(F.lower(v).isin("::1", "::") | F.lower(v).startswith("ff"), "low").otherwise("medium"))
+        h = S.ipv6_hex(v)
+        return F.when(h.isNotNull(), F.when(h.isin("0" * 31 + "1", "0" * 32) | h.startswith("ff"), "low").otherwise("medium"))
     if kind == "domain":
         last, rest = F.element_at(F.split(v, r"\."), -1), F.regexp_replace(v, r"\.[^.]*$", "")
         host = (F.lower(last).isin(P.SUFFIXES) | (F.length(last) == 2)) & last.rlike("^(?:[a-z]+|[A-Z]+)$") & ~F.exists(F.split(rest, r"\."), lambda p: p.rlike("^[A-Z]") & (p != F.upper(p)))

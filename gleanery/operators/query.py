@@ -6,7 +6,7 @@ import re
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions.spans import lines_of, matches, unmarked
@@ -24,11 +24,22 @@ def guard(sql: str) -> str:
     return bare.rstrip(";")
 
 
-def query(df: DataFrame, sql: str, limit: int | None = 500, view: str = "data") -> DataFrame:
-    """A guarded statement over df as the view `data`."""
+def query(df: DataFrame, sql: str, limit: int | None = None, view: str = "data", seen: Observation | None = None) -> DataFrame:
+    """A guarded statement over df as the view `data`; with a limit, the first rows in order of all columns, and `seen` tells how
+    many there were."""
     df.createOrReplaceTempView(view)
     out = df.sparkSession.sql(guard(sql))
-    return out if limit is None else out.limit(limit)
+    return out if limit is None else counted(out, seen).orderBy(F.struct(*[F.col(f"`{c}`") for c in out.columns])).limit(limit)
+
+
+def counted(df: DataFrame, seen: Observation | None) -> DataFrame:
+    """df; once it ran, seen.get["rows"] is the number of its rows. Sort by a struct before a cap: Spark leaves out a sort by columns
+    that are in order already, and then reads no further than the cap."""
+    return df if seen is None else df.observe(seen, F.count(F.lit(1)).alias("rows"))
+
+
+def omitted(seen: Observation, limit: int) -> int:
+    return max(0, seen.get["rows"] - limit)
 
 
 def limit_with_flag(df: DataFrame, n: int) -> tuple[list, bool]:
@@ -79,12 +90,15 @@ def grep_counts(df: DataFrame, needle: str, cap: int, text: str = "text") -> Dat
     return df.agg(F.count("*").alias("original"), F.count_if(F.contains(F.lower(text), F.lit(needle.lower()))).alias("matched")).withColumn("kept", F.least(F.lit(cap).cast("long"), "matched"))
 
 
-def slice_rows(df: DataFrame, order: list[str], head: int | None = None, tail: int | None = None, limit: int = 80) -> DataFrame:
-    """The first `head` rows, else the last `tail`, at most `limit`; in order."""
-    n = min(head or tail or limit, limit)
+def slice_rows(df: DataFrame, order: list[str], head: int | None = None, tail: int | None = None, limit: int | None = None, seen: Observation | None = None) -> DataFrame:
+    """The first `head` rows, else the last `tail`, at most `limit`; in order. Without any of them, all. `seen` counts df's rows."""
+    sizes = [n for n in (head or tail, limit) if n is not None]
+    if not sizes:
+        return df.orderBy(*order)
+    n, df = min(sizes), counted(df, seen)
     if not head and tail:
-        return df.orderBy(*[F.desc(c) for c in order]).limit(n).orderBy(*order)
-    return df.orderBy(*order).limit(n)
+        return df.orderBy(F.struct(*order).desc()).limit(n).orderBy(*order)
+    return df.orderBy(F.struct(*order)).limit(n)
 
 
 def newest(df: DataFrame, keys: list[str], order: str, n: int) -> DataFrame:
@@ -106,9 +120,9 @@ def search_corpus(df: DataFrame, pattern: str, *keys: str, text: str = "text", r
     return hit.select(*keys, "line", "text", F.explode(matches(F.col("text"), found)).alias("m")).select(*keys, "line", (F.col("m.at") + 1).cast("int").alias("column"), "text", F.col("m.part").alias("match"))
 
 
-def relevant_lines(df: DataFrame, words: list[str], keys: list[str], order: str = "line", text: str = "text", budget: int = 12_000, ends: int = 24) -> DataFrame:
+def relevant_lines(df: DataFrame, words: list[str], keys: list[str], order: str = "line", text: str = "text", budget: int | None = None, ends: int = 24) -> DataFrame:
     """Lines that a question is about: first of equal normalised lines, those with a word and their neighbours, the first and
-    last lines, up to a budget of characters for each key."""
+    last lines; with a budget, up to so many characters for each key."""
     norm = F.regexp_replace(F.lower(F.trim(text)), r"\s+", " ")
     once = df.withColumn("_r", F.row_number().over(Window.partitionBy(*keys, norm).orderBy(order))).where("_r = 1").drop("_r")
     by = Window.partitionBy(*keys).orderBy(order)
@@ -116,6 +130,8 @@ def relevant_lines(df: DataFrame, words: list[str], keys: list[str], order: str
     marked = once.withColumn("_hit", hit).withColumn("_near", F.coalesce(F.lag("_hit").over(by), F.lit(False)) | F.coalesce(F.lead("_hit").over(by), F.lit(False)))
     marked = marked.withColumn("_a", F.row_number().over(by)).withColumn("_b", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(order))))
     kept = marked.where(F.col("_hit") | F.col("_near") | (F.col("_a") <= ends) | (F.col("_b") <= ends))
+    if budget is None:
+        return kept.select(*df.columns)
     sofar = F.sum(F.length(text) + 1).over(Window.partitionBy(*keys).orderBy(F.desc("_hit"), F.desc("_near"), order))
     return kept.withColumn("_sum", sofar).where(F.col("_sum") <= budget).select(*df.columns)
 

@@ -414,13 +414,13 @@ def _procs(t):
     WITH RECURSIVE a AS (SELECT p_partkey AS pid, p_partkey AS cur, p_partkey // 3 AS up, 0 AS d, '' AS chain FROM part UNION ALL SELECT a.pid, p.p_partkey, p.p_partkey // 3, d + 1, chain || CASE WHEN d > 0 THEN '>' ELSE '' END || p.p_name FROM a JOIN part p ON p.p_partkey = a.up WHERE d < 6 AND a.up <> a.cur)
     SELECT pid, max(d)::INT AS n, arg_max(chain, d) AS chain FROM a GROUP BY pid""")
 def j04_ancestry(t):
-    return fleet.ancestry(_procs(t)).select("pid", F.size("chain").alias("n"), F.array_join("chain", ">").alias("chain"))
+    return fleet.ancestry(_procs(t), limit=6).select("pid", F.size("chain").alias("n"), F.array_join("chain", ">").alias("chain"))
 
 
 @register("""
     WITH RECURSIVE k AS (SELECT p_partkey AS pid, 0 AS depth FROM part WHERE p_partkey = 1 UNION ALL SELECT p.p_partkey, depth + 1 FROM k JOIN part p ON p.p_partkey // 3 = k.pid WHERE depth < 6 AND p.p_partkey <> k.pid) SELECT pid, depth FROM k""")
 def j05_process_tree(t):
-    return fleet.process_tree(_procs(t), 1).select("pid", "depth")
+    return fleet.process_tree(_procs(t), 1, depth=6, children=12).select("pid", "depth")
 
 
 def _socks(t):
@@ -481,7 +481,7 @@ def j13_fingerprint_cdn(t):
 def j19_catalog_lookup(t):
     p = t("part")
     tokens = p.select(F.explode(F.array(F.lower(F.substring_index("p_type", " ", 1)), F.lower(F.substring_index("p_type", " ", -1)))).alias("token"))
-    return fleet.catalog_lookup(tokens, p.select(F.lower(F.replace("p_type", F.lit(" "), F.lit("."))).alias("name")).distinct()).select("token", "name")
+    return fleet.catalog_lookup(tokens, p.select(F.lower(F.replace("p_type", F.lit(" "), F.lit("."))).alias("name")).distinct(), most=12).select("token", "name")
 
 
 # -- events

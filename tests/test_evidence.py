@@ -7,6 +7,7 @@ from email.message import EmailMessage
 import pytest
 from pyspark.sql import functions as F
 
+from gleanery.functions import scalars as S
 from gleanery.operators import fleet, mail, query, tables
 from gleanery.sources import files
 from gleanery.streaming import events as stream
@@ -143,3 +144,41 @@ def test_streams(spark, tmp_path):
     stream.append_by_project(named, str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
     stream.append_by_project(named, str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == events.count()
+
+
+def test_long_chains_take_few_rounds(spark):
+    """A thousand aliases in a row, a cycle, and branches; ancestors a thousand deep."""
+    cnames = [("c", f"n{i}", f"n{i - 1}") for i in range(1, 1001)] + [("c", "x", "y"), ("c", "y", "x"), ("c", "y", "n3"), ("c", "self", "self")]
+    binds = spark.createDataFrame([("c", "1.1.1.1", "n0"), ("c", "2.2.2.2", "n500"), ("d", "3.3.3.3", "n0")], "capture string, ip string, name string")
+    got = {(r.capture, r.ip, r.name) for r in fleet.alias_closure(binds, spark.createDataFrame(cnames, "capture string, owner string, target string")).collect()}
+    assert got == {("c", "1.1.1.1", f"n{i}") for i in range(1001)} | {("c", "2.2.2.2", f"n{i}") for i in range(500, 1001)} | {("c", "1.1.1.1", "x"), ("c", "1.1.1.1", "y"), ("d", "3.3.3.3", "n0")}
+    procs = [("h", i, i - 1, f"p{i}") for i in range(1, 301)] + [("h", 900, 901, "a"), ("h", 901, 900, "b"), ("h", 950, 900, "c"), ("g", 5, 5, "own")]
+    procs = spark.createDataFrame(procs, "host_id string, pid int, ppid int, command string")
+    chains = {(r.host_id, r.pid): r.chain for r in fleet.ancestry(procs).collect()}
+    assert chains["h", 300] == [f"p{i}" for i in range(299, 0, -1)] and chains["h", 900] == ["b"] and chains["h", 950] == ["a", "b"] and chains["g", 5] == [] == chains["h", 1]
+    tree = {r.pid: (r.depth, r.path) for r in fleet.process_tree(procs, 290).collect()}
+    assert tree == {i: (i - 290, list(range(290, i + 1))) for i in range(290, 301)}
+
+
+def test_addresses_of_both_families(spark):
+    import ipaddress
+
+    texts = ["1.2.3.4", "255.0.0.255", "::", "::1", "fe80::1%eth0", "2001:db8::8:800:200c:417a", "::ffff:192.0.2.128", "64:ff9b::10.0.0.1", "1:2:3:4:5:6:7:8", "1:2:3:4:5:6:7::", "::2:3:4:5:6:7:8", "1::2::3", "12345::", "1:2:3", "::1.2.3.400", "g::", "", "1.2.3"]
+    for r in spark.createDataFrame([(t,) for t in texts], "a string").select("a", S.ip_bits(F.col("a")).alias("b")).collect():
+        try:
+            ip = ipaddress.ip_address(r.a.split("%")[0])
+            assert r.b == f"{int(ip):0{ip.max_prefixlen}b}", r
+        except ValueError:
+            assert r.b is None, r
+    nets = ["10.0.0.0/8", "10.1.0.0/16", "10.1.2.0/24", "0.0.0.0/0", "2001:db8::/32", "2001:db8:1::/48", "::ffff:0:0/96", "fe80::/10", "2001:db8::7/128"]
+    ips = ["10.9.9.9", "10.1.9.9", "10.1.2.3", "8.8.8.8", "2001:db8:1::5", "2001:db8:2::5", "2001:db8::7", "::ffff:1.2.3.4", "fe80::1%lo", "3000::", None, "junk"]
+    rows = fleet.asn_lookup(spark.createDataFrame([(i,) for i in ips], "ip string"), spark.createDataFrame(list(enumerate(nets)), "asn int, prefix string")).collect()
+    assert len(rows) == len(ips)
+    for r in rows:
+        try:
+            ip = ipaddress.ip_address((r.ip or "").split("%")[0])
+            held = [n for n in map(ipaddress.ip_network, nets) if n.version == ip.version and ip in n]
+            want = max(held, key=lambda n: n.prefixlen) if held else None
+        except ValueError:
+            want = None
+        assert (r.prefix and ipaddress.ip_network(r.prefix)) == want, r
