@@ -22,11 +22,12 @@ from ..functions.spans import let
 from .common import stash
 
 #: The base kinds in the order of the results, and their patterns. Nothing follows the repeats, so they need not
-#: give back (++); that keeps the matcher's stack flat on long runs.
+#: give back (++); that keeps the matcher's stack flat on long runs. A run of an address's first characters is tried from its start,
+#: or from where the last match ended (\\G), and from nowhere within: what fails there fails within, so work grows with the text.
 KINDS = ("email", "ip", "card", "phone", "term")
 PATTERNS = {
-    "email": r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
-    "ip": r"[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
+    "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
+    "ip": r"(?:(?<![0-9])|\G)[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
