@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import pickle
 from collections.abc import Iterator
+from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
@@ -23,8 +24,8 @@ from pyspark.sql import functions as F
 from .common import stash
 
 #: Sampled vectors at most (and bytes of them) of the table and of each partition, sampled ones that a partition needs, distinct
-#: vectors a cell should hold; entries in a bucket, queries ranked at once; queries by which recall is measured.
-SAMPLE, SAMPLE_BYTES, EACH, PARTITION, BUCKET, QUERIES_AT_ONCE, MEASURED = 6144, 64 << 20, 48, 1500, 8192, 512, 200
+#: vectors a cell should hold; entries in a bucket, queries that meet it in a task, and those ranked at once; queries by which recall is measured.
+SAMPLE, SAMPLE_BYTES, EACH, PARTITION, BUCKET, ASKED, QUERIES_AT_ONCE, MEASURED = 6144, 64 << 20, 48, 1500, 8192, 1 << 16, 512, 200
 
 
 class Router(NamedTuple):
@@ -130,16 +131,22 @@ def fit_router(sample: np.ndarray, parts: int, k: int, recall: float, hidden: in
 def nearest(vectors: DataFrame, is_query, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 5, recall: float = 0.97) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each query, largest cosine first, ties to the smaller vec_id.
 
-    is_query: a Column. Vectors null, empty, zero or holding null or non-finite components take no part, nor do null ids, nor
-    vectors of another length than the commonest. A query's own row is no candidate, repeated rows are. With k or fewer
-    candidates all are returned. An empty table gives no rows.
+    is_query: a Column. Vectors null, empty, zero or holding null or non-finite components take no part, nor do null ids.
+    Vectors of different lengths have no cosine: each length is searched by itself. A query's own row is no candidate,
+    repeated rows are. With k or fewer candidates all are returned. An empty table gives no rows.
     """
     v = F.transform(F.col(vector_col), lambda c: c.cast("double"))
     good = vectors.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v"), is_query.alias("asks"))
     finite = F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
     good = good.where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & finite & F.exists("v", lambda c: c != 0))
-    length = good.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    good = good.where(F.size("v") == (length.d if length else 0))
+    lengths = [r.d for r in good.groupBy(F.size("v").alias("d")).count().orderBy("d").collect()]  # one row a length
+    found = [nearest_of_length(good.where(F.size("v") == d), d, k, recall) for d in lengths]
+    none = vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    return reduce(DataFrame.unionByName, found) if found else none
+
+
+def nearest_of_length(good: DataFrame, d: int, k: int, recall: float) -> DataFrame:
+    """nearest() of vectors (vec_id, v, asks) that all have d components."""
     # entries: distinct vectors with their k + 1 smallest ids; the limit on row_number holds before the shuffle, too
     first = Window.partitionBy("v").orderBy("vec_id")
     entries = good.select("vec_id", "v").withColumn("at", F.row_number().over(first)).where(F.col("at") <= k + 1)
@@ -148,13 +155,13 @@ def nearest(vectors: DataFrame, is_query, id_col: str = "vec_id", vector_col: st
     questions = asked.groupBy("v").agg(F.min("vec_id").alias("question"))
 
     n = entries.count()
-    most = max(64, min(SAMPLE, SAMPLE_BYTES // (8 * max(1, length.d if length else 1))))
+    most = max(64, min(SAMPLE, SAMPLE_BYTES // (8 * d)))
     some = entries.where(F.expr(f"pmod(xxhash64(v), 1000000) < {min(1.0, most / max(1, n)) * 1e6}")).select("v").orderBy(F.xxhash64("v"), "v").limit(most).collect()
     parts = max(1, len(some) // EACH)
     router = fit_router(np.array([x.v for x in some]).reshape(len(some), -1), parts, k, recall) if some else None
     if router is None:
         return asked.select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0.0).alias("score")).where("false")
-    spark = vectors.sparkSession
+    spark = good.sparkSession
     shipped = spark.sparkContext.broadcast(router)
 
     def home(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -207,7 +214,11 @@ def nearest(vectors: DataFrame, is_query, id_col: str = "vec_id", vector_col: st
             at = [r[0] for r in rows]
             yield pd.DataFrame({"question": b.question.to_numpy()[at], "v": b.v.to_numpy()[at], "part": [r[1] for r in rows], "cell": [r[2] for r in rows], "salt": [r[3] for r in rows]})
 
-    sent = questions.mapInPandas(routed, "question long, v array<double>, part long, cell long, salt long")
+    # a task holds the questions of one turn, ASKED or so, and what lies in one bucket
+    turns = max(1, -(-questions.count() // ASKED))
+    turn = F.expr(f"pmod(xxhash64(question, 9), {turns}L)")
+    sent = questions.mapInPandas(routed, "question long, v array<double>, part long, cell long, salt long").withColumn("turn", turn)
+    bucketed = bucketed.withColumn("turn", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(turns - 1).cast("long"))))
 
     def rank(asks: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
         out: dict[str, list] = {"question": [], "score": [], "ids": []}
@@ -226,7 +237,7 @@ def nearest(vectors: DataFrame, is_query, id_col: str = "vec_id", vector_col: st
                         out["question"].append(name), out["score"].append(float(exact[m])), out["ids"].append(ids[some[m]])
         return pd.DataFrame(out, dtype=object)
 
-    found = sent.groupBy("part", "cell", "salt").cogroup(bucketed.groupBy("part", "cell", "salt")).applyInPandas(rank, "question long, score double, ids array<long>")
+    found = sent.groupBy("part", "cell", "salt", "turn").cogroup(bucketed.groupBy("part", "cell", "salt", "turn")).applyInPandas(rank, "question long, score double, ids array<long>")
     best = Window.partitionBy("question").orderBy(F.desc("score"), F.col("ids")[0])
     best_of = found.withColumn("at", F.row_number().over(best)).where(F.col("at") <= k + 1).select("question", "score", "ids")
     by_row = asked.join(questions, "v").select(F.col("vec_id").alias("query_id"), "question").join(best_of, "question")

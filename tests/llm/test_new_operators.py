@@ -9,6 +9,7 @@ from fractions import Fraction
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from test_operators import ODD, SF, fold, odd  # noqa: F401
 
 from gleanery.llm import odd_sketch, prefix_trie, ranked
@@ -169,3 +170,38 @@ def test_prefix_trie_without_turns(spark):
     rows = [(c, 0, "user", "x") for c in h if h[c] > 0]  # no conversation 0: what they take is nothing
     got = prefix_trie.prefix_trie(spark.createDataFrame(rows, schema)).collect()
     assert collections.Counter(tuple(r[c] for c in COLUMNS) for r in got) == trie_by_hand(rows) and len(got) == 1
+
+
+def test_ann_of_several_lengths(spark, monkeypatch):
+    """Each length is searched by itself, and queries are dealt out in turns."""
+    from gleanery.llm import ann
+
+    monkeypatch.setattr(ann, "ASKED", 5)
+    rng = np.random.default_rng(8)
+    vectors = {i: rng.normal(size=(3, 4, 7)[i % 3 if i < 60 else 1]) for i in range(120)} | {500: np.array([1.0])}
+    rows = [(i, [float(c) for c in v]) for i, v in vectors.items()] + [(600, [0.0, 0.0, 0.0]), (601, [1.0, float("inf"), 0.0]), (602, None), (603, [])]
+    got = collections.defaultdict(list)
+    for r in ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 2 == 0).collect():
+        got[r.query_id].append((r["rank"], r.vec_id))
+    cosine = lambda a, b: float(a @ b / np.sqrt(a @ a) / np.sqrt(b @ b))
+    for i in (i for i in vectors if i % 2 == 0):
+        same = sorted((-cosine(vectors[i], v), j) for j, v in vectors.items() if j != i and len(v) == len(vectors[i]))
+        assert sorted(got[i]) == [(k + 1, j) for k, (_, j) in enumerate(same[:5])], i
+
+
+@pytest.mark.parametrize("run, literal", [("a", "me@x.de"), ("1", "1.2.3.4"), ("aB9+", "me@x.de 1.2.3.4"), ("1.2", "9.9.9.9"), ("a@", "b@c.de")])
+def test_personal_data_in_long_runs(spark, run, literal):
+    """A megabyte without a break beside a match: in time, and found as the plain patterns find it."""
+    import time
+
+    from gleanery.llm import pii
+    from test_operators import private
+
+    short = (run * 200)[:200] + " " + literal + " " + (run * 100)[:150] + literal + "_d@e.fr"
+    text = (run * 1_000_000)[:1_000_000] + " " + literal
+    docs = spark.createDataFrame([(1, text), (2, short)], "doc_id long, text string").select("doc_id", pii.base_spans(F.col("text")).alias("base"))
+    docs.where("doc_id = 2").collect()
+    began = time.time()
+    got = {r.doc_id: [(pii.KINDS[s.kind], s.start, s.end) for s in r.base] for r in docs.collect()}
+    assert time.time() - began < 20 and got[2] == [tuple(x) for x in private(short)]
+    assert (len(text) - len(literal.split()[-1]), len(text)) in [x[1:] for x in got[1]] or run in ("1.2", "a@")
