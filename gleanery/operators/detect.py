@@ -340,7 +340,8 @@ PIECE = 4096
 def redact(units: DataFrame, source: str = "source", unit: str = "doc_id", text: str = "text", kinds: Iterable[str] | None = None, everywhere: bool = False) -> DataFrame:
     """(source, unit_id, redacted, n): texts with each finding replaced by [REDACTED:kind]; a PEM block goes as a whole.
 
-    With everywhere, a value found once in a unit is replaced wherever it stands in the unit's texts. Rows of one name keep their
+    n counts the findings, also one that lies within another. With everywhere, a value found once in a unit is replaced wherever it
+    stands in the unit's texts, and n counts the marks. Rows of one name keep their
     own findings. A text is put together from pieces of PIECE characters, each with its spans, so work grows with the text.
     """
     wanted = set(kinds or P.KINDS)
@@ -353,10 +354,13 @@ def redact(units: DataFrame, source: str = "source", unit: str = "doc_id", text:
     found = _found(units, source, unit, text, kinds).select(*UNIT, "start", "end", "kind", "value")
     if everywhere:
         found = found.select(*UNIT, "start", "end", "kind").unionByName(repeats(own, found)).distinct()
-    return _replaced(own, found.select(*UNIT, "start", "end", "kind"))
+    return _replaced(own, found.select(*UNIT, "start", "end", "kind"), marks_only=everywhere)
 
 
-def _replaced(own: DataFrame, spans: DataFrame) -> DataFrame:
+_PART = "struct<from:int,to:int,kind:string,n:int>"
+
+
+def _replaced(own: DataFrame, spans: DataFrame, marks_only: bool) -> DataFrame:
     """own (UNIT, text, _pem) with its spans replaced; of overlapping spans the first and longest counts. A span's mark stands in
     the piece that it begins in, and pieces leave out what a span covers."""
     row = [F.col(k) for k in UNIT]
@@ -365,11 +369,18 @@ def _replaced(own: DataFrame, spans: DataFrame) -> DataFrame:
     seen = spans.withColumn("_block", F.explode(F.sequence(block(F.col("start")), block(F.col("end") - 1)))).withColumn("_own", F.col("_block") == block(F.col("start")))
     reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     # where spans touch, what the one before covers is left out; the one that begins within it has no mark of its own
-    flat = seen.withColumn("_reach", F.coalesce(reach, F.lit(0))).where("_own and end > _reach").select(*UNIT, F.greatest("start", "_reach").alias("start"), "end", F.when(F.col("start") >= F.col("_reach"), F.col("kind")).alias("kind"))
+    within = F.col("end") <= F.col("_reach")
+    flat = seen.withColumn("_reach", F.coalesce(reach, F.lit(0))).where("_own")
+    flat = flat.select(*UNIT, F.when(within, F.col("start")).otherwise(F.greatest("start", "_reach")).alias("start"), "end", F.when(F.col("start") >= F.col("_reach"), F.col("kind")).alias("kind"), within.alias("_within"))
     piece = lambda x: F.floor(x / PIECE).cast("int")
-    each = flat.withColumn("piece", F.explode(F.sequence(piece(F.col("start")), piece(F.col("end") - 1))))
-    here = F.struct(F.greatest(F.lit(0), F.col("start") - F.col("piece") * PIECE).cast("int").alias("from"), F.least(F.lit(PIECE), F.col("end") - F.col("piece") * PIECE).cast("int").alias("to"), F.when(piece(F.col("start")) == F.col("piece"), F.col("kind")).alias("kind"))
-    none = own.distinct().select(*row, F.explode(F.sequence(F.lit(0), piece(F.greatest(F.lit(0), F.length("text") - 1)))).alias("piece"), F.lit(None).cast("struct<from:int,to:int,kind:string>").alias("s"))
+    each = flat.withColumn("piece", F.explode(F.when(F.col("_within"), F.array(piece(F.col("start")))).otherwise(F.sequence(piece(F.col("start")), piece(F.col("end") - 1)))))
+    first_piece = piece(F.col("start")) == F.col("piece")
+    place = lambda x: F.when(~F.col("_within"), x.cast("int"))
+    here = F.struct(
+        place(F.greatest(F.lit(0), F.col("start") - F.col("piece") * PIECE)).alias("from"), place(F.least(F.lit(PIECE), F.col("end") - F.col("piece") * PIECE)).alias("to"),
+        F.when(first_piece, F.col("kind")).alias("kind"), first_piece.cast("int").alias("n"),
+    )
+    none = own.distinct().select(*row, F.explode(F.sequence(F.lit(0), piece(F.greatest(F.lit(0), F.length("text") - 1)))).alias("piece"), F.lit(None).cast(_PART).alias("s"))
     pieces = each.select(*row, "piece", here.alias("s")).unionByName(none).groupBy(*UNIT, "piece").agg(F.array_sort(F.collect_list("s")).alias("s"))
     lists = pieces.groupBy(*UNIT).agg(F.transform(F.array_sort(F.collect_list(F.struct("piece", "s"))), lambda p: p["s"]).alias("spans"))
     first = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
@@ -377,14 +388,15 @@ def _replaced(own: DataFrame, spans: DataFrame) -> DataFrame:
     def put(text: Column, spans: Column) -> Column:
         def step(a: Column, s: Column) -> Column:
             mark = F.coalesce(F.concat(F.lit("[REDACTED:"), s["kind"], F.lit("]")), F.lit(""))
-            return F.struct(s["to"].alias("at"), F.concat(a["out"], F.substring(text, a["at"] + 1, s["from"] - a["at"]), mark).alias("out"))
+            new = F.struct(s["to"].alias("at"), F.concat(a["out"], F.substring(text, a["at"] + 1, s["from"] - a["at"]), mark).alias("out"))
+            return F.when(s["from"].isNull(), a).otherwise(new)
 
         return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(spans, first, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.lit(PIECE)))))
 
     cut = F.regexp_extract_all("text", F.lit(rf"(?s).{{1,{PIECE}}}"), F.lit(0))
     joined = own.join(lists.select(*[F.col(k).alias(f"_{k}") for k in UNIT], "spans"), F.col("source").eqNullSafe(F.col("_source")) & F.col("unit_id").eqNullSafe(F.col("_unit_id")) & F.col("_row").eqNullSafe(F.col("__row")), "left")
-    marks = F.aggregate("spans", F.lit(0), lambda n, p: n + F.size(F.filter(p, lambda s: s["kind"].isNotNull())))
-    out = F.array_join(F.transform(cut, lambda t, i: put(t, F.coalesce(F.get("spans", i), F.array().cast("array<struct<from:int,to:int,kind:string>>")))), "")
+    marks = F.aggregate("spans", F.lit(0), lambda n, p: n + (F.size(F.filter(p, lambda s: s["kind"].isNotNull())) if marks_only else F.aggregate(p, F.lit(0), lambda m, s: m + s["n"])))
+    out = F.array_join(F.transform(cut, lambda t, i: put(t, F.coalesce(F.get("spans", i), F.array().cast(f"array<{_PART}>")))), "")
     return joined.select("source", "unit_id", F.when(F.col("text").isNotNull(), F.coalesce(out, F.col("text"))).alias("redacted"), (F.coalesce(marks, F.lit(0)) + F.col("_pem")).alias("n"))
 
 

@@ -205,9 +205,14 @@ def j12_diff_snapshots(t):
     return tables.diff_snapshots(before, after)
 
 
-@register()
+@register(r"""
+    WITH c AS (SELECT c_custkey::VARCHAR AS key, 'u' || c_custkey || '@mail.example.org' AS contact_email, 'at 10.1.' || (c_custkey % 200) || '.7' AS note FROM customer)
+    SELECT key AS row, 'contact_email' AS "column", 'email' AS kind, contact_email AS value, 'high' AS confidence FROM c UNION ALL SELECT key, 'note', 'ipv4', substr(note, 4), 'medium' FROM c
+    UNION ALL SELECT key, 'email_note', 'email_note', 'see ' || key, 'medium' FROM c""")
 def p17_dataset_findings(t):
-    return tables.dataset_findings(t("conversations").select(F.concat_ws("-", "conv_id", "turn").alias("key"), "text"), "key", ["email", "credit-card", "ipv4"])
+    key = F.col("c_custkey").cast("string")
+    rows = t("customer").select(key.alias("key"), F.concat(F.lit("u"), key, F.lit("@mail.example.org")).alias("contact_email"), F.concat(F.lit("at 10.1."), (F.col("c_custkey") % 200).cast("string"), F.lit(".7")).alias("note"), F.concat(F.lit("see "), key).alias("email_note"))
+    return tables.dataset_findings(rows, "key", ["email", "credit-card", "ipv4"])
 
 
 # -- queries, search, slices
@@ -290,7 +295,13 @@ def p21_search_corpus(t):
     return query.search_corpus(t("benchmark"), "th", "item_id").groupBy("item_id").agg(F.count("*").alias("n"))
 
 
-@register()
+@register(r"""
+    WITH l AS (SELECT doc_id, regexp_split_to_array(text, '\r?\n') AS r FROM documents WHERE text IS NOT NULL),
+    k AS (SELECT doc_id, CASE WHEN len(r) > 1 AND r[-1] = '' THEN r[:-2] ELSE r END AS r FROM l), e AS (SELECT doc_id, unnest(range(1, len(r) + 1)) AS line, unnest(r) AS text FROM k),
+    o AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY doc_id, regexp_replace(lower(trim(text)), '[ \t\n\v\f\r]+', ' ', 'g') ORDER BY line) = 1),
+    h AS (SELECT *, lower(text) LIKE '%token%' OR lower(text) LIKE '%password%' AS hit FROM o),
+    m AS (SELECT *, coalesce(lag(hit) OVER w, false) OR coalesce(lead(hit) OVER w, false) AS near, row_number() OVER w AS a, row_number() OVER (PARTITION BY doc_id ORDER BY line DESC) AS b FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY line))
+    SELECT doc_id, line::INT AS line, text FROM m WHERE hit OR near OR a <= 24 OR b <= 24""")
 def p24_relevant_lines(t):
     return query.relevant_lines(query.lines(t("documents"), "text", "doc_id"), ["token", "password"], ["doc_id"])
 
@@ -390,6 +401,28 @@ def j14_asn_lookup(t):
     return fleet.asn_lookup(ips, prefixes).select("c_custkey", "ip", F.coalesce("asn", F.lit(-1)).alias("asn"), F.coalesce("prefix_len", F.lit(-1)).alias("prefix_len"))
 
 
+@register("""
+    WITH i AS (SELECT c_custkey, c_custkey % 50 AS a, c_custkey % 9 AS b FROM customer), p AS (SELECT s_suppkey AS asn, s_suppkey % 50 AS a, CASE WHEN s_suppkey % 2 = 0 THEN s_suppkey % 9 END AS b FROM supplier)
+    SELECT c_custkey, format('2001:db8:{:x}:{:x}::{:x}', i.a, i.b, c_custkey) AS ip, coalesce(p.asn, -1) AS asn, CASE WHEN p.asn IS NULL THEN -1 WHEN p.b IS NULL THEN 48 ELSE 64 END AS prefix_len
+    FROM i LEFT JOIN p ON i.a = p.a AND (p.b IS NULL OR p.b = i.b) QUALIFY row_number() OVER (PARTITION BY c_custkey ORDER BY p.b IS NULL, p.asn) = 1""")
+def j14_ipv6_lookup(t):
+    six = lambda *parts: F.concat(F.lit("2001:db8"), *[x for p in parts for x in (F.lit(":"), F.lower(F.hex(p)))])
+    ips = t("customer").select("c_custkey", F.concat(six(F.col("c_custkey") % 50, F.col("c_custkey") % 9), F.lit("::"), F.lower(F.hex("c_custkey"))).alias("ip"))
+    a, b, even = F.col("s_suppkey") % 50, F.col("s_suppkey") % 9, F.col("s_suppkey") % 2 == 0
+    prefixes = t("supplier").select(F.col("s_suppkey").alias("asn"), F.when(even, F.concat(six(a, b), F.lit("::/64"))).otherwise(F.concat(six(a), F.lit("::/48"))).alias("prefix"))
+    return fleet.asn_lookup(ips, prefixes).select("c_custkey", "ip", F.coalesce("asn", F.lit(-1)).alias("asn"), F.coalesce("prefix_len", F.lit(-1)).alias("prefix_len"))
+
+
+@register("SELECT 'ip' || (p_partkey // 1000) AS ip, count(*) AS n, max(p_partkey) AS last FROM part GROUP BY ALL")
+def j02_long_chains(t):
+    """Chains of a thousand aliases, each leading to the one before."""
+    p = t("part").select("p_partkey")
+    first = F.col("p_partkey") % 1000 == 0
+    binds = p.where(first).select(F.lit("c").alias("capture"), F.concat(F.lit("ip"), F.expr("p_partkey div 1000").cast("string")).alias("ip"), F.col("p_partkey").alias("name"))
+    cnames = p.where(~first).select(F.lit("c").alias("capture"), F.col("p_partkey").alias("owner"), (F.col("p_partkey") - 1).alias("target"))
+    return fleet.alias_closure(binds, cnames).groupBy("ip").agg(F.count("*").alias("n"), F.max("name").alias("last"))
+
+
 @register("""
     WITH RECURSIVE c AS (SELECT p_partkey AS owner, p_partkey // 2 AS target FROM part WHERE p_partkey > 8), k AS (SELECT 'ip' || p_partkey AS ip, p_partkey AS name FROM part WHERE p_partkey <= 8 UNION SELECT k.ip, c.owner FROM k JOIN c ON c.target = k.name)
     SELECT ip, count(*) AS n, max(name) AS last FROM k GROUP BY ip""")
