@@ -426,7 +426,18 @@ def repeats(own: DataFrame, found: DataFrame, least: int = 4) -> DataFrame:
     return rows.mapInPandas(search, "source string, unit_id string, _row binary, start int, end int, kind string")
 
 
-# -- roll-ups
+# -- orders and roll-ups
+
+
+def in_order(findings: DataFrame) -> DataFrame:
+    """By source, unit, line and start."""
+    return findings.orderBy("source", "unit_id", "line", "start", "end", "kind")
+
+
+def by_severity(findings: DataFrame) -> DataFrame:
+    """The worst first, then family, then place."""
+    family = F.array_position(F.lit(list(dict.fromkeys(P.CATEGORY.values()))), F.col("category"))
+    return findings.orderBy(F.desc(rank_of(F.col("confidence"))), family, "kind", "source", "unit_id", "line", "start")
 
 
 def inventory(findings: DataFrame) -> DataFrame:

@@ -486,6 +486,53 @@ def t01_top_processes(t):
     return fleet.top_processes(_procs(t), "cpu_percent", 20).select("pid", "cpu_percent")
 
 
+
+def _headers(*pairs):
+    return F.array(*[F.struct(F.lit(name).alias("name"), value.alias("value")) for name, value in pairs])
+
+
+@register("""
+    WITH m AS (SELECT c_custkey AS k, 'corp' || c_custkey || '.example.com' AS d FROM customer),
+    s AS (SELECT k, d, CASE k % 3 WHEN 0 THEN d WHEN 1 THEN 'bounce.example.com' ELSE 'evil.test' END AS spf, CASE k % 2 WHEN 0 THEN 'mail.' || d ELSE 'other' || k || '.test' END AS dkim FROM m)
+    SELECT k AS c_custkey, d AS from_domain, spf AS spf_domain, dkim AS dkim_domains, k % 3 = 0 AS spf_strict, k % 3 < 2 AS spf_relaxed, false AS dkim_strict, k % 2 = 0 AS dkim_relaxed,
+    array_to_string(list_filter([CASE WHEN k % 3 = 2 THEN 'SPF passed for evil.test' END, CASE WHEN k % 2 = 1 THEN 'DKIM passed for ' || dkim END, CASE WHEN k % 4 = 0 THEN 'no DMARC result' END], lambda x: x IS NOT NULL), '|') AS notes FROM s""")
+def a15_mail_alignment(t):
+    k = F.col("c_custkey")
+    own = F.concat(F.lit("corp"), k.cast("string"), F.lit(".example.com"))
+    spf = F.when(k % 3 == 0, own).when(k % 3 == 1, F.lit("bounce.example.com")).otherwise(F.lit("evil.test"))
+    dkim = F.when(k % 2 == 0, F.concat(F.lit("mail."), own)).otherwise(F.concat(F.lit("other"), k.cast("string"), F.lit(".test")))
+    told = F.concat(F.lit("mx.example; spf=pass (ok) smtp.mailfrom=bob@"), spf, F.when(k % 4 > 0, F.concat(F.lit("; dmarc=pass header.from="), own)).otherwise(F.lit("")))
+    # every other message has its DKIM domain in a result, the rest in the signature alone
+    told = F.when(k % 10 < 5, F.concat(told, F.lit("; dkim=pass header.d="), dkim)).otherwise(F.concat(told, F.lit("; dkim=pass")))
+    mails = t("customer").select(k.alias("msg_sha256"), _headers(("From", F.concat(F.lit("Bob <bob@"), own, F.lit(">"))), ("Authentication-Results", told), ("DKIM-Signature", F.concat(F.lit("v=1; a=rsa-sha256; d="), dkim, F.lit("; s=k1")))).alias("headers"))
+    return mail.auth_alignment(mails).select(F.col("msg_sha256").alias("c_custkey"), "from_domain", "spf_domain", F.array_join("dkim_domains", ",").alias("dkim_domains"), "spf_strict", "spf_relaxed", "dkim_strict", "dkim_relaxed", F.array_join("notes", "|").alias("notes"))
+
+
+@register("SELECT o_orderkey, CASE WHEN o_orderkey % 13 > 6 THEN 'date is far from the first hop' ELSE '' END AS anomalies FROM orders")
+def w14_hop_date_gap(t):
+    when = F.col("o_orderdate").cast("timestamp")
+    told = lambda x: F.concat(F.date_format(x, "EEE, d MMM yyyy HH:mm:ss"), F.lit(" +0000"))
+    hop = lambda name, x: F.concat(F.lit(f"from a by {name} with ESMTP id 7; "), told(x))
+    later = lambda hours: F.timestamp_seconds(F.unix_timestamp(when) + hours * 3600)
+    mails = t("orders").select(F.col("o_orderkey").alias("msg_sha256"), _headers(("Received", hop("last", later(F.lit(40)))), ("Received", hop("first", later(F.col("o_orderkey") % 13))), ("From", F.lit("a@b.example")), ("Date", told(when))).alias("headers"))
+    return mail.mail_headers(mails).select(F.col("msg_sha256").alias("o_orderkey"), F.array_join("anomalies", "|").alias("anomalies"))
+
+
+@register("""
+    WITH i AS (SELECT c_custkey AS k, CASE c_custkey % 3 WHEN 0 THEN 'UP' WHEN 1 THEN 'DOWN' ELSE 'UNKNOWN' END AS state, '02:00:00:00:00:' || format('{:02x}', c_custkey % 256) AS mac FROM customer)
+    SELECT k AS host_id, 'en0' AS interface, state, mac, 'UP,RUNNING' AS flags, 'inet' AS family, '10.' || k % 200 || '.0.7' AS ip, 20 AS prefix FROM i UNION ALL SELECT k, 'en0', state, mac, 'UP,RUNNING', 'inet6', 'fe80::' || format('{:x}', k), 64 FROM i
+    UNION ALL SELECT k, 'tun1', 'UNKNOWN', NULL, 'POINTOPOINT', NULL, NULL, NULL FROM i UNION ALL SELECT k, 'lo0', 'UNKNOWN', NULL, 'UP,LOOPBACK', 'inet', '127.0.0.1', 8 FROM i""")
+def s26_interfaces(t):
+    k = F.col("c_custkey")
+    line = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts], F.lit("\n"))
+    state = F.when(k % 3 == 0, "\tstatus: active\n").when(k % 3 == 1, "\tstatus: inactive\n").otherwise("")
+    text = F.concat(
+        line("lo0: flags=8049<UP,LOOPBACK> mtu 16384"), line("\tinet 127.0.0.1 netmask 0xff000000"), line("en0: flags=8863<UP,RUNNING> mtu 1500"), line("\tether 02:00:00:00:00:", F.lower(F.lpad(F.hex(k % 256), 2, "0"))),
+        line("\tinet6 fe80::", F.lower(F.hex(k)), "%en0 prefixlen 64 scopeid 0x4"), line("\tinet 10.", k % 200, ".0.7 netmask 255.255.240.0 broadcast 10.0.15.255"), state, line("tun1: flags=8010<POINTOPOINT> mtu 1380"),
+    )
+    return fleet.parse_interfaces(t("customer").select(k.alias("host_id"), text.alias("text"))).withColumn("flags", F.array_join("flags", ","))
+
+
 @register("""
     SELECT c_custkey, least(100, CASE WHEN c_custkey % 2 = 0 THEN 30 ELSE 0 END + CASE WHEN c_custkey % 3 = 0 THEN 40 ELSE 0 END + CASE WHEN c_custkey % 5 = 0 THEN 15 ELSE 0 END + CASE WHEN c_custkey % 7 = 0 THEN 30 ELSE 0 END) AS score FROM customer""")
 def a09_mail_score(t):
