@@ -18,7 +18,9 @@ from ..functions import scalars as S
 from ..functions.spans import BLOCK, MARK, blocks, long_lines, matches, unmarked
 from .scans import running_sum, with_neighbours
 
-_CANDIDATE = "array<struct<part:string,at:int,spec:int>>"
+_CANDIDATE = "array<struct<part:string,at:int,spec:int,before:string,lines:int,head:string>>"
+#: Kinds that are judged by the line they stand in.
+FIELDS = ("password", "username", "secret")
 NEAR = 96
 #: Whole PEM blocks, from the first line to the last.
 PEM = {
@@ -59,14 +61,19 @@ def _may_match(kind: str, lowered: Column, digits: Column) -> Column:
 
 
 def _spans(text: Column, spec: P.Spec, number: int, may: Column) -> Column:
-    """Candidates of one pattern in a block: the value's place, not that of what stands before it. A block is short, so one fold
-    over its parts is cheap."""
+    """Candidates of one pattern in a block: the value's place, not that of what stands before it, the NEAR characters before it, the
+    line ends before it, and for a field what stands before it in its line. A block is short, so one fold over its parts is cheap."""
     marked = F.regexp_replace(text, F.lit(f"({spec.before})({spec.value})"), F.lit(f"$1{MARK}$2{MARK}"))
-    first = F.struct(F.lit(0).alias("at"), F.lit(False).alias("inside"), F.array().cast(_CANDIDATE).alias("found"))
+    field = spec.kind in FIELDS
+    first = F.struct(F.lit(0).alias("at"), F.lit(False).alias("inside"), F.lit("").alias("before"), F.lit(0).alias("lines"), F.lit("").alias("head"), F.array().cast(_CANDIDATE).alias("found"))
 
     def step(a: Column, part: Column) -> Column:
-        span = F.struct(part.alias("part"), a["at"].alias("at"), F.lit(number).alias("spec"))
-        return F.struct((a["at"] + F.length(part)).cast("int").alias("at"), (~a["inside"]).alias("inside"), F.when(a["inside"], F.concat(a["found"], F.array(span))).otherwise(a["found"]).alias("found"))
+        span = F.struct(part.alias("part"), a["at"].alias("at"), F.lit(number).alias("spec"), a["before"].alias("before"), a["lines"].alias("lines"), a["head"].alias("head"))
+        lines = F.length(part) - F.length(F.replace(part, F.lit("\n"), F.lit("")))
+        return F.struct(
+            (a["at"] + F.length(part)).cast("int").alias("at"), (~a["inside"]).alias("inside"), F.right(F.concat(a["before"], F.right(part, F.lit(NEAR))), F.lit(NEAR)).alias("before"), (a["lines"] + lines).cast("int").alias("lines"),
+            (F.substring_index(F.concat(a["head"], part), "\n", -1) if field else F.lit("")).alias("head"), F.when(a["inside"], F.concat(a["found"], F.array(span))).otherwise(a["found"]).alias("found"),
+        )
 
     return F.when(may, F.aggregate(F.split(marked, MARK, -1), first, step, lambda a: a["found"])).otherwise(F.array().cast(_CANDIDATE))
 
@@ -112,7 +119,7 @@ def level(points: Column) -> Column:
 def _confidence(kind: str, v: Column, near: Column, line: Column) -> Column:
     """What a candidate's value and context say; null rejects it."""
     d = S.digits(v)
-    if kind in ("password", "username", "secret"):
+    if kind in FIELDS:
         return level(field_score(kind, v, near, line))
     if kind == "jwt":
         head = F.split_part(v, F.lit("."), F.lit(1))
@@ -174,14 +181,6 @@ def _rows(units: DataFrame, source: str, unit: str, text: str) -> DataFrame:
     return units.select(F.col(source).cast("string").alias("source"), F.col(unit).cast("string").alias("unit_id"), F.unhex(F.md5(F.col(text))).alias("_row"), unmarked(F.col(text)).alias("text")).where("text is not null")
 
 
-def _places(each: DataFrame) -> DataFrame:
-    """Candidates (c: part, at, spec) in a block as spans of the whole text, with their context and line."""
-    each = each.select("*", "c.spec", F.col("c.at").cast("int").alias("from"), F.col("c.part").alias("value"), (F.col("c.at") + F.length("c.part")).cast("int").alias("to"))
-    each = each.where("to > from and from >= low and from < high")
-    near = F.substring(F.col("text"), F.greatest(F.lit(1), F.col("from") + 1 - NEAR), F.col("to") - F.greatest(F.lit(0), F.col("from") - NEAR) + NEAR)
-    return each.withColumn("start", (F.col("at") + F.col("from")).cast("int")).withColumn("end", (F.col("at") + F.col("to")).cast("int")).withColumn("context", near)
-
-
 def candidates(units: DataFrame, source: str, unit: str, text: str, kinds: Iterable[str] | None = None) -> DataFrame:
     """(source, unit_id, _row, spec, start, end, value, context, line_text, line): every match of the asked kinds before
     validation. Only a value that goes on over line ends for more than spans.AFTER characters is seen in part."""
@@ -189,29 +188,49 @@ def candidates(units: DataFrame, source: str, unit: str, text: str, kinds: Itera
     rows = _rows(units, source, unit, text)
     each = rows.select(*UNIT, F.explode(blocks(F.col("text"))).alias("b")).select(*UNIT, "b.*")
     each = each.withColumn("lowered", F.lower("text")).withColumn("digits", F.col("text").rlike("[0-9]"))
+    ahead = F.left("text", F.col("low"))
+    each = each.withColumn("lead", F.length(ahead) - F.length(F.replace(ahead, F.lit("\n"), F.lit(""))))
     may = {k: _may_match(k, F.col("lowered"), F.col("digits")) for k in P.KINDS if k in wanted}
     found = F.concat(*[_spans(F.col("text"), s, i, may[s.kind]) for i, s in enumerate(P.SPECS) if s.kind in wanted])
-    each = _places(each.select(*UNIT, "text", "at", "low", "high", "line", "cut", F.explode(found).alias("c")))
     long = [i for i, s in enumerate(P.SPECS) if s.kind in wanted & LONG]
-    if long:
-        each = each.where(~F.col("spec").isin(long) | (F.col("from") - F.col("low") >= F.col("cut")))
-    before = F.left("text", F.col("from"))
-    line = F.concat(F.substring_index(before, "\n", -1), F.substring_index(F.substring(F.col("text"), F.col("from") + 1, F.length("text")), "\n", 1))
-    own = F.substring(F.col("text"), F.col("low") + 1, F.col("from") - F.col("low"))
-    number = F.col("line") + F.length(own) - F.length(F.replace(own, F.lit("\n"), F.lit(""))) + 1
-    columns = [*UNIT, "spec", "start", "end", "value", "context"]
-    out = each.select(*columns, line.alias("line_text"), number.cast("long").alias("line"))
+    text, low, high = F.col("text"), F.col("low"), F.col("high")
+
+    def owned(c: Column) -> Column:
+        here = (F.length(c["part"]) > 0) & (c["at"] >= low) & (c["at"] < high)
+        return here & (~c["spec"].isin(long) | (c["at"] - low >= F.col("cut"))) if long else here
+
+    fields = [i for i, s in enumerate(P.SPECS) if s.kind in FIELDS]
+
+    def detailed(c: Column) -> Column:
+        to = c["at"] + F.length(c["part"])
+        line = F.when(c["spec"].isin(fields), F.concat(c["head"], F.substring_index(F.substring(text, c["at"] + 1, F.length(text)), "\n", 1)))
+        return F.struct(
+            c["spec"].alias("spec"), (F.col("at") + c["at"]).cast("int").alias("start"), (F.col("at") + to).cast("int").alias("end"), c["part"].alias("value"), F.concat(c["before"], c["part"], F.substring(text, to + 1, F.lit(NEAR))).alias("context"),
+            line.alias("line_text"), (F.col("line") + c["lines"] - F.col("lead") + 1).cast("long").alias("line"),
+        )
+
+    # context and line are cut out before the candidates become rows, so no row carries its block
+    out = each.select(*UNIT, F.explode(F.transform(F.filter(found, owned), detailed)).alias("c")).select(*UNIT, "c.*")
     if not long:
         return out
-    # lines over several blocks, whole; the context stands for the line, which no kind of these reads
+    # lines over several blocks, whole
     whole = rows.where(F.length("text") > BLOCK).select(*UNIT, F.explode(long_lines(F.col("text"))).alias("b")).select(*UNIT, "b.*")
     whole = whole.withColumn("lowered", F.lower("text")).withColumn("digits", F.col("text").rlike("[0-9]"))
 
     specs = F.array(*[F.struct(F.lit(i).alias("spec"), F.lit(P.SPECS[i].before).alias("before"), F.lit(P.SPECS[i].value).alias("value"), may[P.SPECS[i].kind].alias("may")) for i in long])
     place = lambda m, x: F.struct(m["part"].alias("part"), m["at"].cast("int").alias("at"), x["spec"].alias("spec"))
-    spans = F.flatten(F.transform(F.filter(specs, lambda x: x["may"]), lambda x: F.transform(matches(F.col("text"), x["value"], x["before"]), lambda m: place(m, x))))
-    whole = _places(whole.select(*UNIT, "text", "at", "low", "high", "line", F.explode(spans).alias("c")))
-    return out.unionByName(whole.select(*columns, F.col("context").alias("line_text"), (F.col("line") + 1).alias("line")))
+    spans = F.flatten(F.transform(F.filter(specs, lambda x: x["may"]), lambda x: F.transform(matches(text, x["value"], x["before"]), lambda m: place(m, x))))
+    inside = F.filter(spans, lambda c: (F.length(c["part"]) > 0) & (c["at"] >= low) & (c["at"] < high))
+
+    def told(c: Column) -> Column:
+        start, to = c["at"], c["at"] + F.length(c["part"])
+        near = F.substring(text, F.greatest(F.lit(1), start + 1 - NEAR), to - F.greatest(F.lit(0), start - NEAR) + NEAR)
+        return F.struct(
+            c["spec"].alias("spec"), (F.col("at") + start).cast("int").alias("start"), (F.col("at") + to).cast("int").alias("end"), c["part"].alias("value"), near.cast("string").alias("context"),
+            F.lit(None).cast("string").alias("line_text"), (F.col("line") + 1).cast("long").alias("line"),
+        )
+
+    return out.unionByName(whole.select(*UNIT, F.explode(F.transform(inside, told)).alias("c")).select(*UNIT, "c.*"))
 
 
 def validated(found: DataFrame, kinds: Iterable[str] | None = None) -> DataFrame:
@@ -224,7 +243,7 @@ def validated(found: DataFrame, kinds: Iterable[str] | None = None) -> DataFrame
         says = F.lit(fixed) if fixed else _confidence(kind, v, F.col("context"), F.col("line_text"))
         cases = F.when(F.col("kind") == kind, says) if cases is None else cases.when(F.col("kind") == kind, says)
     named = found.withColumn("kind", kind_of).withColumn("confidence", cases).where("confidence is not null")
-    field = F.col("kind").isin("password", "username", "secret")
+    field = F.col("kind").isin(*FIELDS)
     clean = F.when(field, unquoted(v)).when(F.col("kind") == "credit-card", F.regexp_replace(v, "[ -]+$", "")).otherwise(v)
     end = F.when(F.col("kind") == "credit-card", F.col("start") + F.length(clean)).otherwise(F.col("end")).cast("int")
     return named.withColumn("end", end).withColumn("value", clean)

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions.spans import lines_of, matches, unmarked
+from .scans import previous
 
 _REFUSED = "insert update delete drop alter create replace truncate merge attach detach pragma vacuum grant revoke call load set".split()
 
@@ -138,8 +139,7 @@ def relevant_lines(df: DataFrame, words: list[str], keys: list[str], order: str
 
 def collapse_repeats(df: DataFrame, keys: list[str], order: str, text: str = "text") -> DataFrame:
     """Without lines equal to the one before; first_occurrences() drops all later ones."""
-    before = F.lag(text).over(Window.partitionBy(*keys).orderBy(order))
-    return df.withColumn("_p", before).where(F.col("_p").isNull() | (F.col("_p") != F.col(text))).drop("_p")
+    return previous(df, keys, order, text, "_p").where(F.col("_p").isNull() | (F.col("_p") != F.col(text))).drop("_p")
 
 
 def first_occurrences(df: DataFrame, keys: list[str], order: str, text: str = "text") -> DataFrame:

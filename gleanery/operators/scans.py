@@ -42,3 +42,21 @@ def with_neighbours(df: DataFrame, order: str, reach: int, block: int | None = N
     n = F.col(order)
     both = F.array_distinct(F.array(block_of(n - reach, block), block_of(n, block), block_of(n + reach, block)))
     return df.withColumn("_block", F.explode(both)).withColumn("_own", F.col("_block") == block_of(n, block))
+
+
+def previous(df: DataFrame, keys: list[str], order: str, column: str, out: str) -> DataFrame:
+    """df with the value that column has in the row before, in order within the unit (keys); null in its first row.
+
+    Within blocks first; the first row of a block takes the last value of the block before that has rows.
+    """
+    blocked = df.withColumn("_block", block_of(F.col(order)))
+    within = Window.partitionBy(*keys, "_block").orderBy(order)
+    local = blocked.withColumn("_lag", F.lag(column).over(within)).withColumn("_first", F.row_number().over(within) == 1)
+    last = carried(blocked.groupBy(*keys, "_block").agg(F.max_by(F.struct(column), order).alias("_last")), keys, "_last", lambda c: F.last(c))
+    named = last.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_block").alias("_b"), "_last")
+    same = F.col("_block") == F.col("_b")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    joined = local.join(named, same & F.col("_first"), "left")
+    value = F.when(F.col("_first"), F.col("_last")[column]).otherwise(F.col("_lag"))
+    return joined.withColumn(out, value).drop("_block", "_lag", "_first", "_last", "_b", *[f"_k{i}" for i in range(len(keys))])

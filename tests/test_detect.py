@@ -173,3 +173,9 @@ def test_a_huge_unit_is_scanned_in_blocks(spark, monkeypatch):
     lines = spark.createDataFrame([(k, i, "<item> a <item>" if i % 3 == 0 else "b") for k in ("x", None) for i in range(50)], "f string, line long, text string")
     got = {(r.f, r.line): r.item for r in D.item_numbers(lines, "f").collect()}
     assert got == {(k, i): 2 * (i // 3 + 1) for k in ("x", None) for i in range(50)}
+    from gleanery.operators import query
+
+    lines = spark.createDataFrame([(k, i, (None, "a", "a", "b")[i * i // 5 % 4]) for k in ("x", None) for i in range(0, 90, 4)], "f string, line long, text string")
+    got = {(r.f, r.line) for r in query.collapse_repeats(lines, ["f"], "line").collect()}
+    monkeypatch.setattr(scans, "BLOCK", 1 << 16)
+    assert got == {(r.f, r.line) for r in query.collapse_repeats(lines, ["f"], "line").collect()} and 0 < len(got) < 46
