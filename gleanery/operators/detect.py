@@ -308,6 +308,16 @@ def detect(units: DataFrame, source: str = "source", unit: str = "doc_id", text:
     return found.select("source", "unit_id", "line", "start", "end", "kind", category.alias("category"), "value", "confidence", "context", F.lit(None).cast("long").alias("packet"), F.lit(None).cast("long").alias("item"))
 
 
+def message_findings(messages: DataFrame, key: str, parts: tuple[str, ...] = ("request", "response"), kinds: Iterable[str] | None = None) -> DataFrame:
+    """Findings in the texts of each message (columns `parts`), with where they stand: the part, head or body, and the line."""
+    cells = messages.select(F.col(key), F.explode(F.array(*[F.struct(F.lit(p).alias("part"), F.col(p).alias("text")) for p in parts])).alias("c")).select(key, "c.*").where("text is not null")
+    heads = F.length(F.regexp_replace(F.substring_index(F.regexp_replace("text", "\r\n", "\n"), "\n\n", 1), "[^\n]", "")) + 1
+    sizes = cells.select(F.col("part").alias("source"), F.col(key).cast("string").alias("unit_id"), heads.alias("_head")).groupBy("source", "unit_id").agg(F.max("_head").alias("_head"))
+    found = detect(cells, "part", key, "text", kinds).join(sizes, ["source", "unit_id"])
+    place = F.when(F.col("line") <= F.col("_head"), "head").otherwise("body")
+    return found.select("unit_id", F.col("source").alias("part"), place.alias("place"), "line", "start", "end", "kind", "category", "value", "confidence")
+
+
 # -- choices over findings
 
 

@@ -157,10 +157,37 @@ def find_files(df: DataFrame, name: str, path: str = "path") -> DataFrame:
     return df.where(F.col(path).rlike(glob)).withColumn("depth", F.size(F.split(path, "/"))).withColumn("entrypoint", main).orderBy(F.desc("entrypoint"), "depth", path)
 
 
+def symbols(df: DataFrame, *keys: str, text: str = "text") -> DataFrame:
+    """(keys, line, kind, name, symbol): functions and classes of Python texts, symbol with the names that it is nested in.
+
+    Nesting is by indent: a definition belongs to the last one before it with a smaller indent, unless a line with no more indent
+    than that one stands between. A tab counts as eight; lines that are blank or comments end nothing. Strings over several lines
+    are not told from code.
+    """
+    own = F.regexp_extract_all(F.col(text), F.lit(r"(?m)^[ \t]*[^\s#].*$"), F.lit(0))
+    first = F.struct(F.array().cast("array<struct<indent:int,name:string>>").alias("open"), F.array().cast("array<string>").alias("out"))
+
+    def step(a: Column, row: Column) -> Column:
+        indent = F.length(F.replace(F.regexp_extract(row, r"^([ \t]*)", 1), F.lit("\t"), F.lit(" " * 8)))
+        name = F.regexp_extract(row, r"^\s*(?:async\s+def|def|class)\s+(\w+)", 1)
+        within = F.filter(a["open"], lambda o: o["indent"] < indent)
+        here = F.struct(indent.cast("int").alias("indent"), name.alias("name"))
+        told = F.array_join(F.concat(F.transform(within, lambda o: o["name"]), F.array(name)), ".")
+        return F.struct(F.when(name == "", within).otherwise(F.concat(within, F.array(here))).alias("open"), F.when(name == "", a["out"]).otherwise(F.concat(a["out"], F.array(told))).alias("out"))
+
+    names = F.aggregate(own, first, step, lambda a: a["out"])
+    # the n-th definition of a text is on its n-th defining line
+    places = F.filter(F.transform(lines_of(F.col(text)), lambda x, i: F.struct((i + 1).alias("line"), F.regexp_extract(x, r"^\s*(async\s+def|def|class)\s+\w+", 1).alias("kind"))), lambda x: x["kind"] != "")
+    each = df.select(*keys, F.explode(F.arrays_zip(names.alias("symbol"), places.alias("place"))).alias("s"))
+    return each.select(*keys, F.col("s.place.line").alias("line"), F.when(F.col("s.place.kind") == "class", "class").otherwise("function").alias("kind"), F.substring_index("s.symbol", ".", -1).alias("name"), F.col("s.symbol").alias("symbol"))
+
+
 def find_symbol(df: DataFrame, name: str, *keys: str, text: str = "text") -> DataFrame:
-    """Definitions of a function or class, and other lines that name it."""
+    """Definitions of a function or class, with the names they are nested in, and other lines that name it."""
     word = rf"\b{re.escape(name)}\b"
-    return lines(df, text, *keys).where(F.col("text").rlike(word)).withColumn("role", F.when(F.col("text").rlike(rf"^\s*(?:async\s+)?(?:def|class)\s+{re.escape(name)}\b"), "definition").otherwise("reference"))
+    named = lines(df, text, *keys).where(F.col("text").rlike(word)).withColumn("role", F.when(F.col("text").rlike(rf"^\s*(?:async\s+)?(?:def|class)\s+{re.escape(name)}\b"), "definition").otherwise("reference"))
+    where = symbols(df, *keys, text=text).where(F.col("name") == name).select(*keys, "line", "symbol")
+    return named.join(where, [*keys, "line"], "left")
 
 
 def json_schema(df: DataFrame, column: str) -> DataFrame:

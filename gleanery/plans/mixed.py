@@ -100,8 +100,22 @@ def r01_block_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.detect(units, kinds=["bearer"]).select("unit_id", "start", "end", "line", F.sha2("value", 256).alias("value_sha256"))
 
 
-QUERIES = {"k_mixed_findings": k_mixed_findings, "k_mixed_inventory": k_mixed_inventory, "k_mixed_rotation": k_mixed_rotation, "k_mixed_redact": k_mixed_redact, "r01_block_edges": r01_block_edges}
+def x_message_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A bearer value in the head and a key in the body of requests, an address in the body of responses."""
+    line = "concat('GET /', {d}, ' HTTP/1.1', chr(13), chr(10), 'Authorization: Bearer ', {h}, chr(13), chr(10), chr(13), chr(10), 'k AKIA', substr({u}, 1, 16), ' end')"
+    answer = "concat('HTTP/1.1 200 OK', chr(10), chr(10), 'row', chr(10), 'mail u', {d}, '@x.example.org')"
+    rows = spark.read.parquet(f"{sf_dir}/customer.parquet").selectExpr("c_custkey AS o_orderkey")
+    rows = rows.selectExpr("o_orderkey AS id", f"{_sql(line)} AS request", f"CASE WHEN o_orderkey % 3 > 0 THEN {_sql(answer)} END AS response")
+    return D.message_findings(rows, "id", kinds=["bearer", "aws-access-key", "email"]).select("unit_id", "part", "place", "line", "kind", "value", "confidence")
+
+
+QUERIES = {"x_message_findings": x_message_findings, "k_mixed_findings": k_mixed_findings, "k_mixed_inventory": k_mixed_inventory, "k_mixed_rotation": k_mixed_rotation, "k_mixed_redact": k_mixed_redact, "r01_block_edges": r01_block_edges}
+_ONE = f"SELECT concat('', o_orderkey) AS unit_id, '{{}}' AS part, '{{}}' AS place, {{}}::BIGINT AS line, '{{}}' AS kind, {{}} AS value, '{{}}' AS confidence FROM {_KEYS}"
+
 ORACLE_SQL = {
+    "x_message_findings": " UNION ALL ".join(
+        (_ONE.format("request", "head", 2, "bearer", _sql("{h}"), "critical"), _ONE.format("request", "body", 4, "aws-access-key", _sql("concat('AKIA', substr({u}, 1, 16))"), "critical"), _ONE.format("response", "body", 4, "email", _sql("concat('u', {d}, '@x.example.org')"), "high") + " WHERE o_orderkey % 3 > 0")
+    ),
     "k_mixed_findings": mixed_sql(),
     "k_mixed_inventory": f"""WITH f AS ({mixed_sql()}) SELECT kind, CASE kind {_CATEGORIES} END AS category, count(*) AS n, count(DISTINCT value) AS n_values, count(DISTINCT unit_id) AS n_units,
         ['low', 'medium', 'high', 'critical'][max({_LEVEL})] AS top FROM f GROUP BY kind""",

@@ -79,3 +79,24 @@ def test_targets_and_places(spark):
     assert got == [("domain", "a.example.com"), ("ip", "8.8.8.8"), ("ip", "2001:db8::1"), ("ip", "2001:db8::1"), ("domain", "b.example"), None, None]
     rows = spark.createDataFrame([("a", 3, "u"), ("b", 0, None)], "name string, packet int, url string")
     assert [r[0] for r in rows.select(tables.row_where(rows)).collect()] == ["packet 3 · u", "b"]
+
+
+def test_symbols_carry_what_they_are_nested_in(spark):
+    import ast
+
+    code = "import os\n\n\nclass A:\n    x = 1\n\n    def go(self):\n        def inner():\n            pass\n        return inner\n    # note\n    async def go2(self):\n        pass\n\n\ndef go():\n    class B:\n        def go(self): ...\n    return B\nif os:\n    def late(): ...\n"
+    want = set()
+
+    def walk(node, names):
+        for n in ast.iter_child_nodes(node):
+            own = isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef))
+            if own:
+                want.add((n.lineno, n.name, ".".join([*names, n.name])))
+            walk(n, [*names, n.name] if own else names)
+
+    walk(ast.parse(code), [])
+    df = spark.createDataFrame([("a.py", code), ("b.py", ""), ("c.py", None)], "path string, text string")
+    assert {(r.line, r.name, r.symbol) for r in query.symbols(df, "path").collect()} == want
+    got = {(r.line, r.role, r.symbol) for r in query.find_symbol(df, "go", "path").collect()}
+    assert got == {(7, "definition", "A.go"), (16, "definition", "go"), (18, "definition", "go.B.go")}
+
