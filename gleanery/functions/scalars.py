@@ -170,6 +170,13 @@ def json_path(column: Column, path: str) -> Column:
     return F.get_json_object(column, "$" + ("" if path.startswith("[") else ".") + path)
 
 
+def is_json(text: Column) -> Column:
+    """Whether a text is one JSON value and nothing else; null is none. Spark's parser stops after the first value, so the text is
+    tried as an item of an array and of an object: what may follow it in one may not in the other."""
+    tried = [F.try_parse_json(F.concat(F.lit(a), text, F.lit(z))).isNotNull() for a, z in (("[", "]"), ('{"_":', "}"))]
+    return tried[0] & tried[1]
+
+
 def url_path(url: Column) -> Column:
     return F.coalesce(F.try_parse_url(url, F.lit("PATH")), F.lit(""))
 

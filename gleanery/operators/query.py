@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import is_json
 from ..functions.spans import lines_of, matches, unmarked
 from .scans import previous
 
@@ -201,7 +202,7 @@ def json_schema(df: DataFrame, column: str) -> DataFrame:
 def classify_text(column: Column) -> Column:
     """json, jsonl, table or text."""
     rows = F.filter(F.split(column, "\r?\n"), lambda x: F.trim(x) != "")
-    valid = lambda x: F.try_parse_json(x).isNotNull() & x.rlike(r"^\s*[\[{]")
+    valid = lambda x: is_json(x) & x.rlike(r"^\s*[\[{]")
     width = F.transform(rows, lambda x: F.size(F.split(x, "[,\t;|]")))
     return F.when(valid(column), "json").when((F.size(rows) > 1) & F.forall(rows, valid), "jsonl").when(F.size(rows).between(2, 20_000) & (F.array_min(width) == F.array_max(width)) & (F.array_min(width) > 1), "table").otherwise("text")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 import re
 from collections.abc import Iterator
 
@@ -9,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.scalars import is_json
 from ..functions.spans import let
 
 COMMON = {"id", "name", "email", "date", "time", "type", "status", "user", "username", "value", "count", "host", "url", "path", "ip", "port", "city", "country", "address", "phone", "score", "title", "description"}
@@ -28,12 +30,20 @@ def sniff(sample: list[str]) -> tuple[str, bool]:
     return sep, known >= 2 or (known >= 1 and typed) or typed
 
 
+def width(sample: list[str], sep: str) -> int:
+    """The commonest number of cells in the lines, the larger of equals; 1 if there are none."""
+    sizes = [len(row) for row in csv.reader([r for r in sample if r.strip()], delimiter=sep)]
+    return max(sizes, key=lambda n: (sizes.count(n), n), default=1)
+
+
 def load_delimited(spark: SparkSession, path: str, delimiter: str | None = None, has_header: bool | None = None) -> DataFrame:
-    """All columns as text; short rows padded, long ones trimmed, both with the line in _corrupt."""
-    sep, header = sniff([r.value for r in spark.read.text(path).limit(12).collect()]) if delimiter is None or has_header is None else (delimiter, has_header)
+    """All columns as text; short rows padded, long ones trimmed, both with the line in _corrupt. Without a header there are as many
+    columns (_c0, _c1, ...) as the commonest of the first lines has."""
+    sample = [r.value for r in spark.read.text(path).limit(12).collect()]
+    sep, header = sniff(sample)
     sep, header = delimiter or sep, header if has_header is None else has_header
-    plain = spark.read.option("sep", sep).option("header", header).csv(path)
-    schema = ", ".join(f"`{c}` string" for c in plain.columns) + ", _corrupt string"
+    names = spark.read.option("sep", sep).option("header", True).csv(path).columns if header else [f"_c{i}" for i in range(width(sample, sep))]
+    schema = ", ".join(f"`{c}` string" for c in names) + ", _corrupt string"
     return spark.read.schema(schema).option("sep", sep).option("header", header).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").csv(path)
 
 
@@ -44,7 +54,7 @@ def ragged_rows(df: DataFrame) -> DataFrame:
 def read_ndjson(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
     """(json): one valid value a line; a trailing comma goes, lines with a bracket alone or nothing are left out."""
     rows = spark.read.text(path).select(F.regexp_replace(F.trim("value"), r",\s*$", "").alias("json")).where("json not in ('', '[', ']')")
-    good = F.try_parse_json("json").isNotNull()
+    good = is_json(F.col("json"))
     return rows.where(good if not strict else F.coalesce(good, F.lit(False)) | F.assert_true(good, F.lit("a line is no JSON")).isNotNull())
 
 
