@@ -25,6 +25,8 @@ from .common import LOWER, UPPER, stash
 #: (host, path, verdict); at most MOST_RULES, as they travel with the plan (more raise an error).
 RULES = (("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block"))
 MOST_RULES = 5000
+#: A shape of a path with more than a HOT-th of all pages is joined in PIECES tasks.
+HOT, PIECES = 1000, 16
 _PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
 
@@ -94,7 +96,7 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", label
     base = base.withColumn("known", known)
     sums = [F.count("*").alias("n"), F.count("known").alias("labelled"), F.coalesce(F.sum("known"), F.lit(0)).alias("bad")]
     shapes = stash(base.groupBy("host", "segments").agg(*sums), "shapes")
-    whole = shapes.agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad")).first()
+    whole = shapes.agg(F.sum("n").alias("n"), F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad")).first()
     prior = ((whole.bad or 0) + 1) / ((whole.labelled or 0) + 2)
     tree = templates(shapes, prior, strength)
     pure = tree.groupBy("host", "template").agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
@@ -102,6 +104,13 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", label
     error = F.sqrt(F.col("purity") * (1 - F.col("purity")) / (F.col("labelled") + F.lit(strength + 1)))
     pure = pure.withColumn("rejected", (F.col("labelled") > 0) & (F.col("purity") - sure * error >= reject))
     judged = tree.select("host", "segments", "template").join(pure, ["host", "template"]).select(F.col("host").alias("of"), F.col("segments").alias("cut"), F.concat(F.lit("/"), F.array_join("template", "/")).alias("template"), "purity", "rejected")
-    out = base.join(judged, (F.col("host") == F.col("of")) & (F.col("segments") == F.col("cut")))
+    # shapes of more than a HOT-th of all pages, fewer than HOT in number, are joined in PIECES tasks each
+    hot = F.broadcast(shapes.where(F.col("n") * HOT > whole.n).select(F.col("host").alias("_h"), F.col("segments").alias("_s"))) if whole.n else None
+    if hot is not None:
+        base = base.join(hot, (F.col("host") == F.col("_h")) & (F.col("segments") == F.col("_s")), "left").withColumn("piece", F.when(F.col("_h").isNull(), 0).otherwise(F.pmod(F.xxhash64("page_id", "path"), F.lit(PIECES))).cast("int")).drop("_h", "_s")
+        judged = judged.join(hot, (F.col("of") == F.col("_h")) & (F.col("cut") == F.col("_s")), "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.when(F.col("_h").isNull(), 0).otherwise(PIECES - 1)))).drop("_h", "_s")
+    else:
+        base, judged = base.withColumn("piece", F.lit(0)), judged.withColumn("part", F.lit(0))
+    out = base.join(judged, (F.col("host") == F.col("of")) & (F.col("segments") == F.col("cut")) & (F.col("piece") == F.col("part")))
     verdict = F.coalesce(F.col("hit.verdict"), F.when(F.col("rejected"), F.lit("block")).otherwise(F.lit("allow")))
     return out.select("page_id", "host", "path", F.col("hit.rule").alias("rule"), verdict.alias("verdict"), "template", "purity")
