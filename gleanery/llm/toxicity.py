@@ -89,8 +89,9 @@ def marginals(flat: np.ndarray, lengths: np.ndarray, step: np.ndarray) -> np.nda
 
 
 def marginals_of_one(flat: np.ndarray, step: np.ndarray) -> np.ndarray:
-    """marginals() of one long sequence, number by number: array steps of a single sequence would cost far more."""
-    x = np.exp(np.clip(flat, -30, 30)).tolist()
+    """marginals() of one long sequence, number by number: array steps of a single sequence would cost far more.
+    In double precision, as there."""
+    x = np.exp(np.clip(flat.astype(np.float64), -30, 30)).tolist()
     (cc, ct), (tc, tt) = step.tolist()
     ahead, ratio = [], 0.0
     for i, v in enumerate(x):
