@@ -37,8 +37,9 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")  # the runs of at least 24
 #: The names of assignments with what follows within a value, where neither white space nor quotes can stand.
 _WITHIN = re.compile(r"(?ai:password|passwd|secret|token|api_?key)=")
-#: Characters of unpacked content in one layer; it is cut at white space only, and layers overlap by OVERLAP characters.
-WINDOW, OVERLAP = 4 << 20, 4096
+#: Characters of unpacked content in one layer, which is cut at white space, and the most where there is none; layers overlap by
+#: OVERLAP characters. All findings in unpacked content have the span of the compressed part, so one that is cut keeps its span.
+WINDOW, OVERLAP, SOLID = 4 << 20, 4096, 16 << 20
 
 
 class Finding(NamedTuple):
@@ -257,15 +258,22 @@ def held(raw: bytes) -> Iterator[bytes] | None:
 
 
 def windows(blocks: Iterator[bytes]) -> Iterator[str]:
-    """The text of unpacked content, about WINDOW characters at a time, cut at white space."""
+    """The text of unpacked content, about WINDOW characters at a time, cut at white space, or after SOLID characters without any."""
     read = codecs.getincrementaldecoder("utf-8")("replace")
-    text = ""
+    last = lambda t: max(t.rfind(" "), t.rfind("\n"))
+    pending: list[str] = []
+    size, space = 0, -1  # characters in pending, and where the last white space is
     for block in blocks:
-        text += read.decode(block)
-        while len(text) > WINDOW and (at := max(text.rfind(" ", OVERLAP), text.rfind("\n", OVERLAP))) > 0:
+        new = read.decode(block)
+        pending.append(new)
+        space = size + at if (at := last(new)) >= 0 else space
+        size += len(new)
+        while size > WINDOW and (space >= OVERLAP or size > SOLID):
+            text, at = "".join(pending), space if space >= OVERLAP else size - 1
             yield text[: at + 1]
             text = text[max(at + 1 - OVERLAP, text.find(" ", at - OVERLAP, at) + 1) :]
-    if text := text + read.decode(b"", True):
+            pending, size, space = [text], len(text), last(text)
+    if text := "".join(pending) + read.decode(b"", True):
         yield text
 
 
