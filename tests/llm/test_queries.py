@@ -2,13 +2,16 @@
 
 import collections
 import hashlib
+import math
 import re
+import struct
 import zlib
 
 import pytest
 from test_operators import by_hand, fold, links_of, plain_secrets, private, simple_fingerprint
+from tokenizers import Tokenizer
 
-from gleanery.llm import mixing
+from gleanery.llm import mixing, packing
 from gleanery.llm.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -88,14 +91,21 @@ def test_op9(spark, texts):
     count = collections.Counter(w for i in texts if not held[i] for w in tokens[i])
     for i, (r,) in got.items():
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[i], len(tokens[i]), sum(w in count for w in tokens[i]), sum(count.values())) and r.score < 0
+        below = sum(count.values()) + len(count) + 1
+        assert r.base_score == pytest.approx(sum(math.log10((count[w] + 1) / below) for w in tokens[i]))
 
 
 def test_op10(spark, texts):
+    known = Tokenizer.from_file(packing.tokenizer_path())
     places = collections.defaultdict(list)
     for i, own in rows(spark, "op10_packing").items():
         own.sort(key=lambda r: r.piece)
         assert [r.start for r in own] == [4096 * k for k in range(len(own))] and all(r.length == 4096 for r in own[:-1])
+        ids = [*known.encode(texts[i].text or "", add_special_tokens=False).ids, 1]
+        assert own[-1].start + own[-1].length == len(ids)
         for r in own:
+            cut = ids[r.start : r.start + r.length]
+            assert len(cut) == r.length and r.ids_crc32 == zlib.crc32(struct.pack(f"<{len(cut)}I", *cut))
             places[r.sequence_id].append((r.offset, r.length))
     for own in places.values():
         own.sort()
