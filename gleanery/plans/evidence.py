@@ -149,6 +149,20 @@ def w07_match_processes(k):
     return fleet.match_processes(rows, ["App3", "serve1"]).select("host_id", "pid", "hits", "score")
 
 
+@register(f"""
+    WITH p AS (SELECT k % 10 AS host_id, k AS pid, (k % 10 = 4)::INT + (k % 10 < 5 AND k % 3 = 1)::INT AS hits, k % 3 = 1 AND k % 10 < 5 AS worker, k % 10 = 4 AS servers, k % 4 = 0 AND k % 10 <> 9 AS serves FROM {C}),
+    h AS (SELECT host_id, max(hits) AS best, bool_or(serves) AS served FROM p GROUP BY 1)
+    SELECT host_id, pid, hits, concat(CASE WHEN servers THEN 'server ' ELSE '' END, CASE WHEN worker THEN 'workers' ELSE '' END) AS answered,
+        CASE WHEN hits = 2 THEN 60 WHEN hits = 1 THEN 20 WHEN host_id = 8 THEN 15 WHEN host_id = 7 THEN 8 ELSE 0 END + CASE WHEN serves AND (hits > 0 OR host_id IN (7, 8)) THEN 25 ELSE 0 END AS score,
+        CASE WHEN best = 2 THEN 'all' WHEN best = 1 THEN 'part' WHEN served THEN 'listening' ELSE 'any' END AS tier
+    FROM p JOIN h USING (host_id) WHERE CASE WHEN best > 0 THEN hits = best WHEN served THEN serves ELSE true END""")
+def w07_answering_processes(k):
+    label = "CASE WHEN k % 10 < 5 AND k % 3 = 1 THEN 'Worker-one' ELSE 'sleeper' END"
+    command = "CASE WHEN k % 10 = 8 THEN '/opt/server workers' WHEN k % 10 = 7 THEN 'workers of a server' ELSE 'idle' END"
+    rows = k.selectExpr("k % 10 AS host_id", "k AS pid", f"{label} AS label", "CASE WHEN k % 10 = 4 THEN 'servers' END AS role", f"{command} AS command", "CASE WHEN k % 4 = 0 AND k % 10 <> 9 THEN array(80) END AS listening")
+    return fleet.answering_processes(rows, "Server workers").select("host_id", "pid", "hits", F.array_join("answered", " ").alias("answered"), "score", "tier")
+
+
 @register(f"""
     WITH n AS (SELECT k % 5 AS capture, concat('10.0.', k // 250, '.', k % 250) AS ip, concat('n', k) AS name FROM {C} WHERE k % 3 = 0), p AS (SELECT k AS packet, k % 5 AS capture, concat('10.0.', k // 250, '.', k % 250) AS src, concat('10.0.0.', k % 60) AS dst FROM {C})
     SELECT packet, p.capture, src, dst, a.name AS src_name, b.name AS dst_name FROM p LEFT JOIN n a ON a.capture = p.capture AND a.ip = src LEFT JOIN n b ON b.capture = p.capture AND b.ip = dst""")

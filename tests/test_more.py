@@ -39,6 +39,24 @@ def test_ids_and_extensions(spark):
     assert {r.unit_id: r.item for r in ids} == {"1": 7, "2": None}
 
 
+def test_answering_processes(spark):
+    rows = [("h", 1, "python3 app.py", "server", "/usr/bin/python3 app.py", "root", [80]), ("h", 2, "python3 job.py", None, "python3 job.py", "bob", None), ("h", 3, None, None, "sh -c python3 server", "bob", []), (None, 4, None, None, None, None, [1])]
+    procs = spark.createDataFrame(rows, "host_id string, pid long, label string, role string, command string, user string, listening array<int>")
+
+    def ask(question):
+        return {r.pid: (r.score, r.tier, r.answered, r.missing) for r in fleet.answering_processes(procs, question).collect()}
+
+    # nobody on the second host is named so, so what listens there is told
+    none = (0, "listening", [], ["python3", "servers"])
+    assert ask("Python3 servers") == {1: (85, "all", ["python3", "servers"], []), 4: none}
+    assert ask("python3") == {1: (125, "all", ["python3"], []), 2: (100, "all", ["python3"], []), 4: (0, "listening", [], ["python3"])}
+    assert ask("bob's jobs") == {2: (20, "part", ["jobs"], ["bob"]), 4: (0, "listening", [], ["bob", "jobs"])}
+    assert ask("bob") == {1: (0, "listening", [], ["bob"]), 4: (0, "listening", [], ["bob"])}
+    assert set(ask(" ")) == set(ask(None)) == {1, 4} and ask("sh")[1][1] == "listening"
+    assert fleet.answering_processes(procs.where("false"), "a b").count() == 0
+    assert fleet.answering_processes(procs.where("pid = 3"), "bob").first().tier == "any"
+
+
 def test_host_extras(spark):
     text = '"Image Name","PID","Session Name","Session#","Mem Usage"\n"a.exe","42","Console","1","1,024 K"\n'
     row = fleet.parse_tasklist(spark.createDataFrame([("h", text)], "host_id string, text string")).first()
