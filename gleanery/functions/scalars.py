@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .spans import let
+
 # fixed values: the multiplication and permutation tables of the Verhoeff checksum
 _D = [[0, 1, 2, 3, 4, 5, 6, 7, 8, 9], [1, 2, 3, 4, 0, 6, 7, 8, 9, 5], [2, 3, 4, 0, 1, 7, 8, 9, 5, 6], [3, 4, 0, 1, 2, 8, 9, 5, 6, 7], [4, 0, 1, 2, 3, 9, 5, 6, 7, 8], [5, 9, 8, 7, 6, 0, 4, 3, 2, 1], [6, 5, 9, 8, 7, 1, 0, 4, 3, 2], [7, 6, 5, 9, 8, 2, 1, 0, 4, 3], [8, 7, 6, 5, 9, 3, 2, 1, 0, 4], [9, 8, 7, 6, 5, 4, 3, 2, 1, 0]]
 _P = [[0, 1, 2, 3, 4, 5, 6, 7, 8, 9], [1, 5, 7, 6, 2, 8, 3, 0, 9, 4], [5, 8, 0, 3, 7, 9, 6, 1, 4, 2], [8, 9, 1, 6, 0, 4, 3, 5, 2, 7], [9, 4, 5, 3, 1, 2, 6, 8, 7, 0], [4, 2, 8, 6, 5, 7, 3, 9, 0, 1], [2, 7, 9, 3, 8, 0, 6, 4, 1, 5], [7, 0, 4, 6, 9, 1, 3, 2, 5, 8]]
@@ -37,10 +39,8 @@ def mod97(value: Column) -> Column:
 
 def entropy(value: Column) -> Column:
     """Shannon bits a character."""
-    letters = F.split(value, "")
-    n = F.length(value)
-    share = F.transform(F.array_distinct(letters), lambda c: F.size(F.filter(letters, lambda x: x == c)) / n)
-    return F.when(n > 0, F.aggregate(share, F.lit(0.0), lambda a, p: a - p * F.log2(p))).otherwise(0.0)
+    share = lambda letters: F.transform(F.array_distinct(letters), lambda c: F.size(F.filter(letters, lambda x: x == c)) / F.size(letters))
+    return F.when(F.length(value) > 0, F.aggregate(let(F.split(value, ""), share), F.lit(0.0), lambda a, p: a - p * F.log2(p))).otherwise(0.0)
 
 
 def looks_random(value: Column) -> Column:
@@ -57,24 +57,28 @@ def ipv4_number(value: Column) -> Column:
 
 def ipv6_hex(value: Column) -> Column:
     """The address as 32 hexadecimal digits, its zone left out; null if it is none. The last two groups may be an IPv4 address."""
-    v = F.lower(F.regexp_replace(value, "%[^%]+$", ""))
-    four = F.regexp_extract(v, r":((?:\d+\.){3}\d+)$", 1)
-    n = ipv4_number(four)
-    tail = F.concat(F.hex(F.shiftright(n, 16)), F.lit(":"), F.hex(n.bitwiseAND(65535)))
-    v = F.when(four == "", v).otherwise(F.concat(F.left(v, F.length(v) - F.length(four)), F.lower(tail)))
     run = "[0-9a-f]{1,4}(?::[0-9a-f]{1,4})*"
-    groups = lambda i: F.transform(F.filter(F.split(F.split_part(v, F.lit("::"), F.lit(i)), ":"), lambda g: g != ""), lambda g: F.lpad(g, 4, "0"))
-    a, b, gap = groups(1), groups(2), v.contains("::")
-    n = F.size(a) + F.size(b)
-    good = v.rlike(f"^(?:{run})?(?:::(?:{run})?)?$") & F.when(gap, n <= 7).otherwise(n == 8)
-    return F.when(good, F.concat(F.array_join(a, ""), F.repeat(F.lit("0000"), F.lit(8) - n), F.array_join(b, "")))
+
+    def with_tail(v: Column) -> Column:
+        tail = lambda n: F.concat(F.hex(F.shiftright(n, 16)), F.lit(":"), F.hex(n.bitwiseAND(65535)))
+        return let(F.regexp_extract(v, r":((?:\d+\.){3}\d+)$", 1), lambda four: F.when(four == "", v).otherwise(F.concat(F.left(v, F.length(v) - F.length(four)), F.lower(let(ipv4_number(four), tail)))))
+
+    def filled(v: Column) -> Column:
+        groups = lambda i: F.transform(F.filter(F.split(F.split_part(v, F.lit("::"), F.lit(i)), ":"), lambda g: g != ""), lambda g: F.lpad(g, 4, "0"))
+
+        def put(x: Column) -> Column:
+            n = F.size(x["a"]) + F.size(x["b"])
+            return F.when(F.when(v.contains("::"), n <= 7).otherwise(n == 8), F.concat(F.array_join(x["a"], ""), F.repeat(F.lit("0000"), F.lit(8) - n), F.array_join(x["b"], "")))
+
+        return F.when(v.rlike(f"^(?:{run})?(?:::(?:{run})?)?$"), let(F.struct(groups(1).alias("a"), groups(2).alias("b")), put))
+
+    return let(let(F.lower(F.regexp_replace(value, "%[^%]+$", "")), with_tail), filled)
 
 
 def ip_bits(value: Column) -> Column:
     """The address as a string of 32 or 128 bits; null if it is none."""
-    six = ipv6_hex(value)
-    half = lambda i: F.lpad(F.conv(F.substring(six, i, 16), 16, 2), 64, "0")
-    return F.coalesce(F.lpad(F.conv(ipv4_number(value).cast("string"), 10, 2), 32, "0"), F.concat(half(1), half(17)))
+    half = lambda six, i: F.lpad(F.conv(F.substring(six, i, 16), 16, 2), 64, "0")
+    return F.coalesce(F.lpad(F.conv(ipv4_number(value).cast("string"), 10, 2), 32, "0"), let(ipv6_hex(value), lambda six: F.concat(half(six, 1), half(six, 17))))
 
 
 # fixed values: private, loopback and other special networks (first address, bits)
@@ -91,17 +95,16 @@ def in_net(number: Column, name: str) -> Column:
 
 
 def is_private(value: Column) -> Column:
-    return F.coalesce(in_net(ipv4_number(value), "private"), F.lit(False))
+    return F.coalesce(let(ipv4_number(value), lambda n: in_net(n, "private")), F.lit(False))
 
 
 def is_public_address(value: Column) -> Column:
-    n = ipv4_number(value)
-    return F.coalesce(~(in_net(n, "private") | in_net(n, "multicast") | in_net(n, "shared")), F.lit(False))
+    return F.coalesce(let(ipv4_number(value), lambda n: ~(in_net(n, "private") | in_net(n, "multicast") | in_net(n, "shared"))), F.lit(False))
 
 
 def host_scope(value: Column) -> Column:
-    n = ipv4_number(value)
-    return F.when(value.isin("0.0.0.0", "*", "::", "[::]"), "all").when(in_net(n, "loopback") | value.isin("::1", "localhost", "[::1]"), "local").when(in_net(n, "private"), "private").otherwise("public")
+    scope = lambda n: F.when(value.isin("0.0.0.0", "*", "::", "[::]"), "all").when(in_net(n, "loopback") | value.isin("::1", "localhost", "[::1]"), "local").when(in_net(n, "private"), "private").otherwise("public")
+    return let(ipv4_number(value), scope)
 
 
 def fingerprint(kind: Column, value: Column) -> Column:
@@ -141,9 +144,12 @@ def url_host(url: Column) -> Column:
 
 def registrable_domain(host: Column) -> Column:
     """The last two labels, or three under a two-letter suffix with a short second label (co.uk)."""
-    labels = F.split(F.lower(host), r"\.")
-    deep = (F.size(labels) > 2) & F.element_at(labels, -1).rlike("^[a-z]{2}$") & F.element_at(labels, -2).isin("co", "com", "org", "net", "gov", "ac", "edu")
-    return F.when(host.rlike(r"^[\d.]+$") | (F.size(labels) < 2), F.lower(host)).otherwise(F.array_join(F.slice(labels, F.when(deep, -3).otherwise(-2), F.when(deep, 3).otherwise(2)), "."))
+
+    def last(labels: Column) -> Column:
+        deep = (F.size(labels) > 2) & F.element_at(labels, -1).rlike("^[a-z]{2}$") & F.element_at(labels, -2).isin("co", "com", "org", "net", "gov", "ac", "edu")
+        return F.when(F.size(labels) < 2, F.array_join(labels, ".")).otherwise(F.array_join(let(F.when(deep, 3).otherwise(2), lambda n: F.slice(labels, -n, n)), "."))
+
+    return let(F.lower(host), lambda own: F.when(own.rlike(r"^[\d.]+$"), own).otherwise(let(F.split(own, r"\."), last)))
 
 
 def defang(text: Column) -> Column:

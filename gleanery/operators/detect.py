@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions import scalars as S
-from ..functions.spans import BLOCK, MARK, blocks, long_lines, matches, unmarked
+from ..functions.spans import BLOCK, MARK, blocks, let, long_lines, matches, unmarked
 from .scans import running_sum, with_neighbours
 
 _CANDIDATE = "array<struct<part:string,at:int,spec:int,before:string,lines:int,head:string>>"
@@ -86,7 +86,11 @@ def unquoted(value: Column) -> Column:
 def origin(value: Column) -> Column:
     """Where a field's value comes from: literal, environment, reference, call, placeholder or empty."""
     v = F.regexp_replace(F.regexp_replace(F.trim(value), r"[;,]+$", ""), r"""^(?:[fFrRbBuU]{1,2}|\$|@)(?=["'`])""", "")
-    quoted, inner = v.rlike(r"""(?s)^(["'`]).*\1$""") & (F.length(v) >= 2), unquoted(value)
+    whole = let(v, lambda v: v.rlike(r"""(?s)^(["'`]).*\1$""") & (F.length(v) >= 2))
+    return let(whole, lambda quoted: let(unquoted(value), lambda inner: _origin(quoted, inner)))
+
+
+def _origin(quoted: Column, inner: Column) -> Column:
     return (
         F.when(quoted & inner.rlike(r"\{[^}]*\}|\$\{|%\("), "environment").when(inner == "", "empty").when(inner.rlike(P.INTERPOLATION), "environment")
         .when(inner.rlike(r"^(?:<[^>]*>|\[[^\]]*\]|\{[^}]*\})$") | inner.rlike(r"(?i)^[x*.#\-_\s]{3,}$") | F.lower(inner).isin(P.PLACEHOLDERS), "placeholder")
@@ -97,7 +101,10 @@ def origin(value: Column) -> Column:
 
 def field_score(kind: str, value: Column, context: Column, line: Column) -> Column:
     """Points for a named field holding a credential; see level()."""
-    o, v = origin(value), unquoted(value)
+    return let(origin(value), lambda o: let(unquoted(value), lambda v: _points(kind, o, v, context, line)))
+
+
+def _points(kind: str, o: Column, v: Column, context: Column, line: Column) -> Column:
     literal = o == "literal"
     points = F.lit(20) + F.when(literal, 25).when(o == "placeholder", -80).when(o == "environment", -50).when(o.isin("reference", "call"), -45).otherwise(0)
     weak = F.lower(v).isin(P.WEAK) if kind != "username" else F.lit(False)
@@ -120,7 +127,7 @@ def _confidence(kind: str, v: Column, near: Column, line: Column) -> Column:
     """What a candidate's value and context say; null rejects it."""
     d = S.digits(v)
     if kind in FIELDS:
-        return level(field_score(kind, v, near, line))
+        return let(field_score(kind, v, near, line), level)
     if kind == "jwt":
         head = F.split_part(v, F.lit("."), F.lit(1))
         padded = F.concat(F.translate(head, "-_", "+/"), F.repeat(F.lit("="), (F.lit(4) - F.length(head) % 4) % 4))
@@ -159,11 +166,9 @@ def _confidence(kind: str, v: Column, near: Column, line: Column) -> Column:
     if kind == "bank-account":
         return F.when(F.length(d).between(8, 18) & near.rlike(P.BANK_WORDS), "medium")
     if kind == "ipv4":
-        n = S.ipv4_number(v)
-        return F.when(n.isNotNull(), F.when(S.in_net(n, "loopback") | S.in_net(n, "unspecified") | S.in_net(n, "multicast") | S.in_net(n, "shared"), "low").otherwise("medium"))
+        return let(S.ipv4_number(v), lambda n: F.when(n.isNotNull(), F.when(S.in_net(n, "loopback") | S.in_net(n, "unspecified") | S.in_net(n, "multicast") | S.in_net(n, "shared"), "low").otherwise("medium")))
     if kind == "ipv6":
-        h = S.ipv6_hex(v)
-        return F.when(h.isNotNull(), F.when(h.isin("0" * 31 + "1", "0" * 32) | h.startswith("ff"), "low").otherwise("medium"))
+        return let(S.ipv6_hex(v), lambda h: F.when(h.isNotNull(), F.when(h.isin("0" * 31 + "1", "0" * 32) | h.startswith("ff"), "low").otherwise("medium")))
     if kind == "domain":
         last, rest = F.element_at(F.split(v, r"\."), -1), F.regexp_replace(v, r"\.[^.]*$", "")
         host = (F.lower(last).isin(P.SUFFIXES) | (F.length(last) == 2)) & last.rlike("^(?:[a-z]+|[A-Z]+)$") & ~F.exists(F.split(rest, r"\."), lambda p: p.rlike("^[A-Z]") & (p != F.upper(p)))
@@ -242,11 +247,13 @@ def validated(found: DataFrame, kinds: Iterable[str] | None = None) -> DataFrame
         fixed = next(s.confidence for s in P.SPECS if s.kind == kind)
         says = F.lit(fixed) if fixed else _confidence(kind, v, F.col("context"), F.col("line_text"))
         cases = F.when(F.col("kind") == kind, says) if cases is None else cases.when(F.col("kind") == kind, says)
-    named = found.withColumn("kind", kind_of).withColumn("confidence", cases).where("confidence is not null")
+    named = found.withColumn("kind", kind_of)
     field = F.col("kind").isin(*FIELDS)
     clean = F.when(field, unquoted(v)).when(F.col("kind") == "credit-card", F.regexp_replace(v, "[ -]+$", "")).otherwise(v)
-    end = F.when(F.col("kind") == "credit-card", F.col("start") + F.length(clean)).otherwise(F.col("end")).cast("int")
-    return named.withColumn("end", end).withColumn("value", clean)
+    # a filter on a column would be pushed below it and work the rules out twice; an array's filter is not
+    said = F.filter(F.array(F.struct(cases.alias("confidence"), clean.alias("value"))), lambda s: s["confidence"].isNotNull())
+    out = named.select(*[c for c in named.columns if c != "value"], F.explode(said).alias("s")).select("*", "s.*").drop("s")
+    return out.withColumn("end", F.when(F.col("kind") == "credit-card", F.col("start") + F.length("value")).otherwise(F.col("end")).cast("int"))
 
 
 def resolve_overlaps(found: DataFrame) -> DataFrame:

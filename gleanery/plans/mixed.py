@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..operators import detect as D
+from ..operators.lineage import dealt
 from .planted import _sql
 
 #: A line and what is found in it: (what stands before, value, kind, confidence, value as reported where that differs).
@@ -53,7 +54,7 @@ def mixed_sql() -> str:
 
 
 def mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    keys = spark.read.parquet(f"{sf_dir}/customer.parquet").selectExpr("c_custkey AS o_orderkey", "c_mktsegment AS source")
+    keys = dealt(spark.read.parquet(f"{sf_dir}/customer.parquet").selectExpr("c_custkey AS o_orderkey", "c_mktsegment AS source"), "o_orderkey")
     return keys.selectExpr("o_orderkey AS doc_id", "source", f"{_joined([line for line, _ in LINES])} AS text")
 
 
@@ -96,7 +97,7 @@ def r01_block_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bearer values of 10 to 20,000 characters that begin round the end of a block, in one line or after short ones."""
     filler = f"CASE WHEN s_suppkey % 2 = 0 THEN repeat('q ', cast({_GAP} div 2 as int)) ELSE repeat(concat('row', chr(10)), cast({_GAP} div 4 as int)) END"
     text = f"concat({filler}, 'Authorization: Bearer ', repeat('Zx9k', cast({_LONG} div 4 + 2 as int)), ' end')"
-    units = spark.read.parquet(f"{sf_dir}/supplier.parquet").selectExpr("s_suppkey AS doc_id", "'s' AS source", f"{text} AS text")
+    units = dealt(spark.read.parquet(f"{sf_dir}/supplier.parquet"), "s_suppkey").selectExpr("s_suppkey AS doc_id", "'s' AS source", f"{text} AS text")
     return D.detect(units, kinds=["bearer"]).select("unit_id", "start", "end", "line", F.sha2("value", 256).alias("value_sha256"))
 
 
@@ -104,7 +105,7 @@ def x_message_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A bearer value in the head and a key in the body of requests, an address in the body of responses."""
     line = "concat('GET /', {d}, ' HTTP/1.1', chr(13), chr(10), 'Authorization: Bearer ', {h}, chr(13), chr(10), chr(13), chr(10), 'k AKIA', substr({u}, 1, 16), ' end')"
     answer = "concat('HTTP/1.1 200 OK', chr(10), chr(10), 'row', chr(10), 'mail u', {d}, '@x.example.org')"
-    rows = spark.read.parquet(f"{sf_dir}/customer.parquet").selectExpr("c_custkey AS o_orderkey")
+    rows = dealt(spark.read.parquet(f"{sf_dir}/customer.parquet").selectExpr("c_custkey AS o_orderkey"), "o_orderkey")
     rows = rows.selectExpr("o_orderkey AS id", f"{_sql(line)} AS request", f"CASE WHEN o_orderkey % 3 > 0 THEN {_sql(answer)} END AS response")
     return D.message_findings(rows, "id", kinds=["bearer", "aws-access-key", "email"]).select("unit_id", "part", "place", "line", "kind", "value", "confidence")
 
