@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import fleet, mail, query
-from ..operators.lineage import shared_folder
+from ..operators.lineage import dealt, shared_folder
 from ..sources import files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,7 +37,7 @@ def register(sql: str):
     """Adds a query of customers' keys (column k) and its SQL."""
 
     def add(f: Callable[[DataFrame], DataFrame]):
-        QUERIES[f.__name__] = lambda spark, d: f(spark.read.parquet(f"{d}/customer.parquet").selectExpr("c_custkey AS k"))
+        QUERIES[f.__name__] = lambda spark, d: f(dealt(spark.read.parquet(f"{d}/customer.parquet").selectExpr("c_custkey AS k"), "k"))
         ORACLE_SQL[f.__name__] = sql
         return f
 
