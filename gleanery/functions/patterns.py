@@ -31,8 +31,10 @@ _QUOTED = r"""(?:[fFrRbBuU]{1,2}|\$|@)?(?:"[^"\r\n]{0,4096}"|'[^'\r\n]{0,4096}'|
 
 def field_specs(kind: str, category: str, words: list[str], attribute: bool) -> list[Spec]:
     """name = value, <name>value</name> and key="name" value="value"."""
+    # no name is tried where none as long as the longest ends at a sign
+    ahead = rf"""(?=[\w. -]{{1,{24 + max(map(len, words))}}}+["'\]]?[ \t]*+[:=])"""
     found = [
-        Spec(kind, category, rf"""(?i)(?<![\w.-]){names(words)}["'\]]?[ \t]*(?:=>|::=|:=|[:=])(?!=)[ \t]*""", _QUOTED),
+        Spec(kind, category, rf"""(?i)(?<![\w.-]){ahead}{names(words)}["'\]]?[ \t]*(?:=>|::=|:=|[:=])(?!=)[ \t]*""", _QUOTED),
         Spec(kind, category, rf"(?i)<\s*{names(words)}\s*>", r"[^<\r\n]{1,4096}(?=<\s*/)"),
     ]
     return found + ([Spec(kind, category, rf"""(?i)\b(?:key|name)\s*=\s*["']{names(words)}["']\s+value\s*=\s*["']""", r"""[^"'\r\n]{0,4096}(?=["'])""")] if attribute else [])
@@ -58,7 +60,7 @@ SPECS: list[Spec] = [
     Spec("google-api-key", "secret", "", r"\bAIza[0-9A-Za-z_-]{35}\b", "high"),
     Spec("db-uri", "secret", "", r"""(?i)\b(?:postgres(?:ql)?|mysql|mongodb(?:\+srv)?|redis|amqps?|mssql)://[^\s"'<>]+"""),
     Spec("ssh-key", "secret", "", r"\bssh-(?:rsa|ed25519|ecdsa-[A-Za-z0-9-]+)\s+[A-Za-z0-9+/]{40,}={0,3}(?:\s+[^\r\n]+)?", "medium"),
-    Spec("email", "identity", "", r"(?i)(?<![\w.+-])[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,63}\b", "high"),
+    Spec("email", "identity", "", r"(?i)(?<![\w.+-])[A-Z0-9._%+-]++@[A-Z0-9.-]+\.[A-Z]{2,63}\b", "high"),
     Spec("upi", "financial", "", r"(?i)\b[A-Za-z0-9._-]{2,256}@(?:upi|okaxis|oksbi|okhdfcbank|okicici|okyesbank|ybl|paytm|ibl|axl|apl|waaxis)\b"),
     Spec("url", "network", "", r"""(?i)\b(?:https?|ftp)://[^\s<>"']+"""),
     Spec("secret-in-url", "authentication", "", r"(?i)[?&](?:password|passwd|pwd|secret|token|access_token|api_key|apikey|jwt|session)=[^&#\s]{3,}", "critical"),
@@ -74,8 +76,8 @@ SPECS: list[Spec] = [
     Spec("bank-account", "financial", r"""(?i)\b(?:account[_-]?no(?:umber)?|acct(?:ount)?[_-]?(?:no|number)?)\b["']?\s*[:=]\s*["']?""", r"\d[\d -]{7,22}\d"),
     Spec("ipv4", "network", "", r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?![\d.])"),
     Spec("ipv6", "network", "", r"(?i)(?<![\w:])(?:[A-F0-9]{1,4}:){2,7}[A-F0-9]{0,4}(?![\w:])"),
-    Spec("internal-host", "network", "", r"(?i)(?<![@\w-])(?:[A-Z0-9](?:[A-Z0-9-]{0,61}[A-Z0-9])?\.)+(?:internal|corp|lan|local|intranet)\b", "low"),
-    Spec("domain", "network", "", r"(?i)(?<![@\w-])(?:[A-Z0-9](?:[A-Z0-9-]{0,61}[A-Z0-9])?\.)+[A-Z]{2,63}\b"),
+    Spec("internal-host", "network", "", r"(?i)(?<![@\w-])(?=[A-Z0-9-]{1,63}+\.)(?:[A-Z0-9](?:[A-Z0-9-]{0,61}[A-Z0-9])?\.)+(?:internal|corp|lan|local|intranet)\b", "low"),
+    Spec("domain", "network", "", r"(?i)(?<![@\w-])(?=[A-Z0-9-]{1,63}+\.)(?:[A-Z0-9](?:[A-Z0-9-]{0,61}[A-Z0-9])?\.)+[A-Z]{2,63}\b"),
     *field_specs("password", "authentication", PASSWORD_NAMES, True),
     *field_specs("username", "identity", USERNAME_NAMES, False),
     *field_specs("secret", "secret", SECRET_NAMES, True),

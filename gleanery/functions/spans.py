@@ -63,7 +63,7 @@ def blocks(text: Column, size: int = BLOCK, before: int = BEFORE, after: int = A
     line, cut>>: the block with what stands before and after it, where that begins in the whole text, where the block itself
     begins and ends in its text, the number of line ends before it, and how many of its characters belong to a line that is
     in several blocks (see long_lines)."""
-    pieces = F.when(F.length(text) <= size, F.array(text)).otherwise(F.regexp_extract_all(text, F.lit(rf"(?s).{{0,{size - 1}}}\n|.{{1,{size}}}"), F.lit(0)))
+    pieces = F.regexp_extract_all(text, F.lit(rf"(?s).{{0,{size - 1}}}\n|.{{1,{size}}}"), F.lit(0))
     ends = lambda own: F.transform(own, lambda b: F.length(b) - F.length(F.replace(b, F.lit("\n"), F.lit(""))))
 
     def placed(own: Column) -> Column:
@@ -79,7 +79,9 @@ def blocks(text: Column, size: int = BLOCK, before: int = BEFORE, after: int = A
 
         return F.transform(each, one)
 
-    return let(pieces, placed)
+    zero, none = F.lit(0), F.lit(0).cast("long")
+    only = F.struct(text.alias("text"), none.alias("at"), zero.alias("low"), F.length(text).alias("high"), none.alias("line"), zero.alias("cut"))
+    return F.when(F.length(text) <= size, F.array(only)).otherwise(let(pieces, placed))
 
 
 def long_lines(text: Column, size: int = BLOCK, before: int = BEFORE, after: int = AFTER) -> Column:

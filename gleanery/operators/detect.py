@@ -40,7 +40,7 @@ NEEDS: dict[str, tuple[tuple[str, ...], ...]] = {
     "private-key": (("-----begin",),), "pem-certificate": (("-----begin",),), "bearer": (("bearer",),), "basic-auth": (("basic",),), "jwt": (("eyj",),),
     "aws-access-key": (("akia", "asia"),), "github-token": (("ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_"),), "gitlab-token": (("glpat-", "glptt-", "gldt-", "glrt-", "glsoat-"),),
     "slack-token": (("xox", "hooks.slack"),), "stripe-key": (("_live_", "_test_", "whsec_"),), "azure-key": (("accountkey", "sharedaccess"),), "sendgrid-key": (("sg.",),), "twilio-sid": (("sk", "ac"), ("0",)),
-    "npm-token": (("npm_",),), "pypi-token": (("pypi-",),), "google-api-key": (("aiza",),), "db-uri": (("://",),), "ssh-key": (("ssh-",),), "email": (("@",),), "upi": (("@",),), "url": (("://",),),
+    "npm-token": (("npm_",),), "pypi-token": (("pypi-",),), "google-api-key": (("aiza",),), "db-uri": (("://",), ("postgres", "mysql", "mongodb", "redis", "amqp", "mssql")), "ssh-key": (("ssh-",),), "email": (("@",),), "upi": (("@upi", "@ok", "@ybl", "@paytm", "@ibl", "@axl", "@apl", "@waaxis"),), "url": (("://",),),
     "secret-in-url": (("?", "&"), ("=",)), "iban": (("0",),), "pan": (("0",),), "aadhaar": (("0",),), "credit-card": (("0",),), "indian-phone": (("0",),), "intl-phone": (("+",), ("0",)), "passport": (("0",),),
     "uuid": (("-",), ("0",)), "bank-account": (("acc",), ("0",)), "ipv4": (("0",), (".",)), "ipv6": (("::", ":"),), "internal-host": ((".internal", ".corp", ".lan", ".local", ".intranet"),), "domain": ((".",),),
     "password": (("pass", "pw"), ("=", ":", "<")), "username": (("user", "uname", "usr", "login", "account"), ("=", ":", "<")), "secret": (("key", "secret", "cred", "token", "jwt", "pat"), ("=", ":", "<")),
@@ -75,7 +75,10 @@ def _spans(text: Column, spec: P.Spec, number: int, may: Column) -> Column:
             (F.substring_index(F.concat(a["head"], part), "\n", -1) if field else F.lit("")).alias("head"), F.when(a["inside"], F.concat(a["found"], F.array(span))).otherwise(a["found"]).alias("found"),
         )
 
-    return F.when(may, F.aggregate(F.split(marked, MARK, -1), first, step, lambda a: a["found"])).otherwise(F.array().cast(_CANDIDATE))
+    none = F.array().cast(_CANDIDATE)
+    # most patterns that may match do not, and their text is not split
+    folded = let(marked, lambda m: F.when(F.contains(m, F.lit(MARK)), F.aggregate(F.split(m, MARK, -1), first, step, lambda a: a["found"])).otherwise(none))
+    return F.when(may, folded).otherwise(none)
 
 
 def unquoted(value: Column) -> Column:

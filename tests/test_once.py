@@ -1,5 +1,11 @@
 """Rules, domains and headers are worked out once a row, and rows that texts are made of are dealt out over tasks."""
 
+import re
+
+from pyspark.sql import functions as F
+
+from gleanery.functions import patterns as P
+from gleanery.functions import spans
 from gleanery.operators import detect as D
 from gleanery.operators import mail
 from gleanery.plans import evidence, mixed, planted, registry
@@ -63,3 +69,18 @@ def test_headers_are_parsed_once(spark):
     found = mail.mail_headers(spark.createDataFrame(rows, f"msg_sha256 int, {HEADERS}"))
     assert found.first().anomalies == ["Reply-To domain differs", "display name imitates another sender"]
     assert _plan(found).count("= date)") == 1
+
+
+def test_looking_ahead_loses_no_match(spark):
+    """Names and hosts are tried only where one can end; what is found is what the patterns find without that."""
+    ahead = re.compile(r"\(\?=\[.*?(?:\[:=\]|\\\.)\)")
+    names = ["password", "DbPassword", "x" * 24 + "Password", "my user_name", "api-key", "API.KEY", "login name", "pw"]
+    ends = [" = 'a1'", "\"  : b2", "']\t\t=> c3", " " * 70 + ":= d4", "\t \t= e5", "== f6", " g7", ".example.com", "." + "a" * 63 + ".org h", "." + "b" * 64 + ".org", "-.corp", "@x.lan", " at s-1.corp"]
+    texts = [f"{before}{n}{e} and more words" for before in ("", "the ", "x.", "<", "-", "\n") for n in names for e in ends]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1)
+    gated = [s for s in P.SPECS if ahead.search(s.before + s.value)]
+    assert [s.kind for s in gated] == ["internal-host", "domain", "password", "username", "secret"]
+    parts = [F.transform(spans.matches(F.col("text"), v, b), lambda m: m["part"]) for s in gated for b, v in ((s.before, s.value), (ahead.sub("", s.before), ahead.sub("", s.value)))]
+    found = rows.select(*[x.alias(f"p{i}") for i, x in enumerate(parts)]).collect()
+    for i in range(0, len(parts), 2):
+        assert [x[i] for x in found] == [x[i + 1] for x in found] and any(x[i] for x in found)
