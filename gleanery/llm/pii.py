@@ -119,8 +119,10 @@ def disclosing_terms(found: DataFrame, docs: DataFrame, text_col: str, threshold
     both = stash(contexts.join(together, ["value", "term"]).join(entity, "value"), "near")
     # documents that hold each term, over all documents and whole texts; only the terms in question travel
     asked = stash(both.select("term").distinct(), "terms")
-    held = docs.select(F.explode(words_of(F.coalesce(F.col(text_col), F.lit("")))).alias("term")).join(asked, "term", "left_semi")
-    often = held.groupBy("term").agg(F.count("*").alias("n_term"))
+    # each task sums its words before they are dealt out, so the join meets a word once and not once a document; an inner join,
+    # as a semi join would be pushed below the sums
+    words = docs.select(F.explode(words_of(F.coalesce(F.col(text_col), F.lit("")))).alias("term"))
+    often = words.groupBy("term").agg(F.count("*").alias("n_term")).join(asked, "term")
     total = F.lit(float(max(1, docs.count())))
     pmi = F.log2(F.col("n_both") * total / (F.col("n_term") * F.col("n_entity")))
     bits = F.log2(total / F.col("n_entity"))
