@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator, Sequence
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -17,12 +18,14 @@ from pyspark.sql import functions as F
 
 from .common import stash
 
-#: Pieces a group; words a task remembers (about 200 bytes each).
-GROUP, REMEMBERED = 8192, 100_000
+#: Pieces a group; words a worker remembers (about 200 bytes each).
+GROUP, REMEMBERED = 8192, 400_000
 
 
 #: Words by which a tokenizer shows whether it may be given words one by one.
 _PROBES = (["Some", "Words,", "don't", "x1", "1,000", "Zürich", "naïve"], ["(a)", "B-c", "é", "…", "中文", "__init__", "A"], ["\u00a0x", "I'm", "42%", "http://a.b/C?d=E", "?!"])
+#: Plain words by which it shows whether letters and the marks after them may be given one by one.
+_MARKED = ("Some,", "ones,###", "Zürich.***", 'na"|()', "x&&&", "B%$@", "y_/+<=>~", "z[]{}^`;:!?-\\")
 
 
 class WordTokens(dict):
@@ -40,10 +43,13 @@ class WordTokens(dict):
         self.model, self.parts = self.tokenizer.model, {}
         self.split = all(self.encoded(" ".join(ws)) == b"".join(map(self.encoded, ws)) for ws in _PROBES) and all(self.encoded(w) == self.encoded(w.lower()) for ws in _PROBES for w in ws)
         # plain words: letters whose lower case is one character of the same kind, then common marks
-        self.plain = re.compile(r"([a-zA-Z\xdf-\xf6\xf8-\xff\xc0-\xd6\xd8-\xde]+)([.,;:!?|\"()-]*)").fullmatch
+        self.plain = re.compile(r"([a-zA-Z\xdf-\xf6\xf8-\xff\xc0-\xd6\xd8-\xde]+)([!-&(-/:-@\[-`{-~]*)").fullmatch
         own = [*range(33, 127), *range(161, 173), *range(174, 256)]  # fixed values: byte-level BPE shows these bytes as themselves
         rest = [b for b in range(256) if b not in own]
         self.shown = {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
+        if not all(self[w] == self.encoded(w) for w in _MARKED):
+            self.plain = lambda word: None
+            self.clear()
 
     def encoded(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -75,6 +81,12 @@ class WordTokens(dict):
         return np.frombuffer(b"".join(map(self.__getitem__, text.split())), "<u4")
 
 
+@cache
+def known_words(path: str) -> WordTokens:
+    """The words that this worker knows; its tasks share them, one after another."""
+    return WordTokens(path)
+
+
 def tokenizer_path() -> str:
     from public_tokenizers import path
 
@@ -86,7 +98,7 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", toke
     tokenizer = tokenizer or tokenizer_path()
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = WordTokens(tokenizer)
+        known = known_words(tokenizer)
         for b in batches:
             rows = []
             for doc, text in b.itertuples(index=False):
