@@ -73,7 +73,7 @@ def ascii_lower(text: Column) -> Column:
 
 
 #: Edges that a task makes stars of at once.
-AT_ONCE = 1_000_000
+AT_ONCE = 250_000
 
 
 def stars(batches):
