@@ -5,35 +5,37 @@ length and last letters. A word outside the lexicon has the probability of its c
 which unseen words count as one more word; so the model is a distribution over texts, with the same vocabulary as the add-one
 unigram that it is given beside.
 
-Jobs over the documents: counts of all words (combined in each task, then by hash); Baum-Welch rounds, whose expected counts
-are summed over the partitions; and scoring, where counts of the words outside the lexicon come by a join on the word's hash.
-Counts are never broadcast: they grow with the corpus. The start is fitted on a sample on the driver (about START_DOCS documents, START_CHARACTERS at most);
-every round of Baum-Welch after that is over all training documents, whole: long texts are worked on in pieces of SEGMENT
-symbols, and the forward states and backward messages that cross the cuts are worked out first, so the counts are those of
-uncut texts. Words are told apart by a 64-bit hash.
+Jobs over the documents: counts of all words (combined in each task, then by hash); counts of neighbouring symbols; Baum-Welch
+rounds, whose expected counts are summed over the partitions; and scoring, where counts of the words outside the lexicon come by
+a join on the word's hash. Counts are never broadcast: they grow with the corpus. Nothing is learnt from a sample. The start is
+the chain whose pairs of neighbours are likeliest, by expectation-maximization on the counts of all neighbours in all training
+documents; for these the symbols are in NEAR groups, so they are a table of fixed size. Every round of Baum-Welch after that is
+over all training documents, whole: long texts are worked on in pieces of SEGMENT symbols, and the forward states and backward
+messages that cross the cuts are worked out first, so the counts are those of uncut texts. Words are told apart by a 64-bit hash.
 """
 
 from __future__ import annotations
 
 import itertools
 import zlib
-from collections import Counter
 from collections.abc import Iterable, Iterator
-from functools import partial
+from functools import cache
 from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from xxhash import xxh64_intdigest
 
 from .common import stash
 
-LEXICON, CLASSES, STATES, ROUNDS, SEGMENT, PASSED, START_DOCS, START_CHARACTERS, START_ROUNDS = 16384, 256, 8, 3, 512, 2048, 1500, 4_000_000, 25
-#: PASSED: pieces that messages are worked out of at once. Tokens that are worked on at once, in training and in scoring; words a worker remembers; words counted before they are sent
-#: on; the least count in the lexicon.
-AT_ONCE, FORWARD_AT_ONCE, REMEMBERED, COUNTED, LEAST = 400_000, 4_000_000, 400_000, 300_000, 5
+LEXICON, CLASSES, STATES, ROUNDS, SEGMENT, PASSED, START_ROUNDS = 16384, 256, 8, 3, 2048, 512, 200
+#: Groups of symbols whose neighbours are counted for the start: frequent words and the end by themselves, NEAR_CLASSES of all others.
+NEAR, NEAR_CLASSES = 512, 64
+#: PASSED: pieces that messages are worked out of at once. Tokens that are worked on at once, in training and in scoring; words
+#: counted before they are sent on; the least count in the lexicon; rows in a batch that goes to Python, as a row is a whole text;
+#: characters of texts whose words are hashed at once.
+AT_ONCE, FORWARD_AT_ONCE, COUNTED, LEAST, ROWS, PART = 400_000, 2_000_000, 400_000, 5, 1000, 1_000_000
 
 
 class Model(NamedTuple):
@@ -42,52 +44,69 @@ class Model(NamedTuple):
     emit: np.ndarray  # [symbol, state]
 
 
-def words(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z only, cut at \x20 and \x09-\x0D
-
-
-def word_hashes(some: Iterable[bytes], n: int) -> np.ndarray:
-    """XXH64 (seed 42) of each of n words, signed as Spark's long."""
-    return np.fromiter(map(partial(xxh64_intdigest, seed=42), some), np.uint64, n).view(np.int64)
-
-
-def word_hash(word: bytes) -> int:
-    h = xxh64_intdigest(word, 42)
-    return h - (1 << 64) if h >> 63 else h
-
-
-#: The class of a word's last letters, remembered; there are few.
-_ends: dict[bytes, int] = {}
-
-
-def word_class(word: bytes) -> int:
-    end = word[-2:]
-    own = _ends.get(end)
-    if own is None:
-        own = _ends[end] = zlib.crc32(end) % (CLASSES // 4)
-        if len(_ends) > 1 << 16:  # two bytes at most: 65,792 of them
-            _ends.clear()
-    n = len(word)
-    return own + CLASSES // 4 * (n // 5 if n < 15 else 3)
-
-
-class Symbols(dict):
-    """Word to its symbol: its place in the lexicon, or size + 1 + its class. size stands for the end."""
-
-    def __init__(self, lexicon: dict[int, int]):
-        super().__init__()
-        self.lexicon, self.size = {h % (1 << 64): i for h, i in lexicon.items()}, len(lexicon)  # by the hash without a sign
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        found = self.lexicon.get(xxh64_intdigest(word, 42))
-        found = self[word] = self.size + 1 + word_class(word) if found is None else found
-        return found
-
-    def sequence(self, text: str | None) -> np.ndarray:
-        own = words(text)
-        return np.append(np.fromiter(map(self.__getitem__, own), np.int32, len(own)), np.int32(self.size))
+#: A word's hash: the sum of its bytes' values, each times an odd value of its place, modulo 2 ** 64. White space counts nothing.
+_BYTES = np.random.default_rng(9).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) ^ np.random.default_rng(10).integers(0, 1 << 63, 256, dtype=np.uint64)
+_BYTES[[32, *range(9, 14)]] = 0
+
+
+def _places(n: int) -> np.ndarray:
+    x = np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return (x ^ (x >> np.uint64(31))) | np.uint64(1)
+
+
+@cache
+def _ends() -> tuple[np.ndarray, np.ndarray]:
+    """What the last letters add to the class: of words of one byte, and of others by their last two."""
+    one = [zlib.crc32(bytes([i])) for i in range(256)]
+    return np.array(one) % (CLASSES // 4), np.array([zlib.crc32(bytes([i >> 8, i & 255])) for i in range(1 << 16)]) % (CLASSES // 4)
+
+
+def tokens(texts: Iterable[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes, classes) of the words of all texts, one after the other, and the number of words of each text. A-Z are lowered,
+    words are cut at \\x20 and \\x09-\\x0D."""
+    own = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+    x = np.frombuffer(b" " + b" ".join(own).lower() + b" ", np.uint8)  # of bytes, lower() changes A-Z only
+    gap = (x == 32) | (x - np.uint8(9) <= 4)
+    edges = np.flatnonzero(gap[1:] != gap[:-1]) + 1
+    starts, ends = edges[::2], edges[1::2]
+    sizes = ends - starts
+    begins = np.cumsum([1] + [len(t) + 1 for t in own])
+    lengths = np.diff(np.searchsorted(starts, begins))
+    hashes = np.empty(len(starts), np.uint64)
+    cuts = np.unique(np.append(np.searchsorted(starts, np.arange(0, len(x), PART)), len(starts)))
+    for low, high in itertools.pairwise(cuts.tolist()):
+        first = starts[low]
+        at = starts[low:high] - first
+        piece = x[first : ends[high - 1]]
+        longest = int(sizes[low:high].max())
+        place = np.arange(len(piece)) - np.repeat(at, np.diff(at, append=len(piece)))
+        hashes[low:high] = np.add.reduceat(_BYTES[piece] * _places(longest)[np.minimum(place, longest - 1)], at)
+    one, two = _ends()
+    classes = np.where(sizes == 1, one[x[ends - 1]], two[x[ends - 2].astype(np.int64) * 256 + x[ends - 1]]) + CLASSES // 4 * np.where(sizes < 15, sizes // 5, 3)
+    return hashes.view(np.int64), classes.astype(np.int32), lengths
+
+
+def summed(hashes: np.ndarray, classes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same with one entry for each hash."""
+    order = np.argsort(hashes)
+    hashes = hashes[order]
+    first = np.flatnonzero(np.r_[True, hashes[1:] != hashes[:-1]][: len(hashes)])
+    return hashes[first], classes[order[first]], np.add.reduceat(counts[order], first) if len(first) else counts
+
+
+def parts(texts: pd.Series) -> Iterator[tuple[int, int]]:
+    """(from, to) of texts that are worked on at once: PART characters, or one text."""
+    low = held = 0
+    for i, t in enumerate(texts):
+        n = len(t or "")
+        if i > low and held + n > PART:
+            yield low, i
+            low, held = i, 0
+        held += n
+    if len(texts):
+        yield low, len(texts)
 
 
 def grid(sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -105,12 +124,12 @@ def grid(sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarra
 def forward(model: Model, sequences: list[np.ndarray]) -> np.ndarray:
     """Natural log probability of each sequence."""
     order, live, symbols = grid(sequences)
-    total = np.zeros(len(sequences))
+    total, one = np.zeros(len(sequences)), np.ones(len(model.start))
     state = None
     for t in range(len(live)):
         k = live[t]
         state = (model.start if t == 0 else state[:k] @ model.step) * model.emit[symbols[t, :k]]
-        scale = state.sum(1)
+        scale = state @ one
         state /= scale[:, None]
         total[:k] += np.log(scale)
     out = np.empty(len(sequences))
@@ -132,11 +151,11 @@ def passage(model: Model, pieces: list[np.ndarray]) -> np.ndarray:
     """[piece, from, to]: what each piece makes of a state that is predicted for its first symbol, up to a factor."""
     order, live, symbols = grid(pieces)
     k = len(model.start)
-    x = np.broadcast_to(np.eye(k), (len(pieces), k, k)).copy()
+    x, one = np.broadcast_to(np.eye(k), (len(pieces), k, k)).copy(), np.ones(k * k)
     for t in range(len(live)):
         m = live[t]
         x[:m] = (x[:m] if t == 0 else (x[:m].reshape(-1, k) @ model.step).reshape(m, k, k)) * model.emit[symbols[t, :m]][:, None, :]
-        x[:m] /= x[:m].sum((1, 2), keepdims=True)
+        x[:m] /= (x[:m].reshape(m, k * k) @ one)[:, None, None]
     out = np.empty_like(x)
     out[order] = x
     return out
@@ -175,13 +194,13 @@ def expected(model: Model, pieces: Pieces) -> tuple[np.ndarray, np.ndarray, np.n
     order, live, symbols = grid(pieces.symbols)
     before, after, first = pieces.before[order], pieces.after[order], pieces.first[order]
     most, n, k = len(live), len(order), len(model.start)
-    ahead, scale = np.zeros((most, n, k)), np.ones((most, n))
+    ahead, scale, one = np.zeros((most, n, k)), np.ones((most, n)), np.ones(k)
     entry = np.where(first[:, None], model.start, before @ model.step)
     for t in range(most):
         m = live[t]
         x = (entry if t == 0 else ahead[t - 1, :m] @ model.step) * model.emit[symbols[t, :m]]
-        scale[t, :m] = x.sum(1)
-        ahead[t, :m] = x / scale[t, :m, None]
+        scale[t, :m] = x @ one
+        np.divide(x, scale[t, :m, None], out=ahead[t, :m])
     last = ahead[np.array([len(pieces.symbols[i]) for i in order]) - 1, np.arange(n)]
     back = after / (last * after).sum(1)[:, None]  # posteriors then add up to 1
     steps, posterior = np.zeros((k, k)), ahead
@@ -196,9 +215,13 @@ def expected(model: Model, pieces: Pieces) -> tuple[np.ndarray, np.ndarray, np.n
         else:
             steps += before[:m][~first[:m]].T @ y[~first[:m]]
     there = np.arange(n)[None, :] < live[:, None]
-    seen, weight = symbols[there], posterior[there]
-    emitted = np.stack([np.bincount(seen, weight[:, s], len(model.emit)) for s in range(k)], axis=1)
-    return posterior[0][first].sum(0), steps * model.step, emitted, float(np.log(scale[there]).sum())
+    emitted = np.zeros((k, len(model.emit)))
+    for t in range(0, most, some := max(1, AT_ONCE // 8 // n)):
+        own = there[t : t + some]
+        seen, weight = symbols[t : t + some][own], posterior[t : t + some][own].T.copy()
+        for s in range(k):
+            emitted[s] += np.bincount(seen, weight[s], len(model.emit))
+    return posterior[0][first].sum(0), steps * model.step, emitted.T, float(np.log(scale[there]).sum())
 
 
 def counts_of(model: Model, sequences: list[np.ndarray]) -> list[np.ndarray]:
@@ -241,16 +264,52 @@ def segments(sequence: np.ndarray) -> list[np.ndarray]:
     return [sequence[i : i + SEGMENT] for i in range(0, len(sequence), SEGMENT)]
 
 
-def begin(texts: list[str], lexicon: dict[int, int], common: np.ndarray, states: int, seed: int = 4) -> Model:
-    """Baum-Welch on a bounded sample from a random start with lasting states."""
+def near_groups(classes: list[int], common: np.ndarray) -> np.ndarray:
+    """The group of each symbol, under NEAR: the most frequent words and the end have one each, the others share NEAR_CLASSES by
+    their class. classes: those of the words of the lexicon, the most frequent first."""
+    alone, size = NEAR - NEAR_CLASSES - 1, len(classes)
+    kinds = np.concatenate([np.array(classes, np.int64), [0], np.arange(len(common) - size - 1)])
+    out = alone + 1 + kinds % NEAR_CLASSES
+    out[: min(alone, size)] = np.arange(min(alone, size))
+    out[size] = alone
+    return out
+
+
+def neighbours(encoded: DataFrame, group: np.ndarray, end: int) -> np.ndarray:
+    """[group, group]: how often a symbol of the one is followed by one of the other, within the rows of encoded (symbols)."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(NEAR * NEAR, np.int64)
+        for b in batches:
+            if len(b):
+                own = np.concatenate(list(b.symbols))
+                at, inside = group[own], own[:-1] != end
+                total += np.bincount((at[:-1] * NEAR + at[1:])[inside], minlength=NEAR * NEAR)
+        cells = np.flatnonzero(total)
+        yield pd.DataFrame({"cell": cells, "n": total[cells]})
+
+    found = encoded.select("symbols").mapInPandas(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # NEAR * NEAR rows at most
+    out = np.zeros(NEAR * NEAR)
+    out[found["cell"].to_numpy()] = found["n"].to_numpy()
+    return out.reshape(NEAR, NEAR)
+
+
+def begin(pairs: np.ndarray, group: np.ndarray, common: np.ndarray, states: int, seed: int = 4, prior: float = 30.0) -> Model:
+    """The chain under which the pairs of neighbours are likeliest, by expectation-maximization from a random start with lasting
+    states. Symbols of one group share its probability as they do in the corpus."""
     rng = np.random.default_rng(seed)
-    emit = rng.dirichlet(np.full(states, 0.5), len(common)) * common[:, None] + 1e-3 * common[:, None]
-    model = Model(np.full(states, 1 / states), np.full((states, states), 0.1 / states) + 0.9 * np.eye(states), emit / emit.sum(0))
-    known = Symbols(lexicon)
-    sample = [known.sequence(t) for t in texts]
-    for _ in range(START_ROUNDS if sample else 0):
-        model = refit(tuple(counts_of(model, sample)), common)
-    return model
+    share = np.bincount(group, common, len(pairs))
+    emit = rng.dirichlet(np.full(states, 0.5), len(share)) * share[:, None] + 1e-3 * share[:, None]
+    emit /= emit.sum(0)
+    joint = (np.full((states, states), 0.1 / states) + 0.9 * np.eye(states)) / states
+    for _ in range(START_ROUNDS if pairs.any() else 0):
+        ratio = pairs / np.maximum(emit @ joint @ emit.T, 1e-300)
+        after, before = ratio @ emit, ratio.T @ emit
+        emitted = emit * (after @ joint.T + before @ joint) + prior * share[:, None]
+        joint = joint * (emit.T @ after) + 1
+        joint, emit = joint / joint.sum(), emitted / emitted.sum(0)
+    every = emit[group] * (common / share[group])[:, None]
+    return Model(joint.sum(1), joint / joint.sum(1, keepdims=True), every / every.sum(0))
 
 
 def held_out(id_col: str = "doc_id"):
@@ -261,18 +320,21 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(h, class, c): how often each word occurs; summed in each task first."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: Counter[bytes] = Counter()
+        seen: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
-        def rows() -> pd.DataFrame:
-            return pd.DataFrame({"h": word_hashes(seen, len(seen)), "class": np.fromiter(map(word_class, seen), np.int32, len(seen)), "c": np.fromiter(seen.values(), np.int64, len(seen))})
+        def merged() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            return summed(*(np.concatenate(x) for x in zip(*seen, strict=True)))
 
         for b in batches:
-            for t in b.text:
-                seen.update(words(t))
-                if len(seen) >= COUNTED:
-                    yield rows()
-                    seen.clear()
-        yield rows()
+            for low, high in parts(b.text):
+                h, kinds, _ = tokens(b.text[low:high])
+                seen.append(summed(h, kinds, np.ones(len(h), np.int64)))
+                if sum(len(x[0]) for x in seen) >= 2 * COUNTED:
+                    seen = [merged()]
+                    if len(seen[0][0]) >= COUNTED:
+                        yield pd.DataFrame(dict(zip(("h", "class", "c"), seen.pop(), strict=True)))
+        if seen:
+            yield pd.DataFrame(dict(zip(("h", "class", "c"), merged(), strict=True)))
 
     each = docs.select(F.col(text_col).alias("text")).mapInPandas(count, "h long, class int, c long")
     return each.groupBy("h").agg(F.first("class").alias("class"), F.sum("c").alias("c"))
@@ -284,53 +346,67 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", state
     Null and empty texts are the end alone. Repeated rows are counted and scored each for itself; a null id is not held out.
     An empty table gives no rows. Without training documents every token is unseen.
     """
+    spark, rows = docs.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(rows)
+    spark.conf.set(rows, ROWS)
+    try:  # all that goes to Python is worked out in there
+        return _score(docs, id_col, text_col, states, rounds)
+    finally:
+        spark.conf.set(rows, before)
+
+
+def _score(docs: DataFrame, id_col: str, text_col: str, states: int, rounds: int) -> DataFrame:
     spark = docs.sparkSession
     train = docs.where(~held_out(id_col)).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     counts = stash(word_counts(train), "counts")
     n_train = train.count()
     sums = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     n, v = sums.n + n_train, sums.v + (1 if n_train else 0)  # the end is a token and a word
-    top = counts.where(F.col("c") >= LEAST).orderBy(F.desc("c"), "h").limit(LEXICON).select("h", "c").collect()
-    lexicon = {x.h: i for i, x in enumerate(top)}
+    frequent = stash(counts.where(F.col("c") >= LEAST).orderBy(F.desc("c"), "h").limit(LEXICON), "lexicon")
+    top = sorted(frequent.collect(), key=lambda x: (-x.c, x.h))  # LEXICON at most
     lexicon_counts = np.array([x.c for x in top], float)
-    rest = counts.join(F.broadcast(spark.createDataFrame([(x.h,) for x in top], "h long")), "h", "left_anti")  # LEXICON at most
+    rest = counts.join(F.broadcast(frequent.select("h")), "h", "left_anti")
     by_class = {x["class"]: (x.n, x.v) for x in rest.groupBy("class").agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()}  # CLASSES at most
     class_n, class_v = (np.array([by_class.get(i, (0, 0))[j] for i in range(CLASSES)], float) for j in (0, 1))
     common = np.concatenate([lexicon_counts, [n_train], class_n]) + 0.5
     common /= common.sum()
 
-    start, left = [], START_CHARACTERS
-    some = F.expr(f"pmod(xxhash64(doc_id, length(text)), 1000000) < {min(1.0, START_DOCS / max(1, n_train)) * 1e6}")
-    for x in train.where(some & F.col("text").isNotNull()).orderBy(F.xxhash64("doc_id"), "text").select("text").toLocalIterator():
-        start.append(x.text)
-        left -= len(x.text)
-        if left <= 0:
-            break
-    model = begin(start, lexicon, common, states)
-    shipped_lexicon = spark.sparkContext.broadcast(lexicon)
+    shipped_lexicon = spark.sparkContext.broadcast(np.array([x.h for x in top], np.int64))
     known_logs = np.log10(np.concatenate([lexicon_counts, [n_train]]) + 1)
     class_logs = np.log10(class_n + class_v + 1)
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Each text as symbols, and what needs no model: the logs of its frequent words and classes, and its other words as
         distinct hashes with their counts."""
-        known, size = Symbols(shipped_lexicon.value), len(known_logs) - 1
+        words, size = shipped_lexicon.value, len(known_logs) - 1
+        place = np.argsort(words).astype(np.int32)
+        words = np.append(words[place], np.int64(0))
         for b in batches:
-            for low in range(0, len(b), 1024):
-                part = b.iloc[low : low + 1024]
-                rows = []
-                for t in part.text:
-                    own = words(t)
-                    s = np.append(np.fromiter(map(known.__getitem__, own), np.int32, len(own)), np.int32(size))
-                    other = s > size
-                    rare = Counter(itertools.compress(own, other.tolist()))
-                    rows.append((s, len(s), int((s < size).sum()) + int(n_train > 0), float(known_logs[s[~other]].sum()), float(class_logs[s[other] - size - 1].sum()), word_hashes(rare, len(rare)), list(rare.values())))
-                out = pd.DataFrame(rows, columns=["symbols", "n_tokens", "n_known", "logs", "class_logs", "h", "times"])
-                yield part[["row_id", "doc_id", "held_out"]].reset_index(drop=True).join(out)
+            for low, high in parts(b.text):
+                n = high - low
+                hashes, kinds, lengths = tokens(b.text[low:high])
+                at = np.searchsorted(words[:size], hashes)
+                other = (at == size) | (words[at] != hashes)
+                symbols = size + 1 + kinds
+                symbols[~other] = place[at[~other]]
+                row = np.repeat(np.arange(n), lengths)
+                # (row, word) of the words outside the lexicon, as one number
+                names, which = np.unique(hashes[other], return_inverse=True)
+                pair, times = np.unique(row[other] * max(1, len(names)) + which, return_counts=True)
+                of, which = np.divmod(pair, max(1, len(names)))
+                cuts, ends = np.searchsorted(of, np.arange(1, n)), np.cumsum(lengths)
+                out = b.iloc[low:high][["row_id", "doc_id", "held_out"]].reset_index(drop=True)
+                yield out.assign(
+                    symbols=pd.Series(np.split(np.insert(symbols, ends, size), (ends + np.arange(1, n + 1))[:-1]), dtype=object), n_tokens=lengths + 1,
+                    n_known=np.bincount(row[~other], minlength=n) + int(n_train > 0), logs=np.bincount(row[~other], known_logs[symbols[~other]], n) + known_logs[size],
+                    class_logs=np.bincount(row[other], class_logs[symbols[other] - size - 1], n), h=pd.Series(np.split(names[which], cuts), dtype=object), times=pd.Series(np.split(times.astype(np.int32), cuts), dtype=object),
+                )
 
     chosen = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col(id_col).cast("string").alias("doc_id"), held_out(id_col).alias("held_out"), F.col(text_col).alias("text"))
     encoded = stash(chosen.mapInPandas(encode, "row_id long, doc_id string, held_out boolean, symbols array<int>, n_tokens long, n_known long, logs double, class_logs double, h array<long>, times array<int>"), "encoded")
 
+    group = near_groups([x["class"] for x in top], common)
+    model = begin(neighbours(encoded.where("not held_out"), group, len(top)), group, common, states)
     for _ in range(rounds if n_train else 0):
         shipped = spark.sparkContext.broadcast(model)  # symbols by states, both bounded
 
@@ -371,7 +447,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", state
             yield b.drop(columns="symbols").assign(score=logs / np.log(10) - b.class_logs)
 
     fixed = "row_id long, doc_id string, held_out boolean, n_tokens long, n_known long, logs double, class_logs double"
-    scored = encoded.drop("h", "times").select("symbols", *[c.split()[0] for c in fixed.split(", ")]).mapInPandas(likelihood, fixed + ", score double")
+    scored = stash(encoded.drop("h", "times").select("symbols", *[c.split()[0] for c in fixed.split(", ")]).mapInPandas(likelihood, fixed + ", score double"), "scored")
     # words outside the lexicon are rare, so no key of this join is hot
     pairs = encoded.select("row_id", F.explode(F.arrays_zip("h", "times")).alias("w")).select("row_id", F.col("w.h").alias("h"), F.col("w.times").alias("times"))
     seen = pairs.join(rest.select("h", "c"), "h").groupBy("row_id").agg(F.sum("times").alias("more_known"), F.sum(F.col("times") * F.log10(F.col("c") + F.lit(1.0))).alias("more"))

@@ -657,6 +657,31 @@ def test_hmm_scores(odd, docs):
     assert sum(r.score for r in got) > sum(r.base_score for r in got)
 
 
+def test_hmm_words(monkeypatch):
+    texts = [None, "", " \t", "Ab ab  AB\x0bÄb äb", "a\x1cb\u2003c \ud800 d", "x" * 70 + "\n" + "x" * 71, "\x00 \x00\x00 a ba ab b a", "y"]
+    for part in (1_000_000, 7, 1):
+        monkeypatch.setattr(hmm, "PART", part)
+        want = [fold(t).encode("utf-8", "surrogatepass").split() for t in texts]
+        hashes, classes, lengths = hmm.tokens(texts)
+        assert lengths.tolist() == [len(t) for t in want] and sum(lengths[a:b].sum() for a, b in hmm.parts(hmm.pd.Series(texts, dtype=object))) == len(hashes)
+        flat = [w for t in want for w in t]
+        assert len({*zip(hashes.tolist(), flat, strict=True)}) == len({*hashes.tolist()}) == len({*flat})
+        assert classes.tolist() == [zlib.crc32(w[-2:]) % 64 + 64 * min(3, len(w) // 5) for w in flat]
+    h, kinds, n = hmm.summed(hashes, classes, np.ones(len(hashes), np.int64))
+    assert dict(zip(h.tolist(), n.tolist(), strict=True)) == collections.Counter(hashes.tolist()) and {*zip(h.tolist(), kinds.tolist(), strict=True)} == {*zip(hashes.tolist(), classes.tolist(), strict=True)}
+    assert [len(x) for x in hmm.tokens([None, " "])] == [0, 0, 2] and [len(x) for x in hmm.summed(*hmm.tokens([""])[:2], np.ones(0, np.int64))] == [0, 0, 0]
+
+
+def test_hmm_workers_get_few_rows(spark, docs, monkeypatch):
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before, seen = spark.conf.get(rows), []
+    monkeypatch.setattr(hmm, "stash", lambda df, name: seen.append((name, int(spark.conf.get(rows)))) or common.stash(df, name))
+    monkeypatch.setattr(type(spark), "createDataFrame", None)  # its rows would go through Python workers of their own
+    got = hmm.score(docs)
+    assert spark.conf.get(rows) == before and {n for _, n in seen} == {hmm.ROWS}
+    assert "MapInPandas" not in got._jdf.queryExecution().executedPlan().toString() and got.count() == docs.count()
+
+
 def by_hand(url, rules=url_filter.RULES):
     host = path = ""
     if url is not None and "://" in url:
