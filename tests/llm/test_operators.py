@@ -657,6 +657,29 @@ def test_hmm_scores(odd, docs):
     assert sum(r.score for r in got) > sum(r.base_score for r in got)
 
 
+def test_hmm_start_is_of_all_neighbours(spark):
+    rng = np.random.default_rng(3)
+    size, others = 600, 256  # of the lexicon, of classes
+    common = rng.dirichlet(np.ones(size + 1 + others))
+    group = hmm.near_groups([int(c) for c in rng.integers(0, others, size)], common)
+    assert group.min() == 0 and group.max() < hmm.NEAR and (group == group[size]).sum() == 1 and group[:10].tolist() == list(range(10))
+    texts = [[*rng.integers(0, len(common) - 1, n).tolist()] for n in (0, 1, 5, 40, 3000)]
+    texts = [[x + (x >= size) for x in t] + [size] for t in texts]  # the end comes last and nowhere else
+    encoded = spark.createDataFrame([(t,) for t in texts], "symbols array<int>").repartition(3)
+    want = collections.Counter((group[a], group[b]) for t in texts for a, b in zip(t, t[1:], strict=False))
+    found = hmm.neighbours(encoded, group, size)
+    assert found.shape == (hmm.NEAR, hmm.NEAR) and {(a, b): found[a, b] for a, b in zip(*np.nonzero(found), strict=True)} == want
+    for pairs in (found, hmm.neighbours(encoded.where("size(symbols) < 2"), group, size)):
+        model = hmm.begin(pairs, group, common, 4)
+        assert model.start.sum() == pytest.approx(1) and model.step.sum(1) == pytest.approx(np.ones(4)) and model.emit.sum(0) == pytest.approx(np.ones(4)) and model.emit.min() > 0
+    # two kinds of words that keep among themselves are told apart, however many pairs there are
+    apart = np.zeros((hmm.NEAR, hmm.NEAR))
+    apart[:20, :20] = apart[20:40, 20:40] = 1e7
+    model = hmm.begin(apart, group, np.full(len(common), 1 / len(common)), 2)
+    likelier = model.emit[:40].argmax(1)
+    assert len({*likelier[:20].tolist()}) == len({*likelier[20:].tolist()}) == 1 and likelier[0] != likelier[39]
+
+
 def test_hmm_words(monkeypatch):
     texts = [None, "", " \t", "Ab ab  AB\x0bÄb äb", "a\x1cb\u2003c \ud800 d", "x" * 70 + "\n" + "x" * 71, "\x00 \x00\x00 a ba ab b a", "y"]
     for part in (1_000_000, 7, 1):
