@@ -231,6 +231,18 @@ def in_blocks(rows: DataFrame, weight: str, most: int) -> DataFrame:
     return placed.join(ends, ["group", "block"])
 
 
+def grown(roots: DataFrame | None, links: DataFrame) -> DataFrame:
+    """(node, root: the smallest node of its component) with more links. Only what the links join anew is worked on: components so
+    far are one node each, their root."""
+    if roots is None:
+        return few(stash(components(links), "roots"))
+    at = lambda name: roots.select(F.col("node").alias(name), F.col("root").alias(f"{name}_root"))
+    ends = links.join(few(at("u")), "u", "left").join(few(at("v")), "v", "left")
+    joined = stash(components(ends.select(F.coalesce("u_root", "u").alias("u"), F.coalesce("v_root", "v").alias("v"))), "joined")
+    moved = roots.join(few(joined.select(F.col("node").alias("root"), F.col("root").alias("top"))), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    return few(stash(moved.union(joined.join(few(roots.select("node")), "node", "left_anti").select("node", "root")), "roots"))
+
+
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.85) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles (long), component_id (the smallest doc_id that links reach).
 
@@ -259,10 +271,9 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         own = docs.select(k1.alias("k1"), k2.alias("k2"), F.col(text_col).alias("text")).join(found, ["k1", "k2"]).select("id", "text")
         return own if equal.isEmpty() else own.dropDuplicates(["id"])  # equal rows have one id that is wanted
 
-    def placed(links: DataFrame | None) -> DataFrame:
-        if links is None:
+    def placed(roots: DataFrame | None) -> DataFrame:
+        if roots is None:
             return sets.withColumn("root", F.col("id"))
-        roots = few(stash(components(links), "roots"))
         return sets.join(roots, F.col("id") == F.col("node"), "left").withColumn("root", F.coalesce("root", "id")).drop("node")
 
     def buckets(now: DataFrame) -> DataFrame:
@@ -276,9 +287,9 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def with_sketches(some: DataFrame) -> DataFrame:
         return some.join(sets.select("id", "size", "sketch"), "id")
 
-    links: DataFrame | None = None
+    roots: DataFrame | None = None
     for turn in range(ROUNDS):
-        held = buckets(placed(links))
+        held = buckets(placed(roots))
         if held.isEmpty():
             break
         if turn:  # of a component a bucket looks at PICKS sets
@@ -288,9 +299,8 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         near = in_groups(dealt.select("bucket", "salt", "id", "root", "size", "sketch"), ["bucket", "salt"], lambda g: nearest(g, least), "id long, other long, count long, middle long")
         best = near.groupBy("id", "middle").agg(F.min(F.struct("count", "other")).alias("e"))
         pairs = best.select(F.least("id", "e.other").alias("u"), F.greatest("id", "e.other").alias("v")).distinct()
-        found = alike(pairs, texts, width, least)
-        links = found if links is None else links.union(found)
-    now = placed(links)
+        roots = grown(roots, alike(pairs, texts, width, least))
+    now = placed(roots)
     held = buckets(now)
     if not held.isEmpty():
         dealt = in_blocks(with_sketches(held).withColumnRenamed("bucket", "group").withColumn("one", F.lit(1)).drop("n"), "one", GROUP)
@@ -304,11 +314,9 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
         own = stash(texts(grouped.select(F.col("node").alias("id"))).select("id", shingles("text").alias("own")), "shingles")
         full = whole.join(own, "id").select("group", "a", "b", "block", "id", "root", "size", "own")
-        found = in_groups(full, ["group", "a", "b"], lambda g: full_links(g, least), "u long, v long")
-        links = found if links is None else links.union(found)
+        roots = grown(roots, in_groups(full, ["group", "a", "b"], lambda g: full_links(g, least), "u long, v long"))
     every = rows.select("id", "doc_id", "size").join(few(twins), "id", "left").withColumn("set", F.coalesce("one", "id")).drop("one")
-    if links is not None:
-        roots = few(stash(components(links), "roots"))
+    if roots is not None:
         every = every.join(roots, F.col("set") == F.col("node"), "left").withColumn("set", F.coalesce("root", "set")).drop("node", "root")
     every = stash(every, "rooted")
     names = stash(every.groupBy("set").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("n")), "names")

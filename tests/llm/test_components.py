@@ -4,7 +4,7 @@ import random
 
 import pandas as pd
 
-from gleanery.llm import common
+from gleanery.llm import common, odd_sketch
 
 
 def _roots(edges):
@@ -31,3 +31,20 @@ def test_components_are_those_of_all_edges(spark):
     want = _roots([e for e in edges if e[0] != e[1]])
     assert {x.node: x.root for x in common.components(df).collect()} == want
     assert common.components(df.where("u > 1000")).count() == 0
+
+
+def test_grown_components_take_links_once(spark, monkeypatch):
+    r = random.Random(5)
+    taken = []
+    monkeypatch.setattr(odd_sketch, "components", lambda edges: taken.append({(x.u, x.v) for x in edges.collect()}) or common.components(edges))
+    roots, every = None, []
+    for n in (60, 25, 0, 12):
+        before = {x.node: x.root for x in roots.collect()} if roots is not None else {}
+        some = [(r.randrange(-70, 70), r.randrange(-70, 70)) for _ in range(n)]
+        some = [(u, v) for u, v in some if u != v]
+        every += some
+        roots = odd_sketch.grown(roots, spark.createDataFrame(some, "u long, v long").repartition(3))
+        assert taken[-1] == {(before.get(u, u), before.get(v, v)) for u, v in some}  # no link of an earlier turn
+        got = [(x.node, x.root) for x in roots.collect()]
+        assert len(got) == len(dict(got)) and dict(got) == _roots(every)
+    assert len(taken) == 4
