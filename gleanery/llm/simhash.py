@@ -5,14 +5,16 @@ what lies within the limit goes inside and the rest outside; of the rest, what l
 too. By the triangle inequality two linked fingerprints then meet in a shard: both within the limit or both beyond it meet by
 themselves, and else the one beyond is near enough to the limit to go inside. (One side alone is doubled, so a level adds
 about a fifth to the rows and not two fifths.) In its task a shard grows the tree on, in the same way, until few fingerprints
-are left to compare with one another, so work stays far from quadratic however large shards are. What goes out is a spanning
-forest of the links found (not all pairs: a dense group of k costs k - 1 rows); its components are those of all links. Where
-no vantage point parts a dense group, it is compared in blocks, each a task.
+are left to compare with one another, so work stays far from quadratic however large shards are. A node is split until the rows
+that it is expected to get, doubled ones included, are few, and only where the split costs less than comparing all with all.
+What goes out is a spanning forest of the links found in each shard (not all pairs); its components are those of all links.
+Where no vantage point parts a dense group, it is compared in blocks, each a task.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import math
 from collections.abc import Callable, Iterator
 from fractions import Fraction
@@ -24,10 +26,14 @@ from pyspark.sql import functions as F
 
 from .common import MADE, components, row_keys, stash, tidy
 
-#: Distinct fingerprints a shard should hold, leaves of the tree that is broadcast (24 bytes a node; below them shards grow
-#: their own), sampled fingerprints for each shard, fingerprints that are compared with one another at once, and those in a
-#: block of a group that no vantage point parts.
-SHARD, MOST_SHARDS, SAMPLE_EACH, FEW, BLOCK = 4096, 1 << 16, 24, 400, 1 << 15
+#: Fingerprints a shard should hold (with doubled ones; up to four times as many where there are many shards), leaves of the tree
+#: that is broadcast (24 bytes a node; below them shards grow their own), sampled fingerprints for each SHARD and at most,
+#: fingerprints that are compared with one another at once, those in a block of a group that no vantage point parts, rows that are
+#: routed at once, and rows that a task compares, about.
+SHARD, MOST_SHARDS, SAMPLE_EACH, MOST_SAMPLE, FEW, BLOCK, ROUTED, TASK = 4096, 1 << 16, 128, 1 << 20, 2000, 1 << 15, 1 << 16, 1 << 15
+#: A split into shares a and b of the rows (a + b over 1, as some are doubled) makes work grow as the power p of the rows for which
+#: a^p + b^p is 1; comparing all with all is 2. Splits of a larger power than this one are not worth it.
+WORTH = 1.6
 #: Of drop_near_copies: buckets in which shingles are counted and the pieces they travel in; least hashes of a set, those that
 #: sets are grouped by, sets of such a group that are held against one another, partners that each proposes; sets in a block of a shingle's
 #: list; ids that are sent to every executor at most. None of them changes what is linked.
@@ -69,12 +75,12 @@ def fingerprint(text: Column, width: int) -> Column:
 
 def vantage(some: np.ndarray, radius: int, rng: np.random.Generator) -> tuple[int, int] | None:
     """(vantage point, limit) that part the fingerprints best: the fewest doubled rows for what the split tells. None if no
-    split of those tried is worth its rows, as in a dense group. Judged on 1,024 fingerprints at most."""
+    split of those tried is worth its rows (WORTH), as in a dense group. Judged on 1,024 fingerprints at most."""
     best, seen = None, some if len(some) <= 1024 else rng.choice(some, 1024)
     for point in rng.choice(some, min(6, len(some)), replace=False):
         upto = np.cumsum(np.bincount(np.bitwise_count(seen ^ point), minlength=65 + radius)) / len(seen)
         inside, edge = upto[:65], upto[radius:] - upto[: len(upto) - radius]
-        good = np.nonzero((inside >= 0.1) & (inside <= 0.9) & (edge[:65] <= 0.5))[0]
+        good = np.nonzero((inside >= 0.1) & (inside <= 0.9) & ((inside + edge) ** WORTH + (1 - inside) ** WORTH <= 1))[0]
         if len(good):
             x = inside[good]
             cost = np.log2(1 + edge[good]) / -(x * np.log2(x) + (1 - x) * np.log2(1 - x))
@@ -84,25 +90,31 @@ def vantage(some: np.ndarray, radius: int, rng: np.random.Generator) -> tuple[in
     return best and best[1:]
 
 
-def fit_tree(sample: np.ndarray, shards: int, radius: int, seed: int = 1) -> list[tuple[int, int, int, int]]:
-    """Nodes (vantage, limit, inside, outside); a child below zero is the shard -child - 1."""
-    rng, nodes, leaves = np.random.default_rng(seed), [], 0
-
-    def grow(some: np.ndarray, want: int) -> int:
-        nonlocal leaves
-        best = vantage(some, radius, rng) if want > 1 and len(some) > 1 else None
+def fit_tree(sample: np.ndarray, rows: int, shard: int, radius: int, seed: int = 1) -> tuple[list[tuple[int, int, int, int]], list[int]]:
+    """Nodes (vantage, limit, inside, outside) for `rows` fingerprints; a child below zero is the shard -child - 1. Also the shards
+    that are larger than `shard` as no vantage point parts them. The sample is routed as the fingerprints will be, doubled where
+    they are, and the largest node is split first, so shards are about alike however unequal the splits."""
+    rng, nodes, dense, leaves, made = np.random.default_rng(seed), [], [], 0, 0
+    scale, todo = rows / max(1, len(sample)), [(-len(sample), 0, -1, 0, sample)]
+    while todo:
+        _, _, parent, side, some = heapq.heappop(todo)
+        large = len(some) > 1 and len(some) * scale > shard
+        best = vantage(some, radius, rng) if large and len(todo) + leaves + 1 < MOST_SHARDS else None
         if best is None:
+            if large and len(todo) + leaves + 1 < MOST_SHARDS:
+                dense.append(leaves)
             leaves += 1
-            return -leaves
-        at = len(nodes)
-        nodes.append((0, 0, 0, 0))
-        within = np.bitwise_count(some ^ np.uint64(best[0])) <= best[1]
-        share = min(want - 1, max(1, round(want * float(within.mean()))))
-        nodes[at] = (*best, grow(some[within], share), grow(some[~within], want - share))
-        return at
-
-    grow(sample, shards)
-    return nodes
+            at = -leaves
+        else:
+            at = len(nodes)
+            nodes.append([*best, 0, 0])
+            far = np.bitwise_count(some ^ np.uint64(best[0])).astype(int)
+            for k, part in ((2, some[far <= best[1] + radius]), (3, some[far > best[1]])):
+                made += 1
+                heapq.heappush(todo, (-len(part), made, at, k, part))
+        if parent >= 0:
+            nodes[parent][side] = at
+    return [tuple(x) for x in nodes], dense
 
 
 def route(nodes: list[tuple[int, int, int, int]], prints: np.ndarray, slack: int) -> tuple[np.ndarray, np.ndarray]:
@@ -124,14 +136,14 @@ def route(nodes: list[tuple[int, int, int, int]], prints: np.ndarray, slack: int
 
 
 def forest(visitors: np.ndarray, residents: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links between visitors and residents."""
+    """A spanning forest of the links between visitors and residents (or among them, if they are the same array)."""
     nodes, inverse = np.unique(np.concatenate([visitors, residents]), return_inverse=True)
     v, r = inverse[: len(visitors)], inverse[len(visitors) :]
-    label, out, step = np.arange(len(nodes)), [], max(1, 2_000_000 // max(1, len(r)))
+    label, out, step = np.arange(len(nodes)), [], max(1, 500_000 // max(1, len(r)))
     for i in range(0, len(v), step):
-        own = v[i : i + step]
-        a, b = np.nonzero(np.bitwise_count(nodes[own, None] ^ nodes[None, r]) <= radius)
-        a, b = own[a], r[b]
+        skip = i if visitors is residents else 0  # each pair once
+        near = np.flatnonzero(np.bitwise_count(visitors[i : i + step, None] ^ residents[skip:]) <= radius)
+        a, b = v[i + near // (len(r) - skip)], r[skip + near % (len(r) - skip)]
         new = label[a] != label[b]
         if not new.any():
             continue
@@ -183,22 +195,31 @@ def hamming_links(prints: DataFrame, radius: int = 2) -> DataFrame:
     """(u, v): links between distinct fingerprints (column fp: long) at most `radius` bits apart, as spanning forests of the
     shards; their components are those of all links. No fingerprint: no row."""
     n = prints.count()
-    shards = min(MOST_SHARDS, max(2, -(-n // SHARD)))
-    nodes: list[tuple[int, int, int, int]] = []
-    if n:
-        some = prints.where(F.expr(f"pmod(xxhash64(fp, 11), 1000000) < {min(1.0, shards * SAMPLE_EACH / n) * 1e6}")).select("fp")
-        nodes = fit_tree(np.sort(np.array([x.fp for x in some.collect()], np.int64)).view(np.uint64), shards, radius)
+    shard = min(4 * SHARD, max(SHARD, n // 64))
+    share = min(1.0, SAMPLE_EACH / SHARD, MOST_SAMPLE / max(1, n))
+    sample = prints.where(F.expr(f"pmod(xxhash64(fp, 11), 1000000) < {share * 1e6}")).select("fp").toArrow()["fp"].to_numpy()
+    nodes, dense = fit_tree(np.sort(sample).view(np.uint64), n, shard, radius)
+
+    def routed(some: list[np.ndarray]) -> pd.DataFrame:
+        x = np.concatenate(some).view(np.uint64)
+        at, shard = route(nodes, x, radius)
+        return pd.DataFrame({"shard": shard, "fp": signed(x[at])})
 
     def members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        some: list[np.ndarray] = []
         for b in batches:
-            x = b.fp.to_numpy().view(np.uint64)
-            at, shard = route(nodes, x, radius)
-            yield pd.DataFrame({"shard": shard, "fp": signed(x[at])})
+            some.append(b.fp.to_numpy())
+            if sum(map(len, some)) >= ROUTED:
+                yield routed(some)
+                some = []
+        if some:
+            yield routed(some)
 
     dealt = stash(prints.select("fp").mapInPandas(members, "shard long, fp long"), "members")
-    some = dealt.groupBy("shard").count().where(F.col("count") > BLOCK)
-    large = stash(some.select(F.col("shard").alias("of"), F.ceil(F.col("count") / BLOCK).alias("blocks")), "large-shards")
-    # in a large shard each fingerprint is compared with those of one block for each task
+    sizes = stash(dealt.groupBy("shard").count(), "shards")
+    tasks = 1 + (sizes.agg(F.sum("count")).first()[0] or 0) // TASK
+    large = stash(sizes.where(F.col("count") > BLOCK).where(F.col("shard").isin(dense)).select(F.col("shard").alias("of"), F.ceil(F.col("count") / BLOCK).alias("blocks")), "large-shards")
+    # in a large shard that nothing parts each fingerprint is compared with those of one block for each task
     wide = dealt.join(large, F.col("shard") == F.col("of"), "left").withColumn("blocks", F.coalesce("blocks", F.lit(1).cast("long")))
     each = wide.withColumn("own", F.expr("pmod(xxhash64(fp, 5), blocks)")).withColumn("block", F.explode(F.expr("sequence(0L, blocks - 1)")))
 
@@ -206,7 +227,8 @@ def hamming_links(prints: DataFrame, radius: int = 2) -> DataFrame:
         x, own = group.fp.to_numpy().view(np.uint64), (group.own == group.block).to_numpy()
         return as_links(links_among(x, radius) if own.all() else forest(x, x[own], radius))
 
-    return each.select("shard", "block", "own", "fp").groupBy("shard", "block").applyInPandas(compare, "u long, v long")
+    dealt_out = each.select("shard", "block", "own", "fp").repartition(tasks, "shard", "block")  # few bytes, much work
+    return dealt_out.groupBy("shard", "block").applyInPandas(compare, "u long, v long")
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 2) -> DataFrame:

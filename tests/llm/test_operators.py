@@ -134,6 +134,43 @@ def test_tree_finds_every_link(spark, monkeypatch, radius, block):
     assert [roots.get(v, v) for v in values] == [values[k] for k in label]
 
 
+def test_dense_group_is_parted_or_compared(monkeypatch):
+    """No split that leaves its inside as it was: such a group never ended, or came out as many times its links."""
+    rng = np.random.default_rng(0)
+    for n, flips in ((1500, 3), (3000, 4)):
+        values = list({sum(1 << int(b) for b in rng.choice(64, rng.integers(0, flips + 1), replace=False)) for _ in range(n)})
+        monkeypatch.setattr(simhash, "FEW", 400)
+        links = simhash.links_among(np.array(values, np.uint64), 2)
+        assert len(links) <= 3 * len(values)
+        label = {v: v for v in values}
+
+        def find(x, label=label):
+            while label[x] != x:
+                label[x] = label[label[x]]
+                x = label[x]
+            return x
+
+        for u, v in links:
+            assert (u ^ v).bit_count() <= 2
+            label[find(u)] = find(v)
+        known = set(values)
+        flip = [1 << i for i in range(64)]
+        flip += [a | b for i, a in enumerate(flip) for b in flip[:i]]
+        assert all(find(v) == find(v ^ f) for v in values[:200] for f in flip if v ^ f in known)
+
+
+def test_shards_stay_small(spark, monkeypatch):
+    """Shards are of about equal size with the doubled rows counted, so none is compared all with all for its size."""
+    monkeypatch.setattr(simhash, "SHARD", 512)
+    rng = np.random.default_rng(3)
+    prints = spark.createDataFrame([(v,) for v in np.unique(rng.integers(0, 1 << 63, 40_000)).tolist()], "fp long")
+    made = len(simhash.MADE)
+    simhash.hamming_links(prints, 2)
+    path = next(p for p in simhash.MADE[made:] if "/members-" in p)
+    sizes = [r["count"] for r in spark.read.parquet(path).groupBy("shard").count().collect()]
+    assert max(sizes) <= 2 * 4 * 512 and max(sizes) <= 6 * sum(sizes) / len(sizes)
+
+
 def test_drop_near_copies(spark, monkeypatch):
     monkeypatch.setattr(simhash, "KEY_BLOCK", 8)
     rng = np.random.default_rng(1)
